@@ -184,16 +184,25 @@ def extract_size(c: Column) -> Column:
     return non_empty(F.lower(F.regexp_replace(found, r"(?U)\A(\d+(?:\.\d+)?)\s*", "$1 ")))
 
 
+# Looking at the first letter alone skips most positions of a long text.
+CITY_MENTION_PATTERN = (
+    f"(?iU)(?=[{''.join(sorted({city[0] for city in CITY_SPELLINGS}))}])(?:" + "|".join(CITY_SPELLINGS) + ")"
+)
+
+
+def first_match(c: Column, pattern: str) -> Column:
+    """The first match of a pattern as written; empty if there is none."""
+    return F.regexp_extract(c, pattern, 0)
+
+
 def price_mention(c: Column) -> Column:
     """The first lei/ron amount of a text, as written."""
-    return non_empty(F.regexp_extract(c, PRICE_MENTION_PATTERN, 0))
+    return non_empty(first_match(c, PRICE_MENTION_PATTERN))
 
 
 def city_mention(c: Column) -> Column:
     """The first known city spelling of a text, as written."""
-    # Looking at the first letter alone skips most positions of a long text.
-    initials = "".join(sorted({city[0] for city in CITY_SPELLINGS}))
-    return non_empty(F.regexp_extract(c, f"(?iU)(?=[{initials}])(?:" + "|".join(CITY_SPELLINGS) + ")", 0))
+    return non_empty(first_match(c, CITY_MENTION_PATTERN))
 
 
 def city_hint(c: Column) -> Column:

@@ -191,7 +191,7 @@ def opengraph_tag(visible: Column) -> Column:
 def canonical_href(visible: Column) -> Column:
     """Target of the first canonical link; empty without such a link or target."""
     tag = H.first_tag(visible, H.tag_where("link", "rel", r"""(?:[^"'>]*\s)?canonical(?:\s[^"'>]*)?"""))
-    return H.attribute(tag, "href")
+    return F.when(visible.contains("canonical"), H.attribute(tag, "href")).otherwise("")
 
 
 def _opengraph_raw(title_tag: Column, visible: Column) -> Column:
@@ -220,10 +220,12 @@ def _heuristic_raw(visible: Column, url: Column) -> Column:
         H.page_text(visible),
         lambda blob: _raw(
             [H.inner_text(H.heading(visible, "h1"), " "), H.inner_text(H.heading(visible, "title"), " ")],
-            [T.price_mention(blob)],
+            [T.first_match(blob, T.PRICE_MENTION_PATTERN)],
             sizes=[blob],
-            location=T.city_mention(blob),
-            canonical=join_url(url, canonical_href(visible)),
+            location=T.first_match(blob, T.CITY_MENTION_PATTERN),
+            canonical=T.let(
+                canonical_href(visible), lambda href: F.when(href != "", join_url(url, href)).otherwise(url)
+            ),
         ),
     )
 

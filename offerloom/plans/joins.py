@@ -63,3 +63,16 @@ def lookup_join(
         unmatched = large.filter(~_all_not_null(keys))
         joined = joined.unionByName(unmatched, allowMissingColumns=True)
     return joined
+
+
+def match_join(large: DataFrame, other: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:
+    """Inner many-to-many join on ``keys`` that spreads frequent keys of ``large``.
+
+    Broadcasts ``other`` if it was found small; else the rows of ``large`` are
+    salted and those of ``other`` repeated once per salt.
+    """
+    if is_small(other):
+        return large.join(F.broadcast(other), keys)
+    salt = F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int")
+    repeated = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return large.withColumn("_salt", salt).join(repeated, [*keys, "_salt"]).drop("_salt")

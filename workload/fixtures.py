@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from offerloom.sources.tables import stream_table
+
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -198,6 +200,97 @@ SELECT CASE l_orderkey % 9 WHEN 0 THEN 'red widget' WHEN 1 THEN 'small ring' WHE
 FROM lineitem
 """
 
+FIXTURES["fx_domain_entries"] = """
+SELECT CASE c_custkey % 6
+    WHEN 0 THEN ' https://www.S' || CAST(c_custkey % 90 AS STRING) || '.ro , s1.ro/path/x'
+    WHEN 1 THEN 'http://shop.test' || CAST(c_custkey % 70 AS STRING) || '.ro,'
+    WHEN 2 THEN ' ,  ,www.Flori' || CAST(c_nationkey AS STRING) || '.RO/'
+    WHEN 3 THEN 'https://http://x' || CAST(c_custkey % 11 AS STRING) || '.ro/a/b,www.www.y.ro'
+    WHEN 4 THEN lower(c_mktsegment) || '.com' ELSE 'HTTPS://Z.ro,/,https://' END AS entries
+FROM customer
+"""
+
+FIXTURES["fx_allowed"] = """
+SELECT 's' || CAST(s_suppkey AS STRING) || '.ro' AS domain FROM supplier WHERE s_suppkey % 9 <> 4
+"""
+
+FIXTURES["fx_allowed_urls"] = """
+SELECT DISTINCT p || CAST(s_suppkey AS STRING) || t AS domain FROM supplier
+CROSS JOIN (VALUES ('magazin', '.ro'), ('flori', '.com.ro'), ('c', '.net'), ('z', '.co.uk')) AS k(p, t)
+WHERE s_suppkey % 2 = 0
+"""
+
+FIXTURES["fx_page_domains"] = """
+SELECT domain FROM (VALUES ('gradina-unu.ro'), ('doi.ro'), ('patru.ro'), ('example.com'), ('example.org')) AS d(domain)
+"""
+
+FIXTURES["fx_all_pages"] = """
+SELECT 'p' || CAST(page_id AS STRING) AS page, url, html FROM pages
+UNION ALL SELECT 'x' || CAST(page_id AS STRING) AS page, url, html FROM fx_product_pages
+"""
+
+FIXTURES["fx_site_rules"] = """
+SELECT host, rule, name_pattern, price_pattern, location FROM (VALUES
+  ('patru.ro', 'patru', '<h1>(.*?)</h1>', '(Pret [^<]*)', 'Romania'),
+  ('doi.ro', 'never', '<h1>(.*?)</h1>', '(Pret [^<]*)', 'Cluj'))
+  AS r(host, rule, name_pattern, price_pattern, location)
+"""
+
+FIXTURES["fx_results"] = """
+SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
+    || '-' || CAST(l_suppkey AS STRING) AS id,
+  'job' || CAST(l_orderkey % 1000 AS STRING) AS job_id,
+  CASE l_partkey % 4 WHEN 0 THEN 'Red Widget ' WHEN 1 THEN 'RING "mic", ' WHEN 2 THEN 'Bolt ' ELSE 'red-widget ' END
+    || CAST(l_partkey AS STRING) AS product_name,
+  CASE l_partkey % 4 WHEN 0 THEN 'red widget ' WHEN 1 THEN 'ring mic ' WHEN 2 THEN 'bolt ' ELSE 'red widget ' END
+    || CAST(l_partkey AS STRING) AS normalized_name,
+  CASE WHEN l_suppkey % 2 = 0 THEN 'D' ELSE 'e' END || CAST(l_suppkey AS STRING) || '.ro' AS domain,
+  'https://d' || CAST(l_suppkey AS STRING) || '.ro/p/' || CAST(l_partkey AS STRING) AS source_url,
+  CASE WHEN l_orderkey % 13 = 0 THEN NULL
+    ELSE CAST(CAST((l_partkey * 37 + l_orderkey) % 400000 AS DECIMAL(12,2)) / 4 AS DECIMAL(12,2)) END AS price,
+  CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE 'RON' END AS currency,
+  CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_partkey % 60 AS STRING) || CASE WHEN l_suppkey % 2 = 0 THEN ' cm' ELSE ' L' END END AS size_text,
+  CASE l_suppkey % 4 WHEN 0 THEN 'Bucuresti' WHEN 1 THEN 'Cluj' WHEN 2 THEN NULL ELSE 'Iasi' END AS location_city,
+  CASE l_suppkey % 3 WHEN 0 THEN NULL ELSE 'Strada ' || CAST(l_suppkey AS STRING) END AS location_address,
+  CASE l_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN CAST(0 AS DOUBLE) ELSE CAST(l_partkey % 500 AS DOUBLE) / 4 END AS distance_km,
+  l_suppkey % 5 = 0 AS location_unknown
+FROM lineitem
+"""
+
+FIXTURES["fx_jobs"] = """
+SELECT 'job' || CAST(c_custkey AS STRING) AS job_id,
+  CASE c_custkey % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'failed' END AS status
+FROM customer
+"""
+
+FIXTURES["fx_items"] = """
+SELECT 'job' || CAST(l_orderkey % 1000 AS STRING) AS job_id,
+  l_linenumber % 5 <> 0 OR l_orderkey % 3 = 0 AS processed,
+  (l_linenumber % 5 <> 0 OR l_orderkey % 3 = 0) AND l_partkey % 4 = 1 AS found,
+  (l_linenumber % 5 <> 0 OR l_orderkey % 3 = 0) AND l_partkey % 11 = 0 AS error
+FROM lineitem
+"""
+
+FIXTURES["fx_ranked"] = """
+SELECT 'job' || CAST(l_orderkey % 1000 AS STRING) AS job_id,
+  CAST(row_number() OVER (PARTITION BY l_orderkey % 1000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INT) AS rank,
+  'https://d' || CAST(l_suppkey AS STRING) || '.ro/p/' || CAST(l_partkey AS STRING) AS url,
+  l_partkey % 3 = 0 AS is_cached
+FROM lineitem
+"""
+
+FIXTURES["fx_incoming"] = """
+SELECT l_orderkey AS batch, l_linenumber AS seq, l_suppkey,
+  CASE l_partkey % 3 WHEN 0 THEN 'red widget' WHEN 1 THEN 'small ring' ELSE 'magazin' END AS query_normalized,
+  'gradina-unu.ro' AS domain,
+  'https://www.gradina-unu.ro/produs/' || CAST(l_partkey * 2 AS STRING) AS source_url,
+  'nou ' || CAST(l_suppkey AS STRING) AS product_name,
+  CAST(CAST(l_suppkey AS DECIMAL(12,2)) / 4 AS DECIMAL(12,2)) AS price, 'RON' AS currency,
+  CAST(l_linenumber AS STRING) || ' kg' AS size_text, 'Iasi' AS location_city, 'Iasi, Romania' AS location_address,
+  CAST(47.1585 AS DOUBLE) AS location_lat, CAST(27.6014 AS DOUBLE) AS location_lon
+FROM lineitem
+"""
+
 
 def _uses(sql: str) -> list[str]:
     return [name for name in FIXTURES if re.search(rf"\b{name}\b", sql)]
@@ -236,3 +329,13 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         if re.search(rf"\b{name}\b", text):
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return spark.sql(text)
+
+
+def stream_of(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A statement over one given table, read as a stream of new files."""
+    text = with_fixtures(sql)
+    (source,) = [name for name in BASE_TABLES if re.search(rf"\b{name}\b", text)]
+    schema = spark.read.parquet(f"{sf_dir}/{source}.parquet").schema
+    stream = stream_table(spark, sf_dir, schema, pattern=f"{source}.parquet")
+    stream.createOrReplaceTempView(source)
+    return spark.sql(text)
