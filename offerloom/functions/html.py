@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from offerloom.functions.text import let, map_literal, strip
 
 # Tag content with quoted attribute values, which may hold ">".
-_ATTRS = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
-_TAG = rf"""<[!/?a-zA-Z](?:{_ATTRS}>|[^>]*+>)"""
+ATTRS = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
+_TAG = rf"""<[!/?a-zA-Z](?:{ATTRS}>|[^>]*+>)"""
 _BEFORE_ATTRIBUTE = r"""(?:[^"'>]*?(?:"[^"]*"|'[^']*'))*?[^"'>]*?[\s"'/]"""
 _HIDDEN = (
     r"(?is)<!--.*?(?:-->|\z)"
-    rf"|<(script|style|template|rt|rp)\b{_ATTRS}>.*?(?:</\1\s*>|\z)"
+    rf"|<(script|style|template|rt|rp)\b{ATTRS}>.*?(?:</\1\s*>|\z)"
 )
 _MARKUP_CHARS = "<>\"'"
 _SET_ASIDE = "\ufdd0\ufdd1\ufdd2\ufdd3"
@@ -85,7 +85,7 @@ def tag_where(name: str, attribute_name: str, value: str) -> str:
     """Pattern of the opening tag of an element with an attribute value that fits."""
     return (
         rf"(?i:<{name}){_BEFORE_ATTRIBUTE}(?i:{attribute_name})\s*=\s*"
-        rf"""(?:"{value}"|'{value}'|{value}(?=[\s>])){_ATTRS}>"""
+        rf"""(?:"{value}"|'{value}'|{value}(?=[\s>])){ATTRS}>"""
     )
 
 
@@ -131,7 +131,7 @@ def leading_element(column: str) -> Column:
 
 def heading(source: Column, name: str) -> Column:
     """Source of the first element of a kind that does not nest (h1, title)."""
-    return F.regexp_extract(source, rf"(?is)<{name}\b{_ATTRS}>(.*?)(?:</{name}\s*>|\z)", 1)
+    return F.regexp_extract(source, rf"(?is)<{name}\b{ATTRS}>(.*?)(?:</{name}\s*>|\z)", 1)
 
 
 def opening_tag(element: Column) -> Column:

@@ -87,7 +87,8 @@ def _ascii_folds() -> tuple[str, str, dict[str, str]]:
     """
     single: dict[str, str] = {}
     several: dict[str, str] = {}
-    for code in range(0x80, 0x110000):
+    # The compatibility forms of ASCII all lie in the first two planes.
+    for code in range(0x80, 0x20000):
         if 0xD800 <= code <= 0xDFFF:
             continue
         folded = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
@@ -104,27 +105,34 @@ def map_literal(entries: dict[str, str]) -> Column:
     return F.str_to_map(F.lit(packed), F.lit("\x02"), F.lit("\x01"))
 
 
-def fold_to_ascii(c: Column) -> Column:
-    """Accents off, compatibility forms spelled out, the rest of non-ASCII removed."""
+def normalize_text(c: Column) -> Column:
+    """Lower-case ASCII words and numbers separated by single spaces.
+
+    Accents go, compatibility forms are spelled out, other non-ASCII characters
+    vanish and ASCII symbols become spaces: one pass over the text, as
+    ``translate`` covers all but the characters that become several.
+    """
     source, target, several = _ascii_folds()
+    symbols = "".join(ch for ch in map(chr, range(0x80)) if not ch.isalnum())
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    target = "".join(ch.lower() if ch.isalnum() else " " for ch in target)
     ligatures = map_literal(several)
 
     def spell(s: Column) -> Column:
         letters = F.transform(F.split(s, ""), lambda ch: F.coalesce(F.try_element_at(ligatures, ch), ch))
-        return F.when(s.rlike("[" + "".join(several) + "]"), F.array_join(letters, "")).otherwise(s)
+        foreign = F.regexp_replace(s, r"[\x00-\x7F]+", "")
+        has_any = let(foreign, lambda f: F.length(F.translate(f, "".join(several), "")) < F.length(f))
+        return F.when(has_any, F.array_join(letters, "")).otherwise(s)
 
     def fold(s: Column) -> Column:
-        folded = F.regexp_replace(F.translate(spell(s), source, target), r"[^\x00-\x7F]+", "")
-        return F.when(s.rlike(r"[^\x00-\x7F]"), folded).otherwise(s)
+        plain = F.translate(
+            spell(s), source + symbols + capitals, target + " " * len(symbols) + capitals.lower()
+        )
+        return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]+", ""), " {2,}", " "))
 
     return let(c, fold)
 
 
-def normalize_text(c: Column) -> Column:
-    """Lower-case ASCII words and numbers separated by single spaces."""
-    return F.lower(F.trim(F.regexp_replace(fold_to_ascii(c), "[^a-zA-Z0-9]+", " ")))
-
-
 def normalize_product_name(c: Column) -> Column:
     return F.left(normalize_text(c), F.lit(500))
 

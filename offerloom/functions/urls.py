@@ -74,9 +74,7 @@ def add_domain(
 
 
 def _drop_dot_segments(path: Column) -> Column:
-    segments = F.split(path, "/")
-    # Empty segments inside the path vanish; the first and last ones stay.
-    kept = F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == F.size(segments) - 1))
+    kept = F.split(path, "/")
 
     def step(done: Column, segment: Column) -> Column:
         return (
@@ -108,11 +106,11 @@ def join_url(base: Column, href: Column) -> Column:
         fragment = F.regexp_extract(local, r"(#.+)\z", 1)
 
         def on_path(path: Column) -> Column:
-            folder = F.concat(F.regexp_replace(F.ltrim(p["path"], F.lit("/")), r"[^/]*\z", ""), path)
-            full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), folder))
+            below = F.concat(F.lit("/"), F.regexp_replace(p["path"], r"[^/]*\z", ""), path)
+            # Empty segments vanish from a relative path only.
+            full = F.when(path.startswith("/"), path).otherwise(F.regexp_replace(below, "/{2,}", "/"))
             return let(
-                full,
-                lambda f: F.when(f.rlike(r"//|/\.{1,2}(?:/|\z)"), _drop_dot_segments(f)).otherwise(f),
+                full, lambda f: F.when(f.rlike(r"/\.{1,2}(?:/|\z)"), _drop_dot_segments(f)).otherwise(f)
             )
 
         base_query = F.regexp_extract(p["base"], r"\A[^?#]*(\?[^#]+)", 1)

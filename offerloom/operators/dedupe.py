@@ -1,14 +1,16 @@
 """Duplicate offers: in order, skip a row if its first or its second key was kept before.
 
 Seen as a graph with the keys as nodes and the rows as edges, the kept rows are
-the first maximal matching in row order.  Jobs of ordinary size are walked in
-one grouped pass.  Larger ones go through rounds of aggregations: a row that is
-first for both of its keys is kept, rows sharing a key with it are dropped.  As
-soon as what is left of a job has ordinary size, the grouped pass finishes it.
+the first maximal matching in row order.  Jobs of ordinary size (a request has
+at most 200 URLs) are walked in order after one shuffle by job.  Larger ones go
+through rounds of aggregations: a row that is first for both of its keys is
+kept, rows sharing a key with it are dropped.  As soon as what is left of a job
+has ordinary size, the walk finishes it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -47,28 +49,31 @@ def _first_per_pair(rows: DataFrame, job: str, first: list[str], second: list[st
     )
 
 
-def _walk(first: list[str], second: list[str], order: list[str]):
-    """Sequential pass over one job of bounded size."""
+def _walk(rows: DataFrame, job: str, first: list[str], second: list[str], order: list[str]) -> DataFrame:
+    """Sequential pass over jobs of bounded size, many jobs per task.
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(order, kind="stable")
-        seen_first: set[tuple] = set()
-        seen_second: set[tuple] = set()
-        kept = []
-        keys = zip(
-            ordered[first].itertuples(index=False, name=None),
-            ordered[second].itertuples(index=False, name=None),
-            strict=True,
-        )
-        for a, b in keys:
-            accept = a not in seen_first and b not in seen_second
-            if accept:
-                seen_first.add(a)
-                seen_second.add(b)
-            kept.append(accept)
-        return ordered[kept]
+    The rows arrive sorted by job and order; only the keys kept of the current
+    job are held.
+    """
 
-    return keep
+    def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, seen_first, seen_second = None, set(), set()
+        for batch in batches:
+            accepted = []
+            columns = [batch[c].tolist() for c in (job, *first, *second)]
+            for name, *keys in zip(*columns, strict=True):
+                if name != current:
+                    current, seen_first, seen_second = name, set(), set()
+                a, b = tuple(keys[: len(first)]), tuple(keys[len(first) :])
+                accept = a not in seen_first and b not in seen_second
+                if accept:
+                    seen_first.add(a)
+                    seen_second.add(b)
+                accepted.append(accept)
+            yield batch[accepted]
+
+    in_order = rows.repartition(job).sortWithinPartitions(job, *order)
+    return in_order.mapInPandas(keep, rows.schema)
 
 
 def _round(rows: DataFrame, job: str, first: list[str], second: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -111,20 +116,22 @@ def dedupe_results(
     keys = {f"_key{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate([*first, *second])}
     first, second = list(keys)[: len(first)], list(keys)[len(first) :]
     rows = rows.withColumns(keys)
-    columns, schema = rows.columns, rows.schema
-    undecided = checkpoint(_first_per_pair(rows, job, first, second, order))
+    columns = rows.columns
+
+    def large_jobs(df: DataFrame) -> DataFrame:
+        sizes = df.groupBy(job).agg(F.count("*").alias("_n"))
+        return checkpoint(sizes.filter(F.col("_n") > job_rows).select(job))
+
     kept: list[DataFrame] = []
-    while True:
-        sizes = undecided.groupBy(job).agg(F.count("*").alias("_n"))
-        large = checkpoint(sizes.filter(F.col("_n") > job_rows).select(job))
-        walk = _walk(first, second, order)
-        if large.isEmpty():
-            kept.append(undecided.groupBy(job).applyInPandas(walk, schema))
-            break
-        kept.append(lookup_join(undecided, large, [job], "left_anti").groupBy(job).applyInPandas(walk, schema))
-        accepted, undecided = _round(
-            lookup_join(undecided, large, [job], "left_semi").select(*columns), job, first, second, order
-        )
+    undecided, large = rows, large_jobs(rows)
+    while not large.isEmpty():
+        ordinary = lookup_join(undecided, large, [job], "left_anti").select(*columns)
+        kept.append(_walk(ordinary, job, first, second, order))
+        open_rows = lookup_join(undecided, large, [job], "left_semi").select(*columns)
+        if undecided is rows:
+            open_rows = checkpoint(_first_per_pair(open_rows, job, first, second, order))
+        accepted, undecided = _round(open_rows, job, first, second, order)
         kept.append(accepted)
+        large = large_jobs(undecided)
+    kept.append(_walk(undecided, job, first, second, order))
     return reduce(DataFrame.unionByName, [k.select(*given) for k in kept])
-

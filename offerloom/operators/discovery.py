@@ -26,7 +26,7 @@ MOST_URLS = 200
 MATCH_BONUS = 2.0
 BATCH_SIZE = 25
 
-_ANCHOR = r"(?is)<a\b[^>]*>.*?(?=</a\s*>|<a\b|\z)"
+_ANCHOR = rf"(?is)<a\b{H.ATTRS}>.*?(?=</a\s*>|<a\b|\z)"
 
 
 def extract_links(pages: DataFrame, allowed: DataFrame, base: str = "url") -> DataFrame:
@@ -79,36 +79,39 @@ def query_words(requests: DataFrame) -> DataFrame:
     return queries.select("query_normalized", F.explode(T.query_tokens(F.col("query_normalized"))).alias("token"))
 
 
-def _trigrams(c: Column) -> Column:
-    starts = F.when(F.length(c) >= 3, F.sequence(F.lit(1), F.length(c) - 2)).otherwise(F.array())
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(3))))
+def _with_trigrams(df: DataFrame, column: str) -> DataFrame:
+    """One row per position of ``column``, with the trigram starting there."""
+    at = F.explode(F.sequence(F.lit(1), F.length(column) - 2))
+    return (
+        df.filter(F.length(column) >= 3)
+        .withColumn("_at", at)
+        .withColumn("_gram", F.substring(F.col(column), F.col("_at"), F.lit(3)))
+        .drop("_at")
+    )
 
 
 def token_matches(tokens: DataFrame, links: DataFrame) -> DataFrame:
-    """Links whose URL or text contains a token, found through shared trigrams.
+    """Distinct links whose URL or text contains a token, found through shared trigrams.
 
     Each token is looked up by its rarest trigram among the links, which keeps
     the candidates close to the true matches; containment is then verified.
     Tokens are lower-case ASCII words, so there are at most 36**3 trigrams and
     the trigram tables are broadcast.
     """
-    haystack = F.lower(F.concat_ws("\n", "url", "text"))
-    searched = links.withColumn("_hay", haystack)
-    token_grams = tokens.select("token").distinct().select("token", F.explode(_trigrams(F.col("token"))).alias("_gram"))
+    searched = links.withColumn("_hay", F.lower(F.concat_ws("\n", "url", "text")))
+    token_grams = _with_trigrams(tokens.select("token").distinct(), "token").distinct()
     needed = token_grams.select("_gram").distinct()
-    link_grams = searched.withColumn("_gram", F.explode(_trigrams(F.col("_hay")))).join(
-        F.broadcast(needed), "_gram", "left_semi"
-    )
+    link_grams = _with_trigrams(searched, "_hay").join(F.broadcast(needed), "_gram", "left_semi")
     frequency = link_grams.groupBy("_gram").agg(F.count("*").alias("_n"))
-    rarest = (
+    rarest = checkpoint(
         token_grams.join(F.broadcast(frequency), "_gram", "left")
         .groupBy("token")
         .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_rarest"))
         .filter(F.col("_rarest._n") > 0)
         .select("token", "_rarest._gram")
     )
-    candidates = match_join(link_grams, rarest, ["_gram"])
-    return candidates.filter(F.col("_hay").contains(F.col("token"))).drop("_hay", "_gram")
+    candidates = match_join(link_grams, rarest, ["_gram"]).filter(F.col("_hay").contains(F.col("token")))
+    return candidates.drop("_hay", "_gram").distinct()
 
 
 def request_link_match(requests: DataFrame, links: DataFrame) -> DataFrame:

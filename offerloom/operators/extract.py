@@ -28,7 +28,7 @@ PRODUCT_COLUMNS = [
     "location_text", "canonical_url", "extractor",
 ]
 
-_COMMENT_OR_SCRIPT = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)"
+_COMMENT_OR_SCRIPT = rf"(?is)<!--.*?(?:-->|\z)|<script\b{H.ATTRS}>.*?(?:</script\s*>|\z)"
 def usable_pages(pages: DataFrame) -> DataFrame:
     """Flag the pages whose content needs a browser: a script notice or too little source."""
     needs_browser = F.lower("html").contains(JS_NOTICE) | (F.length("html") < SHORTEST_PAGE)
@@ -94,7 +94,7 @@ def jsonld_item(html: Column) -> Column:
         return ~script.startswith("<!--") & (H.attribute(H.opening_tag(script), "type") == JSONLD_TYPE)
 
     def items(block: Column) -> Column:
-        body = F.regexp_replace(block, r"(?is)\A<script\b[^>]*>|</script\s*>\z", "")
+        body = F.regexp_replace(block, rf"(?is)\A<script\b{H.ATTRS}>|</script\s*>\z", "")
         return T.let(
             F.try_parse_json(body),
             lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)),
@@ -140,7 +140,7 @@ def _with_microdata(pages: DataFrame, wanted: Column | None = None) -> DataFrame
     found = T.compute_once(pages, _rest=F.when(may_have, H.source_from(visible, typed)).otherwise(""))
     found = T.compute_once(found, _node=H.leading_element("_rest")).drop("_rest")
     # Properties are looked up below the node, not on its own tag.
-    below = F.regexp_replace("_node", r"\A<[^>]*>", "")
+    below = F.regexp_replace("_node", rf"\A<{H.ATTRS}>", "")
 
     def prop(name: str) -> Column:
         return H.source_from(below, H.tag_where(H.ANY_ELEMENT, "itemprop", name))
