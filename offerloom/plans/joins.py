@@ -23,33 +23,27 @@ BROADCAST_ROWS = 200_000
 HOT_KEYS = 200
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame) -> bool:
+    """Whether a table may be broadcast; reads no more rows than it takes to tell."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def _all_not_null(keys: list[str]):
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_KEYS) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """The most frequent key combinations: counted map-side first, then a top-k."""
     counts = df.filter(_all_not_null(keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
-    return counts.orderBy(F.desc("_n"), *keys).limit(limit).select(*keys)
+    return counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys)
 
 
-def lookup_join(
-    large: DataFrame,
-    keyed: DataFrame,
-    keys: list[str],
-    how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def lookup_join(large: DataFrame, keyed: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join ``large`` with ``keyed`` (unique per key combination) on ``keys``.
 
     ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.
     """
-    if is_small(keyed, broadcast_rows):
+    if is_small(keyed):
         return large.join(F.broadcast(keyed), keys, how)
 
     present = large.filter(_all_not_null(keys))
