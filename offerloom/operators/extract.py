@@ -61,8 +61,10 @@ def _raw(
     )
 
 
-def _finish(found: DataFrame, raw: Column, extractor: Column, keep: list[str]) -> DataFrame:
-    """Parse the raw fields into product columns; rows without a name are dropped."""
+def _finish(
+    found: DataFrame, raw: Column, extractor: Column, keep: list[str], keep_nameless: bool = False
+) -> DataFrame:
+    """Parse the raw fields into product columns; rows without a name are dropped unless asked for."""
     rows = found.select(*keep, extractor.alias("extractor"), F.inline(F.array(raw)))
     picked = T.compute_once(
         rows,
@@ -70,7 +72,9 @@ def _finish(found: DataFrame, raw: Column, extractor: Column, keep: list[str]) -
         _price_raw=F.get(F.filter("_prices", lambda p: p != ""), F.lit(0)),
         _size_raw=T.first_filled(F.col("_sizes")),
     )
-    named = T.add_price(picked.filter(F.col("_name").isNotNull()), "_price_raw", currency="_parsed")
+    if not keep_nameless:
+        picked = picked.filter(F.col("_name").isNotNull())
+    named = T.add_price(picked, "_price_raw", currency="_parsed")
     return named.select(
         *keep,
         F.col("_name").alias("product_name"),
@@ -240,7 +244,9 @@ def _kept(pages: DataFrame) -> list[str]:
     return [c for c in pages.columns if c != "html"]
 
 
-def _cascade(pages: DataFrame, keep: list[str], rule: Column | None = None) -> DataFrame:
+def _cascade(
+    pages: DataFrame, keep: list[str], rule: Column | None = None, keep_nameless: bool = False
+) -> DataFrame:
     """Products by the first kind of markup found; ``rule`` (a struct) overrides it."""
     item, node, title, visible = F.col("_item"), F.col("_node"), F.col("_title"), F.col("_visible")
     free = F.lit(True) if rule is None else rule.isNull()
@@ -271,7 +277,7 @@ def _cascade(pages: DataFrame, keep: list[str], rule: Column | None = None) -> D
         )
         raw = F.when(rule.isNotNull(), by_rule).otherwise(raw)
         extractor = F.when(rule.isNotNull(), F.concat(F.lit("adapter:"), rule["rule"])).otherwise(extractor)
-    return _finish(marked, raw, extractor, keep)
+    return _finish(marked, raw, extractor, keep, keep_nameless)
 
 
 def extract_products(pages: DataFrame) -> DataFrame:
@@ -291,16 +297,17 @@ DEFAULT_SITE_RULES = [
 ]
 
 
-def site_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def site_rules(pages: DataFrame, rules: DataFrame, keep_nameless: bool = False) -> DataFrame:
     """``extract_products`` with per-site rules taking precedence.
 
     ``rules(host, rule, name_pattern, price_pattern, location)`` has one row per
     host; the first group of a pattern is the source of the name or price.  A
     page of such a host without the name is rejected, with no second attempt.
+    ``keep_nameless`` keeps rejected pages as rows with a null name.
     """
     by_host = rules.select(
         F.col("host").alias("_host"),
         F.struct("rule", "name_pattern", "price_pattern", "location").alias("_rule"),
     )
     ruled = lookup_join(pages.withColumn("_host", host_of(F.col("url"))), by_host, ["_host"], "left")
-    return _cascade(ruled, _kept(pages), F.col("_rule"))
+    return _cascade(ruled, _kept(pages), F.col("_rule"), keep_nameless)
