@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.functions.text import let, non_empty, strip
+from offerloom.functions.text import compute_once, let, non_empty, strip
 
 # Public suffixes known without a list of the caller's own.
 DEFAULT_SUFFIXES = (
@@ -23,40 +24,30 @@ PREFERRED_WORDS = [
     "magazin", "shop", "market",
 ]
 EXCLUDED_WORDS = ["forum", "pdf", "blog", "wikipedia", "manual"]
-PRODUCT_PATH_PATTERN = "/(produs|product|p|item|catalog)"
+PRODUCT_PATH_WORDS = ["produs", "product", "p", "item", "catalog"]
 RELEVANCE_THRESHOLD = 1.0
 
 
 def host_of(url: Column) -> Column:
     """Host with port, lower case, every ``www.`` removed; empty without a host."""
-    tidy = F.regexp_replace(url, r"\A[\x00-\x20]+|[\t\r\n]", "")
-    authority = F.regexp_extract(tidy, r"\A(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1)
-    return F.replace(F.lower(authority), F.lit("www."), F.lit(""))
+    authority = F.regexp_extract(url, r"\A[\x00-\x20]*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1)
+    tidy = F.translate(F.lower(authority), "\t\r\n", "")
+    return F.replace(tidy, F.lit("www."), F.lit(""))
 
 
-def registered_domain_of_host(host: Column, suffixes: Sequence[str] = DEFAULT_SUFFIXES) -> Column:
-    """Domain plus longest public suffix of a host; the host itself if none fits.
-
-    The suffixes are compared as constants per label count, so this is a
-    projection: no join and no shuffle on hosts, whatever their frequency.
-    """
+def _registered(name: Column, suffixes: Sequence[str]) -> Column:
+    """Last label in front of the longest fitting suffix, with the suffix; null if none fits."""
     by_labels: dict[int, list[str]] = {}
     for suffix in suffixes:
         by_labels.setdefault(suffix.count(".") + 1, []).append(suffix)
-
-    def pick(name: Column) -> Column:
-        found = None
-        for labels in sorted(by_labels, reverse=True):
-            tail = F.substring_index(name, ".", -labels)
-            domain = F.when(name == tail, F.concat(F.lit("."), name)).otherwise(
-                F.substring_index(name, ".", -(labels + 1))
-            )
-            fits = tail.isin(by_labels[labels])
-            found = F.when(fits, domain) if found is None else found.when(fits, domain)
-        return found
-
-    name = F.regexp_replace(host, r"\A.*@|:\d*\z", "")
-    return F.coalesce(let(name, pick), host)
+    choices = []
+    for labels in sorted(by_labels, reverse=True):
+        tail = F.substring_index(name, ".", -labels)
+        domain = F.when(name == tail, F.concat(F.lit("."), name)).otherwise(
+            F.substring_index(name, ".", -(labels + 1))
+        )
+        choices.append(F.when(tail.isin(by_labels[labels]), domain))
+    return F.coalesce(*choices)
 
 
 def add_domain(
@@ -65,12 +56,16 @@ def add_domain(
     out: str = "domain",
     suffixes: Sequence[str] = DEFAULT_SUFFIXES,
 ) -> DataFrame:
-    """The table with the registered domain of its URL column."""
-    return (
-        df.withColumn("_host", host_of(F.col(url)))
-        .withColumn(out, registered_domain_of_host(F.col("_host"), suffixes))
-        .drop("_host")
-    )
+    """The table with the registered domain of its URL column.
+
+    That is the domain with the longest public suffix, or the host if no suffix
+    fits.  The suffixes are compared as constants per label count, so this is a
+    projection: no join and no shuffle on hosts, whatever their frequency.
+    """
+    host = F.col("_host")
+    bare = F.when(host.rlike("[@:]"), F.regexp_replace(host, r"\A.*@|:\d*\z", "")).otherwise(host)
+    named = compute_once(compute_once(df, _host=host_of(F.col(url))), _name=bare)
+    return named.withColumn(out, F.coalesce(_registered(F.col("_name"), suffixes), host)).drop("_host", "_name")
 
 
 def _drop_dot_segments(path: Column) -> Column:
@@ -152,25 +147,25 @@ def resolve_url(base: Column, href: Column) -> Column:
     return F.when(href != "", let(strip(href), target))
 
 
-def score_url(url: Column, domain: Column, title: Column | None = None, snippet: Column | None = None) -> Column:
-    """Relevance of a URL with its registered domain, anchor title and snippet."""
-    parts = [url, F.lit("") if title is None else title, F.lit("") if snippet is None else snippet]
-
-    def of_blob(blob: Column) -> Column:
-        def has_any(words: list[str]) -> Column:
-            return blob.rlike("|".join(words))
-
-        return (
-            F.when(has_any(PREFERRED_WORDS), 2.0).otherwise(0.0)
-            + F.when(blob.rlike(PRODUCT_PATH_PATTERN), 1.5).otherwise(0.0)
-            - F.when(has_any(EXCLUDED_WORDS), 3.0).otherwise(0.0)
-        )
-
-    return (
-        F.when(domain.endswith(".ro"), 3.0).otherwise(0.0)
-        + let(F.lower(F.concat_ws(" ", *parts)), of_blob)
-        - F.when(url.contains("?") & url.contains("sort"), 1.0).otherwise(0.0)
+def add_score(
+    df: DataFrame, url: str = "url", domain: str = "domain", texts: Sequence[str] = (), out: str = "score"
+) -> DataFrame:
+    """The table with the relevance of a URL, given its registered domain and texts like title and snippet."""
+    blob = F.col("_blob")
+
+    def any_of(words: list[str]) -> Column:
+        return reduce(Column.__or__, [blob.contains(word) for word in words])
+
+    address = F.col(url)
+    score = (
+        F.when(F.col(domain).endswith(".ro"), 3.0).otherwise(0.0)
+        + F.when(any_of(PREFERRED_WORDS), 2.0).otherwise(0.0)
+        + F.when(any_of([f"/{word}" for word in PRODUCT_PATH_WORDS]), 1.5).otherwise(0.0)
+        - F.when(any_of(EXCLUDED_WORDS), 3.0).otherwise(0.0)
+        - F.when(address.contains("?") & address.contains("sort"), 1.0).otherwise(0.0)
     )
+    staged = compute_once(df, _blob=F.lower(F.concat_ws(" ", address, *texts)))
+    return staged.withColumn(out, score).drop("_blob")
 
 
 def cache_key(query_normalized: Column, url: Column) -> Column:

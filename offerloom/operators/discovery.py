@@ -26,6 +26,9 @@ MOST_URLS = 200
 MATCH_BONUS = 2.0
 BATCH_SIZE = 25
 
+# Up to this many distinct words are tried on every link; more go through trigrams.
+TOKENS_IN_PLACE = 200
+
 _ANCHOR = rf"(?is)<a\b{H.ATTRS}>.*?(?=</a\s*>|<a\b|\z)"
 
 
@@ -69,8 +72,7 @@ def scored_links(links: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("link_no", "text")).alias("_first"))
         .select("seed_domain", "url", "_first.link_no", "_first.text")
     )
-    scored = U.add_domain(once, "url", "_domain")
-    return scored.withColumn("score", U.score_url(F.col("url"), F.col("_domain"), F.col("text"))).drop("_domain")
+    return U.add_score(U.add_domain(once, "url", "_domain"), "url", "_domain", ["text"]).drop("_domain")
 
 
 def query_words(requests: DataFrame) -> DataFrame:
@@ -91,15 +93,30 @@ def _with_trigrams(df: DataFrame, column: str) -> DataFrame:
 
 
 def token_matches(tokens: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct links whose URL or text contains a token, found through shared trigrams.
+    """Distinct links whose URL or text contains a token, with the token.
 
-    Each token is looked up by its rarest trigram among the links, which keeps
-    the candidates close to the true matches; containment is then verified.
-    Tokens are lower-case ASCII words, so there are at most 36**3 trigrams and
-    the trigram tables are broadcast.
+    A few tokens (the count is checked) are tried on each link in place.  Many
+    are looked up by the trigrams of the links.
     """
     searched = links.withColumn("_hay", F.lower(F.concat_ws("\n", "url", "text")))
-    token_grams = _with_trigrams(tokens.select("token").distinct(), "token").distinct()
+    vocabulary = tokens.select("token").distinct()
+    few = [row.token for row in vocabulary.limit(TOKENS_IN_PLACE + 1).collect()]
+    if len(few) <= TOKENS_IN_PLACE:
+        words = F.array(*[F.lit(t) for t in few]) if few else F.array().cast("array<string>")
+        contained = F.filter(words, lambda t: F.col("_hay").contains(t))
+        return searched.withColumn("token", F.explode(contained)).drop("_hay").distinct()
+    return _trigram_matches(vocabulary, searched)
+
+
+def _trigram_matches(vocabulary: DataFrame, searched: DataFrame) -> DataFrame:
+    """Matches found through shared trigrams, then verified.
+
+    Each token is looked up by its rarest trigram among the links, which keeps
+    the candidates close to the true matches.  Tokens are lower-case ASCII
+    words, so there are at most 36**3 trigrams and the trigram tables are
+    broadcast.
+    """
+    token_grams = _with_trigrams(vocabulary, "token").distinct()
     needed = token_grams.select("_gram").distinct()
     link_grams = _with_trigrams(searched, "_hay").join(F.broadcast(needed), "_gram", "left_semi")
     frequency = link_grams.groupBy("_gram").agg(F.count("*").alias("_n"))
@@ -230,8 +247,7 @@ def rank_candidates(
     links: DataFrame, allowed: DataFrame, keys: list[str], limit: int = MOST_URLS
 ) -> DataFrame:
     """Final ranking of links(keys, url, position): allowed, relevant, by the score of the URL alone."""
-    scored = U.add_domain(links.select(*keys, "url", "position"), "url", "domain")
-    scored = scored.withColumn("score", U.score_url(F.col("url"), F.col("domain")))
+    scored = U.add_score(U.add_domain(links.select(*keys, "url", "position")))
     kept = allowed_semi(scored, allowed, domain="domain").filter(F.col("score") >= U.RELEVANCE_THRESHOLD)
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "position")
     return (

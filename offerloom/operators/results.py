@@ -113,7 +113,9 @@ def filter_results(
 ) -> DataFrame:
     """Results fitting all given conditions; absent ones are ignored."""
     if product_contains:
-        results = results.filter(F.col("normalized_name").contains(T.normalize_text(F.lit(product_contains))))
+        # Normalised once here: inside the filter it would be worked out for every row.
+        wanted = results.sparkSession.range(1).select(T.normalize_text(F.lit(product_contains))).first()[0]
+        results = results.filter(F.col("normalized_name").contains(wanted))
     if size_contains:
         results = results.filter(F.col("size_text").ilike(f"%{size_contains}%"))
     if price_min is not None:

@@ -27,3 +27,13 @@ def stream_table(
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a small input that arrives in fewer splits than there are cores.
+
+    One row group is one task, which leaves all other cores idle in the costly
+    projections that follow.  Inputs with enough splits are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

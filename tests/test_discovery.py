@@ -57,6 +57,7 @@ def ranked(links, seeds, query, limit, first=6):
 @pytest.mark.parametrize(("case", "broadcast"), [(0, 200_000), (1, 200_000), (2, 200_000), (3, 0)])
 def test_ranking_equals_a_loop(spark, monkeypatch, case, broadcast):
     monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(discovery, "TOKENS_IN_PLACE", 200 if broadcast else 0)
     monkeypatch.setattr(discovery.first_links, "__defaults__", (6,))
     rng = random.Random(case)
     seeds = [f"d{i}.ro" for i in range(7)]
@@ -77,7 +78,9 @@ def test_ranking_equals_a_loop(spark, monkeypatch, case, broadcast):
         assert [(r.url, r.score) for r in sorted(best, key=lambda r: r.position) if r.query_normalized == q] == expected
 
 
-def test_token_matches(spark):
+@pytest.mark.parametrize("in_place", [200, 2])
+def test_token_matches(spark, monkeypatch, in_place):
+    monkeypatch.setattr(discovery, "TOKENS_IN_PLACE", in_place)
     rng = random.Random(2)
     tokens = ["abc", "bca", "cab", "abca", "zzz", "produs", "aaaa"]
     links = [("d", i, "https://x/" + "".join(rng.choice("abc/") for _ in range(8)), rng.choice(["", "ABCA", "Produse"])) for i in range(300)]

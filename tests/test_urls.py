@@ -61,8 +61,8 @@ def test_score_url(spark):
         ("https://x.com/", "FORUM pdf", -3.0),
     ]
     rows = U.add_domain(spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i INT, url STRING, t STRING, s DOUBLE"))
-    got = rows.select("i", U.score_url(F.col("url"), F.col("domain"), F.col("t")).alias("x")).orderBy("i").collect()
-    assert [r.x for r in got] == [c[2] for c in cases]
+    got = U.add_score(rows, texts=["t"]).orderBy("i").collect()
+    assert [r.score for r in got] == [c[2] for c in cases]
 
 
 def test_keys(spark):

@@ -96,8 +96,7 @@ def registered_domain(spark, sf):
 @query
 def score_url(spark, sf):
     given = U.add_domain(table(spark, sf, "fx_urls"))
-    score = U.score_url(F.col("url"), F.col("domain"), F.col("title"), F.col("snippet"))
-    return given.select("url", "title", "snippet", score.alias("score"))
+    return U.add_score(given, texts=["title", "snippet"]).select("url", "title", "snippet", "score")
 
 
 # Pages

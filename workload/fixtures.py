@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.sources.tables import stream_table
+from offerloom.sources.tables import spread, stream_table
 
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -318,7 +318,7 @@ def with_fixtures(sql: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a derived one by its fixture name."""
     if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     return derive(spark, sf_dir, f"SELECT * FROM {name}")
 
 
@@ -327,7 +327,7 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     text = with_fixtures(sql)
     for name in BASE_TABLES:
         if re.search(rf"\b{name}\b", text):
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(text)
 
 
