@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.functions.urls import url_key
-from offerloom.plans.checkpoints import checkpoint
+from offerloom.plans.checkpoints import materialize
 from offerloom.plans.joins import hot_keys, lookup_join
 
 JOB_ROWS = 10_000
@@ -86,7 +86,7 @@ def _round(rows: DataFrame, job: str, first: list[str], second: list[str], order
     position = F.struct(*order, *first, *second)
     by_first = rows.groupBy(job, *first).agg(F.min(position).alias("_at")).select(job, "_at")
     by_second = rows.groupBy(job, *second).agg(F.min(position).alias("_at")).select(job, "_at")
-    kept_at = checkpoint(by_first.join(by_second, [job, "_at"], "left_semi"))
+    kept_at = materialize(by_first.join(by_second, [job, "_at"], "left_semi"))
     kept_keys = kept_at.select(job, "_at.*")
     kept = rows.join(kept_keys.select(job, *first, *second), [job, *first, *second], "left_semi")
 
@@ -99,7 +99,7 @@ def _round(rows: DataFrame, job: str, first: list[str], second: list[str], order
         taken = kept_keys.select(*keys).join(hot, keys, "left").withColumn("_salt", F.explode(copies))
         return salted.drop("_hot").join(taken.drop("_hot"), [*keys, "_salt"], "left_anti").drop("_salt")
 
-    return kept, checkpoint(without(without(rows, first), second).select(*rows.columns))
+    return kept, materialize(without(without(rows, first), second).select(*rows.columns))
 
 
 def dedupe_results(
@@ -120,7 +120,7 @@ def dedupe_results(
 
     def large_jobs(df: DataFrame) -> DataFrame:
         sizes = df.groupBy(job).agg(F.count("*").alias("_n"))
-        return checkpoint(sizes.filter(F.col("_n") > job_rows).select(job))
+        return materialize(sizes.filter(F.col("_n") > job_rows).select(job))
 
     kept: list[DataFrame] = []
     undecided, large = rows, large_jobs(rows)
@@ -129,7 +129,7 @@ def dedupe_results(
         kept.append(_walk(ordinary, job, first, second, order))
         open_rows = lookup_join(undecided, large, [job], "left_semi").select(*columns)
         if undecided is rows:
-            open_rows = checkpoint(_first_per_pair(open_rows, job, first, second, order))
+            open_rows = materialize(_first_per_pair(open_rows, job, first, second, order))
         accepted, undecided = _round(open_rows, job, first, second, order)
         kept.append(accepted)
         large = large_jobs(undecided)

@@ -16,7 +16,7 @@ from offerloom.functions import html as H
 from offerloom.functions import text as T
 from offerloom.functions import urls as U
 from offerloom.operators.robots import allowed_semi
-from offerloom.plans.checkpoints import checkpoint
+from offerloom.plans.checkpoints import materialize
 from offerloom.plans.joins import lookup_join, match_join
 
 # Fixed values of the ranking.
@@ -93,7 +93,7 @@ def _with_trigrams(df: DataFrame, column: str) -> DataFrame:
 
 
 def token_matches(tokens: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct links whose URL or text contains a token, with the token.
+    """Links whose URL or text contains a token, with the token.
 
     A few tokens (the count is checked) are tried on each link in place.  Many
     are looked up by the trigrams of the links.
@@ -104,7 +104,7 @@ def token_matches(tokens: DataFrame, links: DataFrame) -> DataFrame:
     if len(few) <= TOKENS_IN_PLACE:
         words = F.array(*[F.lit(t) for t in few]) if few else F.array().cast("array<string>")
         contained = F.filter(words, lambda t: F.col("_hay").contains(t))
-        return searched.withColumn("token", F.explode(contained)).drop("_hay").distinct()
+        return searched.withColumn("token", F.explode(contained)).drop("_hay")
     return _trigram_matches(vocabulary, searched)
 
 
@@ -120,7 +120,7 @@ def _trigram_matches(vocabulary: DataFrame, searched: DataFrame) -> DataFrame:
     needed = token_grams.select("_gram").distinct()
     link_grams = _with_trigrams(searched, "_hay").join(F.broadcast(needed), "_gram", "left_semi")
     frequency = link_grams.groupBy("_gram").agg(F.count("*").alias("_n"))
-    rarest = checkpoint(
+    rarest = materialize(
         token_grams.join(F.broadcast(frequency), "_gram", "left")
         .groupBy("token")
         .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_rarest"))
@@ -150,17 +150,13 @@ def top_links_per_domain(requests: DataFrame, links: DataFrame, limit: int = TOP
     rows of its own there (no word of it matches any link of the domain).
     """
     limit = max(1, limit)
-    scored = checkpoint(scored_links(links))
+    scored = materialize(scored_links(links))
     base = _top(scored, ["seed_domain"], limit, "rank")
     words = query_words(requests)
     # Of the links a word matches in a domain only the best can be listed.
     matched = _top(token_matches(words, scored), ["token", "seed_domain"], limit, "_rank")
-    bonus = (
-        match_join(matched.drop("_rank"), words, ["token"])
-        .select(
-            "query_normalized", "seed_domain", "url", "link_no", (F.col("score") + MATCH_BONUS).alias("score")
-        )
-        .distinct()
+    bonus = match_join(matched.drop("_rank"), words, ["token"]).select(
+        "query_normalized", "seed_domain", "url", "link_no", (F.col("score") + MATCH_BONUS).alias("score")
     )
     touched = bonus.select("query_normalized", "seed_domain").distinct()
     unmatched = match_join(touched, base.select("seed_domain", "url", "link_no", "score"), ["seed_domain"])
@@ -187,7 +183,7 @@ def top_links(requests: DataFrame, lists: DataFrame, limit: int = MOST_URLS) ->
     """
     queries = requests.select("query_normalized").distinct()
     place = F.struct("seed_domain", "rank", "score")
-    lists = checkpoint(lists)
+    lists = materialize(lists)
     base = lists.filter(F.col("query_normalized").isNull()).drop("query_normalized")
     own = lists.filter(F.col("query_normalized").isNotNull())
     replaced = own.select("query_normalized", "seed_domain").distinct()

@@ -36,3 +36,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table used several times to the shared folder and read it back.
+
+    Unlike a checkpoint it is columnar, so later steps read only the columns
+    they need and the optimizer knows its size.
+    """
+    path = working_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@
 
 Every step is one DataFrame plan for all requests.  Work that does not depend
 on the request is done once: ranking per distinct query, extraction per
-distinct page.  Tables used by several later steps are checkpointed.
+distinct page.  Tables used by several later steps are materialized.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from offerloom.operators.extract import site_rules, usable_pages
 from offerloom.operators.requests import validate_requests
 from offerloom.operators.results import build_results, job_status, union_cached_fresh
 from offerloom.operators.robots import robots_filter
-from offerloom.plans.checkpoints import checkpoint
+from offerloom.plans.checkpoints import materialize
 from offerloom.plans.joins import lookup_join, match_join
 
 # Fixed value: pages a browser has rendered are used whatever they contain.
@@ -66,7 +66,7 @@ def _from_url_cache(queries: DataFrame, cached_urls: DataFrame, now: Column) ->
 
 def find_candidates(given: SearchInput, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Ranked URLs per request, and the newly discovered ones per query for the URL cache."""
-    gated = checkpoint(caches.url_cache_gate(requests, given.cached_urls, now))
+    gated = materialize(caches.url_cache_gate(requests, given.cached_urls, now))
     from_cache, to_discover = gated.filter("use_cache"), gated.filter("NOT use_cache")
     cached = _from_url_cache(from_cache.select("query_normalized").distinct(), given.cached_urls, now)
     cached_rows = match_join(from_cache, cached, ["query_normalized"]).filter(F.col("rank") <= F.col("max_urls"))
@@ -75,20 +75,20 @@ def find_candidates(given: SearchInput, requests: DataFrame, now: Column) -> tup
     best = discovery.top_links(to_discover, lists)
     wanted = to_discover.select("query_normalized", "max_urls").distinct()
     cut = match_join(best, wanted, ["query_normalized"]).filter(F.col("position") <= F.col("max_urls"))
-    ranked = checkpoint(discovery.rank_candidates(cut, given.allowed, ["query_normalized", "max_urls"]))
+    ranked = materialize(discovery.rank_candidates(cut, given.allowed, ["query_normalized", "max_urls"]))
     fresh_rows = match_join(to_discover, ranked.drop("domain"), ["query_normalized", "max_urls"])
 
     columns = ["job_id", "query_normalized", "radius_option", "include_unknown", "rank", "url"]
     discovered = ranked.groupBy("query_normalized", "url").agg(F.max("score").alias("score"))
-    return checkpoint(cached_rows.select(*columns).unionByName(fresh_rows.select(*columns))), discovered
+    return materialize(cached_rows.select(*columns).unionByName(fresh_rows.select(*columns))), discovered
 
 
 def extract_needed(given: SearchInput, urls: DataFrame, agent: str) -> DataFrame:
     """One row per page that could be read among distinct URLs; without a product its name is null."""
-    permitted = checkpoint(robots_filter(urls, given.robots, agent))
+    permitted = materialize(robots_filter(urls, given.robots, agent))
     pages = lookup_join(given.pages, permitted, ["url"], "left_semi")
     readable = usable_pages(pages).filter(F.col("usable") | (F.col("fetch_method") == BROWSER_METHOD))
-    return checkpoint(site_rules(readable.drop("usable"), given.rules, keep_nameless=True))
+    return materialize(site_rules(readable.drop("usable"), given.rules, keep_nameless=True))
 
 
 def search(given: SearchInput, now: Column, agent: str) -> SearchOutput:
@@ -97,19 +97,19 @@ def search(given: SearchInput, now: Column, agent: str) -> SearchOutput:
     ``pages`` hold one row per URL.  All requests see the result cache as it
     was at the start of the run.
     """
-    requests = checkpoint(validate_requests(given.requests))
+    requests = materialize(validate_requests(given.requests))
     candidates, discovered = find_candidates(given, requests, now)
 
     hits = caches.cache_hits(candidates, given.cached_results, now)
-    misses = checkpoint(caches.cache_misses(candidates, given.cached_results, now))
+    misses = materialize(caches.cache_misses(candidates, given.cached_results, now))
     extracted = extract_needed(given, misses.select("url").distinct(), agent)
     products = extracted.filter(F.col("product_name").isNotNull())
-    fresh = checkpoint(build_results(lookup_join(misses, products, ["url"], "inner"), given.gazetteer))
+    fresh = materialize(build_results(lookup_join(misses, products, ["url"], "inner"), given.gazetteer))
 
     accepted = hits.filter("accepted").drop("accepted", "cache_key", "url").withColumn("extractor", F.lit("cache"))
-    merged = checkpoint(with_offer_keys(union_cached_fresh(accepted, fresh)))
+    merged = materialize(with_offer_keys(union_cached_fresh(accepted, fresh)))
     kept = dedupe_results(merged, ["ord"])
-    results = checkpoint(
+    results = materialize(
         kept.withColumn("id", F.sha1(F.concat_ws("|", "job_id", "source_url"))).drop(
             "price_key", "url_key", "is_fetched", "radius_option", "include_unknown", "location_text"
         )
