@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.text import let, map_literal, strip
 
-# Tag content with quoted attribute values, which may hold ">".
+# Tag content with quoted attribute values, which may hold ">".  All repeated
+# groups are possessive: those run as loops, others recurse and could exhaust
+# the stack on a tag with very many attributes.
 ATTRS = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
 _TAG = rf"""<[!/?a-zA-Z](?:{ATTRS}>|[^>]*+>)"""
-_BEFORE_ATTRIBUTE = r"""(?:[^"'>]*?(?:"[^"]*"|'[^']*'))*?[^"'>]*?[\s"'/]"""
 _HIDDEN = (
     r"(?is)<!--.*?(?:-->|\z)"
     rf"|<(script|style|template|rt|rp)\b{ATTRS}>.*?(?:</\1\s*>|\z)"
@@ -75,21 +76,30 @@ def page_text(visible: Column) -> Column:
     return F.left(inner_text(visible, " "), F.lit(5000))
 
 
+def _up_to_value(name: str) -> str:
+    """Pattern from inside an opening tag to the value of its first attribute of a name."""
+    here = rf"(?i:{name})\s*="
+    return (
+        rf"""(?:[^"'>\s/]++|[\s/](?!{here})|"[^"]*+"(?!{here})|'[^']*+'(?!{here}))*+"""
+        rf"""(?:[\s/]|"[^"]*+"|'[^']*+'){here}\s*+"""
+    )
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of an opening tag; empty if the tag does not have it."""
-    pattern = rf"""(?is)\A<[a-z]{_BEFORE_ATTRIBUTE}{name}\s*=\s*(["']?)(.*?)\1(?=[\s/>]|\z)"""
+    pattern = rf"""(?s)\A<{_up_to_value(name)}(["']?)(.*?)\1(?=[\s/>]|\z)"""
     return plain(F.regexp_extract(tag, pattern, 2))
 
 
 def tag_where(name: str, attribute_name: str, value: str) -> str:
     """Pattern of the opening tag of an element with an attribute value that fits."""
     return (
-        rf"(?i:<{name}){_BEFORE_ATTRIBUTE}(?i:{attribute_name})\s*=\s*"
+        rf"""<(?i:{name})(?=[\s/]){_up_to_value(attribute_name)}"""
         rf"""(?:"{value}"|'{value}'|{value}(?=[\s>])){ATTRS}>"""
     )
 
 
-ANY_ELEMENT = r"[a-z]"
+ANY_ELEMENT = r"[a-z][^\s/>]*+"
 
 
 def first_tag(source: Column, pattern: str) -> Column:

@@ -21,7 +21,7 @@ def geocode_join(df: DataFrame, gazetteer: DataFrame, location: str = "location_
     places = gazetteer.select(
         F.col("raw_location").alias("_key"), "city", "address", "lat", "lon", "country"
     )
-    return lookup_join(keyed, places, ["_key"], "left").drop("_key")
+    return lookup_join(keyed, places, ["_key"], "left", costly=True).drop("_key")
 
 
 def geocode_misses(df: DataFrame, gazetteer: DataFrame, location: str = "location_text") -> DataFrame:

@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.plans.checkpoints import materialize
+
 BROADCAST_ROWS = 200_000
 HOT_KEYS = 200
 
@@ -38,14 +40,25 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys)
 
 
-def lookup_join(large: DataFrame, keyed: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def unique_join(left: DataFrame, keyed: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join of two tables that are both unique per key, so no key can be hot."""
+    return left.join(F.broadcast(keyed) if is_small(keyed) else keyed, keys, how)
+
+
+def lookup_join(
+    large: DataFrame, keyed: DataFrame, keys: list[str], how: str = "left", costly: bool = False
+) -> DataFrame:
     """Join ``large`` with ``keyed`` (unique per key combination) on ``keys``.
 
-    ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.
+    ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.  Beyond a
+    broadcast ``large`` is read three times; if computing it is ``costly`` it
+    is written out first.
     """
     if is_small(keyed):
         return large.join(F.broadcast(keyed), keys, how)
 
+    if costly:
+        large = materialize(large)
     present = large.filter(_all_not_null(keys))
     hot = hot_keys(present, keys)
     hot_rows = present.join(F.broadcast(hot), keys, "left_semi").join(

@@ -22,7 +22,7 @@ from offerloom.operators.requests import validate_requests
 from offerloom.operators.results import build_results, job_status, union_cached_fresh
 from offerloom.operators.robots import robots_filter
 from offerloom.plans.checkpoints import materialize
-from offerloom.plans.joins import lookup_join, match_join
+from offerloom.plans.joins import lookup_join, match_join, unique_join
 
 # Fixed value: pages a browser has rendered are used whatever they contain.
 BROWSER_METHOD = "playwright-reused"
@@ -84,9 +84,13 @@ def find_candidates(given: SearchInput, requests: DataFrame, now: Column) -> tup
 
 
 def extract_needed(given: SearchInput, urls: DataFrame, agent: str) -> DataFrame:
-    """One row per page that could be read among distinct URLs; without a product its name is null."""
+    """One row per page that could be read among distinct URLs; without a product its name is null.
+
+    Pages are unique per URL.  Where the URLs are too many to broadcast, the
+    engine's runtime Bloom filter drops most pages before the shuffle.
+    """
     permitted = materialize(robots_filter(urls, given.robots, agent))
-    pages = lookup_join(given.pages, permitted, ["url"], "left_semi")
+    pages = unique_join(given.pages, permitted, ["url"], "left_semi")
     readable = usable_pages(pages).filter(F.col("usable") | (F.col("fetch_method") == BROWSER_METHOD))
     return materialize(site_rules(readable.drop("usable"), given.rules, keep_nameless=True))
 

@@ -120,6 +120,39 @@ def test_page_text_keeps_inner_spaces(spark):
     assert text == "a  b\n c x z q"
 
 
+def test_odd_attributes(spark):
+    rows = products(
+        spark,
+        [
+            # Text like an attribute inside a value is none; the first of two counts.
+            """<meta data-x=' property="og:title" content="no" ' property="og:title" content="A" content="B">""",
+            """<META PROPERTY=og:title CONTENT=C><meta name="og:title" content="no">""",
+            """<meta x="1"property="og:title"content='D "d"'/>""",
+            """<meta property="og:titles" content="no"><metadata property="og:title" content="no"><h1 class='>'>E</h1>""",
+            """<my-item itemtype="x:Product"><h1>F</h1></my-item>""",
+        ],
+    )
+    assert [r.product_name for r in rows] == ["A", "C", 'D "d"', "E", "F"]
+    assert rows[4].extractor == "microdata"
+
+
+def test_very_long_tags_and_pages(spark):
+    many = " ".join(f'a{i}="x>{i}"' for i in range(100_000))
+    deep = "<div>" * 50_000
+    rows = products(
+        spark,
+        [
+            f'<meta {many} property="og:title" content="A">',
+            f'<h1 {many}>B</h1><p {many}>5 lei</p>',
+            f'<div itemtype="Product"><span itemprop="name" {many}>C</span>{deep}</div>',
+            f'<script {many} type="application/ld+json">{{"@type":"Product","name":"D"}}</script>',
+            "<p title='" + "<b>" * 100_000 + "<h1>E</h1>",
+        ],
+    )
+    assert [r and r.product_name for r in rows[:4]] == ["A", "B", "C", "D"]
+    assert rows[1].price_token == "5"
+
+
 def test_empty_name_in_opengraph(spark):
     rows = products(spark, ['<meta property="og:title">', '<meta property="og:title" content="">'])
     assert [r.product_name for r in rows] == ["Unknown product"] * 2

@@ -159,7 +159,9 @@ SELECT 's' || CAST(s_suppkey AS STRING) || '.ro' AS host,
   CAST(r AS INT) AS rule_no, (s_suppkey + r) % 3 = 0 AS allow,
   CASE (s_suppkey * 7 + r * 3) % 8 WHEN 0 THEN '/produs' WHEN 1 THEN '/blog/' WHEN 2 THEN '/shop/ring-1' WHEN 3 THEN '/'
     WHEN 4 THEN '*' WHEN 5 THEN '' WHEN 6 THEN '/lista?sort' ELSE '/shop' END AS path
-FROM supplier CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS k(r)
+FROM (SELECT s_suppkey, 1 AS r FROM supplier UNION ALL SELECT s_suppkey, 2 FROM supplier
+  UNION ALL SELECT s_suppkey, 3 FROM supplier UNION ALL SELECT s_suppkey, 4 FROM supplier
+  UNION ALL SELECT s_suppkey, 5 FROM supplier) AS k
 WHERE s_suppkey % 4 <> 3 AND (s_suppkey % 2 = 0 OR r NOT IN (1, 5))
 """
 
@@ -215,9 +217,10 @@ SELECT 's' || CAST(s_suppkey AS STRING) || '.ro' AS domain FROM supplier WHERE s
 """
 
 FIXTURES["fx_allowed_urls"] = """
-SELECT DISTINCT p || CAST(s_suppkey AS STRING) || t AS domain FROM supplier
-CROSS JOIN (VALUES ('magazin', '.ro'), ('flori', '.com.ro'), ('c', '.net'), ('z', '.co.uk')) AS k(p, t)
-WHERE s_suppkey % 2 = 0
+SELECT 'magazin' || CAST(s_suppkey AS STRING) || '.ro' AS domain FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT 'flori' || CAST(s_suppkey AS STRING) || '.com.ro' AS domain FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT 'c' || CAST(s_suppkey AS STRING) || '.net' AS domain FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT 'z' || CAST(s_suppkey AS STRING) || '.co.uk' AS domain FROM supplier WHERE s_suppkey % 2 = 0
 """
 
 FIXTURES["fx_page_domains"] = """
