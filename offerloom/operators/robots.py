@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.text import let
 from offerloom.functions.urls import add_domain
+from offerloom.plans.checkpoints import materialize
 from offerloom.plans.joins import lookup_join
 
 # Hosts with more rules than this are matched by joining path prefixes.
@@ -55,7 +56,7 @@ def robots_filter(df: DataFrame, rules: DataFrame, agent: str, url: str = "url")
     rows; the few with more are looked up by the prefixes of the path instead,
     so no row grows with the rules of one host.
     """
-    applicable = rules_for_agent(rules, agent)
+    applicable = materialize(rules_for_agent(rules, agent))
     sizes = applicable.groupBy("host").agg(F.count("*").alias("_n"))
     large = sizes.filter(F.col("_n") > RULES_PER_ROW).select("host")
     listed = (

@@ -10,6 +10,7 @@ distinct page.  Tables used by several later steps are materialized.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +42,9 @@ class SearchInput:
     robots: DataFrame
     cached_urls: DataFrame
     cached_results: DataFrame
+    # Replaces the extraction by rules and markup: pages(url, html, fetch_method) to
+    # products with the same columns, a null name where a page has none.
+    extract: Callable[[DataFrame], DataFrame] | None = None
 
 
 @dataclass
@@ -92,7 +96,10 @@ def extract_needed(given: SearchInput, urls: DataFrame, agent: str) -> DataFrame
     permitted = materialize(robots_filter(urls, given.robots, agent))
     pages = unique_join(given.pages, permitted, ["url"], "left_semi")
     readable = usable_pages(pages).filter(F.col("usable") | (F.col("fetch_method") == BROWSER_METHOD))
-    return materialize(site_rules(readable.drop("usable"), given.rules, keep_nameless=True))
+    readable = readable.drop("usable")
+    if given.extract is not None:
+        return materialize(given.extract(readable))
+    return materialize(site_rules(readable, given.rules, keep_nameless=True))
 
 
 def search(given: SearchInput, now: Column, agent: str) -> SearchOutput:

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites of every Column operation are recorded otherwise, which doubles planning time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

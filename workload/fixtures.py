@@ -340,5 +340,7 @@ def stream_of(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     (source,) = [name for name in BASE_TABLES if re.search(rf"\b{name}\b", text)]
     schema = spark.read.parquet(f"{sf_dir}/{source}.parquet").schema
     stream = stream_table(spark, sf_dir, schema, pattern=f"{source}.parquet")
+    # The one small file would be one task; a real feed has many files per batch.
+    stream = stream.repartition(spark.sparkContext.defaultParallelism)
     stream.createOrReplaceTempView(source)
     return spark.sql(text)
