@@ -14,6 +14,7 @@ from offerloom.operators import caches, discovery, extract, location, requests,
 from offerloom.operators.dedupe import dedupe_results
 from offerloom.operators.ratelimit import rate_limit
 from offerloom.plans.checkpoints import working_folder
+from offerloom.plans.search import SearchInput, search
 from offerloom.streaming import jobs as streams
 from workload.fixtures import derive, stream_of, table
 
@@ -357,6 +358,27 @@ def display_rows(spark, sf):
     return results.display_rows(results.api_rows(table(spark, sf, "fx_results")))
 
 
+@query
+def search_requests(spark, sf):
+    """All valid requests from ranking to stored offers."""
+    given = SearchInput(
+        requests=table(spark, sf, "fx_requests"),
+        allowed=table(spark, sf, "fx_allowed"),
+        links=table(spark, sf, "fx_links"),
+        pages=table(spark, sf, "fx_link_pages"),
+        gazetteer=table(spark, sf, "fx_gazetteer"),
+        rules=table(spark, sf, "fx_site_rules"),
+        robots=table(spark, sf, "fx_robots"),
+        cached_urls=table(spark, sf, "fx_cached_urls"),
+        cached_results=table(spark, sf, "fx_search_cache"),
+    )
+    offers = search(given, now(), ROBOT).results
+    return _double_price(offers).select(
+        "job_id", "rank", "source_url", "product_name", "domain", "price", "price_token", "size_text", "location_city",
+        "distance_km", "extraction_method", "extractor",
+    )
+
+
 # Time-driven and incremental
 
 

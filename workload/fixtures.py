@@ -294,6 +294,25 @@ SELECT l_orderkey AS batch, l_linenumber AS seq, l_suppkey,
 FROM lineitem
 """
 
+FIXTURES["fx_link_pages"] = """
+SELECT url, CASE WHEN n % 17 = 0 THEN '<h1>scurt</h1>' ELSE '<html><head><title>t</title></head><body><h1>Oferta '
+    || CAST(n % 400 AS STRING) || '</h1><p>Pret ' || CAST(n % 90 AS STRING) || ',50 lei, livrare '
+    || CASE n % 4 WHEN 0 THEN 'Bucuresti' WHEN 1 THEN 'Cluj' WHEN 2 THEN 'Brasov' ELSE 'Roma' END
+    || '</p>' || repeat('<p>text</p>', 60) || '</body></html>' END AS html, 'httpx' AS fetch_method
+FROM (SELECT url, min(pos) AS n FROM fx_links GROUP BY url) AS u
+"""
+
+FIXTURES["fx_search_cache"] = """
+SELECT sha1(query_normalized || '|' || url) AS cache_key, query_normalized, substr(url, 9, 3) AS domain, url AS source_url,
+  'Cache ' || CAST(n % 30 AS STRING) AS product_name, CAST(CAST(n % 70 AS DECIMAL(12,2)) / 2 AS DECIMAL(12,2)) AS price,
+  'RON' AS currency, CAST(NULL AS STRING) AS size_text, 'Cluj' AS location_city, 'Cluj, Romania' AS location_address,
+  CAST(46.7712 AS DOUBLE) AS location_lat, CAST(23.6236 AS DOUBLE) AS location_lon,
+  TIMESTAMP '2024-01-01 00:00:00' AS created_at,
+  CASE WHEN n % 3 = 0 THEN TIMESTAMP '2024-01-01 12:00:00' ELSE TIMESTAMP '2024-01-02 12:00:00' END AS expires_at
+FROM (SELECT query_normalized, url, sum(CAST(score * 2 AS BIGINT)) + length(url) AS n FROM fx_cached_urls
+  GROUP BY query_normalized, url) AS u
+"""
+
 
 def _uses(sql: str) -> list[str]:
     return [name for name in FIXTURES if re.search(rf"\b{name}\b", sql)]

@@ -477,6 +477,58 @@ WITH {API} SELECT productName AS "Produs", website AS "Site", coalesce({number_t
   sourceUrl AS "URL" FROM api
 """)
 
+SEARCH = f"""
+WITH {RANKED},
+gate AS (SELECT v.*, coalesce(n, 0) > 0 AND coalesce(n, 0) >= least(10, max_urls) AS use_cache FROM valid AS v LEFT JOIN
+    (SELECT query_normalized, count(*) AS n FROM fx_cached_urls WHERE expires_at >= {NOW} GROUP BY ALL) AS c
+    ON c.query_normalized = v.query_normalized),
+cached_list AS (SELECT query_normalized, url, row_number() OVER (PARTITION BY query_normalized
+    ORDER BY score DESC, created_at, url) AS rank FROM fx_cached_urls WHERE expires_at >= {NOW}),
+wanted AS (SELECT DISTINCT query_normalized, max_urls FROM gate WHERE NOT use_cache),
+cut AS (SELECT w.query_normalized, w.max_urls, b.url, b.position, regexp_extract(b.url, '//(?:www[.])?([^/]*)', 1) AS dom
+    FROM best AS b JOIN wanted AS w ON b.query_normalized = w.query_normalized AND b.position <= w.max_urls),
+kept AS (SELECT *, {score('url', 'dom')} AS score FROM cut WHERE dom IN (SELECT domain FROM fx_allowed)),
+ranked AS (SELECT query_normalized, max_urls, url, row_number() OVER (PARTITION BY query_normalized, max_urls
+    ORDER BY score DESC, position) AS rank FROM kept WHERE score >= 1.0),
+candidates AS (
+  SELECT g.*, c.url, c.rank FROM gate AS g JOIN cached_list AS c USING (query_normalized) WHERE use_cache AND c.rank <= max_urls
+  UNION ALL SELECT g.*, r.url, r.rank FROM gate AS g JOIN ranked AS r USING (query_normalized, max_urls) WHERE NOT use_cache),
+live AS (SELECT * FROM fx_search_cache WHERE expires_at >= {NOW}),
+hits AS (SELECT c.job_id, c.rank, c.url, c.radius_option, c.include_unknown, l.product_name, l.domain,
+    CAST(l.price AS DOUBLE) AS price, CAST(l.price AS VARCHAR) AS price_token, l.size_text, l.location_city,
+    {distance('l.location_lat', 'l.location_lon')} AS distance_km, 'cache' AS extraction_method, 'cache' AS extractor, 0 AS fetched
+  FROM candidates AS c JOIN live AS l ON l.query_normalized = c.query_normalized AND l.source_url = c.url),
+misses AS (SELECT c.* FROM candidates AS c WHERE NOT EXISTS (
+    SELECT 1 FROM live AS l WHERE l.query_normalized = c.query_normalized AND l.source_url = c.url)),
+section AS (SELECT host, arg_min(agent, CASE WHEN agent = '*' THEN 1000000 ELSE 0 END + rule_no) AS agent
+    FROM fx_robots WHERE agent IN ('*', 'OfferBot') GROUP BY host),
+rules AS (SELECT r.host, r.rule_no, r.path, r.path = '' OR r.allow AS allow
+    FROM fx_robots AS r JOIN section AS s ON r.host = s.host AND r.agent = s.agent),
+verdicts AS (SELECT url, arg_min(allow, rule_no) AS allow FROM (SELECT DISTINCT url FROM misses) AS t JOIN rules AS r
+    ON regexp_extract(url, '^https://([^/?#]*)', 1) = r.host
+    AND starts_with(regexp_extract(url, '^https://[^/?#]*(.*)$', 1), r.path) GROUP BY url),
+read AS (SELECT p.url, {text_of(VISIBLE)} AS blob FROM fx_link_pages AS p
+    WHERE length(html) >= 400 AND url NOT IN (SELECT url FROM verdicts WHERE NOT allow)),
+found AS (SELECT url, regexp_extract(blob, 'Oferta [0-9]+') AS product_name, regexp_extract(blob, '[0-9]+,50 lei') AS price_raw,
+    {size('blob')} AS size_text, nullif(regexp_extract(blob, 'Bucuresti|Cluj|Brasov'), '') AS place FROM read),
+{price_steps('found', 'price_raw')},
+located AS (SELECT m.job_id, m.rank, m.url, m.radius_option, m.include_unknown, p.product_name,
+    regexp_extract(m.url, '//(?:www[.])?([^/]*)', 1) AS domain, p.price, p.price_token, p.size_text, p.place AS location_city,
+    {distance('g.lat', 'g.lon')} AS distance_km, 'httpx' AS extraction_method, 'heuristic' AS extractor, 1 AS fetched
+  FROM misses AS m JOIN priced AS p ON p.url = m.url LEFT JOIN fx_gazetteer AS g ON g.raw_location = p.place),
+offers AS (SELECT *, (rank - 1) // 25 * 50 + fetched * 25 + (rank - 1) % 25 AS ord,
+    lower(product_name) || '|' || domain || '|' || CASE WHEN price = 0 THEN '' ELSE price_token END AS k
+  FROM (SELECT * FROM hits UNION ALL SELECT * FROM located) AS merged
+  WHERE {inside('radius_option', 'include_unknown', 'distance_km', 'location_city')}),
+lists AS (SELECT job_id, list({{'ord': ord, 'k': k, 'u': url}} ORDER BY ord) AS rows FROM offers GROUP BY job_id),
+first_ones AS (SELECT job_id, unnest(list_reduce(list_transform(rows, lambda r: [r]), lambda a, x:
+    CASE WHEN list_contains(list_transform(a, lambda y: y.k), x[1].k) OR list_contains(list_transform(a, lambda y: y.u), x[1].u)
+    THEN a ELSE list_concat(a, x) END)) AS r FROM lists)
+SELECT o.job_id, o.rank, o.url AS source_url, product_name, domain, price, price_token, size_text, location_city, distance_km,
+  extraction_method, extractor FROM offers AS o JOIN first_ones AS f ON f.job_id = o.job_id AND f.r.ord = o.ord
+"""
+oracle("search_requests", SEARCH)
+
 # Time-driven and incremental
 
 RATE = """
