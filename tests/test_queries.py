@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from workload.catalog import QUERIES
 from workload.fixtures import BASE_TABLES, table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,7 +27,7 @@ def canonical(rows, names):
     return sorted((tuple(row[i] for i in order) for row in rows), key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", entry_points.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_its_definition(spark, db, name):
     df = entry_points.queries()[name](spark, FOLDER)
     result = db.execute(entry_points.oracle_sql()[name])
