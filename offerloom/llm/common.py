@@ -77,6 +77,14 @@ def numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     return joined.withColumn(name, F.col("_start") + F.col("_i")).drop("_m", "_p", "_i", "_start")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that is not taken, whatever the letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """The texts of a batch as UTF-8; null is empty."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):

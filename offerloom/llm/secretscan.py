@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.llm.common import free_name
+
 KINDS = ["assign", "access", "hex", "random"]
 # The base patterns, and the least length of group 2 or of the match.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -224,9 +226,10 @@ def redacted(text: Column, spans: Column, mark: str) -> Column:
 def redact(docs: DataFrame, text_col: str, mark: str = "[SECRET]", false_share: float = FALSE_SHARE) -> DataFrame:
     """All documents, with the secrets in their texts replaced; texts without any stay as they are."""
     least = discovery_bins(docs, text_col, false_share)
-    text = F.col("doc")[text_col]
-    rows = docs.select(F.struct(*docs.columns).alias("doc"))
-    rows = with_spans(rows, F.coalesce(text, F.lit("")), least, "spans")
-    changed = F.when(F.size("spans") > 0, redacted(text, F.col("spans"), mark)).otherwise(text)
-    columns = [changed.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns]
+    whole, spans = free_name(docs.columns, "doc"), free_name(docs.columns, "spans")
+    text = F.col(whole)[text_col]
+    rows = docs.select(F.struct(*docs.columns).alias(whole))
+    rows = with_spans(rows, F.coalesce(text, F.lit("")), least, spans)
+    changed = F.when(F.size(spans) > 0, redacted(text, F.col(spans), mark)).otherwise(text)
+    columns = [changed.alias(c) if c == text_col else F.col(whole)[c].alias(c) for c in docs.columns]
     return rows.select(*columns)
