@@ -11,7 +11,7 @@ random it looks as a string over that alphabet:
 * serial correlation: how little a symbol tells about the next one.
 
 The p-value of each test is the probability that an ordinary token of this length and
-encoding (uneven symbols, half the changes of class, a correlation of one half) looks
+encoding (uneven symbols, half the changes of class, a correlation of 0.6) looks
 at least as random; a candidate has the largest of the three, so that it has to
 pass all.  Short tokens cannot reach small p-values.  Among the candidates of an
 encoding and a class of length (doubling every two classes) Benjamini-Hochberg keeps
@@ -42,8 +42,8 @@ TOKEN = (
     r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{%d,}" % TOKEN_LENGTH
 )
 FALSE_SHARE = 0.01
-UNEVENNESS = 1.5
-CORRELATION = 0.5
+UNEVENNESS = 2.0
+CORRELATION = 0.6
 BINS_PER_E = 8
 BINS = 400
 # Encoding: pattern, symbols, and the chance that neighbours are of different classes.
