@@ -31,7 +31,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from offerloom.llm.common import prepare, slices, texts_of
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 # Fixed value: the pattern that splits texts before the merges (public_tokenizers.PATTERN),
 # with white space as the Unicode property.
 WORDS = regex.compile(

@@ -15,7 +15,7 @@ from offerloom.plans.checkpoints import working_folder
 # Python workers see at most this much at a time, whatever the length of a text.
 ARROW = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
