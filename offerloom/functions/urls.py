@@ -18,6 +18,9 @@ DEFAULT_SUFFIXES = (
     "uk", "co.uk", "org.uk", "md", "com.md",
 )
 
+# What a table of suffix rules may hold at most, as it becomes constants of the plan.
+MOST_SUFFIXES = 50_000
+
 # The words and weights that make up the relevance score.
 PREFERRED_WORDS = [
     "gradina", "garden", "flori", "horti", "plante", "construct", "diy",
@@ -35,19 +38,39 @@ def host_of(url: Column) -> Column:
     return F.replace(tidy, F.lit("www."), F.lit(""))
 
 
+def suffix_list(rules: DataFrame, column: str = "suffix") -> list[str]:
+    """The rules of a public-suffix table as constants: ``com.ro``, ``*.ck``, ``!www.ck``.
+
+    The public list has some 10,000 rules; more than ``MOST_SUFFIXES`` are refused.
+    """
+    found = [r[0] for r in rules.select(F.lower(F.trim(column))).distinct().limit(MOST_SUFFIXES + 1).collect() if r[0]]
+    if len(found) > MOST_SUFFIXES:
+        raise ValueError(f"more than {MOST_SUFFIXES} suffix rules")
+    return sorted(found)
+
+
 def _registered(name: Column, suffixes: Sequence[str]) -> Column:
-    """Last label in front of the longest fitting suffix, with the suffix; null if none fits."""
-    by_labels: dict[int, list[str]] = {}
+    """Last label in front of the public suffix, with the suffix; null if no rule fits.
+
+    An exception decides first, then the rule with most labels; a star stands for one label.
+    """
+    rules: dict[tuple[bool, bool], dict[int, list[str]]] = {}
     for suffix in suffixes:
-        by_labels.setdefault(suffix.count(".") + 1, []).append(suffix)
-    choices = []
-    for labels in sorted(by_labels, reverse=True):
+        kind = (suffix.startswith("!"), suffix.startswith("*."))
+        rules.setdefault(kind, {}).setdefault(suffix.count(".") + 1, []).append(suffix.removeprefix("!").removeprefix("*."))
+    excepted, plain, starred = (rules.get(k, {}) for k in ((True, False), (False, False), (False, True)))
+    choices = [F.when(F.substring_index(name, ".", -n).isin(excepted[n]), F.substring_index(name, ".", -n)) for n in sorted(excepted, reverse=True)]
+    for labels in sorted({*plain, *starred}, reverse=True):
         tail = F.substring_index(name, ".", -labels)
         domain = F.when(name == tail, F.concat(F.lit("."), name)).otherwise(
             F.substring_index(name, ".", -(labels + 1))
         )
-        choices.append(F.when(tail.isin(by_labels[labels]), domain))
-    return F.coalesce(*choices)
+        fits = tail.isin(plain.get(labels, []))
+        if labels in starred:
+            rest = F.substring_index(name, ".", -(labels - 1))
+            fits = fits | (rest.isin(starred[labels]) & (rest != name))
+        choices.append(F.when(fits, domain))
+    return F.coalesce(*choices) if choices else F.lit(None).cast("string")
 
 
 def add_domain(
@@ -59,8 +82,9 @@ def add_domain(
     """The table with the registered domain of its URL column.
 
     That is the domain with the longest public suffix, or the host if no suffix
-    fits.  The suffixes are compared as constants per label count, so this is a
-    projection: no join and no shuffle on hosts, whatever their frequency.
+    fits; ``suffix_list`` reads the rules of a table.  The suffixes are compared as
+    constants per label count, so this is a projection: no join and no shuffle on
+    hosts, whatever their frequency.
     """
     host = F.col("_host")
     bare = F.when(host.rlike("[@:]"), F.regexp_replace(host, r"\A.*@|:\d*\z", "")).otherwise(host)

@@ -9,6 +9,8 @@ only for the domains in which one of its words matches.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,9 @@ TOKENS_IN_PLACE = 200
 _ANCHOR = rf"(?is)<a\b{H.ATTRS}>.*?(?=</a\s*>|<a\b|\z)"
 
 
-def extract_links(pages: DataFrame, allowed: DataFrame, base: str = "url") -> DataFrame:
+def extract_links(
+    pages: DataFrame, allowed: DataFrame, base: str = "url", suffixes: Sequence[str] = U.DEFAULT_SUFFIXES
+) -> DataFrame:
     """Links of pages(base, html) to allowed domains, with anchor text and position."""
     anchors = F.regexp_extract_all(H.visible_source(F.col("html")), F.lit(_ANCHOR), F.lit(0))
     keep = [c for c in pages.columns if c != "html"]
@@ -43,7 +47,7 @@ def extract_links(pages: DataFrame, allowed: DataFrame, base: str = "url") -> Da
         link_url=U.resolve_url(F.col(base), href),
         text=H.inner_text(F.col("_anchor"), " "),
     ).filter(F.col("link_url").isNotNull())
-    with_domain = U.add_domain(links, "link_url", "link_domain").drop("_anchor")
+    with_domain = U.add_domain(links, "link_url", "link_domain", suffixes).drop("_anchor")
     return allowed_semi(with_domain, allowed, domain="link_domain").select(
         *keep, "pos", "link_url", "link_domain", "text"
     )
@@ -64,7 +68,7 @@ def seed_links(seeds: DataFrame, links: DataFrame) -> DataFrame:
     return links.select("seed_domain", "pos", "url", "text").unionByName(stand_in)
 
 
-def scored_links(links: DataFrame) -> DataFrame:
+def scored_links(links: DataFrame, suffixes: Sequence[str] = U.DEFAULT_SUFFIXES) -> DataFrame:
     """First links, one row per seed and URL (the first counts), with their score."""
     once = (
         first_links(links)
@@ -72,7 +76,7 @@ def scored_links(links: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("link_no", "text")).alias("_first"))
         .select("seed_domain", "url", "_first.link_no", "_first.text")
     )
-    return U.add_score(U.add_domain(once, "url", "_domain"), "url", "_domain", ["text"]).drop("_domain")
+    return U.add_score(U.add_domain(once, "url", "_domain", suffixes), "url", "_domain", ["text"]).drop("_domain")
 
 
 def query_words(requests: DataFrame) -> DataFrame:
@@ -143,14 +147,19 @@ def _top(df: DataFrame, keys: list[str], limit: int, out: str) -> DataFrame:
     return df.withColumn(out, F.row_number().over(order)).filter(F.col(out) <= limit)
 
 
-def top_links_per_domain(requests: DataFrame, links: DataFrame, limit: int = TOP_PER_DOMAIN) -> DataFrame:
+def top_links_per_domain(
+    requests: DataFrame,
+    links: DataFrame,
+    limit: int = TOP_PER_DOMAIN,
+    suffixes: Sequence[str] = U.DEFAULT_SUFFIXES,
+) -> DataFrame:
     """Best links per query and seed domain; a matching word adds a bonus once.
 
     Rows with a null query are the list of a domain for every query that has no
     rows of its own there (no word of it matches any link of the domain).
     """
     limit = max(1, limit)
-    scored = materialize(scored_links(links))
+    scored = materialize(scored_links(links, suffixes))
     base = _top(scored, ["seed_domain"], limit, "rank")
     words = query_words(requests)
     # Of the links a word matches in a domain only the best can be listed.
@@ -240,10 +249,14 @@ def top_links(requests: DataFrame, lists: DataFrame, limit: int = MOST_URLS) ->
 
 
 def rank_candidates(
-    links: DataFrame, allowed: DataFrame, keys: list[str], limit: int = MOST_URLS
+    links: DataFrame,
+    allowed: DataFrame,
+    keys: list[str],
+    limit: int = MOST_URLS,
+    suffixes: Sequence[str] = U.DEFAULT_SUFFIXES,
 ) -> DataFrame:
     """Final ranking of links(keys, url, position): allowed, relevant, by the score of the URL alone."""
-    scored = U.add_score(U.add_domain(links.select(*keys, "url", "position")))
+    scored = U.add_score(U.add_domain(links.select(*keys, "url", "position"), suffixes=suffixes))
     kept = allowed_semi(scored, allowed, domain="domain").filter(F.col("score") >= U.RELEVANCE_THRESHOLD)
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "position")
     return (

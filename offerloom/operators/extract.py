@@ -99,8 +99,10 @@ def jsonld_item(html: Column) -> Column:
 
     def items(block: Column) -> Column:
         body = F.regexp_replace(block, rf"(?is)\A<script\b{H.ATTRS}>|</script\s*>\z", "")
+        # Inside brackets, so that text behind the value is an error as it is in a strict parser.
+        wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", "array<variant>")
         return T.let(
-            F.try_parse_json(body),
+            F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0))),
             lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)),
         )
 
@@ -130,8 +132,14 @@ def _jsonld_raw(item: Column) -> Column:
     )
 
 
+def _last_of_repeated_keys(pages: DataFrame) -> None:
+    """Of a repeated key in JSON the last value counts, instead of failing the block."""
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def extract_jsonld(pages: DataFrame) -> DataFrame:
     """Products of pages(url, html) with a JSON-LD Product."""
+    _last_of_repeated_keys(pages)
     found = T.compute_once(pages, _item=jsonld_item(F.col("html"))).filter(F.col("_item").isNotNull())
     return _finish(found, _jsonld_raw(F.col("_item")), F.lit("jsonld"), _kept(pages))
 
@@ -248,6 +256,7 @@ def _cascade(
     pages: DataFrame, keep: list[str], rule: Column | None = None, keep_nameless: bool = False
 ) -> DataFrame:
     """Products by the first kind of markup found; ``rule`` (a struct) overrides it."""
+    _last_of_repeated_keys(pages)
     item, node, title, visible = F.col("_item"), F.col("_node"), F.col("_title"), F.col("_visible")
     free = F.lit(True) if rule is None else rule.isNull()
     marked = T.compute_once(pages, _item=F.when(free, jsonld_item(F.col("html"))))

@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,11 +24,15 @@ from offerloom.plans.checkpoints import checkpoint
 # The limit the service applies per client.
 DEFAULT_LIMIT = 10
 DEFAULT_WINDOW_SECONDS = 60
+# Fixed value: the name under which clients without one are counted.
+UNKNOWN_KEY = "unknown"
 
 
 def _admit(times: np.ndarray, recent: deque, limit: int, window: int) -> np.ndarray:
     """Admission of one key's events in time order; ``recent`` is carried along."""
     admitted = np.zeros(len(times), dtype=bool)
+    if limit <= 0:
+        return admitted
     i = 0
     while i < len(times):
         while recent and recent[0] < times[i] - window:
@@ -56,7 +60,8 @@ class _Reader:
         self.limit, self.window = limit, window
         self.recent: deque = deque(entry)
         self.first_key = self.key = None
-        self.first_time = self.part = None
+        self.first_time = self.part = self.last_time = None
+        self.gap = False
 
     def read(self, batch: pd.DataFrame) -> np.ndarray:
         keys, times = batch["_key"].to_numpy(), batch["_t"].to_numpy()
@@ -67,7 +72,11 @@ class _Reader:
                 self.part = int(batch["_part"].iloc[0])
             elif keys[start] != self.key:
                 self.recent = deque()
-            self.key = keys[start]
+            if keys[start] == self.key and times[start] - self.last_time > self.window:
+                self.gap = True
+            if (np.diff(times[start:end]) > self.window).any():
+                self.gap = True
+            self.key, self.last_time = keys[start], int(times[end - 1])
             admitted[start:end] = _admit(times[start:end], self.recent, self.limit, self.window)
         return admitted
 
@@ -89,6 +98,7 @@ def _summarize(limit: int, window: int, entries: dict[int, list[int]]):
                     "last_key": [reader.key],
                     "first_time": [reader.first_time],
                     "recent": [list(reader.recent)],
+                    "gap": [reader.gap],
                 }
             )
 
@@ -108,7 +118,7 @@ def _decide(limit: int, window: int, entries: dict[int, list[int]]):
 
 def _entry_states(ordered: DataFrame, limit: int, window: int) -> dict[int, list[int]]:
     """State each partition starts with; only partitions that start non-empty are listed."""
-    schema = "part INT, first_key STRING, last_key STRING, first_time BIGINT, recent ARRAY<BIGINT>"
+    schema = "part INT, first_key STRING, last_key STRING, first_time BIGINT, recent ARRAY<BIGINT>, gap BOOLEAN"
     slim = ordered.select("_part", "_key", "_t")
 
     def summaries(df: DataFrame, entries: dict[int, list[int]]) -> dict[int, T.Row]:
@@ -129,7 +139,8 @@ def _entry_states(ordered: DataFrame, limit: int, window: int) -> dict[int, list
             state = [t for t in state if t >= row.first_time - window]
             if state:
                 entries[part] = state
-            if state and row.first_key == row.last_key:
+            # Behind a pause longer than the window nothing of the entry state is left.
+            if state and row.first_key == row.last_key and not row.gap:
                 waiting[part] = state
             else:
                 settled.add(part)
@@ -140,6 +151,16 @@ def _entry_states(ordered: DataFrame, limit: int, window: int) -> dict[int, list
     return entries
 
 
+def _micros(hits: DataFrame, ts: str) -> Column:
+    """Microseconds of a time; of one without a zone by its own date and clock."""
+    at = F.col(ts)
+    if dict(hits.dtypes)[ts] != "timestamp_ntz":
+        return F.unix_micros(at.cast("timestamp"))
+    clock = F.hour(at) * 3600 + F.minute(at) * 60
+    fraction = F.extract(F.lit("SECOND"), at) * 1_000_000
+    return (F.unix_date(at.cast("date")).cast("long") * 86400 + clock) * 1_000_000 + fraction.cast("long")
+
+
 def rate_limit(
     hits: DataFrame,
     limit: int = DEFAULT_LIMIT,
@@ -151,12 +172,13 @@ def rate_limit(
     """The hits with ``admitted``, per key in order of (ts, tie_break).
 
     Refused hits do not count against later ones; an admitted one exactly
-    ``window_seconds`` old still does.
+    ``window_seconds`` old still does.  Hits without a key count under one name;
+    hits without a time are left out.  Times without a zone are taken as they are.
     """
     window = window_seconds * 1_000_000
     order = ["_key", "_t", tie_break]
-    prepared = hits.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumns(
-        {"_key": F.col(key).cast("string"), "_t": F.unix_micros(F.col(ts).cast("timestamp"))}
+    prepared = hits.filter(F.col(ts).isNotNull()).withColumns(
+        {"_key": F.coalesce(F.col(key).cast("string"), F.lit(UNKNOWN_KEY)), "_t": _micros(hits, ts)}
     )
     ordered = checkpoint(
         prepared.repartitionByRange(*order)

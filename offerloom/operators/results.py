@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.functions import text as T
 from offerloom.functions.geo import distance_from_center
-from offerloom.functions.urls import add_domain
+from offerloom.functions.urls import DEFAULT_SUFFIXES, add_domain
 from offerloom.operators.discovery import BATCH_SIZE, batch_no
 from offerloom.operators.location import geocode_join, radius_filter
 from offerloom.schemas import RESULT_WIDTHS
@@ -24,7 +26,9 @@ UNKNOWN_PLACE = "Necunoscut"
 COUNTRY = "Romania"
 
 
-def build_results(products: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def build_results(
+    products: DataFrame, gazetteer: DataFrame, suffixes: Sequence[str] = DEFAULT_SUFFIXES
+) -> DataFrame:
     """Result rows of extracted products that lie inside the radius of their job.
 
     ``products`` carry the product columns, url, fetch_method and the job's
@@ -43,7 +47,7 @@ def build_results(products: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
     kept = radius_filter(rows)
     return (
-        add_domain(kept, "url", "domain")
+        add_domain(kept, "url", "domain", suffixes)
         .withColumn("normalized_name", T.normalize_product_name(F.col("product_name")))
         .withColumn("location_unknown", F.col("location_lat").isNull())
         .withColumnRenamed("url", "source_url")
@@ -57,7 +61,9 @@ def fit_to_store(results: DataFrame) -> DataFrame:
     too_long = F.lit(False)
     for is_long in cut:
         too_long = too_long | F.coalesce(is_long, F.lit(False))
-    flagged = results.withColumn("truncated", too_long | (F.col("price_token").isNotNull() & F.col("price").isNull()))
+    if "price_token" in results.columns:
+        too_long = too_long | (F.col("price_token").isNotNull() & F.col("price").isNull())
+    flagged = results.withColumn("truncated", too_long)
     fitted = {c: F.left(c, F.lit(width)) for c, width in RESULT_WIDTHS.items() if c in results.columns}
     return flagged.withColumns(fitted)
 

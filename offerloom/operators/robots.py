@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.functions.text import let
-from offerloom.functions.urls import add_domain
+from offerloom.functions.urls import DEFAULT_SUFFIXES, add_domain
 from offerloom.plans.checkpoints import materialize
 from offerloom.plans.joins import lookup_join
 
@@ -14,10 +16,16 @@ from offerloom.plans.joins import lookup_join
 RULES_PER_ROW = 1_000
 
 
-def allowed_semi(df: DataFrame, allowed: DataFrame, url: str = "url", domain: str | None = None) -> DataFrame:
+def allowed_semi(
+    df: DataFrame,
+    allowed: DataFrame,
+    url: str = "url",
+    domain: str | None = None,
+    suffixes: Sequence[str] = DEFAULT_SUFFIXES,
+) -> DataFrame:
     """Rows whose URL has a registered domain on the allow-list."""
     if domain is None:
-        return allowed_semi(add_domain(df, url, "_domain"), allowed, url, "_domain").drop("_domain")
+        return allowed_semi(add_domain(df, url, "_domain", suffixes), allowed, url, "_domain").drop("_domain")
     return lookup_join(df, allowed.select(F.col("domain").alias(domain)).distinct(), [domain], "left_semi").select(
         *df.columns
     )
@@ -27,14 +35,15 @@ def _authority(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"\A[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1))
 
 
-def _target(url: Column) -> Column:
-    """Path, query and fragment of a URL, unquoted; ``/`` if there is none of them."""
+def _unquoted(text: Column) -> Column:
+    decoded = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    return F.when(text.contains("%"), F.coalesce(decoded, text)).otherwise(text)
 
-    def unquoted(t: Column) -> Column:
-        decoded = F.try_url_decode(F.replace(t, F.lit("+"), F.lit("%2B")))
-        return F.when(t == "", F.lit("/")).when(t.contains("%"), F.coalesce(decoded, t)).otherwise(t)
 
-    return let(F.regexp_extract(url, r"(?s)\A[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(.*)", 1), unquoted)
+def _target(url: Column) -> Column:
+    """Path, query and fragment of a URL, unquoted; ``/`` if there is none of them."""
+    target = F.regexp_extract(url, r"(?s)\A[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(.*)", 1)
+    return let(target, lambda t: F.when(t == "", F.lit("/")).otherwise(_unquoted(t)))
 
 
 def rules_for_agent(rules: DataFrame, agent: str) -> DataFrame:
@@ -45,7 +54,7 @@ def rules_for_agent(rules: DataFrame, agent: str) -> DataFrame:
     section = fitting.groupBy("host").agg(F.min(F.struct(is_default, "rule_no", "agent"))["agent"].alias("agent"))
     chosen = lookup_join(fitting, section, ["host", "agent"], "left_semi")
     # An empty path in a rule forbids nothing.
-    return chosen.select("host", "rule_no", "path", ((F.col("path") == "") | F.col("allow")).alias("allow"))
+    return chosen.select("host", "rule_no", _unquoted(F.col("path")).alias("path"), ((F.col("path") == "") | F.col("allow")).alias("allow"))
 
 
 def robots_filter(df: DataFrame, rules: DataFrame, agent: str, url: str = "url") -> DataFrame:

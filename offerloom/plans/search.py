@@ -10,12 +10,13 @@ distinct page.  Tables used by several later steps are materialized.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerloom.functions.urls import DEFAULT_SUFFIXES
 from offerloom.operators import caches, discovery
 from offerloom.operators.dedupe import dedupe_results, with_offer_keys
 from offerloom.operators.extract import site_rules, usable_pages
@@ -45,6 +46,8 @@ class SearchInput:
     # Replaces the extraction by rules and markup: pages(url, html, fetch_method) to
     # products with the same columns, a null name where a page has none.
     extract: Callable[[DataFrame], DataFrame] | None = None
+    # Public-suffix rules, as ``suffix_list`` reads them from a table.
+    suffixes: Sequence[str] = DEFAULT_SUFFIXES
 
 
 @dataclass
@@ -75,11 +78,13 @@ def find_candidates(given: SearchInput, requests: DataFrame, now: Column) -> tup
     cached = _from_url_cache(from_cache.select("query_normalized").distinct(), given.cached_urls, now)
     cached_rows = match_join(from_cache, cached, ["query_normalized"]).filter(F.col("rank") <= F.col("max_urls"))
 
-    lists = discovery.top_links_per_domain(to_discover, given.links)
+    lists = discovery.top_links_per_domain(to_discover, given.links, suffixes=given.suffixes)
     best = discovery.top_links(to_discover, lists)
     wanted = to_discover.select("query_normalized", "max_urls").distinct()
     cut = match_join(best, wanted, ["query_normalized"]).filter(F.col("position") <= F.col("max_urls"))
-    ranked = materialize(discovery.rank_candidates(cut, given.allowed, ["query_normalized", "max_urls"]))
+    ranked = materialize(discovery.rank_candidates(
+        cut, given.allowed, ["query_normalized", "max_urls"], suffixes=given.suffixes
+    ))
     fresh_rows = match_join(to_discover, ranked.drop("domain"), ["query_normalized", "max_urls"])
 
     columns = ["job_id", "query_normalized", "radius_option", "include_unknown", "rank", "url"]
@@ -115,7 +120,7 @@ def search(given: SearchInput, now: Column, agent: str) -> SearchOutput:
     misses = materialize(caches.cache_misses(candidates, given.cached_results, now))
     extracted = extract_needed(given, misses.select("url").distinct(), agent)
     products = extracted.filter(F.col("product_name").isNotNull())
-    fresh = materialize(build_results(lookup_join(misses, products, ["url"], "inner"), given.gazetteer))
+    fresh = materialize(build_results(lookup_join(misses, products, ["url"], "inner"), given.gazetteer, given.suffixes))
 
     accepted = hits.filter("accepted").drop("accepted", "cache_key", "url").withColumn("extractor", F.lit("cache"))
     merged = materialize(with_offer_keys(union_cached_fresh(accepted, fresh)))

@@ -112,7 +112,7 @@ def stream_rate_limit(
                 late = F.col(ts) < F.lit(mark)
                 batch.filter(late).write.mode("overwrite").parquet(_batch_path(folder, "late", batch_id))
                 fresh = fresh.filter(~late)
-            fresh = fresh.unionByName(state.filter(F.col(key).isNotNull()).select(*columns).withColumn("_old", F.lit(True)))
+            fresh = fresh.unionByName(state.filter(F.col(ts).isNotNull()).select(*columns).withColumn("_old", F.lit(True)))
         decided = rate_limit(fresh, limit, window_seconds, key, ts, tie_break)
         decided.filter(~F.col("_old")).drop("_old").write.mode("overwrite").parquet(
             _batch_path(folder, "decided", batch_id)

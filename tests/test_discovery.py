@@ -1,4 +1,4 @@
-"""Ranking against a plain loop over every request and domain."""
+"""Ranking of known links, and the parts it is made of."""
 
 import random
 
@@ -8,74 +8,61 @@ from offerloom import schemas
 from offerloom.operators import discovery
 from offerloom.plans import joins
 
-PREFERRED = ["gradina", "garden", "flori", "horti", "plante", "construct", "diy", "magazin", "shop", "market"]
-EXCLUDED = ["forum", "pdf", "blog", "wikipedia", "manual"]
-
-
-def score(url, title=""):
-    blob = f"{url} {title} ".lower()
-    total = 3.0 if url.split("/")[2].endswith(".ro") else 0.0
-    total += 2 if any(w in blob for w in PREFERRED) else 0
-    total += 1.5 if any(p in blob for p in ("/produs", "/product", "/p", "/item", "/catalog")) else 0
-    total -= 3 if any(w in blob for w in EXCLUDED) else 0
-    return total - (1 if "?" in url and "sort" in url else 0)
-
-
-def make_links(rng, seeds, per_seed):
-    words = ["red", "widget", "ring", "shop", "blog", "x"]
-    links = []
-    for d in seeds:
-        for pos in range(rng.randrange(per_seed)):
-            host = rng.choice([*seeds, "z.com"])
-            url = f"https://{host}/{rng.choice(['produs', 'blog', 'c'])}/{rng.choice(words)}{rng.randrange(4)}"
-            links.append((d, pos, url, rng.choice(["", "Red Ring", "Shop", "forum", "mic"])))
-    return links
-
-
-def ranked(links, seeds, query, limit, first=6):
-    tokens = [t for t in query.split() if len(t) >= 3]
-    lists = {}
-    for d in sorted(seeds):
-        seen, candidates = set(), []
-        for _, _, url, text in sorted(l for l in links if l[0] == d)[:first]:
-            if url not in seen:
-                seen.add(url)
-                bonus = 2 if any(t in url.lower() or t in text.lower() for t in tokens) else 0
-                candidates.append((url, score(url, text) + bonus))
-        candidates.sort(key=lambda c: -c[1])
-        lists[d] = candidates[:2]
-    seen, merged = set(), []
-    for d in sorted(seeds):
-        for url, s in lists[d]:
-            if url not in seen:
-                seen.add(url)
-                merged.append((url, s))
-    merged.sort(key=lambda c: -c[1])
-    return lists, merged[:limit]
-
-
-@pytest.mark.parametrize(("case", "broadcast"), [(0, 200_000), (1, 200_000), (2, 200_000), (3, 0)])
-def test_ranking_equals_a_loop(spark, monkeypatch, case, broadcast):
+LINKS = [
+    ("alfa.ro", 0, "https://alfa.ro/despre", ""),
+    ("alfa.ro", 1, "https://alfa.ro/item/1", "Red ring"),
+    ("alfa.ro", 2, "https://alfa.ro/blog/ring", ""),
+    ("alfa.ro", 3, "https://beta.com/item/2", ""),
+    ("alfa.ro", 4, "https://alfa.ro/despre", "Shop"),  # seen before
+    ("beta.com", 0, "https://beta.com/item/2", "Garden set"),
+    ("beta.com", 1, "https://alfa.ro/item/1", "x"),
+    ("beta.com", 2, "https://beta.com/c?sort=a", ""),
+]
+A1, A0, B2 = "https://alfa.ro/item/1", "https://alfa.ro/despre", "https://beta.com/item/2"
+# The two best of each start page; without a query where no word of it matches there.
+LISTS = {
+    (None, "alfa.ro"): [(A1, 4.5), (A0, 3.0)],
+    (None, "beta.com"): [(A1, 4.5), (B2, 3.5)],
+    ("red", "alfa.ro"): [(A1, 6.5), (A0, 3.0)],
+    ("ring blog", "alfa.ro"): [(A1, 6.5), (A0, 3.0)],
+    ("garden", "beta.com"): [(B2, 5.5), (A1, 4.5)],
+    ("https", "alfa.ro"): [(A1, 6.5), (A0, 5.0)],
+    ("https", "beta.com"): [(A1, 6.5), (B2, 5.5)],
+}
+BEST = {
+    "red": [(A1, 6.5), (B2, 3.5), (A0, 3.0)],
+    "ring blog": [(A1, 6.5), (B2, 3.5), (A0, 3.0)],
+    "garden": [(B2, 5.5), (A1, 4.5), (A0, 3.0)],
+    "ab": [(A1, 4.5), (B2, 3.5), (A0, 3.0)],
+    "https": [(A1, 6.5), (B2, 5.5), (A0, 5.0)],
+}
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_ranking_of_known_links(spark, monkeypatch, broadcast):
     monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(discovery, "TOKENS_IN_PLACE", 200 if broadcast else 0)
-    monkeypatch.setattr(discovery.first_links, "__defaults__", (6,))
-    rng = random.Random(case)
-    seeds = [f"d{i}.ro" for i in range(7)]
-    links = make_links(rng, seeds, 12)
-    queries = ["red widget", "ring", "ab", "shop red", "nimic"]
-    requests = spark.createDataFrame([(q,) for q in queries * 2], "query_normalized STRING")
-    table = spark.createDataFrame(links, schemas.LINKS)
-    lists = discovery.top_links_per_domain(requests, table, 2)
-    per_domain = lists.collect()
-    best = discovery.top_links(requests, lists, limit=4).collect()
-    for q in queries:
-        expected_lists, expected = ranked(links, seeds, q, 4)
-        own = {r.seed_domain for r in per_domain if r.query_normalized == q}
-        for d, rows in expected_lists.items():
-            key = q if d in own else None
-            got = sorted((r.rank, r.url, r.score) for r in per_domain if (r.query_normalized, r.seed_domain) == (key, d))
-            assert [(u, s) for _, u, s in got] == rows
-        assert [(r.url, r.score) for r in sorted(best, key=lambda r: r.position) if r.query_normalized == q] == expected
+    requests = spark.createDataFrame([(q,) for q in [*BEST, *BEST]], "query_normalized STRING")
+    lists = discovery.top_links_per_domain(requests, spark.createDataFrame(LINKS, schemas.LINKS), 2)
+    found = {}
+    for r in sorted(lists.collect(), key=lambda r: r.rank):
+        found.setdefault((r.query_normalized, r.seed_domain), []).append((r.url, r.score))
+    assert found == LISTS
+    best = {}
+    for r in sorted(discovery.top_links(requests, lists, limit=4).collect(), key=lambda r: r.position):
+        best.setdefault(r.query_normalized, []).append((r.url, r.score))
+    assert best == BEST
+    cut = discovery.top_links(requests, lists, limit=1).collect()
+    assert {r.query_normalized: r.url for r in cut} == {q: rows[0][0] for q, rows in BEST.items()}
+
+
+def test_only_the_first_links_count(spark, monkeypatch):
+    monkeypatch.setattr(discovery.first_links, "__defaults__", (1,))
+    requests = spark.createDataFrame([("red",)], "query_normalized STRING")
+    lists = discovery.top_links_per_domain(requests, spark.createDataFrame(LINKS, schemas.LINKS), 2).collect()
+    assert {(r.query_normalized, r.seed_domain, r.url, r.score) for r in lists} == {
+        (None, "alfa.ro", A0, 3.0), (None, "beta.com", B2, 3.5),
+    }
 
 
 @pytest.mark.parametrize("in_place", [200, 2])

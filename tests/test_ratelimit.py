@@ -1,27 +1,23 @@
-"""Rate limiting against the sequential loop."""
+"""Rate limiting against its definition."""
 
 import datetime
 import random
-from collections import defaultdict, deque
 
 import pytest
-from pyspark.sql import functions as F
 
 from offerloom.operators.ratelimit import rate_limit
 
 START = datetime.datetime(2024, 1, 1)
 
 
-def loop(hits, limit, seconds):
-    window, buckets, admitted = datetime.timedelta(seconds=seconds), defaultdict(deque), []
-    for n, key, ts in sorted(hits, key=lambda h: (h[2], h[0])):
-        bucket = buckets[key]
-        while bucket and bucket[0] < ts - window:
-            bucket.popleft()
-        if len(bucket) < limit:
-            bucket.append(ts)
-            admitted.append(n)
-    return sorted(admitted)
+def admitted_by_definition(hits, limit, seconds):
+    """Each hit against all earlier ones of its key: fewer than ``limit`` admitted at most ``seconds`` before."""
+    ordered = sorted(hits, key=lambda h: (h[2], h[0]))
+    let_in = [False] * len(ordered)
+    for i, (_, key, ts) in enumerate(ordered):
+        earlier = [j for j in range(i) if let_in[j] and ordered[j][1] == key and (ts - ordered[j][2]).total_seconds() <= seconds]
+        let_in[i] = len(earlier) < limit
+    return sorted(h[0] for h, yes in zip(ordered, let_in, strict=True) if yes)
 
 
 def make(rng, n, span, hot=0.4):
@@ -39,9 +35,9 @@ def run(spark, hits, limit, seconds):
 
 
 @pytest.mark.parametrize(("limit", "seconds", "span"), [(1, 60, 4000), (3, 60, 3000), (10, 60, 600), (2, 5, 100)])
-def test_equals_a_loop(spark, limit, seconds, span):
+def test_equals_its_definition(spark, limit, seconds, span):
     hits = make(random.Random(limit), 1500, span)
-    assert run(spark, hits, limit, seconds) == loop(hits, limit, seconds)
+    assert run(spark, hits, limit, seconds) == admitted_by_definition(hits, limit, seconds)
 
 
 def test_one_key_over_many_partitions(spark):
@@ -50,7 +46,7 @@ def test_one_key_over_many_partitions(spark):
     try:
         for hot in (1.0, 0.8):
             hits = make(random.Random(9), 1200, 5000, hot)
-            assert run(spark, hits, 4, 60) == loop(hits, 4, 60)
+            assert run(spark, hits, 4, 60) == admitted_by_definition(hits, 4, 60)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
@@ -58,9 +54,27 @@ def test_one_key_over_many_partitions(spark):
 def test_exactly_one_window_old_still_counts(spark):
     hits = [(i, "k", START + datetime.timedelta(seconds=s)) for i, s in enumerate([0, 30, 60, 61, 120])]
     assert run(spark, hits, 1, 60) == [0, 3]
-    assert run(spark, hits, 2, 60) == loop(hits, 2, 60)
+    assert run(spark, hits, 2, 60) == admitted_by_definition(hits, 2, 60)
 
 
-def test_hits_without_key_or_time_are_left_out(spark):
-    df = spark.createDataFrame([(1, None, START), (2, "k", None)], "event_id INT, key STRING, ts TIMESTAMP_NTZ")
-    assert rate_limit(df).select(F.count("*")).first()[0] == 0
+def test_hits_without_key_count_under_one_name(spark):
+    hits = [(1, None, START), (2, "k", None), (3, None, START), (4, "unknown", START)]
+    df = spark.createDataFrame(hits, "event_id INT, key STRING, ts TIMESTAMP_NTZ")
+    rows = {r.event_id: r.admitted for r in rate_limit(df, 2, 60).collect()}
+    assert rows == {1: True, 3: True, 4: False}
+
+
+def test_limit_zero_refuses_all(spark):
+    df = spark.createDataFrame([(1, "k", START)], "event_id INT, key STRING, ts TIMESTAMP_NTZ")
+    assert [r.admitted for r in rate_limit(df, 0, 60).collect()] == [False]
+
+
+def test_times_without_zone_do_not_depend_on_the_session(spark):
+    times = [datetime.datetime(2024, 3, 31, 2, 59, 30), datetime.datetime(2024, 3, 31, 4, 0, 10, 500)]
+    df = spark.createDataFrame([(i, "k", t) for i, t in enumerate(times)], "event_id INT, key STRING, ts TIMESTAMP_NTZ")
+    for zone in ("UTC", "Europe/Bucharest"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert rate_limit(df, 1, 60).filter("admitted").count() == 2
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -49,6 +49,24 @@ def test_registered_domain(spark):
     assert got == cases
 
 
+def test_suffix_rules_of_a_table(spark):
+    rules = spark.createDataFrame([("hu",), (" CO.HU ",), ("*.ck",), ("!www.ck",), (None,)], "suffix STRING")
+    cases = {
+        "https://www.flori.co.hu/": "flori.co.hu",
+        "https://a.flori.hu/": "flori.hu",
+        "https://co.hu/": ".co.hu",
+        "https://x.y.any.ck/": "y.any.ck",
+        "https://any.ck/": ".any.ck",
+        "https://m.www.ck/": ".m.ck",  # every www. is dropped from the host
+        "https://m.ww.www.ck/": "m.ww.ck",
+        "https://shop.example.cz/": "shop.example.cz",
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "url STRING")
+    found = {r.url: r.domain for r in U.add_domain(rows, suffixes=U.suffix_list(rules)).collect()}
+    assert found == cases
+    assert [r.domain for r in U.add_domain(rows.limit(1), suffixes=[]).collect()] == ["flori.co.hu"]
+
+
 def test_score_url(spark):
     cases = [
         ("https://gradina.ro/produs/1", "", 6.5),

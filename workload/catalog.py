@@ -15,6 +15,8 @@ from offerloom.operators.dedupe import dedupe_results
 from offerloom.operators.ratelimit import rate_limit
 from offerloom.plans.checkpoints import working_folder
 from offerloom.plans.search import SearchInput, search
+from offerloom.sources.sinks import job_results as stored_job_results
+from offerloom.sources.sinks import write_results
 from offerloom.streaming import jobs as streams
 from workload.fixtures import derive, stream_of, table
 
@@ -90,8 +92,8 @@ def city_hint(spark, sf):
 
 @query
 def registered_domain(spark, sf):
-    given = derive(spark, sf, "SELECT url FROM fx_urls UNION ALL SELECT url FROM pages")
-    return U.add_domain(given)
+    given = derive(spark, sf, "SELECT url FROM fx_urls UNION ALL SELECT url FROM pages UNION ALL SELECT url FROM fx_hosts")
+    return U.add_domain(given, suffixes=U.suffix_list(table(spark, sf, "fx_suffixes")))
 
 
 @query
@@ -320,6 +322,13 @@ def filter_results(spark, sf):
     return _double_price(results.filter_results(table(spark, sf, "fx_results"), **FILTERS))
 
 
+@query
+def job_results(spark, sf):
+    folder = working_folder(spark, "results")
+    write_results(table(spark, sf, "fx_results"), folder)
+    return _double_price(stored_job_results(spark, folder, "job7"))
+
+
 @query
 def result_total(spark, sf):
     return results.result_total(results.filter_results(table(spark, sf, "fx_results"), price_min=1000.0))

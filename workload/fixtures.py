@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from offerloom.plans.checkpoints import working_folder
 from offerloom.sources.tables import spread, stream_table
 
 BASE_TABLES = [
@@ -41,7 +43,7 @@ SELECT id, name,
     WHEN 5 THEN ws || ' EUR'
     WHEN 6 THEN 'Livrare 24h' END AS price_text,
   CASE id % 6
-    WHEN 0 THEN 'Ghiveci ' || CAST(sz AS STRING) || ' cm premium'
+    WHEN 0 THEN 'Jardiniera ' || CAST(sz AS STRING) || ' cm lemn'
     WHEN 1 THEN 'Pamant ' || CAST(sz AS STRING) || 'L'
     WHEN 2 THEN CAST(sz AS STRING) || ',5 ml'
     WHEN 3 THEN 'set ' || CAST(sz AS STRING) || ' BUC'
@@ -139,6 +141,19 @@ SELECT l_orderkey * 10 + l_linenumber AS ord, l_partkey, l_suppkey,
 FROM lineitem
 """
 
+FIXTURES["fx_suffixes"] = """
+SELECT suffix FROM (VALUES ('ro'), ('com.ro'), ('org.ro'), ('shop.ro'), ('com'), ('net'), ('uk'), ('co.uk'), ('hu'), ('co.hu'),
+  ('tr'), ('com.tr'), ('cz'), ('sk'), ('au'), ('com.au'), ('*.ck'), ('!www.ck')) AS rules(suffix)
+"""
+
+FIXTURES["fx_hosts"] = """
+SELECT 'https://www.' || CASE s_suppkey % 3 WHEN 0 THEN 'flori' WHEN 1 THEN 'a.b.flori' ELSE '' END
+  || CASE WHEN s_suppkey % 3 = 2 THEN 'x' ELSE CAST(s_suppkey AS STRING) END
+  || CASE s_suppkey % 10 WHEN 0 THEN '.co.hu' WHEN 1 THEN '.com.tr' WHEN 2 THEN '.cz' WHEN 3 THEN '.sk' WHEN 4 THEN '.com.au'
+       WHEN 5 THEN '.ck' WHEN 6 THEN '.any.ck' WHEN 7 THEN '.m.www.ck' WHEN 8 THEN '.nowhere' ELSE '.hu' END || '/p' AS url
+FROM supplier
+"""
+
 FIXTURES["fx_links"] = """
 SELECT 's' || CAST(l_suppkey AS STRING) || '.ro' AS seed_domain,
   l_orderkey * 10 + l_linenumber AS pos,
@@ -353,13 +368,25 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(text)
 
 
+# The order in which rows of a given table arrive as a stream.
+ARRIVAL = {"events": "ts", "pages": "page_id", "lineitem": "l_orderkey"}
+STREAM_FILES = 3
+
+
 def stream_of(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A statement over one given table, read as a stream of new files."""
+    """A statement over one given table that arrives in several files, one per micro-batch."""
     text = with_fixtures(sql)
     (source,) = [name for name in BASE_TABLES if re.search(rf"\b{name}\b", text)]
-    schema = spark.read.parquet(f"{sf_dir}/{source}.parquet").schema
-    stream = stream_table(spark, sf_dir, schema, pattern=f"{source}.parquet")
-    # The one small file would be one task; a real feed has many files per batch.
+    given = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    order = ARRIVAL.get(source, given.columns[0])
+    shares = [(k + 1) / STREAM_FILES for k in range(STREAM_FILES - 1)]
+    cuts = given.agg(F.percentile_approx(order, shares, 1000)).first()[0] or []
+    part = sum((F.when(F.col(order) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    folder = working_folder(spark, f"arriving-{source}")
+    for k in range(STREAM_FILES):
+        given.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+    stream = stream_table(spark, folder, given.schema, files_per_trigger=1)
+    # A small file would be one task; a real feed has many files per batch.
     stream = stream.repartition(spark.sparkContext.defaultParallelism)
     stream.createOrReplaceTempView(source)
     return spark.sql(text)

@@ -6,7 +6,6 @@ Page fixtures have a known layout, so their markup is read with plain patterns.
 
 from __future__ import annotations
 
-from offerloom.functions.urls import DEFAULT_SUFFIXES
 from workload.fixtures import with_fixtures
 
 ORACLES: dict[str, str] = {}
@@ -19,7 +18,12 @@ def oracle(name: str, sql: str) -> None:
 NOW = "TIMESTAMP '2024-01-02 00:00:00'"
 NORMAL = r"""lower(trim(regexp_replace(regexp_replace(strip_accents({0}), '[^\x00-\x7F]+', '', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')))"""
 CITIES = ["Bucuresti", "Cluj", "Timisoara", "Iasi", "Constanta", "Brasov", "Craiova", "Oradea", "Sibiu"]
-SUFFIXES = ", ".join(f"('{s}')" for s in DEFAULT_SUFFIXES)
+# What the queries without a suffix table take for public suffixes.
+PUBLIC = (
+    "ro com.ro org.ro info.ro nom.ro store.ro shop.ro firm.ro com net org info biz eu shop store online io co "
+    "de fr it es at hu bg pl nl be ch uk co.uk org.uk md com.md"
+)
+SUFFIXES = ", ".join(f"('{s}')" for s in PUBLIC.split())
 
 
 def normal(column: str) -> str:
@@ -137,9 +141,19 @@ SELECT id, {hint('place')} AS hint,
 
 # URLs
 
-oracle("registered_domain", f"""
-WITH given AS (SELECT url FROM fx_urls UNION ALL SELECT url FROM pages), {domains('given')}
-SELECT url, domain FROM with_domain
+oracle("registered_domain", r"""
+WITH given AS (SELECT url FROM fx_urls UNION ALL SELECT url FROM pages UNION ALL SELECT url FROM fx_hosts),
+hosts AS (SELECT url, replace(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1)), 'www.', '') AS host FROM given),
+names AS (SELECT DISTINCT host, regexp_replace(host, '^.*@|:\d*$', '', 'g') AS name FROM hosts),
+ends(ending, labels) AS (VALUES ('.ro', 1), ('.com.ro', 2), ('.org.ro', 2), ('.shop.ro', 2), ('.com', 1), ('.net', 1), ('.uk', 1),
+  ('.co.uk', 2), ('.hu', 1), ('.co.hu', 2), ('.tr', 1), ('.com.tr', 2), ('.cz', 1), ('.sk', 1), ('.au', 1), ('.com.au', 2)),
+fitting AS (SELECT host, name, max(labels) AS plain FROM names LEFT JOIN ends ON ends_with('.' || name, ending) GROUP BY host, name),
+chosen AS (SELECT host, name, string_split(name, '.') AS parts, CASE
+    WHEN ends_with('.' || name, '.www.ck') THEN 1
+    WHEN ends_with(name, '.ck') THEN 2 ELSE plain END AS labels FROM fitting),
+named AS (SELECT host, CASE WHEN labels IS NULL THEN host WHEN labels = len(parts) THEN '.' || name
+    ELSE array_to_string(parts[-(labels + 1):], '.') END AS domain FROM chosen)
+SELECT url, domain FROM hosts JOIN named ON hosts.host = named.host
 """)
 oracle("score_url", f"""
 WITH {domains('fx_urls')}
@@ -440,6 +454,13 @@ oracle("filter_results", """
 SELECT * REPLACE (CAST(price AS DOUBLE) AS price) FROM fx_results
 WHERE normalized_name LIKE '%red widget%' AND size_text ILIKE '%1_ c%' AND price >= 100.0 AND price <= 60000.0
 """)
+oracle("job_results", """
+SELECT id, job_id, left(product_name, 500) AS product_name, left(normalized_name, 500) AS normalized_name, left(domain, 255) AS domain,
+  source_url, CAST(price AS DOUBLE) AS price, left(currency, 10) AS currency, left(size_text, 180) AS size_text,
+  left(location_city, 120) AS location_city, left(location_address, 500) AS location_address, distance_km, location_unknown,
+  false AS truncated
+FROM fx_results WHERE job_id = 'job7'
+""")
 oracle("result_total", "SELECT count(*) AS total FROM fx_results WHERE price >= 1000.0")
 oracle("sort_results", """
 SELECT id, domain, CAST(price AS DOUBLE) AS price FROM fx_results ORDER BY price DESC NULLS FIRST, id
