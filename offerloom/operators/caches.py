@@ -25,6 +25,12 @@ def _keyed(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("cache_key", U.cache_key(F.col("query_normalized"), F.col("url")))
 
 
+def cache_lookup(candidates: DataFrame, cached_results: DataFrame, now: Column) -> DataFrame:
+    """All candidates with their live cached result as ``cached``, null where there is none."""
+    row = F.struct("domain", "source_url", *CACHED_VALUES).alias("cached")
+    return lookup_join(_keyed(candidates), _live(cached_results, now).select("cache_key", row), ["cache_key"], "left")
+
+
 def cache_hits(candidates: DataFrame, cached_results: DataFrame, now: Column) -> DataFrame:
     """Candidates with a live cached result, re-judged for their own request.
 
@@ -32,8 +38,12 @@ def cache_hits(candidates: DataFrame, cached_results: DataFrame, now: Column) ->
     include_unknown.  All hits are returned; ``accepted`` tells which lie
     inside the radius, since a rejected hit still counts as processed.
     """
-    live = _live(cached_results, now).select("cache_key", "domain", "source_url", *CACHED_VALUES)
-    hits = lookup_join(_keyed(candidates), live, ["cache_key"], "inner")
+    return judged_hits(cache_lookup(candidates, cached_results, now))
+
+
+def judged_hits(looked_up: DataFrame) -> DataFrame:
+    """The hits of ``cache_lookup``, re-judged."""
+    hits = looked_up.filter(F.col("cached").isNotNull()).select("*", "cached.*").drop("cached")
     distance = distance_from_center(F.col("location_lat"), F.col("location_lon"))
     return (
         hits.withColumn("distance_km", distance)
@@ -57,6 +67,11 @@ def cache_misses(candidates: DataFrame, cached_results: DataFrame, now: Column)
     return lookup_join(_keyed(candidates), live, ["cache_key"], "left_anti").select(*candidates.columns)
 
 
+def unmatched(looked_up: DataFrame) -> DataFrame:
+    """The candidates of ``cache_lookup`` without a result."""
+    return looked_up.filter(F.col("cached").isNull()).drop("cache_key", "cached")
+
+
 def upsert_results(
     cached_results: DataFrame, incoming: DataFrame, order: list[str], now: Column, ttl_hours: int = TTL_HOURS
 ) -> DataFrame:
@@ -113,7 +128,9 @@ def append_url_cache(
 
 def url_cache_gate(requests: DataFrame, cached_urls: DataFrame, now: Column) -> DataFrame:
     """Requests with the live cached URLs of their query and whether those suffice."""
-    counts = _live(cached_urls, now).groupBy("query_normalized").agg(F.count("*").alias("cached_urls"))
+    queries = requests.select("query_normalized").distinct()
+    live = lookup_join(_live(cached_urls, now), queries, ["query_normalized"], "left_semi")
+    counts = live.groupBy("query_normalized").agg(F.count("*").alias("cached_urls"))
     counted = lookup_join(requests, counts, ["query_normalized"], "left").withColumn(
         "cached_urls", F.coalesce("cached_urls", F.lit(0))
     )

@@ -19,7 +19,8 @@ from offerloom.functions import text as T
 from offerloom.functions import urls as U
 from offerloom.operators.robots import allowed_semi
 from offerloom.plans.checkpoints import materialize
-from offerloom.plans.joins import lookup_join, match_join
+from offerloom.plans.joins import likely_in, lookup_join, match_join
+from offerloom.plans.ordering import with_places
 
 # Fixed values of the ranking.
 LINKS_PER_SEED = 120
@@ -48,7 +49,7 @@ def extract_links(
         text=H.inner_text(F.col("_anchor"), " "),
     ).filter(F.col("link_url").isNotNull())
     with_domain = U.add_domain(links, "link_url", "link_domain", suffixes).drop("_anchor")
-    return allowed_semi(with_domain, allowed, domain="link_domain").select(
+    return allowed_semi(with_domain, allowed, domain="link_domain", costly=True).select(
         *keep, "pos", "link_url", "link_domain", "text"
     )
 
@@ -59,6 +60,42 @@ def first_links(links: DataFrame, limit: int = LINKS_PER_SEED) -> DataFrame:
     return links.withColumn("link_no", F.row_number().over(order)).filter(F.col("link_no") <= limit)
 
 
+def start_pages(pages: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Start page (seed_domain, base_url, page_url) of each allowed domain, https before http.
+
+    A page without source counts as not fetched; a domain without a start page is left out.
+    """
+    schemes = F.array(F.lit("https://"), F.lit("http://"))
+    bases = allowed.select(F.col("domain").alias("seed_domain")).distinct().select(
+        "seed_domain", F.explode(F.transform(schemes, lambda s: F.concat(s, "seed_domain"))).alias("base_url")
+    )
+    found = lookup_join(_roots(pages).drop("html"), bases, ["base_url"], "inner")
+    # Of the two addresses the one with https sorts last; of two spellings the shorter counts.
+    best = F.max_by(F.struct("base_url", "page_url"), F.struct("base_url", -F.length("page_url")))
+    return found.groupBy("seed_domain").agg(best.alias("_best")).select("seed_domain", "_best.*")
+
+
+def _roots(pages: DataFrame) -> DataFrame:
+    """Fetched pages at the root of a host, with the address links are resolved against."""
+    base = F.lower(F.regexp_extract(F.col("url"), r"(?i)\A(https?://[^/?#]+)/?\z", 1))
+    roots = pages.select(F.col("url").alias("page_url"), base.alias("base_url"), "html")
+    return roots.filter((F.col("base_url") != "") & F.col("html").isNotNull())
+
+
+def discover_links(
+    pages: DataFrame, allowed: DataFrame, suffixes: Sequence[str] = U.DEFAULT_SUFFIXES, limit: int = LINKS_PER_SEED
+) -> DataFrame:
+    """Links of the start pages of all allowed domains; a start page without any stands for itself.
+
+    ``pages(url, html)`` hold one row per URL.  Links are read where the page is; only they are joined.
+    """
+    seeds = materialize(start_pages(pages, allowed))
+    links = extract_links(likely_in(_roots(pages), seeds, "page_url"), allowed, "base_url", suffixes)
+    seeded = lookup_join(links, seeds.select("page_url", "seed_domain"), ["page_url"], "inner", costly=True)
+    named = seeded.select("seed_domain", F.col("pos").cast("bigint").alias("pos"), F.col("link_url").alias("url"), "text")
+    return seed_links(seeds.select("seed_domain", "base_url"), materialize(first_links(named, limit)))
+
+
 def seed_links(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """Links per seed, the seed's own URL standing in where there are none."""
     bare = seeds.join(links.select("seed_domain").distinct(), "seed_domain", "left_anti")
@@ -68,10 +105,12 @@ def seed_links(seeds: DataFrame, links: DataFrame) -> DataFrame:
     return links.select("seed_domain", "pos", "url", "text").unionByName(stand_in)
 
 
-def scored_links(links: DataFrame, suffixes: Sequence[str] = U.DEFAULT_SUFFIXES) -> DataFrame:
+def scored_links(
+    links: DataFrame, suffixes: Sequence[str] = U.DEFAULT_SUFFIXES, per_seed: int = LINKS_PER_SEED
+) -> DataFrame:
     """First links, one row per seed and URL (the first counts), with their score."""
     once = (
-        first_links(links)
+        first_links(links, per_seed)
         .groupBy("seed_domain", "url")
         .agg(F.min(F.struct("link_no", "text")).alias("_first"))
         .select("seed_domain", "url", "_first.link_no", "_first.text")
@@ -97,7 +136,7 @@ def _with_trigrams(df: DataFrame, column: str) -> DataFrame:
 
 
 def token_matches(tokens: DataFrame, links: DataFrame) -> DataFrame:
-    """Links whose URL or text contains a token, with the token.
+    """Distinct links whose URL or text contains a token, with the token.
 
     A few tokens (the count is checked) are tried on each link in place.  Many
     are looked up by the trigrams of the links.
@@ -108,7 +147,7 @@ def token_matches(tokens: DataFrame, links: DataFrame) -> DataFrame:
     if len(few) <= TOKENS_IN_PLACE:
         words = F.array(*[F.lit(t) for t in few]) if few else F.array().cast("array<string>")
         contained = F.filter(words, lambda t: F.col("_hay").contains(t))
-        return searched.withColumn("token", F.explode(contained)).drop("_hay")
+        return searched.withColumn("token", F.explode(contained)).drop("_hay").distinct()
     return _trigram_matches(vocabulary, searched)
 
 
@@ -152,6 +191,7 @@ def top_links_per_domain(
     links: DataFrame,
     limit: int = TOP_PER_DOMAIN,
     suffixes: Sequence[str] = U.DEFAULT_SUFFIXES,
+    per_seed: int = LINKS_PER_SEED,
 ) -> DataFrame:
     """Best links per query and seed domain; a matching word adds a bonus once.
 
@@ -159,7 +199,7 @@ def top_links_per_domain(
     rows of its own there (no word of it matches any link of the domain).
     """
     limit = max(1, limit)
-    scored = materialize(scored_links(links, suffixes))
+    scored = materialize(scored_links(links, suffixes, per_seed))
     base = _top(scored, ["seed_domain"], limit, "rank")
     words = query_words(requests)
     # Of the links a word matches in a domain only the best can be listed.
@@ -228,12 +268,7 @@ def top_links(requests: DataFrame, lists: DataFrame, limit: int = MOST_URLS) ->
     )
     longest = needed.agg(F.max("_needed")).first()[0] or 0
     best_first = [F.desc("_place.score"), F.asc("_place.seed_domain"), F.asc("_place.rank")]
-    # A window over everything is fine here: it sees the prefix only.
-    prefix = (
-        common.orderBy(*best_first)
-        .limit(longest)
-        .select("url", "_place", F.row_number().over(Window.orderBy(*best_first)).alias("_at"))
-    )
+    prefix = with_places(common.select("url", "_place"), best_first, "_at").filter(F.col("_at") <= longest)
     places = needed.select("query_normalized", F.explode(F.sequence(F.lit(1), "_needed")).alias("_at"))
     untouched = lookup_join(places, prefix, ["_at"], "inner").join(
         touched, ["query_normalized", "url"], "left_anti"

@@ -22,13 +22,13 @@ def allowed_semi(
     url: str = "url",
     domain: str | None = None,
     suffixes: Sequence[str] = DEFAULT_SUFFIXES,
+    costly: bool = False,
 ) -> DataFrame:
-    """Rows whose URL has a registered domain on the allow-list."""
+    """Rows whose URL has a registered domain on the allow-list; ``costly`` as in ``lookup_join``."""
     if domain is None:
-        return allowed_semi(add_domain(df, url, "_domain", suffixes), allowed, url, "_domain").drop("_domain")
-    return lookup_join(df, allowed.select(F.col("domain").alias(domain)).distinct(), [domain], "left_semi").select(
-        *df.columns
-    )
+        return allowed_semi(add_domain(df, url, "_domain", suffixes), allowed, url, "_domain", costly=costly).drop("_domain")
+    listed = allowed.select(F.col("domain").alias(domain)).distinct()
+    return lookup_join(df, listed, [domain], "left_semi", costly).select(*df.columns)
 
 
 def _authority(url: Column) -> Column:

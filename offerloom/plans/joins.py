@@ -3,7 +3,7 @@
 ``lookup_join`` is the one join the operators use to attach a table with unique
 keys (a gazetteer, a cache, an allow-list) to a large one:
 
-* the keyed side is broadcast only after its rows were counted and found small;
+* the keyed side is broadcast only after its rows and bytes were counted and found small;
 * beyond that, the most frequent keys of the large side are joined apart by
   broadcasting just their rows (at most ``HOT_KEYS`` of them, a fixed bound),
   and only the remaining keys, none of which can hold more than a share of
@@ -16,18 +16,38 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offerloom.plans.checkpoints import materialize
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 128 << 20
 HOT_KEYS = 200
 
+# Size of the bitmap that stands for a set of keys: 2**27 bits in rows of 4 KB are 16 MB.
+FILTER_BITS = 1 << 27
+
+
+def _bytes(field: T.StructField) -> Column:
+    """Size of a value: texts by their bytes, nested values by their JSON, others 8."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType | T.BinaryType):
+        size = F.octet_length(column)
+    elif isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+        size = F.octet_length(F.to_json(F.struct(column)))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(0)).cast("long")
+
 
 def is_small(df: DataFrame) -> bool:
     """Whether a table may be broadcast; reads no more rows than it takes to tell."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    size = reduce(lambda a, b: a + b, [_bytes(f) for f in df.schema.fields], F.lit(0).cast("long"))
+    read = df.select(size.alias("_size")).limit(BROADCAST_ROWS + 1)
+    rows, total = read.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES
 
 
 def _all_not_null(keys: list[str]):
@@ -45,6 +65,25 @@ def unique_join(left: DataFrame, keyed: DataFrame, keys: list[str], how: str) ->
     return left.join(F.broadcast(keyed) if is_small(keyed) else keyed, keys, how)
 
 
+def likely_in(large: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``large`` whose key may be in ``wanted``; a share of the others stays too.
+
+    The keys are hashed into a bitmap of fixed size, which is broadcast, so that
+    wide rows are dropped where they are and need no shuffle.
+    """
+    spot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    bucket, at = F.bitmap_bucket_number(spot), F.bitmap_bit_position(spot)
+    bits = (
+        wanted.filter(F.col(key).isNotNull())
+        .groupBy(bucket.alias("_bucket"))
+        .agg(F.bitmap_construct_agg(at).alias("_bits"))
+    )
+    octet = F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1)))
+    is_set = F.getbit(F.conv(octet, 16, 10).cast("int"), (at % 8).cast("int")) == 1
+    marked = large.withColumn("_bucket", bucket).join(F.broadcast(bits), ["_bucket"])
+    return marked.filter(is_set).select(*large.columns)
+
+
 def lookup_join(
     large: DataFrame, keyed: DataFrame, keys: list[str], how: str = "left", costly: bool = False
 ) -> DataFrame:

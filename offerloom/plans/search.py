@@ -24,7 +24,7 @@ from offerloom.operators.requests import validate_requests
 from offerloom.operators.results import build_results, job_status, union_cached_fresh
 from offerloom.operators.robots import robots_filter
 from offerloom.plans.checkpoints import materialize
-from offerloom.plans.joins import lookup_join, match_join, unique_join
+from offerloom.plans.joins import is_small, likely_in, lookup_join, match_join, unique_join
 
 # Fixed value: pages a browser has rendered are used whatever they contain.
 BROWSER_METHOD = "playwright-reused"
@@ -36,7 +36,8 @@ class SearchInput:
 
     requests: DataFrame
     allowed: DataFrame
-    links: DataFrame
+    # Links of start pages; without them they are read from the start pages among ``pages``.
+    links: DataFrame | None
     pages: DataFrame
     gazetteer: DataFrame
     rules: DataFrame
@@ -48,6 +49,10 @@ class SearchInput:
     extract: Callable[[DataFrame], DataFrame] | None = None
     # Public-suffix rules, as ``suffix_list`` reads them from a table.
     suffixes: Sequence[str] = DEFAULT_SUFFIXES
+    links_per_seed: int = discovery.LINKS_PER_SEED
+    top_per_domain: int = discovery.TOP_PER_DOMAIN
+    batch_size: int = discovery.BATCH_SIZE
+    ttl_hours: int = caches.TTL_HOURS
 
 
 @dataclass
@@ -78,7 +83,12 @@ def find_candidates(given: SearchInput, requests: DataFrame, now: Column) -> tup
     cached = _from_url_cache(from_cache.select("query_normalized").distinct(), given.cached_urls, now)
     cached_rows = match_join(from_cache, cached, ["query_normalized"]).filter(F.col("rank") <= F.col("max_urls"))
 
-    lists = discovery.top_links_per_domain(to_discover, given.links, suffixes=given.suffixes)
+    links = given.links
+    if links is None:
+        links = discovery.discover_links(given.pages, given.allowed, given.suffixes, given.links_per_seed)
+    lists = discovery.top_links_per_domain(
+        to_discover, links, given.top_per_domain, given.suffixes, given.links_per_seed
+    )
     best = discovery.top_links(to_discover, lists)
     wanted = to_discover.select("query_normalized", "max_urls").distinct()
     cut = match_join(best, wanted, ["query_normalized"]).filter(F.col("position") <= F.col("max_urls"))
@@ -95,16 +105,20 @@ def find_candidates(given: SearchInput, requests: DataFrame, now: Column) -> tup
 def extract_needed(given: SearchInput, urls: DataFrame, agent: str) -> DataFrame:
     """One row per page that could be read among distinct URLs; without a product its name is null.
 
-    Pages are unique per URL.  Where the URLs are too many to broadcast, the
-    engine's runtime Bloom filter drops most pages before the shuffle.
+    Pages are unique per URL, and their source is never shuffled: where the URLs
+    are too many to broadcast, a bitmap of them drops most other pages, and the
+    products of those it lets through are dropped by an exact join.
     """
     permitted = materialize(robots_filter(urls, given.robots, agent))
-    pages = unique_join(given.pages, permitted, ["url"], "left_semi")
+    few = is_small(permitted)
+    pages = given.pages.join(F.broadcast(permitted), ["url"], "left_semi") if few else likely_in(given.pages, permitted, "url")
     readable = usable_pages(pages).filter(F.col("usable") | (F.col("fetch_method") == BROWSER_METHOD))
     readable = readable.drop("usable")
     if given.extract is not None:
-        return materialize(given.extract(readable))
-    return materialize(site_rules(readable, given.rules, keep_nameless=True))
+        extracted = given.extract(readable)
+    else:
+        extracted = site_rules(readable, given.rules, keep_nameless=True)
+    return materialize(extracted if few else unique_join(extracted, permitted, ["url"], "left_semi"))
 
 
 def search(given: SearchInput, now: Column, agent: str) -> SearchOutput:
@@ -116,14 +130,14 @@ def search(given: SearchInput, now: Column, agent: str) -> SearchOutput:
     requests = materialize(validate_requests(given.requests))
     candidates, discovered = find_candidates(given, requests, now)
 
-    hits = caches.cache_hits(candidates, given.cached_results, now)
-    misses = materialize(caches.cache_misses(candidates, given.cached_results, now))
+    looked_up = materialize(caches.cache_lookup(candidates, given.cached_results, now))
+    hits, misses = caches.judged_hits(looked_up), caches.unmatched(looked_up)
     extracted = extract_needed(given, misses.select("url").distinct(), agent)
     products = extracted.filter(F.col("product_name").isNotNull())
     fresh = materialize(build_results(lookup_join(misses, products, ["url"], "inner"), given.gazetteer, given.suffixes))
 
     accepted = hits.filter("accepted").drop("accepted", "cache_key", "url").withColumn("extractor", F.lit("cache"))
-    merged = materialize(with_offer_keys(union_cached_fresh(accepted, fresh)))
+    merged = materialize(with_offer_keys(union_cached_fresh(accepted, fresh, given.batch_size)))
     kept = dedupe_results(merged, ["ord"])
     results = materialize(
         kept.withColumn("id", F.sha1(F.concat_ws("|", "job_id", "source_url"))).drop(
@@ -141,6 +155,6 @@ def search(given: SearchInput, now: Column, agent: str) -> SearchOutput:
     return SearchOutput(
         results=results,
         status=job_status(requests.select("job_id", F.lit("done").alias("status")), items),
-        new_cached_urls=caches.append_url_cache(discovered, now),
-        cached_results=caches.upsert_results(given.cached_results, fresh, ["job_id", "rank"], now),
+        new_cached_urls=caches.append_url_cache(discovered, now, given.ttl_hours),
+        cached_results=caches.upsert_results(given.cached_results, fresh, ["job_id", "rank"], now, given.ttl_hours),
     )

@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from offerloom import schemas
 from offerloom.operators import discovery
 from offerloom.plans import joins
+from offerloom.plans.ordering import with_places
 
 LINKS = [
     ("alfa.ro", 0, "https://alfa.ro/despre", ""),
@@ -56,10 +58,9 @@ def test_ranking_of_known_links(spark, monkeypatch, broadcast):
     assert {r.query_normalized: r.url for r in cut} == {q: rows[0][0] for q, rows in BEST.items()}
 
 
-def test_only_the_first_links_count(spark, monkeypatch):
-    monkeypatch.setattr(discovery.first_links, "__defaults__", (1,))
+def test_only_the_first_links_count(spark):
     requests = spark.createDataFrame([("red",)], "query_normalized STRING")
-    lists = discovery.top_links_per_domain(requests, spark.createDataFrame(LINKS, schemas.LINKS), 2).collect()
+    lists = discovery.top_links_per_domain(requests, spark.createDataFrame(LINKS, schemas.LINKS), 2, per_seed=1).collect()
     assert {(r.query_normalized, r.seed_domain, r.url, r.score) for r in lists} == {
         (None, "alfa.ro", A0, 3.0), (None, "beta.com", B2, 3.5),
     }
@@ -77,6 +78,37 @@ def test_token_matches(spark, monkeypatch, in_place):
     assert {(r.token, r.pos) for r in got} == expected and len(got) == len(expected)
 
 
+def test_start_pages_are_read_where_they_are(spark):
+    web = [
+        ("https://a.ro", '<a href="/x">X</a><a href="https://no.ro/y">no</a><a href="//b.ro/z">Z</a>'),
+        ("http://a.ro/", '<a href="/never">never</a>'),
+        ("https://b.ro/", None),  # not fetched
+        ("http://b.ro/", '<a href="p/1">P</a>'),
+        ("https://c.ro/", "<p>no links</p>"),
+        ("https://no.ro", '<a href="https://a.ro/x">X</a>'),
+        ("https://a.ro/deep", '<a href="https://a.ro/deeper">D</a>'),
+    ]
+    pages = spark.createDataFrame(web, "url STRING, html STRING")
+    allowed = spark.createDataFrame([("a.ro",), ("b.ro",), ("c.ro",), ("d.ro",)], "domain STRING")
+    links = discovery.discover_links(pages, allowed)
+    assert sorted((r.seed_domain, r.url, r.text) for r in links.collect()) == [
+        ("a.ro", "https://a.ro/x", "X"), ("a.ro", "https://b.ro/z", "Z"), ("b.ro", "http://b.ro/p/1", "P"), ("c.ro", "https://c.ro", ""),
+    ]
+    assert [r.seed_domain for r in discovery.discover_links(pages, allowed, limit=1).orderBy("seed_domain").collect()] == ["a.ro", "b.ro", "c.ro"]
+    assert discovery.discover_links(pages.limit(0), allowed).count() == 0
+
+
+def test_places_in_a_total_order(spark):
+    df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("score"), "id")
+    order = [F.desc("score"), F.asc("id")]
+    placed = with_places(df, order, "at")
+    assert [r["at"] for r in placed.orderBy(*order).collect()] == list(range(1, 1001))
+    assert with_places(df.limit(0), order, "at").count() == 0
+    # A window without keys would sort everything in one task.
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
 def test_seeds_without_links_stand_for_themselves(spark):
     seeds = spark.createDataFrame([("a.ro", "https://a.ro"), ("b.ro", "https://b.ro")], "seed_domain STRING, base_url STRING")
     links = spark.createDataFrame([("a.ro", 0, "https://a.ro/x", "t")], schemas.LINKS)

@@ -1,6 +1,7 @@
 """The shared joins give the same rows whichever way they take."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from offerloom.plans import joins
 
@@ -40,3 +41,25 @@ def test_small_tables_are_broadcast(spark):
     large, keyed = tables(spark)
     plan = joins.lookup_join(large, keyed, ["k"], "left")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_wide_rows_are_not_small(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", ["x" * 50])] * 10, "k STRING, v ARRAY<STRING>")
+    assert joins.is_small(rows)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 500)
+    assert not joins.is_small(rows)
+    assert joins.is_small(rows.select("k"))
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_likely_in_keeps_every_wanted_row(spark, monkeypatch, bits):
+    monkeypatch.setattr(joins, "FILTER_BITS", bits)
+    large = spark.range(2000).select(F.concat(F.lit("u"), "id").alias("url"), "id")
+    large = large.unionByName(spark.createDataFrame([(None, 1)], "url STRING, id BIGINT"))
+    wanted = spark.range(20).select(F.concat(F.lit("u"), F.col("id") * 100).alias("url"))
+    found = joins.likely_in(large, wanted, "url")
+    assert found.columns == large.columns
+    ids = {r.id for r in found.collect() if r.url}
+    assert {i * 100 for i in range(20)} <= ids
+    assert len(ids) == 20 if bits > 64 else len(ids) < 1000
+    assert joins.likely_in(large, wanted.limit(0), "url").count() == 0

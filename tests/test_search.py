@@ -1,14 +1,20 @@
 """The whole search on a small web."""
 
+import dataclasses
 import datetime
 import decimal
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from offerloom import schemas
+from offerloom.operators import extract
 from offerloom.operators.extract import DEFAULT_SITE_RULES
+from offerloom.plans import joins
+from offerloom.plans import search as search_plan
+from offerloom.plans.checkpoints import materialize
 from offerloom.plans.search import SearchInput, search
 
 NOW = datetime.datetime(2024, 5, 1)
@@ -39,8 +45,7 @@ LINKS = [
 ]
 
 
-@pytest.fixture(scope="module")
-def found(spark):
+def small_web(spark):
     requests = [
         ("near", "Trandafir", "Bucuresti", False, 10, 60),
         ("all", "trandafir", "All Romania", False, 200, 60),
@@ -67,9 +72,49 @@ def found(spark):
         cached_urls=spark.createDataFrame(cached_urls, schemas.CACHED_URLS),
         cached_results=spark.createDataFrame(cached_results, schemas.CACHED_RESULTS),
     )
+    return given
+
+
+def run(given):
     return search(given, F.lit(NOW).cast("timestamp_ntz"), "OfferBot/1.0")
 
 
+@pytest.fixture(scope="module")
+def found(spark):
+    return run(small_web(spark))
+
+
+def test_source_of_pages_is_not_shuffled(spark, monkeypatch, tmp_path):
+    given = small_web(spark)
+    given.pages.write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    urls = spark.createDataFrame([(p[0],) for p in PAGES] + [("https://none.ro/p",)], "url STRING")
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(search_plan, "materialize", lambda df: written.append(df) or materialize(df))
+    written = []
+    given = dataclasses.replace(given, pages=pages, extract=extract.extract_products)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        got = search_plan.extract_needed(given, urls, "OfferBot/1.0")
+        execution = written[-1]._jdf.queryExecution()
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(execution, "formatted")
+    finally:
+        spark.conf.set(threshold, before)
+    assert {r.url for r in got.collect()} == {p[0] for p in PAGES if "/p/js" not in p[0] and "/p/gol" not in p[0]}
+    assert len(re.findall(r"ReadSchema: \S*html", plan)) == 1
+    shuffled = re.findall(r"\n\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: (.*)", plan)
+    assert len(shuffled) >= 3 and not any("html#" in columns for columns in shuffled)
+
+
+def test_settings(spark):
+    given = dataclasses.replace(small_web(spark), top_per_domain=1, ttl_hours=1, batch_size=2)
+    out = run(given)
+    assert {r.url for r in out.new_cached_urls.collect()} == {"https://a.ro/produs/rosu", "https://b.ro/p/rosu"}
+    assert {r.expires_at for r in out.new_cached_urls.collect()} == {NOW + datetime.timedelta(hours=1)}
+
+
 def test_results(found):
     rows = {(r.job_id, r.source_url): r for r in found.results.collect()}
     # b.ro/p/rosu has the canonical URL of a.ro/produs/rosu and is dropped.

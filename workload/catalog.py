@@ -14,9 +14,9 @@ from offerloom.operators import caches, discovery, extract, location, requests,
 from offerloom.operators.dedupe import dedupe_results
 from offerloom.operators.ratelimit import rate_limit
 from offerloom.plans.checkpoints import working_folder
-from offerloom.plans.search import SearchInput, search
+from offerloom.plans.search import SearchInput, find_candidates, search
 from offerloom.sources.sinks import job_results as stored_job_results
-from offerloom.sources.sinks import write_results
+from offerloom.sources.sinks import write_csv, write_results
 from offerloom.streaming import jobs as streams
 from workload.fixtures import derive, stream_of, table
 
@@ -359,7 +359,12 @@ def api_rows(spark, sf):
 
 @query
 def csv_export(spark, sf):
-    return results.csv_rows(results.api_rows(table(spark, sf, "fx_results")))
+    """Written and read again."""
+    folder = working_folder(spark, "csv")
+    write_csv(results.api_rows(table(spark, sf, "fx_results")), folder)
+    names = ", ".join(f"`{header}` STRING" for header in results.CSV_HEADERS.values())
+    reader = spark.read.schema(names).option("header", True).option("escape", '"')
+    return reader.option("emptyValue", "").option("nullValue", "\0").csv(folder)
 
 
 @query
@@ -367,24 +372,58 @@ def display_rows(spark, sf):
     return results.display_rows(results.api_rows(table(spark, sf, "fx_results")))
 
 
-@query
-def search_requests(spark, sf):
-    """All valid requests from ranking to stored offers."""
-    given = SearchInput(
+def _search_input(spark, sf, from_pages: bool) -> SearchInput:
+    pages = table(spark, sf, "fx_link_pages")
+    return SearchInput(
         requests=table(spark, sf, "fx_requests"),
         allowed=table(spark, sf, "fx_allowed"),
-        links=table(spark, sf, "fx_links"),
-        pages=table(spark, sf, "fx_link_pages"),
+        links=None if from_pages else table(spark, sf, "fx_links"),
+        pages=pages.unionByName(table(spark, sf, "fx_start_pages")) if from_pages else pages,
         gazetteer=table(spark, sf, "fx_gazetteer"),
         rules=table(spark, sf, "fx_site_rules"),
         robots=table(spark, sf, "fx_robots"),
         cached_urls=table(spark, sf, "fx_cached_urls"),
         cached_results=table(spark, sf, "fx_search_cache"),
     )
-    offers = search(given, now(), ROBOT).results
-    return _double_price(offers).select(
-        "job_id", "rank", "source_url", "product_name", "domain", "price", "price_token", "size_text", "location_city",
-        "distance_km", "extraction_method", "extractor",
+
+
+OFFER_COLUMNS = [
+    "job_id", "rank", "source_url", "product_name", "domain", "price", "price_token", "size_text", "location_city",
+    "distance_km", "extraction_method", "extractor",
+]
+
+
+@query
+def search_requests(spark, sf):
+    """All valid requests from ranking to stored offers."""
+    offers = search(_search_input(spark, sf, from_pages=False), now(), ROBOT).results
+    return _double_price(offers).select(*OFFER_COLUMNS)
+
+
+@query
+def search_from_pages(spark, sf):
+    """The same from nothing but pages, the start pages among them."""
+    offers = search(_search_input(spark, sf, from_pages=True), now(), ROBOT).results
+    return _double_price(offers).select(*OFFER_COLUMNS)
+
+
+@query
+def search_status(spark, sf):
+    return search(_search_input(spark, sf, from_pages=True), now(), ROBOT).status
+
+
+@query
+def search_new_urls(spark, sf):
+    _, discovered = find_candidates(_search_input(spark, sf, from_pages=True), _valid(spark, sf), now())
+    return caches.append_url_cache(discovered, now())
+
+
+@query
+def search_cache(spark, sf):
+    cached = search(_search_input(spark, sf, from_pages=False), now(), ROBOT).cached_results
+    return _double_price(cached).select(
+        "cache_key", "query_normalized", "domain", "source_url", "product_name", "price", "location_city", "created_at",
+        "expires_at",
     )
 
 

@@ -317,6 +317,32 @@ SELECT url, CASE WHEN n % 17 = 0 THEN '<h1>scurt</h1>' ELSE '<html><head><title>
 FROM (SELECT url, min(pos) AS n FROM fx_links GROUP BY url) AS u
 """
 
+# What the start pages below link to: allowed targets of allowed domains.
+FIXTURES["fx_seed_links"] = """
+SELECT seed_domain, pos, url, text FROM (
+  SELECT l.*, CAST(substr(seed_domain, 2, length(seed_domain) - 4) AS BIGINT) AS n FROM fx_links AS l
+  WHERE seed_domain IN (SELECT domain FROM fx_allowed)) AS seeded
+WHERE n % 11 <> 3 AND replace(split_part(url, '/', 3), 'www.', '') IN (SELECT domain FROM fx_allowed)
+UNION ALL
+SELECT 's' || CAST(s_suppkey AS STRING) || '.ro' AS seed_domain, CAST(0 AS BIGINT) AS pos,
+  CASE WHEN s_suppkey % 5 IN (0, 2) THEN 'http' ELSE 'https' END || '://s' || CAST(s_suppkey AS STRING) || '.ro' AS url, '' AS text
+FROM supplier WHERE s_suppkey % 11 = 3 AND s_suppkey % 9 <> 4
+"""
+
+# Start pages under either scheme or both; https without source, or an http page that must not be read.
+FIXTURES["fx_start_pages"] = """
+WITH filled AS (SELECT seed_domain, listagg('<p><a href="' || url || '">' || text || '</a></p>', '')
+    WITHIN GROUP (ORDER BY pos) AS body FROM fx_links GROUP BY seed_domain),
+known AS (SELECT 's' || CAST(s_suppkey AS STRING) || '.ro' AS domain, s_suppkey AS n FROM supplier),
+written AS (SELECT domain, n, CASE WHEN n % 11 = 3 THEN '<p>gol</p>' ELSE '<html><body>' || coalesce(body, '') || '</body></html>' END AS html
+  FROM known LEFT JOIN filled ON seed_domain = domain)
+SELECT CASE n % 5 WHEN 0 THEN 'http://' || domain || '/' WHEN 2 THEN 'http://' || domain ELSE 'https://' || domain END AS url,
+  html, 'httpx' AS fetch_method FROM written
+UNION ALL SELECT 'https://' || domain AS url, CAST(NULL AS STRING) AS html, 'httpx' AS fetch_method FROM known WHERE n % 5 = 0
+UNION ALL SELECT 'http://' || domain AS url, '<a href="https://s1.ro/produs/magazin">Red ring</a>' AS html, 'httpx' AS fetch_method
+  FROM known WHERE n % 5 = 1
+"""
+
 FIXTURES["fx_search_cache"] = """
 SELECT sha1(query_normalized || '|' || url) AS cache_key, query_normalized, substr(url, 9, 3) AS domain, url AS source_url,
   'Cache ' || CAST(n % 30 AS STRING) AS product_name, CAST(CAST(n % 70 AS DECIMAL(12,2)) / 2 AS DECIMAL(12,2)) AS price,

@@ -498,7 +498,7 @@ WITH {API} SELECT productName AS "Produs", website AS "Site", coalesce({number_t
   sourceUrl AS "URL" FROM api
 """)
 
-SEARCH = f"""
+SEARCH_STEPS = f"""
 WITH {RANKED},
 gate AS (SELECT v.*, coalesce(n, 0) > 0 AND coalesce(n, 0) >= least(10, max_urls) AS use_cache FROM valid AS v LEFT JOIN
     (SELECT query_normalized, count(*) AS n FROM fx_cached_urls WHERE expires_at >= {NOW} GROUP BY ALL) AS c
@@ -509,6 +509,7 @@ wanted AS (SELECT DISTINCT query_normalized, max_urls FROM gate WHERE NOT use_ca
 cut AS (SELECT w.query_normalized, w.max_urls, b.url, b.position, regexp_extract(b.url, '//(?:www[.])?([^/]*)', 1) AS dom
     FROM best AS b JOIN wanted AS w ON b.query_normalized = w.query_normalized AND b.position <= w.max_urls),
 kept AS (SELECT *, {score('url', 'dom')} AS score FROM cut WHERE dom IN (SELECT domain FROM fx_allowed)),
+discovered AS (SELECT query_normalized, url, max(score) AS score FROM kept WHERE score >= 1.0 GROUP BY query_normalized, url),
 ranked AS (SELECT query_normalized, max_urls, url, row_number() OVER (PARTITION BY query_normalized, max_urls
     ORDER BY score DESC, position) AS rank FROM kept WHERE score >= 1.0),
 candidates AS (
@@ -544,11 +545,34 @@ offers AS (SELECT *, (rank - 1) // 25 * 50 + fetched * 25 + (rank - 1) % 25 AS o
 lists AS (SELECT job_id, list({{'ord': ord, 'k': k, 'u': url}} ORDER BY ord) AS rows FROM offers GROUP BY job_id),
 first_ones AS (SELECT job_id, unnest(list_reduce(list_transform(rows, lambda r: [r]), lambda a, x:
     CASE WHEN list_contains(list_transform(a, lambda y: y.k), x[1].k) OR list_contains(list_transform(a, lambda y: y.u), x[1].u)
-    THEN a ELSE list_concat(a, x) END)) AS r FROM lists)
-SELECT o.job_id, o.rank, o.url AS source_url, product_name, domain, price, price_token, size_text, location_city, distance_km,
-  extraction_method, extractor FROM offers AS o JOIN first_ones AS f ON f.job_id = o.job_id AND f.r.ord = o.ord
+    THEN a ELSE list_concat(a, x) END)) AS r FROM lists),
+results AS (SELECT o.job_id, o.rank, o.url AS source_url, product_name, domain, price, price_token, size_text, location_city, distance_km,
+  extraction_method, extractor FROM offers AS o JOIN first_ones AS f ON f.job_id = o.job_id AND f.r.ord = o.ord),
+fresh AS (SELECT DISTINCT sha1(m.query_normalized || '|' || o.url) AS cache_key, m.query_normalized, o.domain, o.url AS source_url,
+    o.product_name, o.price, o.location_city FROM offers AS o JOIN misses AS m USING (job_id, rank) WHERE o.fetched = 1)
 """
-oracle("search_requests", SEARCH)
+FROM_PAGES = SEARCH_STEPS.replace("fx_links", "fx_seed_links")
+oracle("search_requests", f"{SEARCH_STEPS} SELECT * FROM results")
+oracle("search_from_pages", f"{FROM_PAGES} SELECT * FROM results")
+oracle("search_status", f"""{FROM_PAGES}
+SELECT job_id, 'done' AS status, (SELECT count(*) FROM candidates AS c WHERE c.job_id = v.job_id) AS total_candidate_urls,
+  (SELECT count(*) FROM candidates AS c WHERE c.job_id = v.job_id) AS processed_urls,
+  (SELECT count(*) FROM results AS r WHERE r.job_id = v.job_id) AS found_products,
+  (SELECT count(*) FROM misses AS m WHERE m.job_id = v.job_id AND m.url NOT IN (SELECT url FROM read)) AS errors,
+  CAST(100 AS DOUBLE) AS progress FROM valid AS v
+""")
+oracle("search_new_urls", f"""{FROM_PAGES}
+SELECT query_normalized, 'manual' AS provider, url, score, {NOW} AS created_at, {NOW} + INTERVAL 1 DAY AS expires_at FROM discovered
+""")
+oracle("search_cache", f"""{SEARCH_STEPS}
+SELECT cache_key, coalesce(o.query_normalized, f.query_normalized) AS query_normalized, coalesce(o.domain, f.domain) AS domain,
+  coalesce(o.source_url, f.source_url) AS source_url,
+  CASE WHEN f.domain IS NULL THEN o.product_name ELSE f.product_name END AS product_name,
+  CASE WHEN f.domain IS NULL THEN CAST(o.price AS DOUBLE) ELSE f.price END AS price,
+  CASE WHEN f.domain IS NULL THEN o.location_city ELSE f.location_city END AS location_city,
+  coalesce(o.created_at, {NOW}) AS created_at, CASE WHEN f.domain IS NULL THEN o.expires_at ELSE {NOW} + INTERVAL 1 DAY END AS expires_at
+FROM fx_search_cache AS o FULL JOIN fresh AS f USING (cache_key)
+""")
 
 # Time-driven and incremental
 
