@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from offerloom.llm.blocks import PACKED, dimension, matrix, unpacked, usable
 from offerloom.llm.common import forest, numbered, prepare, stored
 from offerloom.llm.components import components
+from offerloom.plans.joins import lookup_join
 
 BLOCK = 4096
 LEADING = 8
@@ -188,9 +189,10 @@ def similar(vectors: DataFrame, id_col: str, vector_col: str, cosine: float = 0.
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     nodes = grid.join(links, "node", "left").join(roots, "node", "left")
-    nodes = nodes.withColumn("root", F.coalesce("root", "node"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(least, "root")
+    nodes = stored(nodes.withColumn("root", F.coalesce("root", "node")), "nodes")
+    least = stored(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    # A component, or the copies of a vector, may hold a large share of the rows: frequent keys are joined apart.
+    nodes = lookup_join(nodes, least, ["root"], "inner")
     total = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     linked = good.join(nodes.select("v", total, "component_id"), "v").select("id", "n_links", "component_id")
     return linked.unionByName(unlinked)
