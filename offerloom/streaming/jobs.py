@@ -21,11 +21,21 @@ from offerloom.operators.ratelimit import DEFAULT_LIMIT, DEFAULT_WINDOW_SECONDS,
 from offerloom.plans.joins import lookup_join
 
 
-def _run_batches(stream: DataFrame, folder: str, body: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
+# All that is there, then stop; a job may be given another one, such as {"processingTime": "1 minute"}.
+TRIGGER = {"availableNow": True}
+
+
+def _run_batches(
+    stream: DataFrame,
+    folder: str,
+    body: Callable[[DataFrame, int], None],
+    trigger: dict | None = None,
+    mode: str = "append",
+) -> StreamingQuery:
     return (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or TRIGGER))
         .foreachBatch(body)
         .start()
     )
@@ -46,14 +56,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def stream_extract(pages: DataFrame, folder: str) -> StreamingQuery:
+def stream_extract(pages: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
     """New pages to products in ``folder``/products; stateless, exactly once by the file sink."""
     return (
         extract_products(pages)
         .writeStream.format("parquet")
         .option("path", f"{folder}/products")
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or TRIGGER))
         .start()
     )
 
@@ -65,6 +75,7 @@ def stream_dedupe(
     first: list[str] | None = None,
     second: list[str] | None = None,
     job: str = "job_id",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep-first by two keys per job across batches, into ``folder``/kept."""
     first, second = first or OFFER_KEY, second or URL_KEY
@@ -80,7 +91,7 @@ def stream_dedupe(
         result = dedupe_results(undecided.select(*batch.columns), order, first, second, job)
         result.write.mode("overwrite").parquet(_batch_path(folder, "kept", batch_id))
 
-    return _run_batches(rows, folder, body)
+    return _run_batches(rows, folder, body, trigger)
 
 
 def stream_rate_limit(
@@ -91,51 +102,60 @@ def stream_rate_limit(
     key: str = "key",
     ts: str = "ts",
     tie_break: str = "event_id",
+    lateness_seconds: int = 0,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Rate limiting across batches, into ``folder``/decided.
 
-    State are the last ``limit`` admitted hits of each key inside the window;
-    read again in front of the new ones they give the same state.  Hits older
-    than the newest of an earlier batch can no longer be put in order: they go
-    to ``folder``/late.
+    A hit is decided once one ``lateness_seconds`` newer was seen; until then it
+    is held with the state, so hits that arrive out of order by less are put in
+    order.  Older ones than that go to ``folder``/late.  The state proper are the
+    last ``limit`` admitted hits of each key inside the window; read again in
+    front of the new ones they give the same state.
     """
     columns = hits.columns
 
+    def literal(value) -> Column:
+        # A time without a zone must not pass through the zone of the session.
+        naive = dict(hits.dtypes)[ts] == "timestamp_ntz" and value is not None
+        return F.lit(value.isoformat()).cast("timestamp_ntz") if naive else F.lit(value)
+
+    def seconds(n: int) -> Column:
+        return F.make_dt_interval(secs=F.lit(n))
+
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = _batch_path(folder, "state", batch_id - 1)
         state = spark.read.parquet(before) if _exists(spark, before) else None
-        fresh = batch.withColumn("_old", F.lit(False))
+        waiting = batch.withColumn("_old", F.lit(False))
+        marks = batch.agg((F.max(ts) - seconds(lateness_seconds)).alias("_settled"))
         if state is not None:
-            mark = state.agg(F.max("_mark")).first()[0]
-            if mark is not None:
-                late = F.col(ts) < F.lit(mark)
+            settled = state.agg(F.max("_settled")).first()[0]
+            if settled is not None:
+                late = F.col(ts) < literal(settled)
                 batch.filter(late).write.mode("overwrite").parquet(_batch_path(folder, "late", batch_id))
-                fresh = fresh.filter(~late)
-            fresh = fresh.unionByName(state.filter(F.col(ts).isNotNull()).select(*columns).withColumn("_old", F.lit(True)))
-        decided = rate_limit(fresh, limit, window_seconds, key, ts, tie_break)
+                waiting = waiting.filter(~late)
+            carried = state.filter(F.col(ts).isNotNull()).select(*columns, (~F.col("_pending")).alias("_old"))
+            waiting = waiting.unionByName(carried)
+            marks = marks.unionByName(state.select("_settled")).agg(F.max("_settled").alias("_settled"))
+        settled = literal(marks.first()[0])
+        decided = rate_limit(waiting.filter(F.col(ts) <= settled), limit, window_seconds, key, ts, tie_break)
         decided.filter(~F.col("_old")).drop("_old").write.mode("overwrite").parquet(
             _batch_path(folder, "decided", batch_id)
         )
-        _write_state(decided.filter("admitted").select(*columns), state, batch, batch_id)
-
-    def _write_state(admitted: DataFrame, state: DataFrame | None, batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max(ts).alias("_mark"))
-        if state is not None:
-            newest = newest.unionByName(state.agg(F.max("_mark").alias("_mark"))).agg(F.max("_mark").alias("_mark"))
-        mark = newest.first()[0]
-        recent = admitted.filter(F.col(ts) >= F.lit(mark) - F.make_dt_interval(secs=F.lit(window_seconds)))
+        recent = decided.filter(F.col("admitted") & (F.col(ts) >= settled - seconds(window_seconds))).select(*columns)
         last = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tie_break))
         kept = recent.withColumn("_n", F.row_number().over(last)).filter(F.col("_n") <= limit).drop("_n")
-        marker = newest.select("_mark")
-        kept.withColumn("_mark", F.lit(mark)).unionByName(marker, allowMissingColumns=True).write.mode(
-            "overwrite"
-        ).parquet(_batch_path(folder, "state", batch_id))
+        pending = waiting.filter(F.col(ts) > settled).select(*columns)
+        rows = kept.withColumn("_pending", F.lit(False)).unionByName(pending.withColumn("_pending", F.lit(True)))
+        rows.unionByName(marks, allowMissingColumns=True).write.mode("overwrite").parquet(
+            _batch_path(folder, "state", batch_id)
+        )
 
-    return _run_batches(hits, folder, body)
+    return _run_batches(hits, folder, body, trigger)
 
 
-def stream_progress(items: DataFrame, folder: str) -> StreamingQuery:
+def stream_progress(items: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
     """Running counters per job from items(job_id, processed, found, error), into ``folder``/progress.
 
     The counters are a streaming aggregation in update mode; each batch writes
@@ -155,7 +175,7 @@ def stream_progress(items: DataFrame, folder: str) -> StreamingQuery:
     def body(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_batch_path(folder, "progress", batch_id))
 
-    return _run_batches(counters, folder, body, mode="update")
+    return _run_batches(counters, folder, body, trigger, mode="update")
 
 
 def latest_progress(spark: SparkSession, folder: str) -> DataFrame:

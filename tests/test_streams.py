@@ -74,6 +74,24 @@ def test_stream_rate_limit(spark, tmp_path):
     assert jobs.read_batches(spark, folder, "decided").count() == 300
 
 
+def test_late_hits_are_put_in_order(spark, tmp_path):
+    start = datetime.datetime(2024, 3, 31, 1, 0)
+    # Out of order by at most 200 seconds, across the change of the clocks in many zones.
+    seconds = [i * 40 + (-160 if i % 7 == 3 else 0) for i in range(300)]
+    rows = [(i // 100, i, None if i % 11 == 0 else f"k{i % 3}", start + datetime.timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    df = spark.createDataFrame(rows, "part INT, event_id INT, key STRING, ts TIMESTAMP_NTZ")
+    source, folder = str(tmp_path / "hits"), str(tmp_path / "run")
+    for part in range(3):
+        write_parts(df, source, [part])
+        query = jobs.stream_rate_limit(stream(spark, df, source), folder, 2, 240, lateness_seconds=200, trigger={"once": True})
+        query.awaitTermination()
+    got = {r.event_id: r.admitted for r in jobs.read_batches(spark, folder, "decided").collect()}
+    expected = {r.event_id: r.admitted for r in rate_limit(df.drop("part"), 2, 240).collect()}
+    newest = max(seconds)
+    assert got == {i: a for i, a in expected.items() if seconds[i] <= newest - 200}
+    assert jobs.read_batches(spark, folder, "late").count() == 0 and 0 < sum(got.values()) < len(got)
+
+
 def test_stream_progress(spark, tmp_path):
     rng = random.Random(7)
     rows = [(i // 40, f"j{rng.randrange(5)}", rng.random() < 0.7, rng.random() < 0.3, rng.random() < 0.1) for i in range(120)]
