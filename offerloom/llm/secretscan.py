@@ -25,6 +25,8 @@ occur; an empty table gives an empty result.  Only the id and the text are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ UNEVENNESS = 2.0
 CORRELATION = 0.6
 BINS_PER_E = 8
 BINS = 400
+CHUNK = 512
+STRETCH = 1024
 # Encoding: pattern, symbols, and the chance that neighbours are of different classes.
 ENCODINGS = {
     "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", 16, 1 - (10 / 16) ** 2 - (6 / 16) ** 2),
@@ -55,6 +59,43 @@ ENCODINGS = {
 }
 
 
+def running(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What ``step(carried, item)`` finds at each item; it gives ``(carried on, found)``.
+
+    Items are taken in chunks of ``CHUNK``: a list that grows by one is copied each time,
+    so a text with very many items would otherwise cost the square of their number.
+    """
+
+    def one(state: Column, item: Column) -> Column:
+        carried, found = step(state["at"], item)
+        return F.struct(carried.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
+
+    def none(item: Column) -> Column:
+        return F.slice(F.array(step(start, item)[1]), 2, 1)
+
+    def over(every: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(1), F.size(every), F.lit(CHUNK)), lambda i: F.slice(every, i, CHUNK))
+        nothing = none(F.get(every, F.lit(0)))
+
+        def many(state: Column, chunk: Column) -> Column:
+            after = F.aggregate(chunk, F.struct(state["at"].alias("at"), nothing.alias("found")), one)
+            return F.get(
+                F.transform(F.array(after), lambda s: F.struct(s["at"].alias("at"), F.concat(state["found"], F.array(s["found"])).alias("found"))),
+                F.lit(0),
+            )
+
+        begin = F.struct(start.alias("at"), F.array(nothing).alias("found"))
+        found = F.flatten(F.aggregate(chunks, begin, many, lambda s: s["found"]))
+        return F.when(F.size(every) > 0, found).otherwise(nothing)
+
+    return _bound(items, over)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Matches with their places: array of ``(start, end, match)`` in code points, end exclusive.
 
@@ -64,16 +105,13 @@ def located(text: Column, pattern: str) -> Column:
     pairs = F.arrays_zip(
         F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match")
     )
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found"))
 
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["between"])
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + F.length(pair["between"])
         end = start + F.coalesce(F.length(pair["match"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
+        return end, F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
 
-    spans = F.aggregate(pairs, begin, add, lambda state: state["found"])
-    return F.filter(spans, lambda s: s["match"].isNotNull())
+    return F.filter(running(pairs, F.lit(0), step), lambda s: s["match"].isNotNull())
 
 
 def _only_if(text: Column, pattern: str, spans: Column) -> Column:
@@ -188,11 +226,28 @@ def with_spans(docs: DataFrame, text: Column, least: dict[str, int], name: str)
     values = [F.lit(x) for pair in sorted(least.items()) for x in pair]
     threshold = lambda c: F.element_at(F.create_map(*values), c["stratum"])
     found = F.filter(candidates(text), lambda c: c["bin"] >= F.coalesce(threshold(c), F.lit(BINS + 1)))
-    apart = F.filter(
-        found,
-        lambda c: ~F.exists(F.col(name), lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])),
-    )
-    return docs.withColumn(name, F.array_sort(F.concat(F.col(name), F.transform(apart, kind(3)))))
+    return docs.withColumn(name, _apart(F.array_sort(F.concat(F.col(name), F.transform(found, kind(3))))))
+
+
+def _apart(spans: Column) -> Column:
+    """Ordered spans without those of the last kind that overlap one of another kind.
+
+    What begins before such a span overlaps it if it ends behind its start, what begins
+    after it if it starts before its end: one pass from either side.
+    """
+    fixed = lambda s: s["kind"] < 3
+
+    def forth(reach: Column, s: Column) -> tuple[Column, Column]:
+        free = (fixed(s) | (reach <= s["start"])).alias("free")
+        return F.when(fixed(s), F.greatest(reach, s["end"])).otherwise(reach), F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), free)
+
+    def back(reach: Column, s: Column) -> tuple[Column, Column]:
+        free = (s["free"] & (fixed(s) | (reach >= s["end"]))).alias("free")
+        return F.when(fixed(s), F.least(reach, s["start"])).otherwise(reach), F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), free)
+
+    ahead = running(spans, F.lit(0), forth)
+    found = F.reverse(running(F.reverse(ahead), F.lit((1 << 31) - 1), back))
+    return F.transform(F.filter(found, lambda s: s["free"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
 def written(spans: Column) -> Column:
@@ -210,17 +265,30 @@ def find_secrets(docs: DataFrame, id_col: str, text_col: str, false_share: float
 
 
 def redacted(text: Column, spans: Column, mark: str) -> Column:
-    """The text with a mark in place of its spans; spans that touch or overlap share one."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with a mark in place of its spans, at least one; spans that touch or overlap share one.
+
+    The text is cut into stretches of ``STRETCH`` code points first, as finding a place in a
+    text means counting from its start.
+    """
+
+    def step(reach: Column, s: Column) -> tuple[Column, Column]:
+        kept = F.struct(F.greatest(reach, F.lit(0)).alias("start"), s["start"].alias("end"), (s["start"] > reach).alias("apart"))
+        return F.greatest(reach, s["end"]), kept
+
+    def built(stretches: Column) -> Column:
+        def part(start: Column, end: Column) -> Column:
+            def within(i: Column) -> Column:
+                begin = F.greatest(start, i * STRETCH)
+                return F.substr(F.get(stretches, i), begin - i * STRETCH + 1, end - begin)
+
+            touched = F.sequence(F.floor(start / STRETCH).cast("int"), F.floor((end - 1) / STRETCH).cast("int"))
+            return F.when(start < end, F.array_join(F.transform(touched, within), "")).otherwise(F.lit(""))
 
-    def step(state: Column, span: Column) -> Column:
-        between = F.substr(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        joined = (span["start"] <= state["at"]) & (state["out"] != "")
-        out = F.when(joined, state["out"]).otherwise(F.concat(state["out"], between, F.lit(mark)))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
+        kept = F.filter(running(spans, F.lit(-1), step), lambda s: s["apart"])
+        before = F.array_join(F.transform(kept, lambda s: F.concat(part(s["start"], s["end"]), F.lit(mark))), "")
+        return F.concat(before, part(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
 
-    rest = lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text)))
-    return F.aggregate(spans, begin, step, rest)
+    return _bound(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % STRETCH), F.lit(0)), built)
 
 
 def redact(docs: DataFrame, text_col: str, mark: str = "[SECRET]", false_share: float = FALSE_SHARE) -> DataFrame:

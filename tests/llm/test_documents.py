@@ -308,6 +308,30 @@ def test_redaction(spark, secrets, odd):
     assert secretscan.redact(odd.limit(0), "text").collect() == []
 
 
+def test_many_secrets_in_a_text(spark):
+    """Thousands of matches of all kinds, more than a chunk, some overlapping or touching."""
+    rng = np.random.default_rng(4)
+    parts = ["token=abcdefgh ", "É 🙂 ", "AKIA" + "Q7" * 8, " ", "deadbeef" * 5, "passwd: " + "0a" * 20 + "\n", "zz" * 700]
+    text = "".join(rng.choice(parts, 6000, p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.19, 0.01]))
+    df = spark.createDataFrame([(1, text), (2, text[7:])], "doc_id long, text string")
+    spans = {i: base_spans(t) for i, t in ((1, text), (2, text[7:]))}
+    assert len(spans[1]) > 4 * secretscan.CHUNK
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    found = secretscan.find_secrets(df, "doc_id", "text").select("id", secretscan.written(base).alias("base"), "spans").collect()
+    for r in found:
+        assert r.base == as_text(spans[r.id])
+        for s in r.spans:
+            assert s.kind < 3 or all(s.end <= a or b <= s.start for a, _, b in spans[r.id])
+    every = {r.id: sorted((s.start, s.end) for s in r.spans) for r in found}
+    for r in secretscan.redact(df, "text", mark="█").collect():
+        out, at, source = "", -1, (text if r.doc_id == 1 else text[7:])
+        for a, b in every[r.doc_id]:
+            if a > at:
+                out += source[max(at, 0) : a] + "█"
+            at = max(at, b)
+        assert r.text == out + source[at:]
+
+
 # Language
 
 
