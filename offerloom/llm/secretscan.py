@@ -2,7 +2,10 @@
 
 Base kinds: an assignment to a password-like name, an access key, a long run of hex
 digits.  Beyond them every unbroken token of ``TOKEN_LENGTH`` characters that holds
-both a letter and a digit is a candidate.  Its encoding is inferred from the
+both a letter and a digit is a candidate; ``=`` belongs to it only as padding at its
+end, so a value is apart from its name.  So is every part of it between ``+`` and ``/``,
+or between ``-`` and ``_``, that is as long, since paths and names join words to a
+secret; of spans within each other the outermost counts.  Its encoding is inferred from the
 characters it uses (hex, base 32, base 62, base 64), and three tests measure how
 random it looks as a string over that alphabet:
 
@@ -40,9 +43,20 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 
 TOKEN_LENGTH = 20
-TOKEN = (
-    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{%d,}" % TOKEN_LENGTH
-)
+
+
+def unbroken(inside: str, cut: str = "") -> str:
+    """Pattern of a run of letters, digits and ``inside``, with its padding; given ``cut``,
+    only of runs that such a symbol parts from their neighbours."""
+    body = "[A-Za-z0-9%s]" % inside
+    beside = "(?:(?<=[%s])|(?=%s++[%s]))" % (cut, body, cut) if cut else ""
+    both = "(?=[A-Za-z%s]*[0-9])(?=[0-9%s]*[A-Za-z])" % (inside, inside)
+    return "(?<!%s)%s%s%s{%d,}(?:=++(?![A-Za-z0-9+/_-]))?" % (body, beside, both, body, TOKEN_LENGTH)
+
+
+TOKEN = unbroken("+/_-")
+# A token, and its parts between the symbols that also join words to a secret.
+CANDIDATES = [TOKEN, unbroken("_-", "+/"), unbroken("", "_-")]
 FALSE_SHARE = 0.01
 UNEVENNESS = 2.0
 CORRELATION = 0.6
@@ -175,7 +189,7 @@ def _serial(body: Column) -> Column:
 def candidates(text: Column) -> Column:
     """Array of ``(start, end, stratum, bin)``: the class of each candidate and its p-value,
     as whole eighths of -ln p."""
-    found = _only_if(text, TOKEN, located(text, TOKEN))
+    found = F.concat(*[_only_if(text, pattern, located(text, pattern)) for pattern in CANDIDATES])
     known = F.filter(
         F.transform(found, lambda s: F.struct(s["start"], s["end"], s["match"].alias("match"), _encoding(s["match"]).alias("encoding"))),
         lambda s: s["encoding"].isNotNull(),
@@ -226,7 +240,7 @@ def with_spans(docs: DataFrame, text: Column, least: dict[str, int], name: str)
     values = [F.lit(x) for pair in sorted(least.items()) for x in pair]
     threshold = lambda c: F.element_at(F.create_map(*values), c["stratum"])
     found = F.filter(candidates(text), lambda c: c["bin"] >= F.coalesce(threshold(c), F.lit(BINS + 1)))
-    return docs.withColumn(name, _apart(F.array_sort(F.concat(F.col(name), F.transform(found, kind(3))))))
+    return docs.withColumn(name, _outermost(_apart(F.array_sort(F.concat(F.col(name), F.transform(found, kind(3)))))))
 
 
 def _apart(spans: Column) -> Column:
@@ -250,6 +264,19 @@ def _apart(spans: Column) -> Column:
     return F.transform(F.filter(found, lambda s: s["free"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
+def _outermost(spans: Column) -> Column:
+    """Ordered spans without those of the last kind that lie in another one of it."""
+    wide = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+
+    def step(reach: Column, s: Column) -> tuple[Column, Column]:
+        last, end = s["kind"] == 3, -s["back"]
+        found = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), end.alias("end"), (last & (end <= reach)).alias("inner"))
+        return F.when(last, F.greatest(reach, end)).otherwise(reach), found
+
+    kept = F.filter(running(wide, F.lit(0), step), lambda s: ~s["inner"])
+    return F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+
+
 def written(spans: Column) -> Column:
     """``kind:start:end``, joined by commas."""
     kinds = F.array(*[F.lit(k) for k in KINDS])

@@ -291,6 +291,27 @@ def test_random_tokens_are_found_and_ordinary_ones_left(spark, secrets):
     assert not found[206, "random"]
 
 
+def test_random_values_beside_names_and_in_paths(spark):
+    rng = np.random.default_rng(21)
+    forms = [
+        "AUTH={}", "client_key={}", "get https://h.example/p?id=7&sig={}&x=1 now", "left=={} right", "sum {}== end",
+        "/srv/keys/{}", "open /usr/local/share/application/settings/{}/current.txt", "application_settings_of_live_{}",
+    ]
+    rows = []
+    for k, form in enumerate(forms):
+        for i in range(30):
+            value = "".join(rng.choice(list(string.ascii_letters + string.digits), 48))
+            rows.append((100 * k + i, value, "É 🙂 " + form.format(value)))
+    df = spark.createDataFrame(rows, "doc_id long, value string, text string")
+    gone = Counter(r.doc_id // 100 for r in secretscan.redact(df, "text").collect() if r.value not in r.text)
+    assert [k for k in range(len(forms)) if gone[k] < 27] == []
+    spans = {r.id: r.spans for r in secretscan.find_secrets(df, "doc_id", "text").collect()}
+    for i, value, text in rows:
+        assert len(spans[i]) <= 1
+        assert i >= 400 or all(text[s.start : s.end] == value for s in spans[i])
+        assert not 400 <= i < 500 or all(text[s.start : s.end] == value + "==" for s in spans[i])
+
+
 def test_redaction(spark, secrets, odd):
     df = spark.createDataFrame(secrets, "doc_id long, text string")
     for r in secretscan.redact(df, "text", mark="█").collect():
