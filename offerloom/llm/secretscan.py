@@ -6,7 +6,9 @@ both a letter and a digit is a candidate; ``=`` belongs to it only as padding at
 end, so a value is apart from its name.  So is every part of it between ``+`` and ``/``,
 or between ``-`` and ``_``, that is as long, since paths and names join words to a
 secret; of spans within each other the outermost counts.  Its encoding is inferred from the
-characters it uses (hex, base 32, base 62, base 64), and three tests measure how
+characters it uses (hex, hex in groups like a UUID's, tested without the dashes, base 32,
+base 36 in either case, the same with ``+``, ``/``, ``-`` or ``_``, base 62, and base 64
+for the rest, so that none goes untested), and three tests measure how
 random it looks as a string over that alphabet:
 
 * chi-squared: how evenly the symbols of the alphabet are used;
@@ -65,11 +67,15 @@ BINS = 400
 CHUNK = 512
 STRETCH = 1024
 # Encoding: pattern, symbols, and the chance that neighbours are of different classes.
+# Every token with a letter and a digit has one: the last takes whatever is left.
 ENCODINGS = {
-    "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", 16, 1 - (10 / 16) ** 2 - (6 / 16) ** 2),
+    "hex": (r"^([0-9a-f]+|[0-9A-F]+)=*$", 16, 1 - (10 / 16) ** 2 - (6 / 16) ** 2),
+    "uuid": (r"^([0-9a-f]+([_-][0-9a-f]+)+|[0-9A-F]+([_-][0-9A-F]+)+)=*$", 16, 1 - (10 / 16) ** 2 - (6 / 16) ** 2),
     "base32": (r"^[A-Z2-7]+=*$", 32, 1 - (26 / 32) ** 2 - (6 / 32) ** 2),
-    "base62": (r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+=*$", 62, 1 - 2 * (26 / 62) ** 2 - (10 / 62) ** 2),
-    "base64": (r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+=*$", 64, 1 - 2 * (26 / 64) ** 2 - (10 / 64) ** 2 - (2 / 64) ** 2),
+    "base36": (r"^([a-z0-9]+|[A-Z0-9]+)=*$", 36, 1 - (26 / 36) ** 2 - (10 / 36) ** 2),
+    "base38": (r"^([a-z0-9+/_-]+|[A-Z0-9+/_-]+)=*$", 38, 1 - (26 / 38) ** 2 - (10 / 38) ** 2 - (2 / 38) ** 2),
+    "base62": (r"^[A-Za-z0-9]+=*$", 62, 1 - 2 * (26 / 62) ** 2 - (10 / 62) ** 2),
+    "base64": (r"^[A-Za-z0-9+/_-]+=*$", 64, 1 - 2 * (26 / 64) ** 2 - (10 / 64) ** 2 - (2 / 64) ** 2),
 }
 
 
@@ -146,9 +152,10 @@ def normal_tail(z: Column) -> Column:
 
 
 def _encoding(token: Column) -> Column:
-    chosen = F.lit(None).cast("string")
-    for name, (pattern, _, _) in reversed(ENCODINGS.items()):
-        chosen = F.when(token.rlike(pattern), name).otherwise(chosen)
+    *known, last = ENCODINGS
+    chosen = F.lit(last)
+    for name in reversed(known):
+        chosen = F.when(token.rlike(ENCODINGS[name][0]), name).otherwise(chosen)
     return chosen
 
 
@@ -190,13 +197,11 @@ def candidates(text: Column) -> Column:
     """Array of ``(start, end, stratum, bin)``: the class of each candidate and its p-value,
     as whole eighths of -ln p."""
     found = F.concat(*[_only_if(text, pattern, located(text, pattern)) for pattern in CANDIDATES])
-    known = F.filter(
-        F.transform(found, lambda s: F.struct(s["start"], s["end"], s["match"].alias("match"), _encoding(s["match"]).alias("encoding"))),
-        lambda s: s["encoding"].isNotNull(),
-    )
+    known = F.transform(found, lambda s: F.struct(s["start"], s["end"], s["match"].alias("match"), _encoding(s["match"]).alias("encoding")))
 
     def judged(s: Column) -> Column:
         body = F.rtrim(s["match"], F.lit("="))
+        body = F.when(s["encoding"] == "uuid", F.translate(body, "_-", "")).otherwise(body)
         p = F.greatest(_chi_squared(body, _constant(s["encoding"], 1)), _runs(body, _constant(s["encoding"], 2)), _serial(body))
         level = F.least(F.floor(-BINS_PER_E * F.ln(F.greatest(p, F.lit(1e-300)))), F.lit(BINS)).cast("int")
         size = F.floor(2 * F.log2(F.length(body) / F.lit(float(TOKEN_LENGTH)))).cast("string")

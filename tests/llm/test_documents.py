@@ -312,6 +312,20 @@ def test_random_values_beside_names_and_in_paths(spark):
         assert not 400 <= i < 500 or all(text[s.start : s.end] == value + "==" for s in spans[i])
 
 
+def test_every_alphabet_is_tested(spark):
+    rng = np.random.default_rng(22)
+    alphabets = [a + string.digits + more for more in ("", "_-") for a in (string.ascii_lowercase, string.ascii_uppercase)]
+    rows = [(100 * k + i, "".join(rng.choice(list(a), 64))) for k, a in enumerate(alphabets) for i in range(30)]
+    hexa = ["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(30)]
+    rows += [(400 + i, "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))) for i, h in enumerate(hexa)]
+    df = spark.createDataFrame(rows, "doc_id long, value string").select("*", F.concat(F.lit("see "), "value", F.lit(".")).alias("text"))
+    gone = Counter(r.doc_id // 100 for r in secretscan.redact(df, "text").collect() if r.value not in r.text)
+    assert [k for k in range(4) if gone[k] < 15] == []
+    shapes = ["a1", "A1", "aA1", "a1-", "A1/", "aA1+", "f1", "F1_", "f1-", "0a="]
+    texts = spark.createDataFrame([(s * 15,) for s in shapes if "=" not in s] + [("0a" * 15 + "==",)], "text string")
+    assert all(len(r[0]) >= 1 and r[0][0].stratum for r in texts.select(secretscan.candidates(F.col("text"))).collect())
+
+
 def test_redaction(spark, secrets, odd):
     df = spark.createDataFrame(secrets, "doc_id long, text string")
     for r in secretscan.redact(df, "text", mark="█").collect():
