@@ -320,12 +320,29 @@ def test_every_alphabet_is_tested(spark):
     rows += [(400 + i, "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))) for i, h in enumerate(hexa)]
     df = spark.createDataFrame(rows, "doc_id long, value string").select("*", F.concat(F.lit("see "), "value", F.lit(".")).alias("text"))
     gone = Counter(r.doc_id // 100 for r in secretscan.redact(df, "text").collect() if r.value not in r.text)
-    assert [k for k in range(4) if gone[k] < 15] == []
+    assert [k for k in range(5) if gone[k] < 25] == []
     shapes = ["a1", "A1", "aA1", "a1-", "A1/", "aA1+", "f1", "F1_", "f1-", "0a="]
     texts = spark.createDataFrame([(s * 15,) for s in shapes if "=" not in s] + [("0a" * 15 + "==",)], "text string")
     assert all(len(r[0]) >= 1 and r[0][0].stratum for r in texts.select(secretscan.candidates(F.col("text"))).collect())
 
 
+@pytest.mark.parametrize(("size", "ordinary", "least"), [(20, 0, 60), (24, 0, 75), (32, 900, 75), (40, 900, 85)])
+def test_short_random_tokens_among_ordinary_ones(spark, size, ordinary, least):
+    """100 random tokens alone, or as a tenth of their class."""
+    rng = np.random.default_rng(23)
+    words = """get set value index column name table read write from with merge sort order group count window partition frame
+    schema parse format string number array query cache store check missing default option handle error request""".split()
+    random_ones = ["".join(rng.choice(list(string.ascii_letters + string.digits), size)) for _ in range(100)]
+    names = []
+    while len(names) < ordinary:
+        name = "get" + "".join(w.capitalize() for w in rng.choice(words, 8))
+        names.append(name[: size - 1 + len(names) % 4] + str(len(names) % 10))
+    rows = [(True, x) for x in random_ones] + [(False, x) for x in names]
+    found = secretscan.redact(spark.createDataFrame(rows, "random boolean, text string"), "text").filter("text = '[SECRET]'")
+    counts = {r["random"]: r["count"] for r in found.groupBy("random").count().collect()}
+    assert counts.get(True, 0) >= least and counts.get(False, 0) <= 3
+
+
 def test_redaction(spark, secrets, odd):
     df = spark.createDataFrame(secrets, "doc_id long, text string")
     for r in secretscan.redact(df, "text", mark="█").collect():
