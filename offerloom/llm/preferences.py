@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import numbered
+from offerloom.llm.common import numbered, stored
+from offerloom.plans.joins import lookup_join
 
 END = "<|end|>\n"
 
@@ -96,6 +97,49 @@ def neighbours(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, te
     )
 
 
+def prompts(turns: Column) -> Column:
+    """Digests of the role and text of all turns up to each user turn, the longest first."""
+    begin = F.struct(F.lit("").alias("at"), F.array().cast("array<string>").alias("found"))
+
+    def step(state: Column, turn: Column) -> Column:
+        whole = F.concat_ws(":", state["at"], F.length(turn["role"]).cast("string"), turn["role"], turn["text"])
+        at = F.sha2(whole.cast("binary"), 256)
+        found = F.when(turn["role"] == "user", F.concat(F.array(at), state["found"])).otherwise(state["found"])
+        return F.struct(at.alias("at"), found.alias("found"))
+
+    return F.aggregate(turns, begin, step, lambda s: s["found"])
+
+
+def prompt_pairs(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """``(pair_id, chosen_id, rejected_id)``: conversations that share a prompt, two by two.
+
+    Those with all turns up to the last user turn in common meet first, in the order of
+    their ids; what is left of an odd number goes on to the user turn before.  What shares
+    no prompt has no rejected side.  A pair has the id of its chosen conversation.
+    """
+    conversations = ordered_turns(turns, conv_col, turn_col, role_col, text_col)
+    left = stored(conversations.select("conv", prompts(F.col("turns")).alias("prompts")), "prompts")
+    alone = F.lit(None).cast(left.schema["conv"].dataType)
+    found = []
+    while True:
+        found.append(left.filter(F.size("prompts") == 0).select(F.col("conv").alias("chosen_id"), alone.alias("rejected_id")))
+        asked = left.filter(F.size("prompts") > 0).withColumn("prompt", F.get("prompts", F.lit(0)))
+        if asked.isEmpty():
+            break
+        placed = numbered(asked, [F.col("prompt"), F.col("conv")], "place")
+        groups = placed.groupBy("prompt").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+        placed = lookup_join(placed, groups, ["prompt"]).withColumn("i", F.col("place") - F.col("first"))
+        odd = (F.col("n") % 2 == 1) & (F.col("i") == F.col("n") - 1)
+        side = lambda k: F.min(F.when(F.col("i") % 2 == k, F.col("conv")))
+        both = placed.filter(~odd).groupBy(F.col("place") - F.col("i") % 2).agg(side(0).alias("chosen_id"), side(1).alias("rejected_id"))
+        found.append(stored(both.select("chosen_id", "rejected_id"), "pairs"))
+        left = stored(placed.filter(odd).select("conv", F.slice("prompts", F.lit(2), F.size("prompts")).alias("prompts")), "prompts")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.select(F.col("chosen_id").alias("pair_id"), "chosen_id", "rejected_id")
+
+
 def format_preferences(
     pairs: DataFrame,
     turns: DataFrame,

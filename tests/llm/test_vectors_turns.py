@@ -135,3 +135,24 @@ def test_preferences(spark):
     paired = preferences.neighbours(turns, "conv_id", "turn", "role", "text").collect()
     assert sorted(x for p in paired for x in (p.chosen_id, p.rejected_id) if x is not None) == [1, 2, 3, 4]
     assert preferences.neighbours(turns.limit(0), "conv_id", "turn", "role", "text").collect() == []
+
+
+def test_prompt_pairs(spark):
+    """Every prompt of an even number pairs all, wherever it stands; what is left meets at an earlier turn."""
+    rows = []
+    for i in range(300):
+        rows += [(i, 0, "system", "be kind"), (i, 1, "user", f"question {i % 150 if i < 250 else i}"), (i, 2, "assistant", f"answer {i}")]
+    for i, last in ((400, "x"), (401, "x"), (402, "x"), (403, "y")):
+        rows += [(i, 0, "user", "hi"), (i, 1, "assistant", "hello"), (i, 2, "user", last), (i, 3, "assistant", str(i))]
+    rows += [(500, 0, "assistant", "no question"), (None, 0, "user", "hi")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)
+    columns = ("conv_id", "turn", "role", "text")
+    pairs = preferences.prompt_pairs(turns, *columns)
+    found = {tuple(r)[1:] for r in pairs.collect()}
+    together = {(i, i + 150) for i in range(100)}
+    assert found == together | {(i, None) for i in [*range(100, 150), *range(250, 300), 500]} | {(400, 401), (402, 403)}
+    shared = {r.pair_id: r.n_prefix for r in preferences.format_preferences(pairs, turns).collect() if r.rejected_id is not None}
+    assert shared == {**{i: 2 for i in range(100)}, 400: 3, 402: 2}
+    by_place = preferences.neighbours(turns, *columns).collect()
+    assert len({(p.chosen_id, p.rejected_id) for p in by_place} & together) < 100
+    assert preferences.prompt_pairs(turns.limit(0), *columns).collect() == []
