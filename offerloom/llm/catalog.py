@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import bpe, gridjoin, language, mixing, preferences, secretscan, simhash, substrings, tokencount, topk
+from offerloom.llm import (
+    bpe,
+    gridjoin,
+    infill,
+    language,
+    mixing,
+    phrases,
+    preferences,
+    secretscan,
+    simhash,
+    substrings,
+    subwordlm,
+    tokencount,
+    topk,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,3 +118,21 @@ def op10_token_counts(spark, sf):
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op11_subword_lm(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    out = subwordlm.held_out(F.col("doc_id"))
+    model, counts = subwordlm.train(docs.filter(~out), "text", PIECE_BPE)
+    return subwordlm.score(docs, "doc_id", "text", model, counts, out).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_phrases(spark, sf):
+    return phrases.collocations(read(spark, sf, "documents"), "text", "lang", first=2000, least=30)
+
+
+@query
+def op13_infill(spark, sf):
+    store = infill.pack(read(spark, sf, "documents"), "doc_id", "text")
+    marked = infill.rearrange(infill.place(store, seed=1))
+    return infill.round_trip(marked).withColumnRenamed("id", "doc_id")

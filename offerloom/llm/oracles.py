@@ -86,3 +86,50 @@ SELECT p.pair_id::BIGINT AS pair_id, chosen_id, rejected_id, n_prefix::INTEGER A
 FROM p JOIN n ON p.pair_id = n.pair_id JOIN z za ON za.pair_id = p.pair_id AND za.side = 'a'
 LEFT JOIN z zb ON zb.pair_id = p.pair_id AND zb.side = 'b'
 """
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op12_phrases"] = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\n\x0b\f\r]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: list_slice(ws, i, i + k - 1))) AS words
+      FROM w, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, words, array_to_string(words, ' ') AS phrase, count(*) AS n FROM g GROUP BY lang, k, words),
+c AS (SELECT * FROM f WHERE k >= 2 AND n >= 30),
+i AS (SELECT lang, n, array_to_string(list_slice(words, x.x, x.x + m.m - 1), ' ') AS phrase
+      FROM c, (VALUES (2), (3)) AS m(m), (VALUES (1), (2), (3)) AS x(x) WHERE m.m < k AND x.x + m.m - 1 <= k),
+o AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN i ON c.lang = i.lang AND c.phrase = i.phrase WHERE 100 * i.n >= 80 * c.n),
+u AS (SELECT c.lang, c.phrase, c.n AS a, j.j, array_to_string(list_slice(c.words, 1, j.j), ' ') AS head,
+             array_to_string(list_slice(c.words, j.j + 1, k), ' ') AS tail
+      FROM c, (VALUES (1), (2), (3)) AS j(j)
+      WHERE j.j < k AND NOT EXISTS (SELECT 1 FROM o WHERE o.lang = c.lang AND o.phrase = c.phrase)),
+s AS (SELECT u.lang, u.phrase, a, j, x.n AS l, y.n AS r, 2000000::HUGEINT * a // (x.n + y.n) AS score
+      FROM u JOIN f x ON x.lang = u.lang AND x.phrase = head JOIN f y ON y.lang = u.lang AND y.phrase = tail),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS cut FROM s),
+t AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE cut = 1)
+SELECT q.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, t.n::BIGINT AS n,
+       score::BIGINT AS score
+FROM q JOIN t ON q.lang = t.lang WHERE rank <= 2000
+"""
+
+ORACLES["op13_infill"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+v AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS c2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+f AS (SELECT *, array_to_string(list_slice(u, 1, least(c1, c2)), '') AS a,
+             array_to_string(list_slice(u, least(c1, c2) + 1, greatest(c1, c2)), '') AS m,
+             array_to_string(list_slice(u, greatest(c1, c2) + 1, len(u)), '') AS z,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+                  THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM v)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m
+                        ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f
+"""
