@@ -122,7 +122,7 @@ def op10_token_counts(spark, sf):
 def op11_subword_lm(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
     out = subwordlm.held_out(F.col("doc_id"))
-    model, counts = subwordlm.train(docs.filter(~out), "text", PIECE_BPE)
+    model, counts = subwordlm.train(docs, "text", ~out, PIECE_BPE)
     return subwordlm.score(docs, "doc_id", "text", model, counts, out).withColumnRenamed("id", "doc_id")
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 LONG, WINDOW = 256, 1 << 14
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 NEVER = -np.inf
 
 

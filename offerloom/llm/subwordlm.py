@@ -10,9 +10,10 @@ weighs 1 / (k + 2.7), single bytes come last.  Each of ``rounds`` rounds then ta
 every piece over all distinct words of all training rows, counted by Spark, and gives back at most
 one row per piece.  The probability of the end is its share among pieces and ends.
 
-Training words are counted over all training rows, so the counts grow with the input.  Words with
+Words are counted over all rows, in training rows and in all, so the counts grow with the input.  Words with
 over 1 / ``SHARES`` of all tokens, of which there are at most ``SHARES``, and of at most ``WORD_BYTES``
-bytes are looked up where the text is read; all others by a join, frequent ones apart.
+bytes are looked up where the text is read; all others by a join, in which no word can be frequent but
+for long ones, which are joined apart.
 
 Rows are scored one by one: repeated rows give repeated rows; a null text counts as empty and has the
 end alone; a row with a null id is held out.  Without training rows the vocabulary's own weights
@@ -45,7 +46,7 @@ COUNTED_WORDS = 500_000
 RANK_SHIFT = 2.7
 SMOOTHING = 0.01
 
-COUNTS = "word binary, n long"
+COUNTS = "word binary, n long, times long"
 _LOG10 = math.log(10)
 
 
@@ -88,26 +89,32 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
+    trained: Counter[bytes] = Counter()
+    other: Counter[bytes] = Counter()
     for batch in batches:
-        for text in texts_of(batch.column(0)):
-            held.update(words_of(text))
-            if len(held) >= COUNTED_WORDS:
-                yield _listed(held)
-                held.clear()
-    yield _listed(held)
+        for learn, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            (trained if learn else other).update(words_of(text))
+            if len(trained) + len(other) >= COUNTED_WORDS:
+                yield _listed(trained, True)
+                yield _listed(other, False)
+    yield _listed(trained, True)
+    yield _listed(other, False)
 
 
-def _listed(held: Counter[bytes]) -> pa.RecordBatch:
-    arrays = [pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, ["word", "n"])
+def _listed(held: Counter[bytes], learn: bool) -> pa.RecordBatch:
+    times = pa.array(held.values(), pa.int64())
+    n = times if learn else pa.array(np.zeros(len(held), np.int64))
+    arrays = [pa.array(held.keys(), pa.binary()), n, times]
+    held.clear()
+    return pa.RecordBatch.from_arrays(arrays, ["word", "n", "times"])
 
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """How often each word occurs: ``word, n``."""
+def word_counts(docs: DataFrame, text_col: str, learn: Column) -> DataFrame:
+    """How often each word occurs in the rows to learn from, and in all: ``word, n, times``."""
     prepare(docs)
-    rows = docs.select(F.col(text_col).cast("binary").alias("text")).filter("length(text) > 0")
-    return rows.mapInArrow(_counted, COUNTS).groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select(learn.alias("learn"), F.col(text_col).cast("binary").alias("text")).filter("length(text) > 0")
+    found = rows.mapInArrow(_counted, COUNTS).groupBy("word")
+    return found.agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
 
 def _expected_use(counts: DataFrame, pieces: list[bytes], weight: np.ndarray) -> np.ndarray:
@@ -125,16 +132,19 @@ def _expected_use(counts: DataFrame, pieces: list[bytes], weight: np.ndarray) ->
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "n"])
 
     found = np.zeros(len(pieces))
+    counts = counts.filter("n > 0").select("word", "n")
     for piece, n in counts.mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n")).collect():
         found[piece] = n
     return found
 
 
-def train(docs: DataFrame, text_col: str, model_path: str, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``docs``, and the stored counts of its words."""
-    counts = stored(word_counts(docs, text_col), "words")
-    ends = docs.count()
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+def train(
+    docs: DataFrame, text_col: str, learn: Column, model_path: str, rounds: int = ROUNDS
+) -> tuple[Model, DataFrame]:
+    """The model of the rows of ``docs`` to learn from, and the stored counts of all words."""
+    counts = stored(word_counts(docs, text_col, learn), "words")
+    ends = docs.filter(learn).count()
+    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     pieces, weight = vocabulary(model_path)
     end = math.log(0.5)
     for _ in range(rounds if tokens else 0):
@@ -148,7 +158,8 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model, counts: Dat
     """Each row's ``id, held_out`` (the flag)``, n_tokens, n_known, train_tokens, base_score, score``."""
     spark = prepare(docs)
     rows = docs.select(F.col(id_col).alias("id"), flag.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    is_frequent = (F.col("n") * SHARES >= model.tokens) & (F.octet_length("word") <= WORD_BYTES)
+    total = counts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    is_frequent = (F.col("times") * SHARES >= total) & (F.octet_length("word") <= WORD_BYTES)
     frequent = {bytes(r["word"]): r["n"] for r in counts.filter(is_frequent).collect()}
     shared = spark.sparkContext.broadcast((model, frequent))
     schema = rows.drop("text").schema
@@ -170,9 +181,12 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: Model, counts: Dat
     names = schema.names
     found = rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     found = stored(found, "scored")  # the row numbers are fixed from here on
-    listed = found.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    seldom = counts.filter(~is_frequent)
-    hits = lookup_join(listed, seldom, ["word"], "inner").groupBy("row").agg(
+    listed = found.select("row", F.inline("rare"))
+    seldom = counts.filter(~is_frequent & (F.col("n") > 0)).select("word", "n")
+    is_long = F.octet_length("word") > WORD_BYTES
+    hits = listed.filter(~is_long).join(seldom.filter(~is_long), "word").select("row", "times", "n")
+    long = lookup_join(listed.filter(is_long), seldom.filter(is_long), ["word"], "inner").select("row", "times", "n")
+    hits = hits.unionByName(long).groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum("times").alias("more_found")
     )
     joined = unique_join(found.drop("rare"), hits, ["row"], "left")
@@ -221,13 +235,14 @@ class _Scorer:
         def per_text(values: np.ndarray) -> np.ndarray:
             return np.bincount(owner, weights=values[numbers], minlength=len(texts))
 
-        counts = np.fromiter((self.frequent.get(w, 0) for w in words), np.int64, len(words))
+        counts = np.fromiter((self.frequent.get(w, -1) for w in words), np.int64, len(words))
+        rare = np.flatnonzero((counts < 0)[numbers])
+        counts = np.maximum(counts, 0)
         ends = self.model.ends
         logs = per_text(np.log10(counts + 1.0)) + math.log10(ends + 1)
         found = per_text((counts > 0).astype(float)).astype(np.int64) + (ends > 0)
         score = (per_text(self.chances(words)) + self.model.end) / _LOG10
 
-        rare = np.flatnonzero((counts == 0)[numbers])
         pair, times = np.unique(owner[rare] * max(1, len(words)) + numbers[rare], return_counts=True)
         text = pa.array(words, pa.binary())
         entries = pa.StructArray.from_arrays(

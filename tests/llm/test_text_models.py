@@ -133,7 +133,7 @@ def test_language_model(spark, monkeypatch, shares):
 
 def test_scores_are_log_probabilities(spark):
     docs = spark.createDataFrame([(i, "ab abc ba ab cab") for i in range(20)], "doc_id long, text string")
-    model, counts = subwordlm.train(docs, "text", catalog.PIECE_BPE)
+    model, counts = subwordlm.train(docs, "text", F.lit(True), catalog.PIECE_BPE)
     assert math.isclose(np.exp(model.weight).sum() + math.exp(model.end), 1)
     weight = dict(zip(model.pieces, np.exp(model.weight), strict=True))
 
@@ -149,20 +149,20 @@ def test_scores_are_log_probabilities(spark):
     expected = math.log10(math.exp(model.end)) + sum(math.log10(chance(b" " + w)) for w in lowered(text).encode().split())
     assert math.isclose(row.score, expected, rel_tol=1e-9)
     learnt = subwordlm.score(docs.limit(1), "doc_id", "text", model, counts, F.lit(True)).first()
-    first = subwordlm.train(docs, "text", catalog.PIECE_BPE, rounds=0)[0]
+    first = subwordlm.train(docs, "text", F.lit(True), catalog.PIECE_BPE, rounds=0)[0]
     untrained = subwordlm.score(docs.limit(1), "doc_id", "text", first, counts, F.lit(True)).first()
     assert learnt.score > untrained.score + 5
 
 
 def test_language_model_on_odd_rows(odd):
     out = subwordlm.held_out(F.col("doc_id"))
-    model, counts = subwordlm.train(odd.filter(~out), "text", catalog.PIECE_BPE)
+    model, counts = subwordlm.train(odd, "text", ~out, catalog.PIECE_BPE)
     rows = subwordlm.score(odd, "doc_id", "text", model, counts, out).collect()
     check_base(rows, [(r.doc_id, r.text) for r in odd.collect()])
     assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
     assert all(r.held_out for r in rows if r.id is None)
     assert subwordlm.score(odd.limit(0), "doc_id", "text", model, counts, out).collect() == []
-    model, counts = subwordlm.train(odd.limit(0), "text", catalog.PIECE_BPE)
+    model, counts = subwordlm.train(odd.limit(0), "text", ~out, catalog.PIECE_BPE)
     rows = subwordlm.score(odd, "doc_id", "text", model, counts, out).collect()
     assert {(r.n_known, r.train_tokens, r.base_score) for r in rows} == {(0, 0, 0.0)}
     assert all(r.score <= math.log10(0.5) + 1e-9 for r in rows)
@@ -201,16 +201,16 @@ def collocations(rows, first, least):
     }
 
 
-@pytest.mark.parametrize(("first", "least", "shares", "words"), [(2000, 30, 20_000, 2_000_000), (40, 5, 60, 7_000)])
-def test_phrases(spark, first, least, shares, words):
+@pytest.mark.parametrize(("first", "least", "shares", "size"), [(2000, 30, 20_000, 12 << 20), (40, 5, 60, 50_000)])
+def test_phrases(spark, first, least, shares, size):
     df = spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(3)
-    rows = phrases.collocations(df, "text", "lang", first, least, 4, shares, words).collect()
+    rows = phrases.collocations(df, "text", "lang", first, least, 4, shares, size).collect()
     known = collocations([(r.text, r.lang) for r in df.collect()], first, least)
     assert len(rows) == len(known) >= 40 and {tuple(r) for r in rows} == known
 
 
 def test_phrases_of_odd_rows(odd):
-    rows = phrases.collocations(odd, "text", "lang", 50, 2, 4, 10, 500).collect()
+    rows = phrases.collocations(odd, "text", "lang", 50, 2, 4, 10, 3_000).collect()
     known = collocations([(r.text, r.lang) for r in odd.collect()], 50, 2)
     assert {tuple(r) for r in rows} == known and {r.lang for r in rows} >= {"en", "de"}
     assert phrases.collocations(odd.limit(0), "text", "lang").collect() == []
