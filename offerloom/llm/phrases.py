@@ -1,18 +1,18 @@
 """Phrase collocations by the stripes pattern.
 
-A stripe belongs to a language and a prefix of k words: a counter of the words that follow it,
-and the number of times it occurs without a counted one.  Tasks build stripes for some two million
-words at a time and Spark merges those of a prefix elementwise.  One merged stripe gives the extensions of
-its prefix with their frequencies, the frequency of the prefix itself (its total) and the largest
-frequency of an extension to the right, which subsumption asks for.
+A stripe belongs to a language and a prefix of k words: a counter of the words that follow it.
+Tasks build stripes for some two million words at a time and Spark merges those of a prefix
+elementwise.  The merged stripes of k = 0, 1, 2, 3 are one structure that gives all: a phrase's frequency, that is
+the total of its own prefix one level on, is its entry in the stripe one word shorter; the stripe's entries are
+its extensions; the largest of them is what subsumption asks for.
 
-There is one pass for each k = 0, 1, 2, 3.  A phrase is frequent only if its first and its last k
+There is one pass for each k.  A phrase is frequent only if its first and its last k
 words are, so pass k counts extensions only where both may be frequent: a bitmap of
 ``FILTER_BITS`` bits, of a fixed size, says so.  What it lets through in error is counted exactly and falls
-to ``least`` later; all else adds to the totals.  Counts are exact.
+to ``least`` later.  Counts are exact.
 
-A stripe with over 1 / ``SHARES`` of all words, of which there are at most ``SHARES``, is cut into
-segments by a hash of the next word, in proportion to its weight, so no merge holds a large
+A prefix with over 1 / ``SHARES`` of all words, of which there are at most ``SHARES``, has its stripe
+cut into segments by a hash of the next word, in proportion to its weight, so no merge holds a large
 share of the words.  The stripe of the empty prefix has ``4 * spark.sql.shuffle.partitions``
 segments.
 
@@ -27,12 +27,13 @@ not read, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,47 +42,70 @@ from offerloom.llm.common import prepare, stored, texts_of
 from offerloom.plans.joins import lookup_join
 
 LONGEST, LEAST, SCALE, COVERED = 4, 30, 2_000_000, 80
-ROUND_WORDS = 2_000_000
+ROUND_BYTES = 12 << 20
 FILTER_BITS = 1 << 27
 SHARES = 20_000
 MOST_SEGMENTS = 1024
 SALTS = 64
 UNKNOWN = "und"
 
+_PIECE_END = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
 _FACTOR, _SPAN = np.uint64(0x9E3779B97F4A7C15), 1 << 62
 
-STRIPES = "lang string, prefix string, segment int, others long, nexts array<string>, counts array<long>"
-Round = tuple[list[bytes], list[str], np.ndarray, np.ndarray, np.ndarray]
+STRIPES = "lang string, prefix string, segment int, nexts array<string>, counts array<long>"
+Round = tuple[pa.Array, list[str], np.ndarray, np.ndarray, np.ndarray]
 
 
 class Words:
-    """Words of texts as numbers, with the words left to the end of their piece and their language."""
+    """Texts of about a round, and their words as numbers."""
 
     def __init__(self):
-        self.ids: dict[bytes, int] = {}
         self.langs: dict[str, int] = {}
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.texts: list[bytes] = []
+        self.owners: list[int] = []
         self.size = 0
 
     def add(self, text: bytes, lang: str) -> None:
-        pieces = [p.split() for p in text.lower().translate(ENDS).split(b"\n")]
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        n, ids = int(lengths.sum()), self.ids
-        if n:
-            numbers = np.fromiter((ids.setdefault(w, len(ids)) for w in chain.from_iterable(pieces)), np.int32, n)
-            left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
-            place = self.langs.setdefault(lang, len(self.langs))
-            self.parts.append((numbers, left.astype(np.int32), np.full(n, place, np.int32)))
-            self.size += n
+        self.texts.append(text)
+        self.owners.append(self.langs.setdefault(lang, len(self.langs)))
+        self.size += len(text) + 1
 
     def take(self) -> Round:
-        arrays = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
-        found = (list(self.ids), list(self.langs), *arrays)
+        sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts)) + 1
+        raw = np.frombuffer(b"\n".join(self.texts).lower().translate(ENDS), np.uint8)
+        inside = np.zeros(len(raw) + 2, bool)
+        inside[1:-1] = (raw != 0x20) & (raw != 0x09) & (raw != 0x0A)
+        border = np.flatnonzero(inside[1:] != inside[:-1])
+        start, size = border[::2], border[1::2] - border[::2]
+        n = len(start)
+        offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+        letters = np.ascontiguousarray(raw[inside[1:-1]])
+        parts = [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
+        listed = pa.Array.from_buffers(pa.binary(), n, parts).dictionary_encode()
+        # A line end before a word begins a piece.
+        breaks = np.append(np.searchsorted(start, np.flatnonzero(raw == 0x0A)), n)
+        breaks = np.append(0, breaks[np.append(breaks[:1] > 0, breaks[1:] > breaks[:-1])])
+        left = np.repeat(breaks[1:], np.diff(breaks)) - np.arange(n)
+        firsts = np.searchsorted(start, np.cumsum(sizes) - sizes)
+        lang = np.repeat(np.array(self.owners, np.int32), np.diff(np.append(firsts, n)))
+        found = (listed.dictionary, list(self.langs), listed.indices.to_numpy(), left.astype(np.int32), lang)
         self.__init__()
         return found
 
 
+def chunks(text: bytes, limit: int) -> Iterator[bytes]:
+    """A text, cut behind ends of pieces if it is much longer than a round."""
+    begin = 0
+    while len(text) - begin > 2 * limit:
+        end = _PIECE_END.search(text, begin + limit)
+        if not end:
+            break
+        yield text[begin : end.end()]
+        begin = end.end()
+    yield text[begin:]
+
+
 class Bits:
     """A fixed-size bitmap of phrase hashes."""
 
@@ -106,104 +130,105 @@ def phrase_hashes(langs: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     return reduce(lambda a, b: a * _FACTOR + b, words, langs)
 
 
-def _grouped(code: np.ndarray, span: int, factor: int) -> tuple[np.ndarray, int]:
-    """The same groups under smaller numbers, if a further factor would not fit."""
-    if span * factor < _SPAN:
-        return code, span
-    known, code = np.unique(code, return_inverse=True)
-    return code, len(known)
+def _sorted_runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    code = np.sort(code)
+    heads = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+    return code[heads], np.diff(np.append(heads, len(code)))
+
+
+def counted_phrases(langs: int, words: int, lang: np.ndarray, columns: list[np.ndarray]):
+    """Distinct phrases as columns (language, words) in order, and how often each occurs."""
+    code, span, tables = lang.astype(np.int64), langs, []
+    for column in columns:
+        if span * words >= _SPAN:  # number what was found so far anew, in the same order
+            known, code = np.unique(code, return_inverse=True)
+            tables.append(known)
+            span = len(known)
+        else:
+            tables.append(None)
+        code, span = code * words + column, span * words
+    code, times = _sorted_runs(code)
+    found = []
+    for known in reversed(tables):
+        found.append(code % words)
+        code = code // words
+        if known is not None:
+            code = known[code]
+    return [code, *reversed(found)], times
+
+
+class Cuts:
+    """Into how many segments the stripe of a prefix is cut, by the hash of the prefix."""
+
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray, other: int = 1):
+        order = np.argsort(hashes)
+        self.hashes, self.numbers, self.other = hashes[order], numbers[order], other
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.full(len(hashes), self.other, np.uint64)
+        if len(self.hashes):
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            same = self.hashes[place] == hashes
+            found[same] = self.numbers[place[same]]
+        return found
 
 
-def stripes_of(found: Round, k: int, bits: Bits | None, segments: Callable[[str, str], int]) -> pa.RecordBatch:
+def stripes_of(found: Round, k: int, bits: Bits | None, cuts: Cuts) -> pa.RecordBatch:
     """The stripes of the prefixes of k words in a round of words."""
     words, langs, ids, left, lang = found
-    hashes, lang_hashes = hashed(words), hashed([x.encode() for x in langs])
-
-    def phrase(at: np.ndarray) -> np.ndarray:
-        return phrase_hashes(lang_hashes[lang[at]], [hashes[ids[at + t]] for t in range(k)])
-
-    at, following = np.arange(len(ids)), ids
+    hashes, lang_hashes = hashed(words.to_pylist()), hashed([x.encode() for x in langs])
+    at = np.flatnonzero(left > k)
     if k:
-        at = np.flatnonzero(left >= k)
-        at = at[bits.has(phrase(at))]
-        following = np.full(len(at), -1, np.int32)
-        longer = np.flatnonzero(left[at] > k)
-        longer = longer[bits.has(phrase(at[longer] + 1))]
-        following[longer] = ids[at[longer] + k]
-
-    code, span = lang[at].astype(np.int64), len(langs)
-    for t in range(k):
-        code, span = _grouped(code, span, len(words))
-        code, span = code * len(words) + ids[at + t], span * len(words)
-    code, span = _grouped(code, span, len(words) + 1)
-    _, place, n = np.unique(code * (len(words) + 1) + following + 1, return_index=True, return_counts=True)
-    owner, following, at = code[place], following[place], at[place]
-
-    new = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
-    stripe, heads = np.cumsum(new) - 1, at[new]
-    names = [langs[x] for x in lang[heads]]
-    prefixes = [b" ".join([words[i] for i in ids[x : x + k]]).decode() for x in heads]
-    cut = np.fromiter(map(segments, names, prefixes), np.uint64, len(names))
-    segment = np.where(following >= 0, hashes[following] % cut[stripe] if len(cut) else 0, 0).astype(np.int32)
-    order = np.lexsort((segment, stripe))
-    stripe, segment, following, n = stripe[order], segment[order], following[order], n[order]
+        heads = phrase_hashes(lang_hashes[lang[at]], [hashes[ids[at + t]] for t in range(k)])
+        at = at[bits.has(heads)]
+        tails = phrase_hashes(lang_hashes[lang[at]], [hashes[ids[at + t]] for t in range(1, k + 1)])
+        at = at[bits.has(tails)]
+    columns, n = counted_phrases(len(langs), max(1, len(words)), lang[at], [ids[at + t] for t in range(k + 1)])
+    following = columns.pop()
+
+    new = np.append(True, reduce(np.logical_or, (c[1:] != c[:-1] for c in columns)))[: len(n)]
+    stripe = np.cumsum(new) - 1
+    heads = [c[new] for c in columns]
+    cut = cuts(phrase_hashes(lang_hashes[heads[0]], [hashes[c] for c in heads[1:]]))
+    if (cut > 1).any():
+        segment = (hashes[following] % cut[stripe]).astype(np.int32)
+        order = np.lexsort((segment, stripe))
+        stripe, segment, following, n = stripe[order], segment[order], following[order], n[order]
+    else:
+        segment = np.zeros(len(n), np.int32)
 
     begin = np.append(True, (stripe[1:] != stripe[:-1]) | (segment[1:] != segment[:-1]))[: len(stripe)]
-    row, size = np.cumsum(begin) - 1, int(begin.sum())
-    listed = following >= 0
-    others = np.bincount(row[~listed], weights=n[~listed], minlength=size).astype(np.int64)
-    ends = np.append(0, np.cumsum(np.bincount(row[listed], minlength=size))).astype(np.int32)
+    ends = pa.array(np.append(np.flatnonzero(begin), len(begin)).astype(np.int32))
     owners = stripe[begin]
-    text = pa.array(words, pa.binary()).cast(pa.string())
+    text = words.cast(pa.string())
+    prefix = [text.take(pa.array(c[owners])) for c in heads[1:]]
     arrays = [
-        pa.array(names, pa.string()).take(pa.array(owners)),
-        pa.array(prefixes, pa.string()).take(pa.array(owners)),
+        pa.array(langs, pa.string()).take(pa.array(heads[0][owners])),
+        pc.binary_join_element_wise(*prefix, " ") if prefix else pa.array([""] * len(owners), pa.string()),
         pa.array(segment[begin]),
-        pa.array(others),
-        pa.ListArray.from_arrays(pa.array(ends), text.take(pa.array(following[listed]))),
-        pa.ListArray.from_arrays(pa.array(ends), pa.array(n[listed].astype(np.int64))),
+        pa.ListArray.from_arrays(ends, text.take(pa.array(following))),
+        pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int64))),
     ]
-    return pa.RecordBatch.from_arrays(arrays, ["lang", "prefix", "segment", "others", "nexts", "counts"])
+    return pa.RecordBatch.from_arrays(arrays, ["lang", "prefix", "segment", "nexts", "counts"])
 
 
-def _merge(least: int):
-    """Merge stripes of one key, which follow each other; entries below ``least`` stay in the total alone."""
+def merged(partial: DataFrame, least: int) -> DataFrame:
+    """Stripes of one key merged elementwise: entries of at least ``least``, and the total of all.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total, counter, done = None, 0, {}, []
+    One shuffle, by the stripe's key; the entries are added up where the stripe is.
+    """
+    keys = ["lang", "prefix", "segment"]
+    dealt = partial.repartition(*keys).select(*keys, F.inline(F.arrays_zip("nexts", "counts")))
+    entries = dealt.groupBy(*keys, "nexts").agg(F.sum("counts").alias("n"))
+    kept = F.when(F.col("n") >= least, F.struct(F.col("nexts").alias("next"), "n"))
+    return entries.groupBy(*keys).agg(F.sum("n").alias("total"), F.collect_list(kept).alias("entries"))
 
-        def close() -> None:
-            if key is not None:
-                kept = sorted((w, c) for w, c in counter.items() if c >= least)
-                done.append((*key, total, [w for w, _ in kept], [c for _, c in kept]))
 
-        def out() -> pa.RecordBatch:
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            columns = list(zip(*done, strict=True)) or [()] * len(kinds)
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-            done.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "prefix", "segment", "others", "nexts", "counts"])
-
-        for batch in batches:
-            keys = zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True)
-            ends = batch.column("counts").offsets.to_numpy()
-            first = int(ends[0])
-            words = batch.column("nexts").flatten().to_pylist()
-            counts = batch.column("counts").flatten().to_pylist()
-            others = batch.column("others").to_pylist()
-            for own, a, b, other in zip(keys, (ends - first).tolist(), (ends[1:] - first).tolist(), others, strict=False):
-                if own != key:
-                    close()
-                    key, total, counter = own, 0, {}
-                total += other + sum(counts[a:b])
-                for word, count in zip(words[a:b], counts[a:b], strict=True):
-                    counter[word] = counter.get(word, 0) + count
-            if len(done) >= 10_000:
-                yield out()
-        close()
-        yield out()
-
-    return run
+def hashes_of(langs: list[str], phrases: list[str]) -> np.ndarray:
+    """Hashes of phrases of one length."""
+    split = zip(*(p.encode().split(b" ") for p in phrases), strict=True)
+    return phrase_hashes(hashed([x.encode() for x in langs]), [hashed(list(column)) for column in split])
 
 
 def _bits(phrases: DataFrame) -> Bits:
@@ -211,10 +236,8 @@ def _bits(phrases: DataFrame) -> Bits:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = hashed([x.encode() for x in batch.column("lang").to_pylist()])
-            split = [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
-            words = [hashed(list(column)) for column in zip(*split, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(spots(phrase_hashes(langs, words)))], ["spot"])
+            found = hashes_of(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(spots(found))], ["spot"])
 
     spot = phrases.select("lang", "phrase").mapInArrow(run, "spot long").select((F.col("spot") + 1).alias("spot"))
     bucket, bit = F.bitmap_bucket_number("spot"), F.bitmap_bit_position("spot")
@@ -226,34 +249,31 @@ def _bits(phrases: DataFrame) -> Bits:
 
 
 def _count(
-    docs: DataFrame, k: int, frequent: DataFrame | None, least: int, words: int, shares: int, round_words: int
+    docs: DataFrame, k: int, frequent: DataFrame | None, least: int, words: int, shares: int, round_bytes: int
 ) -> DataFrame:
-    """Merged stripes of prefixes of k words; ``others`` is the whole total of a stripe's segment."""
+    """Merged stripes of prefixes of k words."""
     spark = docs.sparkSession
-    shared, widest = None, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    none = np.zeros(0, np.uint64)
+    shared = spark.sparkContext.broadcast((None, Cuts(none, none, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     if k:
         heavy = frequent.filter(F.col("n") * shares >= words).select("lang", "phrase", "n").collect()
-        cuts = {(r["lang"], r["phrase"]): min(MOST_SEGMENTS, 1 + r["n"] * shares // words) for r in heavy}
-        shared = spark.sparkContext.broadcast((_bits(frequent), cuts))
+        numbers = np.array([min(MOST_SEGMENTS, 1 + r["n"] * shares // words) for r in heavy], np.uint64)
+        hashes = hashes_of([r["lang"] for r in heavy], [r["phrase"] for r in heavy])
+        shared = spark.sparkContext.broadcast((_bits(frequent), Cuts(hashes, numbers)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, cuts = shared.value if k else (None, {})
+        bits, cuts = shared.value
         held = Words()
-
-        def counted() -> pa.RecordBatch:
-            return stripes_of(held.take(), k, bits, lambda a, b: cuts.get((a, b), 1) if k else widest)
-
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                held.add(text, lang)
-                if held.size >= round_words:
-                    yield counted()
+                for part in chunks(text, round_bytes):
+                    held.add(part, lang)
+                    if held.size >= round_bytes:
+                        yield stripes_of(held.take(), k, bits, cuts)
         if held.size:
-            yield counted()
+            yield stripes_of(held.take(), k, bits, cuts)
 
-    keys = ["lang", "prefix", "segment"]
-    dealt = docs.mapInArrow(run, STRIPES).repartition(*keys).sortWithinPartitions(*keys)
-    return stored(dealt.mapInArrow(_merge(least), STRIPES), f"stripes{k}")
+    return stored(merged(docs.mapInArrow(run, STRIPES), least), f"stripes{k}")
 
 
 def stripes(
@@ -263,7 +283,7 @@ def stripes(
     least: int = LEAST,
     longest: int = LONGEST,
     shares: int = SHARES,
-    round_words: int = ROUND_WORDS,
+    round_bytes: int = ROUND_BYTES,
 ) -> list[DataFrame]:
     """Merged stripes of prefixes of 0, 1, ... ``longest`` - 1 words, those of the empty one first."""
     prepare(docs)
@@ -273,26 +293,19 @@ def stripes(
     words = 0
     for k in range(longest):
         frequent = extensions(found[-1], k - 1) if k else None
-        found.append(_count(rows, k, frequent, least, words, shares, round_words))
-        words = words or found[0].agg(F.sum("others")).first()[0] or 1
+        found.append(_count(rows, k, frequent, least, words, shares, round_bytes))
+        words = words or found[0].agg(F.sum("total")).first()[0] or 1
     return found
 
 
 def extensions(table: DataFrame, k: int) -> DataFrame:
     """The frequent phrases of k + 1 words: ``lang, prefix, rest, phrase, n``."""
-    pairs = table.select("lang", "prefix", F.explode(F.arrays_zip("nexts", "counts")).alias("next"))
-    phrase = F.concat_ws(" ", "prefix", "next.nexts") if k else F.col("next.nexts")
-    rows = pairs.select("lang", "prefix", phrase.alias("phrase"), F.col("next.counts").alias("n"))
+    pairs = table.select("lang", "prefix", F.inline("entries"))
+    phrase = F.concat_ws(" ", "prefix", "next") if k else F.col("next")
+    rows = pairs.select("lang", "prefix", phrase.alias("phrase"), "n")
     return rows.withColumn("rest", F.expr("substring(phrase, locate(' ', phrase) + 1)"))
 
 
-def totals(table: DataFrame) -> DataFrame:
-    """The frequency of each prefix, and the largest one of its extensions."""
-    return table.groupBy("lang", "prefix").agg(
-        F.sum("others").alias("total"), F.max(F.array_max("counts")).alias("widest")
-    )
-
-
 def candidates(tables: list[DataFrame]) -> DataFrame:
     """Frequent phrases of two and more words that no longer one covers, with the frequencies
     of all their first words (``lefts``) and last words (``rights``): ``lang, phrase, a, lefts, rights``."""
@@ -312,9 +325,9 @@ def candidates(tables: list[DataFrame]) -> DataFrame:
 
 
 def _uncovered(known: DataFrame, table: DataFrame, longer: DataFrame) -> DataFrame:
-    right = totals(table).select("lang", F.col("prefix").alias("phrase"), F.col("widest").alias("n"))
+    right = table.select("lang", F.col("prefix").alias("phrase"), F.array_max("entries.n").alias("n"))
     left = longer.select("lang", F.col("rest").alias("phrase"), "n")
-    widest = right.unionByName(left).groupBy("lang", "phrase").agg(F.max("n").alias("n")).filter("n is not null")
+    widest = right.filter("n is not null").unionByName(left).groupBy("lang", "phrase").agg(F.max("n").alias("n"))
     joined = lookup_join(known, widest, ["lang", "phrase"], "left")
     covered = F.col("n").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * COVERED
     return joined.filter(~F.coalesce(covered, F.lit(False))).drop("n")
@@ -344,10 +357,10 @@ def collocations(
     least: int = LEAST,
     longest: int = LONGEST,
     shares: int = SHARES,
-    round_words: int = ROUND_WORDS,
+    round_bytes: int = ROUND_BYTES,
 ) -> DataFrame:
     """The ``first`` phrases of each language: ``lang, rank, phrase, a, l, r, n, score``."""
-    tables = stripes(docs, text_col, lang_col, least, longest, shares, round_words)
+    tables = stripes(docs, text_col, lang_col, least, longest, shares, round_bytes)
     rows = scored(candidates(tables), longest).select("lang", "phrase", "a", "l", "r", "score")
     order = [F.desc("score"), F.desc("a"), "phrase"]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
@@ -356,6 +369,6 @@ def collocations(
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     rows = rows.withColumn("rank", place.cast("long")).filter(F.col("rank") <= first)
     # A row per language, which the result has too.
-    words = tables[0].groupBy("lang").agg(F.sum("others").alias("n"))
+    words = tables[0].groupBy("lang").agg(F.sum("total").alias("n"))
     found = lookup_join(rows, words, ["lang"], "inner")
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
