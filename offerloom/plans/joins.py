@@ -84,6 +84,25 @@ def likely_in(large: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return marked.filter(is_set).select(*large.columns)
 
 
+def mark_likely(large: DataFrame, wanted: DataFrame, hashed: Column, name: str) -> DataFrame:
+    """Add ``name``: whether the 64-bit hash of a row may be among the hashes in ``wanted``, its only column.
+
+    Rows stay where they are; a false mark is certain.  A name that is taken must not be given.
+    """
+    spot = F.pmod(F.col(wanted.columns[0]), F.lit(FILTER_BITS)) + 1
+    bits = wanted.groupBy(F.bitmap_bucket_number(spot).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("_bits")
+    )
+    own = F.pmod(hashed, F.lit(FILTER_BITS)) + 1
+    rows = large.select(
+        F.struct("*").alias("_row"), F.bitmap_bucket_number(own).alias("_bucket"), F.bitmap_bit_position(own).alias("_at")
+    )
+    octet = F.hex(F.substring(F.col("_bits"), F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1)))
+    is_set = F.getbit(F.conv(octet, 16, 10).cast("int"), (F.col("_at") % 8).cast("int")) == 1
+    marked = rows.join(F.broadcast(bits), "_bucket", "left")
+    return marked.select("_row.*", F.coalesce(is_set, F.lit(False)).alias(name))
+
+
 def lookup_join(
     large: DataFrame, keyed: DataFrame, keys: list[str], how: str = "left", costly: bool = False
 ) -> DataFrame:

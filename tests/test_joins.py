@@ -63,3 +63,13 @@ def test_likely_in_keeps_every_wanted_row(spark, monkeypatch, bits):
     assert {i * 100 for i in range(20)} <= ids
     assert len(ids) == 20 if bits > 64 else len(ids) < 1000
     assert joins.likely_in(large, wanted.limit(0), "url").count() == 0
+
+
+def test_mark_likely_keeps_all_rows_and_marks_the_wanted(spark):
+    large = spark.range(5000).select("id", F.lit("taken").alias("_bucket"), F.lit(None).cast("int").alias("_bits"))
+    wanted = spark.range(0, 5000, 7).select(F.xxhash64("id").alias("h"))
+    marked = joins.mark_likely(large, wanted, F.xxhash64("id"), "maybe")
+    rows = marked.collect()
+    assert marked.columns == [*large.columns, "maybe"] and len(rows) == 5000
+    assert all(r.maybe for r in rows if r.id % 7 == 0) and sum(r.maybe for r in rows) < 5000 / 7 + 50
+    assert not any(r.maybe for r in joins.mark_likely(large, wanted.limit(0), F.xxhash64("id"), "maybe").collect())
