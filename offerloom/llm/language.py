@@ -12,8 +12,8 @@ expectation maximisation (forward and backward over all segmentations) on distin
 words.  The driver gathers the probabilities of pieces in use, at most one row per piece
 of the vocabulary and language.  Scoring covers every word of every text.
 
-Words end at ASCII white space; A-Z count as a-z; a word of over ``STRETCH`` bytes is
-scored in stretches of that length.  A text that is null or has no letter gets ``und`` and score
+Words end at ASCII white space; A-Z count as a-z.  A word is scored whole, whatever its length and the
+length of the pieces: beyond ``SHORT`` bytes its sums are kept as logarithms, in windows (``lattice``).  A text that is null or has no letter gets ``und`` and score
 0; equal likelihoods go to the language first in code point order.  Repeated
 rows are scored alike; without any labelled document every text gets ``und``.
 """
@@ -33,9 +33,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from offerloom.llm import lattice
 from offerloom.llm.common import prepare, slices, texts_of
 
-STRETCH = 32
+SHORT = 32
 DOCS_PER_LANG = 1500
 ROUNDS = 4
 SMOOTHING = 0.01
@@ -51,7 +52,7 @@ def vocabulary(model_path: str) -> list[bytes]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i)):
             piece = model.id_to_piece(i).replace("▁", " ").encode()
-            if len(piece) <= STRETCH and not piece.startswith(b"  "):
+            if not piece.startswith(b"  "):
                 pieces.add(piece)
     return sorted(pieces)
 
@@ -138,20 +139,22 @@ def expected(parts, first, last, weights: np.ndarray, probability: np.ndarray) -
 
 def fit_words(words: list[bytes], weights: np.ndarray, pieces: list[bytes], rounds: int) -> np.ndarray:
     """Expected piece counts after some rounds of expectation maximisation."""
-    parts, first, last = Lattice(pieces).edges(words)
+    is_long = np.fromiter((len(w) > SHORT for w in words), bool, len(words))
+    short = [w for w, x in zip(words, is_long, strict=True) if not x]
+    parts, first, last = Lattice(pieces).edges(short) if short else ([], None, None)
+    long, trie = [w for w, x in zip(words, is_long, strict=True) if x], lattice.Trie(pieces)
     counts = np.ones(len(pieces))
     for _ in range(rounds):
         probability = (counts + SMOOTHING) / (counts + SMOOTHING).sum()
-        counts = expected(parts, first, last, weights, probability)
+        counts = lattice.expected(trie, long, weights[is_long], np.log(probability))
+        if short:
+            counts += expected(parts, first, last, weights[~is_long], probability)
     return counts
 
 
-def stretches_of(text: bytes) -> list[bytes]:
-    """Words with a space before them, long ones in stretches."""
-    found = [b" " + w for w in text.lower().split()]
-    if found and max(map(len, found)) > STRETCH:
-        found = [w[i : i + STRETCH] for w in found for i in range(0, len(w), STRETCH)]
-    return found
+def words_of(text: bytes) -> list[bytes]:
+    """Words with a space before them."""
+    return [b" " + w for w in text.lower().split()]
 
 
 def training_sample(docs: DataFrame, id_col: str, lang_col: str, docs_per_lang: int) -> DataFrame:
@@ -171,7 +174,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[tuple[str, bytes], int] = defaultdict(int)
         for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-            for word in stretches_of(text):
+            for word in words_of(text):
                 counts[lang, word] += 1
         langs, words = zip(*counts, strict=True) if counts else ((), ())
         arrays = [pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(counts.values(), pa.int64())]
@@ -221,27 +224,32 @@ def train(
     return Model(langs, pieces, counts / counts.sum(axis=0, keepdims=True) if langs else counts)
 
 
-_lattices: dict[str, Lattice] = {}
+_lattices: dict[str, tuple[Lattice, lattice.Trie]] = {}
 
 
-def _lattice(model: Model) -> Lattice:
+def _lattice(model: Model) -> tuple[Lattice, lattice.Trie]:
     if model.name not in _lattices:
         _lattices.clear()
-        _lattices[model.name] = Lattice(model.pieces)
+        _lattices[model.name] = (Lattice(model.pieces), lattice.Trie(model.pieces))
     return _lattices[model.name]
 
 
 def word_scores(model: Model, words: list[bytes]) -> np.ndarray:
     """Log probability of each word in each language."""
-    parts, first, last = _lattice(model).edges(words)
-    alpha = forward(parts, first, int(last[-1]) + 1 if len(last) else 0, model.probability)
-    return np.log(alpha[last])
+    short_words, trie = _lattice(model)
+    is_long = np.fromiter((len(w) > SHORT for w in words), bool, len(words))
+    out = np.zeros((len(words), len(model.langs)))
+    out[is_long] = lattice.forward(trie, [words[i] for i in np.flatnonzero(is_long)], np.log(model.probability))
+    if not is_long.all():
+        parts, first, last = short_words.edges([words[i] for i in np.flatnonzero(~is_long)])
+        out[~is_long] = np.log(forward(parts, first, int(last[-1]) + 1, model.probability)[last])
+    return out
 
 
 def text_scores(model: Model, texts: list[bytes]) -> np.ndarray:
     """Log probability of each text in each language."""
     numbers: dict[bytes, int] = defaultdict(count().__next__)
-    rows = [np.fromiter(map(numbers.__getitem__, stretches_of(t)), np.int64) for t in texts]
+    rows = [np.fromiter(map(numbers.__getitem__, words_of(t)), np.int64) for t in texts]
     total = np.zeros((len(texts), len(model.langs)))
     words = list(numbers)
     scores = np.zeros((len(words), len(model.langs)))

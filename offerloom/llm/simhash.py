@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from offerloom.llm.common import Groups, forest, prepare, stored, texts_of
+from offerloom.llm.common import Groups, forest, free_name, prepare, stored, texts_of
 from offerloom.llm.components import components
-from offerloom.plans.joins import lookup_join
+from offerloom.plans.joins import lookup_join, mark_likely
 
 BLOCK_ROWS = 2048
 HASHES_AT_ONCE = 1 << 17
@@ -262,14 +262,33 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str, text_col: str, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """The documents without those whose group has a smaller id; repeated rows of an id leave one.
+    """One row of each group: the one with the smallest id, then the smallest digest of its text.
 
-    Rows without an id cannot be named by a group: they all stay.
+    Rows are told apart by id and text, so rows that share an id with another text are compared and
+    kept on their own.  Of rows with the same id and text one stays, any of them if other columns differ.  Rows
+    without an id cannot be named by a group: they all stay.
+
+    Whole texts are not shuffled but for rows that may have to go, which a bitmap of a fixed size marks.
     """
-    found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words, radius, seed)
-    first = found.filter("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+    names = [free_name(docs.columns, n) for n in ("_row", "_maybe")]
+    named_docs = docs.filter(F.col(id_col).isNotNull())
+    keyed = named_docs.withColumn(names[0], F.struct(id_col, F.md5(F.coalesce(text_col, F.lit("")))))
+    rows = stored(fingerprints(keyed, names[0], text_col, words, seed), "fingerprints")
+    roots = components(links(rows.select("fingerprint").distinct(), radius)).withColumnRenamed("node", "fingerprint")
+    # A fingerprint many rows share is one row here, so no key is frequent.
+    distinct = rows.groupBy("fingerprint").agg(F.min("id").alias("least"))
+    named = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    first = named.groupBy("root").agg(F.min("least").alias("id"))
+    counted = rows.groupBy("id").agg(F.count("*").alias("n"))
+    kept = stored(counted.join(first.select("id", F.lit(True).alias("stays")), "id", "left"), "decided")
+    spot = F.xxhash64("id")
+    going = kept.filter(F.col("stays").isNull() | (F.col("n") > 1))
+    marked = mark_likely(keyed, going.select(spot.alias("spot")), F.xxhash64(names[0]), names[1])
+    sure = marked.filter(~F.col(names[1])).select(*docs.columns)
+    doubtful = marked.filter(names[1]).drop(names[1])
+    staying = doubtful.join(kept.filter("stays").select(F.col("id").alias(names[0])), names[0], "left_semi")
+    kept_rows = sure.unionByName(staying.dropDuplicates([names[0]]).select(*docs.columns))
+    return kept_rows.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def hexadecimal(fingerprint: str):

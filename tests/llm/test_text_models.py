@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from offerloom.llm import catalog, infill, lattice, oracles, phrases, subwordlm
+from offerloom.llm import catalog, infill, language, lattice, oracles, phrases, simhash, subwordlm
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = catalog.QUERIES
@@ -300,3 +300,59 @@ def test_queries_equal_their_definitions(spark, name):
     names = [d[0] for d in result.description]
     rows = QUERIES[name](spark, FOLDER).select(*names).collect()
     assert rows and sorted(map(tuple, rows), key=str) == sorted(result.fetchall(), key=str)
+
+
+# Long words and rows that share an id
+
+
+def test_language_of_words_longer_than_a_stretch():
+    pieces = sorted({bytes([b]) for b in range(256)} | {b" ab", b"abab", b"ba", "語の".encode(), b"a" * 40})
+    rng = np.random.default_rng(5)
+    chance = rng.random((len(pieces), 2))
+    chance /= chance.sum(axis=0)
+    model = language.Model(["a", "b"], pieces, chance)
+    words = [b" " + b"ab" * 16, b" " + b"ab" * 250, b" " + "日本語の".encode() * 40, b" " + b"a" * 333, b" short"]
+    found = language.word_scores(model, words)
+    for word, row in zip(words, found, strict=True):
+        for k in range(2):
+            known, scale = dict(zip(pieces, chance[:, k].tolist(), strict=True)), 0.0
+            ahead = [1.0]
+            for t in range(1, len(word) + 1):
+                ahead.append(sum(ahead[s] * known.get(word[s:t], 0.0) for s in range(max(0, t - 40), t)))
+                if ahead[-1] < 1e-200:
+                    ahead, scale = [x * 1e200 for x in ahead], scale - 200 * math.log(10)
+            assert math.isclose(row[k], math.log(ahead[-1]) + scale, rel_tol=1e-9)
+
+
+def test_pieces_across_every_place_count():
+    pieces = sorted({bytes([b]) for b in range(256)} | {b"zq"})
+    chance = np.full((len(pieces), 2), 1 / len(pieces))
+    chance[pieces.index(b"zq")] = [0.1, 0.0005]
+    model = language.Model(["a", "b"], pieces, chance)
+    for length in (20, 31, 32, 33, 64, 300):
+        (row,) = language.word_scores(model, [b" " + b"x" * length + b"zq"])
+        assert row[0] - row[1] > 4
+
+
+def test_expected_use_of_long_words():
+    pieces = sorted({bytes([b]) for b in range(256)} | {b"ab", b"abc"})
+    words, weights = [b" abc" * 4, b" abc" * 30, b" " + b"abc" * 200], np.array([2.0, 1.0, 3.0])
+    counts = language.fit_words(words, weights, pieces, 3)
+    assert math.isclose((counts * [len(p) for p in pieces]).sum(), sum(w * len(x) for w, x in zip(weights, words, strict=True)))
+
+
+def test_near_duplicates_lose_no_row(spark, odd):
+    text, other = "one two three four five six seven eight nine ten", "quite another text that shares no word at all with it"
+    rows = [(1, text), (1, other), (2, text), (2, "a third one of its own kind here"), (None, text), (None, other + " but more")]
+    rows += [(None, other + " but more"), (7, None), (8, ""), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("taken")).withColumn("_row", F.lit(1))
+    kept = simhash.keep_one(df, "doc_id", "text")
+    assert kept.columns == df.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    expected = [(1, text), (1, other), (2, "a third one of its own kind here"), (7, None), (None, text)]
+    expected += [(None, other + " but more")] * 2  # rows without an id cannot be named
+    assert found == sorted(expected, key=str)
+    assert simhash.keep_one(df.limit(0), "doc_id", "text").collect() == []
+    again = simhash.keep_one(odd, "doc_id", "text").collect()
+    assert {r.doc_id for r in again} >= {1, 4, 6, 7, 8, 9} and len(again) == len({(r.doc_id, r.text) for r in again})
+    assert sorted(r.text for r in again if r.doc_id == 4) == sorted({r.text for r in odd.collect() if r.doc_id == 4})
