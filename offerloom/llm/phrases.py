@@ -42,7 +42,7 @@ from offerloom.llm.common import prepare, stored, texts_of
 from offerloom.plans.joins import lookup_join
 
 LONGEST, LEAST, SCALE, COVERED = 4, 30, 2_000_000, 80
-ROUND_BYTES = 12 << 20
+ROUND_BYTES = 16 << 20
 FILTER_BITS = 1 << 27
 SHARES = 20_000
 MOST_SEGMENTS = 1024
@@ -53,7 +53,7 @@ _PIECE_END = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
 _FACTOR, _SPAN = np.uint64(0x9E3779B97F4A7C15), 1 << 62
 
-STRIPES = "lang string, prefix string, segment int, nexts array<string>, counts array<long>"
+STRIPES = "lang string, prefix string, segment int, nexts string, counts array<int>"
 Round = tuple[pa.Array, list[str], np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -207,8 +207,9 @@ def stripes_of(found: Round, k: int, bits: Bits | None, cuts: Cuts) -> pa.Record
         pa.array(langs, pa.string()).take(pa.array(heads[0][owners])),
         pc.binary_join_element_wise(*prefix, " ") if prefix else pa.array([""] * len(owners), pa.string()),
         pa.array(segment[begin]),
-        pa.ListArray.from_arrays(ends, text.take(pa.array(following))),
-        pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int64))),
+        # One string per stripe is half as long in a shuffle as an array of them.
+        pc.binary_join(pa.ListArray.from_arrays(ends, text.take(pa.array(following))), " "),
+        pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32))),
     ]
     return pa.RecordBatch.from_arrays(arrays, ["lang", "prefix", "segment", "nexts", "counts"])
 
@@ -219,9 +220,9 @@ def merged(partial: DataFrame, least: int) -> DataFrame:
     One shuffle, by the stripe's key; the entries are added up where the stripe is.
     """
     keys = ["lang", "prefix", "segment"]
-    dealt = partial.repartition(*keys).select(*keys, F.inline(F.arrays_zip("nexts", "counts")))
-    entries = dealt.groupBy(*keys, "nexts").agg(F.sum("counts").alias("n"))
-    kept = F.when(F.col("n") >= least, F.struct(F.col("nexts").alias("next"), "n"))
+    dealt = partial.repartition(*keys).select(*keys, F.inline(F.arrays_zip(F.split("nexts", " ").alias("next"), "counts")))
+    entries = dealt.groupBy(*keys, "next").agg(F.sum("counts").alias("n"))
+    kept = F.when(F.col("n") >= least, F.struct("next", "n"))
     return entries.groupBy(*keys).agg(F.sum("n").alias("total"), F.collect_list(kept).alias("entries"))
 
 
