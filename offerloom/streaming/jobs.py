@@ -9,21 +9,27 @@ with the skew-safe batch operators, so a frequent key costs no single task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from offerloom.operators.dedupe import OFFER_KEY, URL_KEY, dedupe_results
+from offerloom.operators.dedupe import OFFER_KEY, URL_KEY
 from offerloom.operators.extract import extract_products
 from offerloom.operators.ratelimit import DEFAULT_LIMIT, DEFAULT_WINDOW_SECONDS, rate_limit
-from offerloom.plans.joins import lookup_join
-
 
 # All that is there, then stop; a job may be given another one, such as {"processingTime": "1 minute"}.
 TRIGGER = {"availableNow": True}
 
+# How long the keys kept of a job are remembered after it kept its last row under them.
+JOB_TTL_SECONDS = 24 * 3600
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
 
 def _run_batches(
     stream: DataFrame,
@@ -68,6 +74,60 @@ def stream_extract(pages: DataFrame, folder: str, trigger: dict | None = None) -
     )
 
 
+class _KeepFirst(StatefulProcessor):
+    """The keys kept of one job, in two lists; each entry leaves ``ttl`` milliseconds after it was written.
+
+    Lists are read and extended in one call per batch, where maps would need one per key.
+    """
+
+    def __init__(self, job: str, order: list[str], first: int, second: int, ttl: int | None):
+        self.job, self.order, self.widths, self.ttl = job, order, (first, second), ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        def keys(name: str, width: int):
+            names = ", ".join(f"k{i} string" for i in range(width))
+            return handle.getListState(name, names, self.ttl)
+
+        self.lists = [keys("first", self.widths[0]), keys("second", self.widths[1])]
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        def place(row: Row):
+            return [(row[c] is not None, row[c]) for c in self.order]
+
+        first, second = self.widths
+        seen, new = [{tuple(k) for k in known.get()} for known in self.lists], ([], [])
+        for row in sorted(rows, key=place):
+            own = [tuple(row[f"_key{i}"] for i in range(first)), tuple(row[f"_key{first + i}"] for i in range(second))]
+            if own[0] not in seen[0] and own[1] not in seen[1]:
+                for kept, added, name in zip(seen, new, own, strict=True):
+                    kept.add(name)
+                    added.append(name)
+                yield Row(**{c: row[c] for c in row.__fields__ if not c.startswith("_key")})
+        for known, added in zip(self.lists, new, strict=True):
+            if added:
+                known.appendList(added)
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Settings of streams with keyed state; a query keeps those it was started with.
+
+    Without batches that have no rows, a query over what is there ends; entries past their time are
+    left out of sight at once and removed with the next rows.
+    """
+    before = {k: spark.conf.get(k, None) for k in KEYED_STATE}
+    for key, value in KEYED_STATE.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
 def stream_dedupe(
     rows: DataFrame,
     folder: str,
@@ -76,22 +136,27 @@ def stream_dedupe(
     second: list[str] | None = None,
     job: str = "job_id",
     trigger: dict | None = None,
+    ttl_seconds: int | None = JOB_TTL_SECONDS,
 ) -> StreamingQuery:
-    """Keep-first by two keys per job across batches, into ``folder``/kept."""
-    first, second = first or OFFER_KEY, second or URL_KEY
+    """Keep-first by two keys per job across batches, into ``folder``/kept.
 
-    def body(batch: DataFrame, batch_id: int) -> None:
-        spark, undecided = batch.sparkSession, batch
-        if batch_id > 0 and _exists(spark, f"{folder}/kept"):
-            kept = read_batches(spark, folder, "kept").filter(F.col("batch") < batch_id)
-            # Kept rows are unique per key, which is what the join asks for.
-            for key in (first, second):
-                keys = [job, *key]
-                undecided = lookup_join(undecided, kept.select(*keys), keys, "left_anti")
-        result = dedupe_results(undecided.select(*batch.columns), order, first, second, job)
-        result.write.mode("overwrite").parquet(_batch_path(folder, "kept", batch_id))
-
-    return _run_batches(rows, folder, body, trigger)
+    The rows of a batch are read in ``order``.  The keys kept of a job are keyed state that expires
+    ``ttl_seconds`` after they were written (never if None), so that jobs long finished take no
+    room.  A job's new rows meet in one task: a request has at most 200 URLs.
+    """
+    first, second = first or OFFER_KEY, second or URL_KEY
+    keys = {f"_key{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate([*first, *second])}
+    ttl = ttl_seconds * 1000 if ttl_seconds is not None else None
+    processor = _KeepFirst(job, order, len(first), len(second), ttl)
+    kept = rows.withColumns(keys).groupBy(job).transformWithState(processor, rows.schema, "Append", "ProcessingTime")
+    with _keyed_state(rows.sparkSession):
+        return (
+            kept.writeStream.format("parquet")
+            .option("path", f"{folder}/kept")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(**(trigger or TRIGGER))
+            .start()
+        )
 
 
 def stream_rate_limit(

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -50,6 +51,41 @@ def test_stream_dedupe(spark, tmp_path):
     assert got == sorted(r.ord for r in dedupe_results(df.drop("part"), ["ord"], ["a"], ["b"]).collect())
 
 
+def test_stream_dedupe_over_batches_and_a_restart(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [
+        (i // 60, None if i % 17 == 0 else f"j{rng.randrange(4)}", i, rng.choice(["a", None, "b", "c", "d"]), rng.randrange(3), f"u{rng.randrange(40)}")
+        for i in range(420)
+    ]
+    df = spark.createDataFrame(rows, "part INT, job_id STRING, ord BIGINT, a STRING, b INT, u STRING")
+    source, folder = str(tmp_path / "rows"), str(tmp_path / "run")
+    args = (["ord"], ["a", "b"], ["u"])
+    write_parts(df, source, range(5))
+    jobs.stream_dedupe(stream(spark, df, source), folder, *args).awaitTermination()
+    write_parts(df, source, [5, 6])
+    query = jobs.stream_dedupe(stream(spark, df, source), folder, *args)
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] == 6 and query.lastProgress["stateOperators"][0]["numRowsTotal"] > 0
+    got = jobs.read_batches(spark, folder, "kept")
+    assert got.columns == df.drop("part").columns
+    expected = dedupe_results(df.drop("part"), *args)
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_keys_of_old_jobs_are_forgotten(spark, tmp_path):
+    df = spark.createDataFrame([(p, "j", 10 * p + i, f"a{i}", f"b{i}") for p in range(3) for i in range(4)], "part INT, job_id STRING, ord INT, a STRING, b STRING")
+    source, counts = str(tmp_path / "rows"), []
+    for ttl in (2, None):
+        folder = str(tmp_path / f"run{ttl}")
+        for part in range(2):
+            write_parts(df, f"{source}{ttl}", [part])
+            query = jobs.stream_dedupe(stream(spark, df, f"{source}{ttl}"), folder, ["ord"], ["a"], ["b"], ttl_seconds=ttl)
+            query.awaitTermination()
+            time.sleep(3)
+        counts.append(jobs.read_batches(spark, folder, "kept").count())
+    assert counts == [8, 4]  # after its time a key is new again; without a time it never is
+
+
 def test_stream_rate_limit(spark, tmp_path):
     rng = random.Random(6)
     start = datetime.datetime(2024, 1, 1)

@@ -396,23 +396,23 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 # The order in which rows of a given table arrive as a stream.
 ARRIVAL = {"events": "ts", "pages": "page_id", "lineitem": "l_orderkey"}
-STREAM_FILES = 3
+STREAM_SHARES = 3
 
 
 def stream_of(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A statement over one given table that arrives in several files, one per micro-batch."""
+    """A statement over one given table that arrives in several shares, one per micro-batch.
+
+    Each share is written by many tasks to as many files, and a micro-batch takes that many.
+    """
     text = with_fixtures(sql)
     (source,) = [name for name in BASE_TABLES if re.search(rf"\b{name}\b", text)]
     given = spark.read.parquet(f"{sf_dir}/{source}.parquet")
     order = ARRIVAL.get(source, given.columns[0])
-    shares = [(k + 1) / STREAM_FILES for k in range(STREAM_FILES - 1)]
+    shares = [(k + 1) / STREAM_SHARES for k in range(STREAM_SHARES - 1)]
     cuts = given.agg(F.percentile_approx(order, shares, 1000)).first()[0] or []
     part = sum((F.when(F.col(order) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    folder = working_folder(spark, f"arriving-{source}")
-    for k in range(STREAM_FILES):
-        given.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
-    stream = stream_table(spark, folder, given.schema, files_per_trigger=1)
-    # A small file would be one task; a real feed has many files per batch.
-    stream = stream.repartition(spark.sparkContext.defaultParallelism)
-    stream.createOrReplaceTempView(source)
+    folder, files = working_folder(spark, f"arriving-{source}"), spark.sparkContext.defaultParallelism
+    for k in range(STREAM_SHARES):
+        given.filter(part == k).repartition(files).write.mode("append").parquet(folder)
+    stream_table(spark, folder, given.schema, files_per_trigger=files).createOrReplaceTempView(source)
     return spark.sql(text)
