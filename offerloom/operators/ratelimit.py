@@ -3,9 +3,11 @@
 Whether an event is admitted depends on the admitted ones before it, so events
 of a key must be read in order, but not by one task.  The events are range
 partitioned by (key, time), which cuts a frequent key into many partitions of
-equal size.  Each partition is read once as a stream of batches; only the
-recently admitted times (at most ``limit`` of them) cross a partition border,
-and only partitions filled entirely by one key have to wait for the one before.
+equal size.  Each partition is read as a stream of batches; only the
+recently admitted times (at most ``limit`` of them) cross a partition border.
+Partitions filled entirely by one key without a pause run again, all at once, from what the
+one before ended with, until no entry changes: twice where traffic is below the limit now
+and then, and at worst, under steady traffic above it, once per partition.
 """
 
 from __future__ import annotations
@@ -127,28 +129,23 @@ def _entry_states(ordered: DataFrame, limit: int, window: int) -> dict[int, list
     # One small row per partition comes back to the driver.
     known = summaries(slim, {})
     order = sorted(known)
-    entries: dict[int, list[int]] = {}
-    settled = {order[0]} if order else set()
-    while len(settled) < len(order):
-        waiting: dict[int, list[int]] = {}
+    entries: dict[int, list[int]] = {part: [] for part in order}
+    while True:
+        changed: dict[int, list[int]] = {}
         for before, part in zip(order, order[1:], strict=False):
-            if part in settled or before not in settled:
-                continue
             row, previous = known[part], known[before]
             state = list(previous.recent) if previous.last_key == row.first_key else []
             state = [t for t in state if t >= row.first_time - window]
-            if state:
-                entries[part] = state
-            # Behind a pause longer than the window nothing of the entry state is left.
-            if state and row.first_key == row.last_key and not row.gap:
-                waiting[part] = state
-            else:
-                settled.add(part)
-        if waiting:
-            # All keys advance by one partition per pass.
-            known.update(summaries(slim.filter(F.col("_part").isin(list(waiting))), waiting))
-            settled.update(waiting)
-    return entries
+            if state != entries[part]:
+                changed[part] = state
+        entries.update(changed)
+        # Behind a pause longer than the window nothing of the entry state is left.
+        again = {p: s for p, s in changed.items() if known[p].first_key == known[p].last_key and not known[p].gap}
+        if not again:
+            return {part: state for part, state in entries.items() if state}
+        # Every partition runs from the state the one before ended with last time.  Once no entry changes, all
+        # are right, for the first one is; that is soon, where what a partition ends with does not depend on its entry.
+        known.update(summaries(slim.filter(F.col("_part").isin(list(again))), again))
 
 
 def _micros(hits: DataFrame, ts: str) -> Column:

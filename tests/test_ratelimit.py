@@ -78,3 +78,26 @@ def test_times_without_zone_do_not_depend_on_the_session(spark):
             assert rate_limit(df, 1, 60).filter("admitted").count() == 2
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_jobs_do_not_grow_with_the_partitions_of_a_key(spark):
+    rng, counts = random.Random(3), []
+    # Without a pause of a window, above the limit in bursts only.
+    seconds = [s + rng.randrange(5) for s in range(0, 24_000, 20) for _ in range(3 if s % 1000 else 12)]
+    hits = [(i, "hot", START + datetime.timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    expected = admitted_by_definition(hits, 10, 60)
+    assert len(expected) < len(hits)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (8, 32):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            context.setJobGroup(f"partitions-{partitions}", "")
+            df = spark.createDataFrame(hits, "event_id INT, key STRING, ts TIMESTAMP_NTZ").repartition(4)
+            assert sorted(r.event_id for r in rate_limit(df, 10, 60).filter("admitted").collect()) == expected
+            counts.append(len(context.statusTracker().getJobIdsForGroup(f"partitions-{partitions}")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] <= counts[0] + 1, counts
