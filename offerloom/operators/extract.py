@@ -28,6 +28,8 @@ PRODUCT_COLUMNS = [
     "location_text", "canonical_url", "extractor",
 ]
 
+# Up to a NaN or an infinity that stands outside of texts.
+_NO_NUMBER = r'''\G((?:"(?:[^"\\]|\\.)*+"|(?!-?(?:NaN|Infinity)\b)[^"])*+)-?(?:NaN|Infinity)\b'''
 _COMMENT_OR_SCRIPT = rf"(?is)<!--.*?(?:-->|\z)|<script\b{H.ATTRS}>.*?(?:</script\s*>|\z)"
 def usable_pages(pages: DataFrame) -> DataFrame:
     """Flag the pages whose content needs a browser: a script notice or too little source."""
@@ -99,6 +101,8 @@ def jsonld_item(html: Column) -> Column:
 
     def items(block: Column) -> Column:
         body = F.regexp_replace(block, rf"(?is)\A<script\b{H.ATTRS}>|</script\s*>\z", "")
+        # Numbers that are none, which lenient parsers take, are read as null.
+        body = F.when(body.rlike("NaN|Infinity"), F.regexp_replace(body, _NO_NUMBER, "$1null")).otherwise(body)
         # Inside brackets, so that text behind the value is an error as it is in a strict parser.
         wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", "array<variant>")
         return T.let(

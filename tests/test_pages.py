@@ -58,6 +58,21 @@ def test_strict_json(spark):
     assert [r.product_name for r in rows] == ["A", "B", "C", "D"]
 
 
+def test_jsonld_numbers_that_are_none(spark):
+    long = ",".join(['"a NaN, b"', "NaN", "-Infinity"] * 20_000)
+    rows = products(
+        spark,
+        [
+            ld('{"@type":"Product","name":"A NaN, Infinity \\" NaN","rating":NaN,"offers":{"price":7.50,"x":[-Infinity, Infinity]}}'),
+            ld('{"@type":"Product","name":"B","offers":{"price":NaN,"priceCurrency":"EUR"}}'),
+            ld('{"@type":"Product","name":"C","list":[' + long + "]}"),
+            ld('{"@type":"Product","name":"no","x":NaNa}') + "<h1>D</h1>",
+        ],
+    )
+    assert [r.product_name for r in rows] == ['A NaN, Infinity " NaN', "B", "C", "D"]
+    assert (rows[0].price_token, rows[1].price_token) == ("7.5", None)
+
+
 def test_jsonld_oddities(spark):
     rows = products(
         spark,
