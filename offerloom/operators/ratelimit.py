@@ -13,7 +13,7 @@ and then, and at worst, under steady traffic above it, once per partition.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ DEFAULT_WINDOW_SECONDS = 60
 UNKNOWN_KEY = "unknown"
 
 
-def _admit(times: np.ndarray, recent: deque, limit: int, window: int) -> np.ndarray:
+def admit(times: Sequence[int], recent: deque, limit: int, window: int) -> np.ndarray:
     """Admission of one key's events in time order; ``recent`` is carried along."""
     admitted = np.zeros(len(times), dtype=bool)
     if limit <= 0:
@@ -79,7 +79,7 @@ class _Reader:
             if (np.diff(times[start:end]) > self.window).any():
                 self.gap = True
             self.key, self.last_time = keys[start], int(times[end - 1])
-            admitted[start:end] = _admit(times[start:end], self.recent, self.limit, self.window)
+            admitted[start:end] = admit(times[start:end], self.recent, self.limit, self.window)
         return admitted
 
 
@@ -148,7 +148,7 @@ def _entry_states(ordered: DataFrame, limit: int, window: int) -> dict[int, list
         known.update(summaries(slim.filter(F.col("_part").isin(list(again))), again))
 
 
-def _micros(hits: DataFrame, ts: str) -> Column:
+def micros(hits: DataFrame, ts: str) -> Column:
     """Microseconds of a time; of one without a zone by its own date and clock."""
     at = F.col(ts)
     if dict(hits.dtypes)[ts] != "timestamp_ntz":
@@ -175,7 +175,7 @@ def rate_limit(
     window = window_seconds * 1_000_000
     order = ["_key", "_t", tie_break]
     prepared = hits.filter(F.col(ts).isNotNull()).withColumns(
-        {"_key": F.coalesce(F.col(key).cast("string"), F.lit(UNKNOWN_KEY)), "_t": _micros(hits, ts)}
+        {"_key": F.coalesce(F.col(key).cast("string"), F.lit(UNKNOWN_KEY)), "_t": micros(hits, ts)}
     )
     ordered = checkpoint(
         prepared.repartitionByRange(*order)

@@ -9,26 +9,32 @@ with the skew-safe batch operators, so a frequent key costs no single task.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from offerloom.operators.dedupe import OFFER_KEY, URL_KEY
 from offerloom.operators.extract import extract_products
-from offerloom.operators.ratelimit import DEFAULT_LIMIT, DEFAULT_WINDOW_SECONDS, rate_limit
+from offerloom.operators.ratelimit import (
+    DEFAULT_LIMIT,
+    DEFAULT_WINDOW_SECONDS,
+    UNKNOWN_KEY,
+    admit,
+    micros,
+    rate_limit,
+)
 
 # All that is there, then stop; a job may be given another one, such as {"processingTime": "1 minute"}.
 TRIGGER = {"availableNow": True}
 
 # How long the keys kept of a job are remembered after it kept its last row under them.
 JOB_TTL_SECONDS = 24 * 3600
-KEYED_STATE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-}
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _run_batches(
@@ -56,12 +62,6 @@ def read_batches(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def stream_extract(pages: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
     """New pages to products in ``folder``/products; stateless, exactly once by the file sink."""
     return (
@@ -112,14 +112,19 @@ class _KeepFirst(StatefulProcessor):
 
 
 @contextmanager
-def _keyed_state(spark: SparkSession) -> Iterator[None]:
+def _keyed_state(spark: SparkSession, empty_batches: bool = False) -> Iterator[None]:
     """Settings of streams with keyed state; a query keeps those it was started with.
 
     Without batches that have no rows, a query over what is there ends; entries past their time are
-    left out of sight at once and removed with the next rows.
+    left out of sight at once and removed with the next rows.  Timers of event time need such
+    batches, and end with the watermark.
     """
-    before = {k: spark.conf.get(k, None) for k in KEYED_STATE}
-    for key, value in KEYED_STATE.items():
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+        "spark.sql.streaming.noDataMicroBatches.enabled": str(empty_batches).lower(),
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
         spark.conf.set(key, value)
     try:
         yield
@@ -190,8 +195,8 @@ def stream_rate_limit(
 
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _batch_path(folder, "state", batch_id - 1)
-        state = spark.read.parquet(before) if _exists(spark, before) else None
+        # Every batch leaves a state, so all but the first one have one before them.
+        state = spark.read.parquet(_batch_path(folder, "state", batch_id - 1)) if batch_id else None
         waiting = batch.withColumn("_old", F.lit(False))
         marks = batch.agg((F.max(ts) - seconds(lateness_seconds)).alias("_settled"))
         if state is not None:
@@ -220,6 +225,136 @@ def stream_rate_limit(
     return _run_batches(hits, folder, body, trigger)
 
 
+class _AdmitInOrder(StatefulProcessor):
+    """Hits of one key: those not yet decided as a list, and the times last admitted.
+
+    A timer is set for the oldest hit that waits; when the watermark has passed it, all hits the
+    watermark has passed are decided in order.  With nothing waiting, a timer clears the state of a
+    key once its last admitted time has left the window.
+    """
+
+    def __init__(self, names: list[str], schema: T.StructType, tie_break: str, limit: int, window: int):
+        self.names, self.schema, self.limit, self.window = names, schema, limit, window
+        self.time_at, self.tie_at = len(names), names.index(tie_break)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.known = handle.getValueState("known", "recent array<bigint>, last bigint, timer bigint")
+
+    def _set_timer(self, old: int | None, at: int | None) -> None:
+        if old != at:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if at is not None:
+                self.handle.registerTimer(at)
+
+    def _out(self, hit: tuple, admitted: bool, late: bool) -> Row:
+        return Row(**dict(zip(self.names, hit, strict=False)), admitted=admitted, late=late)
+
+    def _state(self) -> tuple[list[int], int | None, int | None]:
+        if not self.known.exists():
+            return [], None, None
+        recent, last, timer = self.known.get()
+        return list(recent), last, timer
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        mark = timerValues.getCurrentWatermarkInMs()
+        recent, last, timer = self._state()
+        new = []
+        for row in rows:
+            hit = tuple(row[c] for c in self.names) + (row["_t"],)
+            passed = mark > 0 and row["_t"] // 1000 < mark - 1
+            if passed or (last is not None and row["_t"] < last):
+                yield self._out(hit, admitted=None, late=True)
+            else:
+                new.append(hit)
+        if new:
+            self.waiting.appendList(new)
+            oldest = min(hit[self.time_at] for hit in new) // 1000
+            # Of a timer for clearing the state and one for a hit the earlier one decides what is due.
+            at = oldest if timer is None else min(timer, oldest)
+            self._set_timer(timer, at)
+            self.known.update((recent, last, at))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        mark = timerValues.getCurrentWatermarkInMs()
+        recent, last, timer = self._state()
+        hits = list(self.waiting.get()) if self.waiting.exists() else []
+        due = [h for h in hits if h[self.time_at] // 1000 < mark]
+        rest = [h for h in hits if h[self.time_at] // 1000 >= mark]
+        due.sort(key=lambda h: (h[self.time_at], h[self.tie_at] is not None, h[self.tie_at]))
+        times = deque(recent)
+        admitted = admit([h[self.time_at] for h in due], times, self.limit, self.window)
+        for hit, passed in zip(due, admitted, strict=True):
+            yield self._out(hit, admitted=bool(passed), late=False)
+        if due:
+            last = due[-1][self.time_at]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        recent = [t for t in times if t // 1000 >= mark - self.window // 1000 - 1]
+        # The timer that called is gone; another one is set for what comes next.
+        if rest:
+            at = min(h[self.time_at] for h in rest) // 1000
+        else:
+            at = (recent[-1] + self.window) // 1000 + 1 if recent else None
+        if at is None:
+            self.known.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.known.update((recent, last, at))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rate_limit_keyed(
+    hits: DataFrame,
+    folder: str,
+    limit: int = DEFAULT_LIMIT,
+    window_seconds: int = DEFAULT_WINDOW_SECONDS,
+    key: str = "key",
+    ts: str = "ts",
+    tie_break: str = "event_id",
+    lateness_seconds: int = 0,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Rate limiting as keyed state under a watermark, into ``folder``/hits with ``admitted`` and ``late``.
+
+    The watermark follows the newest hit by ``lateness_seconds``, in milliseconds.  A hit waits
+    until the watermark has passed it, so hits out of order by less are decided in order; one the
+    watermark had passed before it came is written as ``late``, undecided.  The state of a key goes
+    when its last admitted hit has left the window.  Hits without a time are left out.
+
+    All hits of a key meet in one task; where one key holds much of the traffic,
+    ``stream_rate_limit`` spreads it.
+    """
+    names = hits.columns
+    prepared = (
+        hits.filter(F.col(ts).isNotNull())
+        .withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit(UNKNOWN_KEY)))
+        .withColumn("_t", micros(hits, ts))
+        # A timer fires when the watermark is past it, and the newest hit is to be decided as well.
+        .withColumn("_at", F.timestamp_micros(F.col("_t") + 1000))
+        .withWatermark("_at", f"{lateness_seconds} seconds")
+        # Late hits are set aside below; a column with the mark would have Spark drop them.
+        .drop("_at")
+    )
+    state = T.StructType([*hits.schema.fields, T.StructField("_t", T.LongType())])
+    out = T.StructType(
+        [*hits.schema.fields, T.StructField("admitted", T.BooleanType()), T.StructField("late", T.BooleanType())]
+    )
+    processor = _AdmitInOrder(names, state, tie_break, limit, window_seconds * 1_000_000)
+    decided = prepared.groupBy("_key").transformWithState(processor, out, "Append", "EventTime")
+    with _keyed_state(hits.sparkSession, empty_batches=True):
+        return (
+            decided.writeStream.format("parquet")
+            .option("path", f"{folder}/hits")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(**(trigger or TRIGGER))
+            .start()
+        )
+
+
 def stream_progress(items: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
     """Running counters per job from items(job_id, processed, found, error), into ``folder``/progress.
 

@@ -128,6 +128,64 @@ def test_late_hits_are_put_in_order(spark, tmp_path):
     assert jobs.read_batches(spark, folder, "late").count() == 0 and 0 < sum(got.values()) < len(got)
 
 
+def test_keyed_rate_limit_over_batches_and_a_restart(spark, tmp_path):
+    rng = random.Random(16)
+    start = datetime.datetime(2024, 3, 31, 1, 0)
+    # Out of order by less than 200 seconds, many at one time, a third under one key, some without a key or a time.
+    rows = [
+        (
+            i // 60,
+            i,
+            None if i % 13 == 0 else "hot" if rng.random() < 0.33 else f"k{rng.randrange(5)}",
+            None if i % 97 == 0 else start + datetime.timedelta(seconds=(i // 3) * 20 - rng.choice([0, 0, 0, 60, 150])),
+        )
+        for i in range(420)
+    ]
+    df = spark.createDataFrame(rows, "part INT, event_id INT, key STRING, ts TIMESTAMP_NTZ")
+    source, folder = str(tmp_path / "hits"), str(tmp_path / "run")
+    args = {"limit": 2, "window_seconds": 300, "lateness_seconds": 200}
+    for parts in (range(5), [5, 6]):
+        write_parts(df, source, parts)
+        query = jobs.stream_rate_limit_keyed(stream(spark, df, source), folder, **args)
+        query.awaitTermination()
+    got = jobs.read_batches(spark, folder, "hits")
+    assert got.filter("late").count() == 0
+    expected = {r.event_id: r.admitted for r in rate_limit(df.drop("part"), 2, 300).collect()}
+    newest = max(r[3] for r in rows if r[3])
+    settled = {r[1] for r in rows if r[3] and r[3] <= newest - datetime.timedelta(seconds=200)}
+    assert {r.event_id: r.admitted for r in got.collect()} == {i: expected[i] for i in settled}
+    assert 0 < got.filter("admitted").count() < got.count()
+
+    # One hit far ahead settles all others and lets the state of their keys go; one far behind is late.
+    ahead = start + datetime.timedelta(days=1)
+    for k, (event, at) in enumerate([(900, ahead), (901, ahead), (902, start)]):
+        write_parts(spark.createDataFrame([(0, event, f"x{k}", at)], df.schema), source, [0])
+        query = jobs.stream_rate_limit_keyed(stream(spark, df, source), folder, **args)
+        query.awaitTermination()
+    got = jobs.read_batches(spark, folder, "hits")
+    assert [r.event_id for r in got.filter("late").collect()] == [902]
+    assert {r.event_id: r.admitted for r in got.filter("NOT late").collect()} == expected
+    # Hits of two keys wait; of every other key nothing is left, neither hits nor times nor timers.
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * 5
+
+
+def test_keyed_rate_limit_in_order_decides_the_newest(spark, tmp_path):
+    # Without lateness, and with equal times on both sides of a batch border.
+    rng = random.Random(26)
+    start = datetime.datetime(2024, 1, 1)
+    seconds = sorted(rng.randrange(60) for _ in range(300))
+    rows = [(i // 100, i, f"k{rng.randrange(3)}", start + datetime.timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    assert any(seconds[i - 1] == seconds[i] for i in (100, 200))
+    df = spark.createDataFrame(rows, "part INT, event_id INT, key STRING, ts TIMESTAMP_NTZ")
+    source, folder = str(tmp_path / "hits"), str(tmp_path / "run")
+    write_parts(df, source, range(3))
+    jobs.stream_rate_limit_keyed(stream(spark, df, source), folder, 3, 10).awaitTermination()
+    got = jobs.read_batches(spark, folder, "hits")
+    assert got.columns == ["event_id", "key", "ts", "admitted", "late"] and got.filter("late").count() == 0
+    expected = {r.event_id: r.admitted for r in rate_limit(df.drop("part"), 3, 10).collect()}
+    assert {r.event_id: r.admitted for r in got.collect()} == expected
+
+
 def test_stream_progress(spark, tmp_path):
     rng = random.Random(7)
     rows = [(i // 40, f"j{rng.randrange(5)}", rng.random() < 0.7, rng.random() < 0.3, rng.random() < 0.1) for i in range(120)]

@@ -444,6 +444,14 @@ def stream_rate_limit(spark, sf):
     return streams.read_batches(spark, folder, "decided").drop("batch")
 
 
+@query
+def stream_rate_limit_keyed(spark, sf):
+    folder = working_folder(spark, "rate-limit-keyed")
+    hits = stream_of(spark, sf, "SELECT event_id, user_id AS key, ts FROM events")
+    streams.stream_rate_limit_keyed(hits, folder, 3, DAY_SECONDS).awaitTermination()
+    return streams.read_batches(spark, folder, "hits").filter(~F.col("late")).drop("late")
+
+
 @query
 def stream_extract(spark, sf):
     folder = working_folder(spark, "extract")

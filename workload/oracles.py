@@ -586,6 +586,7 @@ SELECT r.id AS event_id, key, r.ts AS ts, r.ok AS admitted FROM decided
 """
 oracle("rate_limit", RATE)
 oracle("stream_rate_limit", RATE)
+oracle("stream_rate_limit_keyed", RATE)
 oracle("stream_extract", f"""
 SELECT CAST(substr(page, 2) AS BIGINT) AS page_id, * EXCLUDE (page) FROM ({cascade("starts_with(page, 'x')")}) AS p
 """)
