@@ -2,10 +2,12 @@
 
 Seen as a graph with the keys as nodes and the rows as edges, the kept rows are
 the first maximal matching in row order.  Jobs of ordinary size (a request has
-at most 200 URLs) are walked in order after one shuffle by job.  Larger ones go
-through rounds of aggregations: a row that is first for both of its keys is
-kept, rows sharing a key with it are dropped.  As soon as what is left of a job
-has ordinary size, the walk finishes it.
+at most 200 URLs) are walked in order after one shuffle by job.  Larger ones are
+split into the connected components of their graph, which do not touch each
+other, so those of ordinary size are walked side by side.  Only the rows of
+larger components go through rounds of aggregations: a row that is first for
+both of its keys is kept, rows sharing a key with it are dropped.  After one
+round, then two, four and so on, what is left is split again.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.urls import url_key
 from offerloom.plans.checkpoints import materialize
+from offerloom.plans.components import contracted_labels
 from offerloom.plans.joins import hot_keys, lookup_join
 
 JOB_ROWS = 10_000
@@ -49,22 +52,23 @@ def _first_per_pair(rows: DataFrame, job: str, first: list[str], second: list[st
     )
 
 
-def _walk(rows: DataFrame, job: str, first: list[str], second: list[str], order: list[str]) -> DataFrame:
-    """Sequential pass over jobs of bounded size, many jobs per task.
+def _walk(rows: DataFrame, groups: list[str], first: list[str], second: list[str], order: list[str]) -> DataFrame:
+    """Sequential pass over groups of bounded size, many groups per task.
 
-    The rows arrive sorted by job and order; only the keys kept of the current
-    job are held.
+    The rows arrive sorted by group and order; only the keys kept of the current
+    group are held.
     """
 
     def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, seen_first, seen_second = None, set(), set()
         for batch in batches:
             accepted = []
-            columns = [batch[c].tolist() for c in (job, *first, *second)]
-            for name, *keys in zip(*columns, strict=True):
+            names = zip(*[batch[c].tolist() for c in groups], strict=True)
+            keys_of = zip(*[batch[c].tolist() for c in (*first, *second)], strict=True)
+            for name, keys in zip(names, keys_of, strict=True):
                 if name != current:
                     current, seen_first, seen_second = name, set(), set()
-                a, b = tuple(keys[: len(first)]), tuple(keys[len(first) :])
+                a, b = keys[: len(first)], keys[len(first) :]
                 accept = a not in seen_first and b not in seen_second
                 if accept:
                     seen_first.add(a)
@@ -72,7 +76,7 @@ def _walk(rows: DataFrame, job: str, first: list[str], second: list[str], order:
                 accepted.append(accept)
             yield batch[accepted]
 
-    in_order = rows.repartition(job).sortWithinPartitions(job, *order)
+    in_order = rows.repartition(*groups).sortWithinPartitions(*groups, *order)
     return in_order.mapInPandas(keep, rows.schema)
 
 
@@ -102,6 +106,19 @@ def _round(rows: DataFrame, job: str, first: list[str], second: list[str], order
     return kept, materialize(without(without(rows, first), second).select(*rows.columns))
 
 
+def _with_components(rows: DataFrame, job: str, first: list[str], second: list[str]) -> DataFrame:
+    """Add ``_part``, the component of a row in the graph of its job.
+
+    Nodes are hashes of keys.  Where two of them agree, components are walked
+    together that could have been walked apart, and the rows kept are the same.
+    """
+    a = F.xxhash64(F.lit(1), job, *first)
+    links = rows.select(a.alias("a"), F.xxhash64(F.lit(2), job, *second).alias("b")).distinct()
+    labels = contracted_labels(links, links.select(F.col("a").alias("node")).distinct())
+    named = labels.withColumnsRenamed({"node": "_node", "component": "_part"})
+    return lookup_join(rows.withColumn("_node", a), named, ["_node"], "left").select(*rows.columns, "_part")
+
+
 def dedupe_results(
     rows: DataFrame,
     order: list[str],
@@ -118,20 +135,33 @@ def dedupe_results(
     rows = rows.withColumns(keys)
     columns = rows.columns
 
-    def large_jobs(df: DataFrame) -> DataFrame:
-        sizes = df.groupBy(job).agg(F.count("*").alias("_n"))
-        return materialize(sizes.filter(F.col("_n") > job_rows).select(job))
+    def above_bound(df: DataFrame, groups: list[str]) -> DataFrame:
+        sizes = df.groupBy(*groups).agg(F.count("*").alias("_n"))
+        return materialize(sizes.filter(F.col("_n") > job_rows).select(*groups))
 
     kept: list[DataFrame] = []
-    undecided, large = rows, large_jobs(rows)
-    while not large.isEmpty():
-        ordinary = lookup_join(undecided, large, [job], "left_anti").select(*columns)
-        kept.append(_walk(ordinary, job, first, second, order))
-        open_rows = lookup_join(undecided, large, [job], "left_semi").select(*columns)
-        if undecided is rows:
-            open_rows = materialize(_first_per_pair(open_rows, job, first, second, order))
-        accepted, undecided = _round(open_rows, job, first, second, order)
-        kept.append(accepted)
-        large = large_jobs(undecided)
-    kept.append(_walk(undecided, job, first, second, order))
+
+    def walk_others(df: DataFrame, groups: list[str]) -> DataFrame | None:
+        """Walk the groups within the bound; the rows of the others, if there are any."""
+        large = above_bound(df, groups)
+        if large.isEmpty():
+            kept.append(_walk(df, groups, first, second, order))
+            return None
+        kept.append(_walk(lookup_join(df, large, groups, "left_anti").select(*df.columns), groups, first, second, order))
+        return lookup_join(df, large, groups, "left_semi").select(*columns)
+
+    undecided, rounds = walk_others(rows, [job]), 1
+    if undecided is not None:
+        undecided = materialize(_first_per_pair(undecided, job, first, second, order))
+    while undecided is not None:
+        parts = materialize(_with_components(undecided, job, first, second))
+        giant = walk_others(parts, [job, "_part"])
+        if giant is None:
+            break
+        undecided = materialize(giant)
+        for _ in range(rounds):
+            accepted, undecided = _round(undecided, job, first, second, order)
+            kept.append(accepted)
+        rounds *= 2
+        undecided = walk_others(undecided, [job])
     return reduce(DataFrame.unionByName, [k.select(*given) for k in kept])

@@ -61,6 +61,29 @@ def test_chain_is_decided_in_order(spark):
     assert run(spark, rows, job_rows=40) == list(range(0, 60, 2))
 
 
+def test_chains_of_a_large_job_are_walked_side_by_side(spark, monkeypatch):
+    # Three chains of 1,000 rows, read in turn, and many single rows: no round is needed.
+    def no_round(*args):
+        raise AssertionError("a component within the bound went through a round")
+
+    monkeypatch.setattr(dedupe, "_round", no_round)
+    chains = [("j", 3 * i + c, f"a{c}-{i // 2}", f"b{c}-{(i + 1) // 2}") for i in range(1000) for c in range(3)]
+    single = [("j", 5000 + i, f"x{i}", f"y{i}") for i in range(500)]
+    other = [("k", i, f"a0-{i // 2}", f"b0-{(i + 1) // 2}") for i in range(1400)]
+    rows = chains + single + other
+    assert run(spark, rows, job_rows=1450) == loop(rows)
+
+
+def test_giant_component_beside_chains(spark):
+    # A star whose rows share a key is above the bound, chains hang on some of its rows.
+    rng = random.Random(11)
+    star = [("j", rng.randrange(10**6), "hub", f"s{i}") for i in range(300)]
+    tails = [("j", rng.randrange(10**6), f"t{i}-{k // 2}", f"s{i}" if k == 0 else f"u{i}-{(k + 1) // 2}") for i in range(20) for k in range(8)]
+    chains = [("j", 2 * 10**6 + i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(90)]
+    rows = star + tails + chains
+    assert run(spark, rows, job_rows=100) == loop(rows)
+
+
 def test_price_text_decides_and_zero_is_none(spark):
     rows = [(1, "0.00", None, "s1"), (2, None, "", "s2"), (3, "49.9", "c", "s3"), (4, "49.90", "d", "s4"), (5, "0", "e", "s5")]
     df = spark.createDataFrame(rows, "ord INT, price_token STRING, canonical_url STRING, source_url STRING")
