@@ -15,6 +15,7 @@ from offerloom.operators.dedupe import dedupe_results
 from offerloom.operators.ratelimit import rate_limit
 from offerloom.plans.checkpoints import working_folder
 from offerloom.plans.search import SearchInput, find_candidates, search
+from offerloom.sources import cache_tables
 from offerloom.sources.sinks import job_results as stored_job_results
 from offerloom.sources.sinks import write_csv, write_results
 from offerloom.streaming import jobs as streams
@@ -223,6 +224,39 @@ def upsert_results(spark, sf):
     return _double_price(merged)
 
 
+def _cache_table(spark, name) -> str:
+    """Name of a table in a database of its own below the shared folder."""
+    folder = working_folder(spark, "cache")
+    database = folder.rpartition("/")[2].replace("-", "_")
+    cache_tables.create_database(spark, database, folder)
+    return f"{database}.{name}"
+
+
+@query
+def upsert_buckets(spark, sf):
+    stored = _cache_table(spark, "results")
+    cache_tables.create_result_cache(stored, table(spark, sf, "fx_cached_results"), buckets=32)
+    cache_tables.upsert_result_cache(stored, table(spark, sf, "fx_incoming"), ["batch", "seq", "l_suppkey"], now())
+    return _double_price(cache_tables.result_cache(spark, stored))
+
+
+@query
+def lookup_buckets(spark, sf):
+    stored = _cache_table(spark, "results")
+    cache_tables.create_result_cache(stored, table(spark, sf, "fx_cached_results"), buckets=32)
+    misses = caches.cache_misses(table(spark, sf, "fx_lookups"), cache_tables.result_cache(spark, stored), now())
+    return misses.select("job_id", "ord", "query_normalized", "url")
+
+
+@query
+def purge_hours(spark, sf):
+    stored, given = _cache_table(spark, "urls"), table(spark, sf, "fx_cached_urls")
+    cache_tables.create_url_cache(stored, given)
+    cache_tables.append_url_rows(stored, given)
+    cache_tables.purge_url_cache(spark, stored, now())
+    return spark.table(stored).drop("expires_hour")
+
+
 # Discovery
 
 

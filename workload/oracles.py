@@ -301,10 +301,12 @@ SELECT job_id, ord, cache_key, product_name, {normal('product_name')} AS normali
   location_city, distance_km, location_lat IS NULL AS location_unknown, 'cache' AS extraction_method,
   {inside('radius_option', 'include_unknown', 'distance_km', 'location_city')} AS accepted FROM hits
 """)
-oracle("cache_misses", f"""
+MISSES = f"""
 SELECT job_id, ord, query_normalized, url FROM fx_lookups AS l WHERE NOT EXISTS (SELECT 1 FROM fx_cached_results AS c
   WHERE c.query_normalized = l.query_normalized AND c.source_url = l.url AND expires_at >= {NOW})
-""")
+"""
+oracle("cache_misses", MISSES)
+oracle("lookup_buckets", MISSES)
 oracle("url_cache_gate", f"""
 WITH {REQUESTS}, counts AS (SELECT query_normalized, count(*) AS n FROM fx_cached_urls WHERE expires_at >= {NOW} GROUP BY ALL)
 SELECT job_id, valid.query_normalized, max_urls, coalesce(n, 0) AS cached_urls,
@@ -312,12 +314,13 @@ SELECT job_id, valid.query_normalized, max_urls, coalesce(n, 0) AS cached_urls,
 FROM valid LEFT JOIN counts ON valid.query_normalized = counts.query_normalized
 """)
 oracle("purge_expired", f"SELECT * FROM fx_cached_urls WHERE NOT expires_at < {NOW}")
+oracle("purge_hours", f"SELECT * FROM fx_cached_urls WHERE NOT expires_at < {NOW}")
 oracle("append_url_cache", f"""
 SELECT query_normalized, 'manual' AS provider, url, score, {NOW} AS created_at, {NOW} + INTERVAL 24 HOUR AS expires_at
 FROM fx_cached_urls
 """)
 _VALUES = ["product_name", "price", "currency", "size_text", "location_city", "location_address", "location_lat", "location_lon"]
-oracle("upsert_results", f"""
+UPSERT = f"""
 WITH numbered AS (SELECT *, sha1(query_normalized || '|' || source_url) AS cache_key, row_number() OVER (
     PARTITION BY query_normalized, source_url ORDER BY batch DESC, seq DESC, l_suppkey DESC) AS n FROM fx_incoming),
 last AS (SELECT * FROM numbered WHERE n = 1),
@@ -328,7 +331,9 @@ merged AS (SELECT coalesce(o.cache_key, i.cache_key) AS cache_key, coalesce(o.qu
   CASE WHEN i.cache_key IS NULL THEN o.expires_at ELSE {NOW} + INTERVAL 24 HOUR END AS expires_at
 FROM fx_cached_results AS o FULL JOIN last AS i ON o.cache_key = i.cache_key)
 SELECT * REPLACE (CAST(price AS DOUBLE) AS price) FROM merged
-""")
+"""
+oracle("upsert_results", UPSERT)
+oracle("upsert_buckets", UPSERT)
 
 # Discovery
 
