@@ -65,6 +65,12 @@ def unique_join(left: DataFrame, keyed: DataFrame, keys: list[str], how: str) ->
     return left.join(F.broadcast(keyed) if is_small(keyed) else keyed, keys, how)
 
 
+def bit_is_set(bits: Column, at: Column) -> Column:
+    """Whether a bitmap made by ``bitmap_construct_agg`` has the bit at a position."""
+    octet = F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1)))
+    return F.getbit(F.conv(octet, 16, 10).cast("int"), (at % 8).cast("int")) == 1
+
+
 def likely_in(large: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows of ``large`` whose key may be in ``wanted``; a share of the others stays too.
 
@@ -78,10 +84,8 @@ def likely_in(large: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
         .groupBy(bucket.alias("_bucket"))
         .agg(F.bitmap_construct_agg(at).alias("_bits"))
     )
-    octet = F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1)))
-    is_set = F.getbit(F.conv(octet, 16, 10).cast("int"), (at % 8).cast("int")) == 1
     marked = large.withColumn("_bucket", bucket).join(F.broadcast(bits), ["_bucket"])
-    return marked.filter(is_set).select(*large.columns)
+    return marked.filter(bit_is_set(F.col("_bits"), at)).select(*large.columns)
 
 
 def mark_likely(large: DataFrame, wanted: DataFrame, hashed: Column, name: str) -> DataFrame:
@@ -97,10 +101,8 @@ def mark_likely(large: DataFrame, wanted: DataFrame, hashed: Column, name: str)
     rows = large.select(
         F.struct("*").alias("_row"), F.bitmap_bucket_number(own).alias("_bucket"), F.bitmap_bit_position(own).alias("_at")
     )
-    octet = F.hex(F.substring(F.col("_bits"), F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1)))
-    is_set = F.getbit(F.conv(octet, 16, 10).cast("int"), (F.col("_at") % 8).cast("int")) == 1
     marked = rows.join(F.broadcast(bits), "_bucket", "left")
-    return marked.select("_row.*", F.coalesce(is_set, F.lit(False)).alias(name))
+    return marked.select("_row.*", F.coalesce(bit_is_set(F.col("_bits"), F.col("_at")), F.lit(False)).alias(name))
 
 
 def lookup_join(

@@ -15,7 +15,7 @@ from offerloom.operators.dedupe import dedupe_results
 from offerloom.operators.ratelimit import rate_limit
 from offerloom.plans.checkpoints import working_folder
 from offerloom.plans.search import SearchInput, find_candidates, search
-from offerloom.sources import cache_tables
+from offerloom.sources import cache_tables, tables
 from offerloom.sources.sinks import job_results as stored_job_results
 from offerloom.sources.sinks import write_csv, write_results
 from offerloom.streaming import jobs as streams
@@ -45,6 +45,16 @@ def _double_price(df: DataFrame) -> DataFrame:
 # Sources and requests
 
 
+@query
+def read_pages(spark, sf):
+    folder, given = working_folder(spark, "crawls"), table(spark, sf, "pages")
+    given.withColumn("crawl", F.lit(1).cast("bigint")).write.parquet(folder)
+    again = given.filter(F.col("page_id") % 3 == 0).withColumn("html", F.concat(F.lit("<!-- 2 -->"), "html"))
+    again.withColumn("crawl", F.lit(2).cast("bigint")).write.mode("append").parquet(folder)
+    newest = tables.read_pages(spark, folder, version="crawl")
+    return newest.select("page_id", "url", "crawl", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
 @query
 def allowed_domains(spark, sf):
     return requests.allowed_domains(table(spark, sf, "fx_domain_entries"))

@@ -104,6 +104,12 @@ def inside(option: str, unknown: str, km: str, city: str) -> str:
 
 # Sources and requests
 
+oracle("read_pages", """
+WITH crawls AS (SELECT *, CAST(1 AS BIGINT) AS crawl FROM pages
+  UNION ALL SELECT page_id, url, '<!-- 2 -->' || html, CAST(2 AS BIGINT) FROM pages WHERE page_id % 3 = 0)
+SELECT arg_max(page_id, crawl) AS page_id, url, max(crawl) AS crawl, md5(arg_max(html, crawl)) AS html_md5
+FROM crawls GROUP BY url
+""")
 oracle("allowed_domains", r"""
 WITH items AS (SELECT lower(trim(unnest(string_split(entries, ',')))) AS v FROM fx_domain_entries),
 hosts AS (SELECT regexp_replace(split_part(replace(replace(v, 'https://', ''), 'http://', ''), '/', 1), '^www\.', '') AS domain
