@@ -355,21 +355,38 @@ def stream_rate_limit_keyed(
         )
 
 
-def stream_progress(items: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Running counters per job from items(job_id, processed, found, error), into ``folder``/progress.
+COUNTERS = ["total_candidate_urls", "processed_urls", "found_products", "errors"]
+RUN_TOTALS = "run_totals"
 
-    The counters are a streaming aggregation in update mode; each batch writes
-    the jobs it changed.
-    """
 
+def _counters() -> list[Column]:
     def number(flag: str) -> Column:
         return F.count_if(F.coalesce(F.col(flag), F.lit(False)))
 
-    counters = items.groupBy("job_id").agg(
-        F.count("*").alias("total_candidate_urls"),
-        number("processed").alias("processed_urls"),
-        number("found").alias("found_products"),
-        number("error").alias("errors"),
+    counted = [F.count("*"), number("processed"), number("found"), number("error")]
+    return [count.alias(name) for count, name in zip(counted, COUNTERS, strict=True)]
+
+
+def stream_progress(
+    items: DataFrame, folder: str, trigger: dict | None = None, ttl_seconds: int = JOB_TTL_SECONDS
+) -> StreamingQuery:
+    """Running counters per job from items(job_id, processed, found, error), into ``folder``/progress.
+
+    The counters are a streaming aggregation in update mode, so a job with much
+    of the input is counted where its items are; each batch writes what it
+    changed.  A job is counted anew in every period of ``ttl_seconds``, by the
+    time of the batch, and the watermark removes the state of a period
+    ``ttl_seconds`` after its end: jobs that are over take no room, and one that
+    goes on later loses nothing, as ``latest_progress`` adds its periods.  The
+    counters over all items of a batch are observed as it runs (``run_totals``).
+    """
+    seen = items.observe(RUN_TOTALS, *_counters()).withColumn("_seen", F.current_timestamp())
+    period = F.window("_seen", f"{ttl_seconds} seconds").alias("_period")
+    counters = (
+        seen.withWatermark("_seen", f"{ttl_seconds} seconds")
+        .groupBy("job_id", period)
+        .agg(*_counters())
+        .select("job_id", F.col("_period.start").alias("period"), *COUNTERS)
     )
 
     def body(batch: DataFrame, batch_id: int) -> None:
@@ -381,6 +398,19 @@ def stream_progress(items: DataFrame, folder: str, trigger: dict | None = None)
 def latest_progress(spark: SparkSession, folder: str) -> DataFrame:
     """The newest counters of each job."""
     written = read_batches(spark, folder, "progress")
-    counters = ["total_candidate_urls", "processed_urls", "found_products", "errors"]
-    newest = written.groupBy("job_id").agg(F.max_by(F.struct(*counters), "batch").alias("_last"))
-    return newest.select("job_id", "_last.*")
+    newest = written.groupBy("job_id", "period").agg(F.max_by(F.struct(*COUNTERS), "batch").alias("_last"))
+    return newest.groupBy("job_id").agg(*[F.sum(f"_last.{c}").alias(c) for c in COUNTERS])
+
+
+def run_totals(query: StreamingQuery) -> dict[str, int]:
+    """The counters over all items a run of ``stream_progress`` has read since it was started.
+
+    They cover the batches a query reports on, the last ``spark.sql.streaming.numRecentProgressUpdates``.
+    """
+    totals = dict.fromkeys(COUNTERS, 0)
+    for progress in query.recentProgress:
+        observed = progress["observedMetrics"].get(RUN_TOTALS)
+        if observed is not None:
+            for name in COUNTERS:
+                totals[name] += observed[name]
+    return totals

@@ -199,3 +199,28 @@ def test_stream_progress(spark, tmp_path):
     expected = job_status(job_ids, df.drop("part")).select(*counters)
     got = jobs.latest_progress(spark, folder).select(*counters)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_progress_totals_and_expiry(spark, tmp_path):
+    rng = random.Random(17)
+    rows = [(i // 30, None if i % 19 == 0 else f"j{i // 60}", rng.random() < 0.7, rng.random() < 0.3, None if i % 7 == 0 else False) for i in range(150)]
+    df = spark.createDataFrame(rows, "part INT, job_id STRING, processed BOOLEAN, found BOOLEAN, error BOOLEAN")
+    source, folder = str(tmp_path / "items"), str(tmp_path / "run")
+    write_parts(df, source, range(3))
+    query = jobs.stream_progress(stream(spark, df, source), folder, ttl_seconds=3)
+    query.awaitTermination()
+    names = jobs.COUNTERS
+    sums = jobs.latest_progress(spark, folder).agg(*[F.sum(c).alias(c) for c in names]).first().asDict()
+    assert jobs.run_totals(query) == sums and sums["total_candidate_urls"] == 90
+    held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    time.sleep(8)
+    write_parts(df, source, [4])
+    query = jobs.stream_progress(stream(spark, df, source), folder, ttl_seconds=3)
+    query.awaitTermination()
+    # The jobs of the first run are over and forgotten; one that came back is counted on.
+    assert held >= 1 and query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+    assert jobs.run_totals(query)["total_candidate_urls"] == 30
+    items = df.filter("part <> 3").drop("part")
+    expected = items.groupBy("job_id").agg(F.count("*").alias("n"), F.count_if("found").alias("f"))
+    got = jobs.latest_progress(spark, folder).select("job_id", "total_candidate_urls", "found_products")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, expected.collect())))
