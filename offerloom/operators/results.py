@@ -141,10 +141,14 @@ def sort_results(results: DataFrame, sort_by: str = "price", sort_dir: str = "as
     return results.orderBy(_ordered(column, sort_dir.lower() == "asc"), *(tie_break or ["id"]))
 
 
-def page_results(ordered: DataFrame, page: int = 1, page_size: int = 25) -> DataFrame:
-    """One page of sorted results."""
+def check_page(page: int, page_size: int) -> None:
     if page < 1 or not 1 <= page_size <= MOST_ROWS_PER_PAGE:
         raise ValueError(f"page must be at least 1 and page_size 1 to {MOST_ROWS_PER_PAGE}")
+
+
+def page_results(ordered: DataFrame, page: int = 1, page_size: int = 25) -> DataFrame:
+    """One page of sorted results."""
+    check_page(page, page_size)
     return ordered.offset((page - 1) * page_size).limit(page_size)
 
 

@@ -15,7 +15,7 @@ from offerloom.operators.dedupe import dedupe_results
 from offerloom.operators.ratelimit import rate_limit
 from offerloom.plans.checkpoints import working_folder
 from offerloom.plans.search import SearchInput, find_candidates, search
-from offerloom.sources import cache_tables, tables
+from offerloom.sources import cache_tables, page_index, tables
 from offerloom.sources.sinks import job_results as stored_job_results
 from offerloom.sources.sinks import write_csv, write_results
 from offerloom.streaming import jobs as streams
@@ -390,6 +390,13 @@ def page_results(spark, sf):
     return results.page_results(by_site, page=3, page_size=500).select("id", "domain", "price")
 
 
+@query
+def page_of_index(spark, sf):
+    stored = working_folder(spark, "sorted")
+    page_index.write_sorted(results.sort_results(_double_price(table(spark, sf, "fx_results")), "site", "asc"), stored)
+    return page_index.read_page(spark, stored, page=3, page_size=500).select("id", "domain", "price")
+
+
 @query
 def table_view(spark, sf):
     rows = results.api_rows(table(spark, sf, "fx_results"))

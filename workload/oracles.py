@@ -476,9 +476,11 @@ oracle("result_total", "SELECT count(*) AS total FROM fx_results WHERE price >=
 oracle("sort_results", """
 SELECT id, domain, CAST(price AS DOUBLE) AS price FROM fx_results ORDER BY price DESC NULLS FIRST, id
 """)
-oracle("page_results", """
+PAGE = """
 SELECT id, domain, CAST(price AS DOUBLE) AS price FROM fx_results ORDER BY domain ASC NULLS LAST, id LIMIT 500 OFFSET 1000
-""")
+"""
+oracle("page_results", PAGE)
+oracle("page_of_index", PAGE)
 API = """
 api AS (SELECT id, product_name AS productName, domain AS website, source_url AS sourceUrl, CAST(price AS DOUBLE) AS price,
     currency, size_text AS size, location_city AS locationCity, location_address AS locationAddress,
