@@ -136,7 +136,7 @@ def _with_trigrams(df: DataFrame, column: str) -> DataFrame:
 
 
 def token_matches(tokens: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct links whose URL or text contains a token, with the token.
+    """Links whose URL or text contains a token, once per token; the links given must be distinct.
 
     A few tokens (the count is checked) are tried on each link in place.  Many
     are looked up by the trigrams of the links.
@@ -147,7 +147,7 @@ def token_matches(tokens: DataFrame, links: DataFrame) -> DataFrame:
     if len(few) <= TOKENS_IN_PLACE:
         words = F.array(*[F.lit(t) for t in few]) if few else F.array().cast("array<string>")
         contained = F.filter(words, lambda t: F.col("_hay").contains(t))
-        return searched.withColumn("token", F.explode(contained)).drop("_hay").distinct()
+        return searched.withColumn("token", F.explode(contained)).drop("_hay")
     return _trigram_matches(vocabulary, searched)
 
 
@@ -177,7 +177,7 @@ def _trigram_matches(vocabulary: DataFrame, searched: DataFrame) -> DataFrame:
 def request_link_match(requests: DataFrame, links: DataFrame) -> DataFrame:
     """Distinct (query, seed, URL) where a word of the query is in the link's URL or text."""
     words = query_words(requests)
-    matched = token_matches(words, links.select("seed_domain", "url", "text"))
+    matched = token_matches(words, links.select("seed_domain", "url", "text").distinct()).select("seed_domain", "url", "token")
     return match_join(matched, words, ["token"]).select("query_normalized", "seed_domain", "url").distinct()
 
 
