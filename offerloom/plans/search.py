@@ -25,6 +25,10 @@ from offerloom.operators.results import build_results, job_status, union_cached_
 from offerloom.operators.robots import robots_filter
 from offerloom.plans.checkpoints import materialize
 from offerloom.plans.joins import is_small, likely_in, lookup_join, match_join, unique_join
+from offerloom.sources import cache_tables
+
+# Of several fresh rows with one cache key the last in this order counts.
+FRESH_ORDER = ["job_id", "rank"]
 
 # Fixed value: pages a browser has rendered are used whatever they contain.
 BROWSER_METHOD = "playwright-reused"
@@ -63,6 +67,8 @@ class SearchOutput:
     status: DataFrame
     new_cached_urls: DataFrame
     cached_results: DataFrame
+    # What a run has read afresh, by which cache tables are refreshed in place.
+    fresh_results: DataFrame
 
 
 def _from_url_cache(queries: DataFrame, cached_urls: DataFrame, now: Column) -> DataFrame:
@@ -156,5 +162,17 @@ def search(given: SearchInput, now: Column, agent: str) -> SearchOutput:
         results=results,
         status=job_status(requests.select("job_id", F.lit("done").alias("status")), items),
         new_cached_urls=caches.append_url_cache(discovered, now, given.ttl_hours),
-        cached_results=caches.upsert_results(given.cached_results, fresh, ["job_id", "rank"], now, given.ttl_hours),
+        cached_results=caches.upsert_results(given.cached_results, fresh, FRESH_ORDER, now, given.ttl_hours),
+        fresh_results=fresh,
     )
+
+
+def refresh_tables(
+    output: SearchOutput, results_table: str, urls_table: str, now: Column, ttl_hours: int = caches.TTL_HOURS
+) -> None:
+    """Refresh the cache tables a search has read, in place of writing ``cached_results`` as a whole.
+
+    Tables that ``output`` reads change with this, so ``cached_results`` is of no use afterwards.
+    """
+    cache_tables.append_url_rows(urls_table, output.new_cached_urls)
+    cache_tables.upsert_result_cache(results_table, output.fresh_results, FRESH_ORDER, now, ttl_hours)

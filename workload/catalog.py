@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from offerloom.operators import caches, discovery, extract, location, requests,
 from offerloom.operators.dedupe import dedupe_results
 from offerloom.operators.ratelimit import rate_limit
 from offerloom.plans.checkpoints import working_folder
-from offerloom.plans.search import SearchInput, find_candidates, search
+from offerloom.plans.search import SearchInput, find_candidates, refresh_tables, search
 from offerloom.sources import cache_tables, page_index, tables
 from offerloom.sources.sinks import job_results as stored_job_results
 from offerloom.sources.sinks import write_csv, write_results
@@ -469,13 +470,31 @@ def search_new_urls(spark, sf):
     return caches.append_url_cache(discovered, now())
 
 
+SEARCH_CACHE_COLUMNS = [
+    "cache_key", "query_normalized", "domain", "source_url", "product_name", "price", "location_city", "created_at", "expires_at",
+]
+
+
 @query
 def search_cache(spark, sf):
     cached = search(_search_input(spark, sf, from_pages=False), now(), ROBOT).cached_results
-    return _double_price(cached).select(
-        "cache_key", "query_normalized", "domain", "source_url", "product_name", "price", "location_city", "created_at",
-        "expires_at",
+    return _double_price(cached).select(*SEARCH_CACHE_COLUMNS)
+
+
+@query
+def search_refresh(spark, sf):
+    """A search over cache tables, which are then refreshed in place."""
+    given, stored, urls = _search_input(spark, sf, from_pages=False), _cache_table(spark, "results"), _cache_table(spark, "urls")
+    cache_tables.create_result_cache(stored, given.cached_results, buckets=32)
+    cache_tables.create_url_cache(urls, given.cached_urls)
+    cache_tables.append_url_rows(urls, given.cached_urls)
+    held = replace(
+        given,
+        cached_results=cache_tables.result_cache(spark, stored),
+        cached_urls=cache_tables.live_urls(spark, urls, now()),
     )
+    refresh_tables(search(held, now(), ROBOT), stored, urls, now())
+    return _double_price(cache_tables.result_cache(spark, stored)).select(*SEARCH_CACHE_COLUMNS)
 
 
 # Time-driven and incremental

@@ -577,7 +577,7 @@ SELECT job_id, 'done' AS status, (SELECT count(*) FROM candidates AS c WHERE c.j
 oracle("search_new_urls", f"""{FROM_PAGES}
 SELECT query_normalized, 'manual' AS provider, url, score, {NOW} AS created_at, {NOW} + INTERVAL 1 DAY AS expires_at FROM discovered
 """)
-oracle("search_cache", f"""{SEARCH_STEPS}
+SEARCH_CACHE = f"""{SEARCH_STEPS}
 SELECT cache_key, coalesce(o.query_normalized, f.query_normalized) AS query_normalized, coalesce(o.domain, f.domain) AS domain,
   coalesce(o.source_url, f.source_url) AS source_url,
   CASE WHEN f.domain IS NULL THEN o.product_name ELSE f.product_name END AS product_name,
@@ -585,7 +585,9 @@ SELECT cache_key, coalesce(o.query_normalized, f.query_normalized) AS query_norm
   CASE WHEN f.domain IS NULL THEN o.location_city ELSE f.location_city END AS location_city,
   coalesce(o.created_at, {NOW}) AS created_at, CASE WHEN f.domain IS NULL THEN o.expires_at ELSE {NOW} + INTERVAL 1 DAY END AS expires_at
 FROM fx_search_cache AS o FULL JOIN fresh AS f USING (cache_key)
-""")
+"""
+oracle("search_cache", SEARCH_CACHE)
+oracle("search_refresh", SEARCH_CACHE)
 
 # Time-driven and incremental
 
