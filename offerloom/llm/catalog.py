@@ -62,8 +62,13 @@ def op3_suffix_dedup(spark, sf):
 @query
 def op4_secrets(spark, sf):
     found = secretscan.find_secrets(read(spark, sf, "documents"), "doc_id", "text")
+
+    def of_kind(number: int):
+        # With a second parameter the function would be given the place of a span.
+        return lambda s: s["kind"] == number
+
     counts = [
-        F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{kind}")
+        F.size(F.filter("spans", of_kind(n))).cast("long").alias(f"n_{kind}")
         for n, kind in enumerate(secretscan.KINDS[:3])
     ]
     base = F.filter("spans", lambda s: s["kind"] < 3)

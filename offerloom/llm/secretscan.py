@@ -75,7 +75,7 @@ STRETCH = 1024
 # Every token with a letter and a digit has one: the last takes whatever is left.
 ENCODINGS = {
     "hex": (r"^([0-9a-f]+|[0-9A-F]+)=*$", 16, 1 - (10 / 16) ** 2 - (6 / 16) ** 2, 2.0, 0.5),
-    "uuid": (r"^([0-9a-f]+([_-][0-9a-f]+)+|[0-9A-F]+([_-][0-9A-F]+)+)=*$", 16, 1 - (10 / 16) ** 2 - (6 / 16) ** 2, 2.0, 0.5),
+    "uuid": (r"^([0-9a-f]++([_-][0-9a-f]++)++|[0-9A-F]++([_-][0-9A-F]++)++)=*$", 16, 1 - (10 / 16) ** 2 - (6 / 16) ** 2, 2.0, 0.5),
     "base32": (r"^[A-Z2-7]+=*$", 32, 1 - (26 / 32) ** 2 - (6 / 32) ** 2, 0.7, 0.4),
     "base36": (r"^([a-z0-9]+|[A-Z0-9]+)=*$", 36, 1 - (26 / 36) ** 2 - (10 / 36) ** 2, 0.75, 0.4),
     "base38": (r"^([a-z0-9+/_-]+|[A-Z0-9+/_-]+)=*$", 38, 1 - (26 / 38) ** 2 - (10 / 38) ** 2 - (2 / 38) ** 2, 0.9, 0.6),
