@@ -4,10 +4,11 @@
 keys (a gazetteer, a cache, an allow-list) to a large one:
 
 * the keyed side is broadcast only after its rows and bytes were counted and found small;
-* beyond that, the most frequent keys of the large side are joined apart by
-  broadcasting just their rows (at most ``HOT_KEYS`` of them, a fixed bound),
-  and only the remaining keys, none of which can hold more than a share of
-  1 / HOT_KEYS of the rows, go through a shuffle join.
+* beyond that, a bitmap of its keys is broadcast, and rows of the large side that surely
+  match nothing stay where they are;
+* of the others, keys with more than a share of 1 / HOT_KEYS of the rows are joined apart
+  by broadcasting just their rows (at most ``HOT_KEYS`` of them, a fixed bound), and
+  only the remaining keys go through a shuffle join.
 
 Rows with a null key match nothing and never take part in a shuffle.
 """
@@ -25,6 +26,8 @@ from offerloom.plans.checkpoints import materialize
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 128 << 20
 HOT_KEYS = 200
+# Keys are first counted in as many classes of their hash, so that only those of large classes are counted one by one.
+HOT_CLASSES = 1 << 14
 
 # Size of the bitmap that stands for a set of keys: 2**27 bits in rows of 4 KB are 16 MB.
 FILTER_BITS = 1 << 27
@@ -55,9 +58,22 @@ def _all_not_null(keys: list[str]):
 
 
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The most frequent key combinations: counted map-side first, then a top-k."""
-    counts = df.filter(_all_not_null(keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
-    return counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys)
+    """The keys that more than a share of 1 / HOT_KEYS of the rows have, so at most ``HOT_KEYS``.
+
+    Such a key is in a class of hashes with as large a share, of which there are as few.  The
+    counts that are shuffled and read by the driver are one per class, whatever the number of keys.
+    """
+    present = df.filter(_all_not_null(keys))
+    if HOT_KEYS < 1:
+        return present.select(*keys).limit(0)
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(HOT_CLASSES)).cast("int")
+    counts = {r["_class"]: r["count"] for r in present.groupBy(hashed.alias("_class")).count().collect()}
+    least = sum(counts.values()) / HOT_KEYS
+    large = [c for c, n in counts.items() if n > least]
+    if not large:
+        return present.select(*keys).limit(0)
+    counted = present.filter(hashed.isin(large)).groupBy(*keys).agg(F.count("*").alias("_n"))
+    return materialize(counted.filter(F.col("_n") > least).select(*keys))
 
 
 def unique_join(left: DataFrame, keyed: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -88,15 +104,23 @@ def likely_in(large: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return marked.filter(bit_is_set(F.col("_bits"), at)).select(*large.columns)
 
 
+def bitmap_of(wanted: DataFrame) -> DataFrame:
+    """The bitmap of a table of 64-bit hashes, its only column: rows of 4 KB, at most 16 MB."""
+    spot = F.pmod(F.col(wanted.columns[0]), F.lit(FILTER_BITS)) + 1
+    return wanted.groupBy(F.bitmap_bucket_number(spot).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("_bits")
+    )
+
+
 def mark_likely(large: DataFrame, wanted: DataFrame, hashed: Column, name: str) -> DataFrame:
     """Add ``name``: whether the 64-bit hash of a row may be among the hashes in ``wanted``, its only column.
 
     Rows stay where they are; a false mark is certain.  A name that is taken must not be given.
     """
-    spot = F.pmod(F.col(wanted.columns[0]), F.lit(FILTER_BITS)) + 1
-    bits = wanted.groupBy(F.bitmap_bucket_number(spot).alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("_bits")
-    )
+    return _mark_by(large, bitmap_of(wanted), hashed, name)
+
+
+def _mark_by(large: DataFrame, bits: DataFrame, hashed: Column, name: str) -> DataFrame:
     own = F.pmod(hashed, F.lit(FILTER_BITS)) + 1
     rows = large.select(
         F.struct("*").alias("_row"), F.bitmap_bucket_number(own).alias("_bucket"), F.bitmap_bit_position(own).alias("_at")
@@ -111,7 +135,7 @@ def lookup_join(
     """Join ``large`` with ``keyed`` (unique per key combination) on ``keys``.
 
     ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.  Beyond a
-    broadcast ``large`` is read three times; if computing it is ``costly`` it
+    broadcast ``large`` is read several times; if computing it is ``costly`` it
     is written out first.
     """
     if is_small(keyed):
@@ -119,16 +143,26 @@ def lookup_join(
 
     if costly:
         large = materialize(large)
-    present = large.filter(_all_not_null(keys))
+    mark, hashed = "_likely", F.xxhash64(*keys)
+    if all(large.schema[k].dataType == keyed.schema[k].dataType for k in keys):
+        bits = materialize(bitmap_of(keyed.filter(_all_not_null(keys)).select(hashed.alias("_hash"))))
+        marked = _mark_by(large, bits, hashed, mark)
+    else:
+        # Equal values of two types have different hashes.
+        marked = large.withColumn(mark, F.lit(True))
+    may_match = F.col(mark) & _all_not_null(keys)
+    present = marked.filter(may_match).drop(mark)
     hot = hot_keys(present, keys)
-    hot_rows = present.join(F.broadcast(hot), keys, "left_semi").join(
-        F.broadcast(keyed.join(F.broadcast(hot), keys, "left_semi")), keys, how
-    )
-    other_rows = present.join(F.broadcast(hot), keys, "left_anti").join(keyed, keys, how)
-    joined = hot_rows.unionByName(other_rows)
+    if hot.isEmpty():
+        joined = present.join(keyed, keys, how)
+    else:
+        hot_rows = present.join(F.broadcast(hot), keys, "left_semi").join(
+            F.broadcast(keyed.join(F.broadcast(hot), keys, "left_semi")), keys, how
+        )
+        other_rows = present.join(F.broadcast(hot), keys, "left_anti").join(keyed, keys, how)
+        joined = hot_rows.unionByName(other_rows)
     if how in ("left", "left_anti"):
-        unmatched = large.filter(~_all_not_null(keys))
-        joined = joined.unionByName(unmatched, allowMissingColumns=True)
+        joined = joined.unionByName(marked.filter(~may_match).drop(mark), allowMissingColumns=True)
     return joined
 
 

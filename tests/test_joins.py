@@ -73,3 +73,33 @@ def test_mark_likely_keeps_all_rows_and_marks_the_wanted(spark):
     assert marked.columns == [*large.columns, "maybe"] and len(rows) == 5000
     assert all(r.maybe for r in rows if r.id % 7 == 0) and sum(r.maybe for r in rows) < 5000 / 7 + 50
     assert not any(r.maybe for r in joins.mark_likely(large, wanted.limit(0), F.xxhash64("id"), "maybe").collect())
+
+
+def test_only_keys_with_a_large_share_are_hot(spark, monkeypatch):
+    large = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    for classes in (joins.HOT_CLASSES, 5):
+        monkeypatch.setattr(joins, "HOT_CLASSES", classes)
+        assert [r.k for r in joins.hot_keys(large, ["k"]).collect()] == [-1]
+        assert joins.hot_keys(large.filter("k >= 0"), ["k"]).isEmpty()
+
+
+def test_rows_that_match_nothing_are_not_shuffled(spark, monkeypatch, tmp_path):
+    spark.range(4000).select("id", F.concat(F.lit("k"), "id").alias("k")).write.parquet(f"{tmp_path}/large")
+    large = spark.read.parquet(f"{tmp_path}/large")
+    keyed = spark.range(0, 4000, 10).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v"))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    marked = []
+    real = joins._mark_by
+    monkeypatch.setattr(joins, "_mark_by", lambda *args: marked.append(real(*args)) or marked[-1])
+    assert joins.lookup_join(large, keyed, ["k"], "left_anti").count() == 3600
+    assert joins.lookup_join(large, keyed, ["k"], "left").filter("v IS NOT NULL").count() == 400
+    assert len(marked) == 2 and all(400 <= m.filter("_likely").count() < 450 for m in marked)
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_keys_of_two_types_still_match(spark, monkeypatch, how):
+    large = spark.range(100).select(F.col("id").cast("int").alias("k"))
+    keyed = spark.range(0, 100, 7).select(F.col("id").alias("k"))
+    expected = sorted(r.k for r in large.join(keyed, "k", how).collect())
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    assert sorted(r.k for r in joins.lookup_join(large, keyed, ["k"], how).collect()) == expected
