@@ -192,8 +192,13 @@ def add_score(
     return staged.withColumn(out, score).drop("_blob")
 
 
+def cache_key_text(query_normalized: Column, url: Column) -> Column:
+    """What a cache key is the hash of."""
+    return F.concat_ws("|", query_normalized, url)
+
+
 def cache_key(query_normalized: Column, url: Column) -> Column:
-    return F.sha1(F.concat_ws("|", query_normalized, url))
+    return F.sha1(cache_key_text(query_normalized, url))
 
 
 def url_key(canonical_url: Column, source_url: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from offerloom.functions import text as T
 from offerloom.functions import urls as U
 from offerloom.functions.geo import distance_from_center, within_radius
-from offerloom.plans.joins import lookup_join
+from offerloom.plans.checkpoints import materialize
+from offerloom.plans.joins import bitmap_of, lookup_join, mark_by
 
 CACHED_VALUES = [
     "product_name", "price", "currency", "size_text", "location_city", "location_address",
@@ -21,14 +22,15 @@ def _live(cache: DataFrame, now: Column) -> DataFrame:
     return cache.filter(F.col("expires_at") >= now)
 
 
-def _keyed(candidates: DataFrame) -> DataFrame:
+def keyed(candidates: DataFrame) -> DataFrame:
+    """The candidates with the key of their result."""
     return candidates.withColumn("cache_key", U.cache_key(F.col("query_normalized"), F.col("url")))
 
 
 def cache_lookup(candidates: DataFrame, cached_results: DataFrame, now: Column) -> DataFrame:
     """All candidates with their live cached result as ``cached``, null where there is none."""
     row = F.struct("domain", "source_url", *CACHED_VALUES).alias("cached")
-    return lookup_join(_keyed(candidates), _live(cached_results, now).select("cache_key", row), ["cache_key"], "left")
+    return lookup_join(keyed(candidates), _live(cached_results, now).select("cache_key", row), ["cache_key"], "left")
 
 
 def cache_hits(candidates: DataFrame, cached_results: DataFrame, now: Column) -> DataFrame:
@@ -64,7 +66,7 @@ def judged_hits(looked_up: DataFrame) -> DataFrame:
 def cache_misses(candidates: DataFrame, cached_results: DataFrame, now: Column) -> DataFrame:
     """Candidates without a live cached result, which need extraction."""
     live = _live(cached_results, now).select("cache_key")
-    return lookup_join(_keyed(candidates), live, ["cache_key"], "left_anti").select(*candidates.columns)
+    return lookup_join(keyed(candidates), live, ["cache_key"], "left_anti").select(*candidates.columns)
 
 
 def unmatched(looked_up: DataFrame) -> DataFrame:
@@ -72,27 +74,44 @@ def unmatched(looked_up: DataFrame) -> DataFrame:
     return looked_up.filter(F.col("cached").isNull()).drop("cache_key", "cached")
 
 
+IDENTITY = ["query_normalized", "domain", "source_url"]
+
+
+def last_results(incoming: DataFrame, order: list[str]) -> DataFrame:
+    """Per cache_key the incoming row that is last in ``order``, as ``_new``.
+
+    Rows are grouped by the text a key is the hash of, which is hashed once per key.
+    """
+    text = U.cache_key_text(F.col("query_normalized"), F.col("source_url"))
+    row = F.struct(*IDENTITY, *CACHED_VALUES)
+    last = incoming.groupBy(text.alias("_text")).agg(F.max_by(row, F.struct(*order)).alias("_new"))
+    return materialize(last.select(F.sha1("_text").alias("cache_key"), "_new"))
+
+
 def upsert_results(
     cached_results: DataFrame, incoming: DataFrame, order: list[str], now: Column, ttl_hours: int = TTL_HOURS
 ) -> DataFrame:
     """The cache after inserting or refreshing the incoming results.
 
     Of several incoming rows with one key the last in ``order`` counts.  A
-    refreshed row keeps its key, query, domain, URL and creation time.  Both
-    sides of the join are unique per key, so no key can be hot.
+    refreshed row keeps its key, query, domain, URL and creation time.
+    """
+    return merged_results(cached_results, last_results(incoming, order), now, ttl_hours)
+
+
+def merged_results(cached_results: DataFrame, last: DataFrame, now: Column, ttl_hours: int = TTL_HOURS) -> DataFrame:
+    """The cache after inserting or refreshing what ``last_results`` gives.
+
+    Both sides of the join are unique per key, so no key can be hot.  Cached rows
+    that surely are not refreshed stay where they are.
     """
-    keyed = incoming.withColumn("cache_key", U.cache_key(F.col("query_normalized"), F.col("source_url")))
-    identity = ["query_normalized", "domain", "source_url"]
-    row = F.struct(*identity, *CACHED_VALUES)
-    last = (
-        keyed.groupBy("cache_key")
-        .agg(F.max_by(row, F.struct(*order)).alias("_new"))
-        .select("cache_key", "_new")
-    )
     old = cached_results.select("cache_key", F.struct(*[c for c in cached_results.columns if c != "cache_key"]).alias("_old"))
-    joined = old.join(last, "cache_key", "full_outer")
+    hashed, mark = F.xxhash64("cache_key"), "_likely"
+    marked = mark_by(old, materialize(bitmap_of(last.select(hashed.alias("_hash")))), hashed, mark)
+    untouched = marked.filter(~F.col(mark)).drop(mark)
+    joined = marked.filter(F.col(mark)).drop(mark).join(last, "cache_key", "full_outer").unionByName(untouched, allowMissingColumns=True)
     is_new, refreshed = F.col("_old").isNull(), F.col("_new").isNotNull()
-    kept = [F.coalesce(F.col("_old")[c], F.col("_new")[c]).alias(c) for c in identity]
+    kept = [F.coalesce(F.col("_old")[c], F.col("_new")[c]).alias(c) for c in IDENTITY]
     values = [F.when(refreshed, F.col("_new")[c]).otherwise(F.col("_old")[c]).alias(c) for c in CACHED_VALUES]
     return joined.select(
         "cache_key",

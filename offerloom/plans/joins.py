@@ -117,10 +117,11 @@ def mark_likely(large: DataFrame, wanted: DataFrame, hashed: Column, name: str)
 
     Rows stay where they are; a false mark is certain.  A name that is taken must not be given.
     """
-    return _mark_by(large, bitmap_of(wanted), hashed, name)
+    return mark_by(large, bitmap_of(wanted), hashed, name)
 
 
-def _mark_by(large: DataFrame, bits: DataFrame, hashed: Column, name: str) -> DataFrame:
+def mark_by(large: DataFrame, bits: DataFrame, hashed: Column, name: str) -> DataFrame:
+    """``mark_likely`` by a bitmap of the wanted hashes."""
     own = F.pmod(hashed, F.lit(FILTER_BITS)) + 1
     rows = large.select(
         F.struct("*").alias("_row"), F.bitmap_bucket_number(own).alias("_bucket"), F.bitmap_bit_position(own).alias("_at")
@@ -146,7 +147,7 @@ def lookup_join(
     mark, hashed = "_likely", F.xxhash64(*keys)
     if all(large.schema[k].dataType == keyed.schema[k].dataType for k in keys):
         bits = materialize(bitmap_of(keyed.filter(_all_not_null(keys)).select(hashed.alias("_hash"))))
-        marked = _mark_by(large, bits, hashed, mark)
+        marked = mark_by(large, bits, hashed, mark)
     else:
         # Equal values of two types have different hashes.
         marked = large.withColumn(mark, F.lit(True))

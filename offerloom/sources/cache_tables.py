@@ -16,9 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.functions import urls as U
 from offerloom.operators import caches
-from offerloom.plans.checkpoints import materialize
 
 CACHE_BUCKETS = 256
 HOUR_SECONDS = 3600
@@ -76,10 +74,9 @@ def upsert_result_cache(
 ) -> None:
     """``upsert_results`` in place; buckets without an incoming key keep their files."""
     spark = incoming.sparkSession
-    buckets, incoming = _buckets(spark, table), materialize(incoming)
-    key = U.cache_key(F.col("query_normalized"), F.col("source_url"))
-    old = _stored_in(spark, table, incoming.select(_bucket(key, buckets).alias("part"))).drop("part")
-    merged = caches.upsert_results(old, incoming, order, now, ttl_hours)
+    buckets, last = _buckets(spark, table), caches.last_results(incoming, order)
+    old = _stored_in(spark, table, last.select(_bucket(F.col("cache_key"), buckets).alias("part"))).drop("part")
+    merged = caches.merged_results(old, last, now, ttl_hours)
     _replace_buckets(table, merged.select(*old.columns), buckets)
 
 

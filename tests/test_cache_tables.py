@@ -143,3 +143,21 @@ def test_hours_of_the_url_cache(spark, database, capsys):
     assert files(folder) == after
     cache_tables.purge_url_cache(spark, f"{name}.urls", now(24))
     assert spark.table(f"{name}.urls").count() == 0
+
+
+def test_upsert_groups_by_the_text_of_a_key_and_leaves_other_rows(spark):
+    now = F.expr("TIMESTAMP '2024-01-02 00:00:00'")
+    values = ", ".join(f"CAST(NULL AS {'DOUBLE' if c.startswith('location_l') else 'STRING'}) AS {c}" for c in caches.CACHED_VALUES)
+
+    def rows(given, columns):
+        df = spark.createDataFrame(given, columns)
+        return df.selectExpr("*", *[v for v in values.split(", ") if v.split(" AS ")[-1] not in df.columns])
+
+    old = rows([("q|a", "q", "d", "a", "old"), ("q|b", "q", "d", "b", "old"), (None, "q", "d", "c", "old")], "text STRING, query_normalized STRING, domain STRING, source_url STRING, product_name STRING")
+    old = old.withColumn("cache_key", F.sha1("text")).withColumn("created_at", now).withColumn("expires_at", now).drop("text")
+    # The first two are one key, though not one pair.
+    given = [("q", "d", "a", "first", 1), (None, "d", "q|a", "last", 2), ("q", "d", "z", "new", 1)]
+    new = rows(given, "query_normalized STRING, domain STRING, source_url STRING, product_name STRING, n INT")
+    assert caches.last_results(new, ["n"]).count() == 2
+    found = {(r.source_url, r.product_name) for r in caches.upsert_results(old, new, ["n"], now).collect()}
+    assert found == {("a", "last"), ("b", "old"), ("c", "old"), ("z", "new")}

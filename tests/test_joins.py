@@ -89,8 +89,8 @@ def test_rows_that_match_nothing_are_not_shuffled(spark, monkeypatch, tmp_path):
     keyed = spark.range(0, 4000, 10).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v"))
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
     marked = []
-    real = joins._mark_by
-    monkeypatch.setattr(joins, "_mark_by", lambda *args: marked.append(real(*args)) or marked[-1])
+    real = joins.mark_by
+    monkeypatch.setattr(joins, "mark_by", lambda *args: marked.append(real(*args)) or marked[-1])
     assert joins.lookup_join(large, keyed, ["k"], "left_anti").count() == 3600
     assert joins.lookup_join(large, keyed, ["k"], "left").filter("v IS NOT NULL").count() == 400
     assert len(marked) == 2 and all(400 <= m.filter("_likely").count() < 450 for m in marked)
