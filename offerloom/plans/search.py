@@ -136,7 +136,9 @@ def search(given: SearchInput, now: Column, agent: str) -> SearchOutput:
     requests = materialize(validate_requests(given.requests))
     candidates, discovered = find_candidates(given, requests, now)
 
-    looked_up = materialize(caches.cache_lookup(candidates, given.cached_results, now))
+    # Only cached rows that may belong to a candidate are looked up; the cache is read once and not shuffled.
+    held = materialize(likely_in(given.cached_results, caches.keyed(candidates).select("cache_key"), "cache_key"))
+    looked_up = materialize(caches.cache_lookup(candidates, held, now))
     hits, misses = caches.judged_hits(looked_up), caches.unmatched(looked_up)
     extracted = extract_needed(given, misses.select("url").distinct(), agent)
     products = extracted.filter(F.col("product_name").isNotNull())

@@ -14,7 +14,7 @@ from offerloom.functions.geo import distance_from_center
 from offerloom.operators import caches, discovery, extract, location, requests, results, robots
 from offerloom.operators.dedupe import dedupe_results
 from offerloom.operators.ratelimit import rate_limit
-from offerloom.plans.checkpoints import working_folder
+from offerloom.plans.checkpoints import materialize, working_folder
 from offerloom.plans.search import SearchInput, find_candidates, refresh_tables, search
 from offerloom.sources import cache_tables, page_index, tables
 from offerloom.sources.sinks import job_results as stored_job_results
@@ -425,12 +425,13 @@ def display_rows(spark, sf):
 
 
 def _search_input(spark, sf, from_pages: bool) -> SearchInput:
+    # Start pages are gathered from sorted links, and read several times: they are built once.
     pages = table(spark, sf, "fx_link_pages")
     return SearchInput(
         requests=table(spark, sf, "fx_requests"),
         allowed=table(spark, sf, "fx_allowed"),
         links=None if from_pages else table(spark, sf, "fx_links"),
-        pages=pages.unionByName(table(spark, sf, "fx_start_pages")) if from_pages else pages,
+        pages=pages.unionByName(materialize(table(spark, sf, "fx_start_pages"))) if from_pages else pages,
         gazetteer=table(spark, sf, "fx_gazetteer"),
         rules=table(spark, sf, "fx_site_rules"),
         robots=table(spark, sf, "fx_robots"),
