@@ -147,3 +147,18 @@ def test_caches(found):
         ("trandafir", "https://a.ro/produs/alb"): LATER,
         ("trandafir", "https://b.ro/p/rosu"): LATER,
     }
+
+
+def test_only_cached_rows_of_candidates_are_looked_up(spark, monkeypatch):
+    given, seen, real = small_web(spark), [], search_plan.caches.cache_lookup
+    other = given.cached_results.withColumn("cache_key", F.sha1(F.concat(F.lit("other"), "cache_key")))
+    given = dataclasses.replace(given, cached_results=given.cached_results.unionByName(other))
+
+    def spied(candidates, cached_results, now):
+        seen.append(cached_results.count())
+        return real(candidates, cached_results, now)
+
+    monkeypatch.setattr(search_plan.caches, "cache_lookup", spied)
+    output = run(given)
+    assert seen and seen[0] <= given.cached_results.count() // 2
+    assert {r.cache_key for r in other.collect()} <= {r.cache_key for r in output.cached_results.collect()}
