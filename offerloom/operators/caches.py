@@ -105,20 +105,31 @@ def merged_results(cached_results: DataFrame, last: DataFrame, now: Column, ttl_
     Both sides of the join are unique per key, so no key can be hot.  Cached rows
     that surely are not refreshed stay where they are.
     """
-    old = cached_results.select("cache_key", F.struct(*[c for c in cached_results.columns if c != "cache_key"]).alias("_old"))
+    old = as_old(cached_results)
     hashed, mark = F.xxhash64("cache_key"), "_likely"
     marked = mark_by(old, materialize(bitmap_of(last.select(hashed.alias("_hash")))), hashed, mark)
     untouched = marked.filter(~F.col(mark)).drop(mark)
     joined = marked.filter(F.col(mark)).drop(mark).join(last, "cache_key", "full_outer").unionByName(untouched, allowMissingColumns=True)
-    is_new, refreshed = F.col("_old").isNull(), F.col("_new").isNotNull()
+    return refreshed(joined, now, ttl_hours)
+
+
+def as_old(cached_results: DataFrame) -> DataFrame:
+    """Cached rows as ``cache_key`` and ``_old``."""
+    rest = [c for c in cached_results.columns if c != "cache_key"]
+    return cached_results.select("cache_key", F.struct(*rest).alias("_old"))
+
+
+def refreshed(joined: DataFrame, now: Column, ttl_hours: int = TTL_HOURS) -> DataFrame:
+    """Rows of the cache from ``_old`` and ``_new`` of their key, either of which may be null."""
+    is_new, is_fresh = F.col("_old").isNull(), F.col("_new").isNotNull()
     kept = [F.coalesce(F.col("_old")[c], F.col("_new")[c]).alias(c) for c in IDENTITY]
-    values = [F.when(refreshed, F.col("_new")[c]).otherwise(F.col("_old")[c]).alias(c) for c in CACHED_VALUES]
+    values = [F.when(is_fresh, F.col("_new")[c]).otherwise(F.col("_old")[c]).alias(c) for c in CACHED_VALUES]
     return joined.select(
         "cache_key",
         *kept,
         *values,
         F.when(is_new, now).otherwise(F.col("_old")["created_at"]).alias("created_at"),
-        F.when(refreshed, ttl_expiry(now, ttl_hours)).otherwise(F.col("_old")["expires_at"]).alias("expires_at"),
+        F.when(is_fresh, ttl_expiry(now, ttl_hours)).otherwise(F.col("_old")["expires_at"]).alias("expires_at"),
     )
 
 

@@ -2,7 +2,8 @@
 
 * The result cache has one partition and one file per bucket of its key, by the
   hash a shuffle uses as well.  A refresh rewrites the buckets of the incoming
-  keys; a lookup joins bucket by bucket, so only the candidates move.
+  keys, each in one task that reads what it holds; a lookup joins bucket by
+  bucket.  So only incoming rows and candidates move.
 * The URL cache is partitioned by the hour its rows expire in.  Lookups skip
   the hours that are over, and purging drops them; only the hour at hand is rewritten.
 
@@ -13,12 +14,19 @@ again; two writers of one cache must take turns.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.operators import caches
 
 CACHE_BUCKETS = 256
+# Up to this many incoming rows a bucket are held as a hash table; beyond it both sides are sorted.
+HASHED_ROWS = 500_000
+# Keys are hex digits, of which a code by frequency takes half the room.
+STORED = "OPTIONS ('partitionOverwriteMode' 'dynamic', 'compression' 'zstd')"
 HOUR_SECONDS = 3600
 
 
@@ -42,7 +50,7 @@ def create_result_cache(table: str, rows: DataFrame, buckets: int = CACHE_BUCKET
     """A new result cache that holds ``rows``, unique by cache_key."""
     rows.sparkSession.sql(
         f"CREATE TABLE {table} ({_columns(rows)}, part INT) USING parquet "
-        f"OPTIONS ('partitionOverwriteMode' 'dynamic') PARTITIONED BY (part) "
+        f"{STORED} PARTITIONED BY (part) "
         f"CLUSTERED BY (cache_key) INTO {buckets} BUCKETS TBLPROPERTIES ('cache.buckets' = '{buckets}')"
     )
     _replace_buckets(table, rows, buckets)
@@ -54,8 +62,26 @@ def _buckets(spark: SparkSession, table: str) -> int:
 
 def _replace_buckets(table: str, rows: DataFrame, buckets: int) -> None:
     """Put rows in place of what is stored in their buckets."""
+    _write_buckets(table, rows.repartition(buckets, "cache_key"), buckets)
+
+
+def _write_buckets(table: str, rows: DataFrame, buckets: int) -> None:
+    """``_replace_buckets`` for rows of which each partition holds one bucket, whole."""
     numbered = rows.withColumn("part", _bucket(F.col("cache_key"), buckets))
-    numbered.repartition(buckets, "cache_key").write.insertInto(table, overwrite=True)
+    with _unsorted(rows.sparkSession):
+        numbered.write.insertInto(table, overwrite=True)
+
+
+@contextmanager
+def _unsorted(spark: SparkSession) -> Iterator[None]:
+    """Have tasks that write to one partition not sort their rows by it; one with more than two sorts the rest."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "2")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
 def result_cache(spark: SparkSession, table: str) -> DataFrame:
@@ -72,12 +98,18 @@ def _stored_in(spark: SparkSession, table: str, parts: DataFrame) -> DataFrame:
 def upsert_result_cache(
     table: str, incoming: DataFrame, order: list[str], now: Column, ttl_hours: int = caches.TTL_HOURS
 ) -> None:
-    """``upsert_results`` in place; buckets without an incoming key keep their files."""
+    """``upsert_results`` in place; buckets without an incoming key keep their files.
+
+    The incoming rows are brought to the buckets, whose rows stay where they are.
+    """
     spark = incoming.sparkSession
     buckets, last = _buckets(spark, table), caches.last_results(incoming, order)
     old = _stored_in(spark, table, last.select(_bucket(F.col("cache_key"), buckets).alias("part"))).drop("part")
-    merged = caches.merged_results(old, last, now, ttl_hours)
-    _replace_buckets(table, merged.select(*old.columns), buckets)
+    placed = last.repartition(buckets, "cache_key")
+    if last.count() <= buckets * HASHED_ROWS:
+        placed = placed.hint("shuffle_hash")
+    merged = caches.refreshed(caches.as_old(old).join(placed, "cache_key", "full_outer"), now, ttl_hours)
+    _write_buckets(table, merged.select(*old.columns), buckets)
 
 
 def purge_result_cache(spark: SparkSession, table: str, now: Column) -> None:
@@ -114,7 +146,7 @@ def create_url_cache(table: str, like: DataFrame) -> None:
     """A new and empty URL cache with the columns of ``like``."""
     like.sparkSession.sql(
         f"CREATE TABLE {table} ({_columns(like)}, expires_hour BIGINT) USING parquet "
-        f"OPTIONS ('partitionOverwriteMode' 'dynamic') PARTITIONED BY (expires_hour)"
+        f"{STORED} PARTITIONED BY (expires_hour)"
     )
 
 

@@ -5,6 +5,7 @@ import os
 import uuid
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from offerloom.operators import caches
@@ -161,3 +162,23 @@ def test_upsert_groups_by_the_text_of_a_key_and_leaves_other_rows(spark):
     assert caches.last_results(new, ["n"]).count() == 2
     found = {(r.source_url, r.product_name) for r in caches.upsert_results(old, new, ["n"], now).collect()}
     assert found == {("a", "last"), ("b", "old"), ("c", "old"), ("z", "new")}
+
+
+def test_a_refresh_moves_incoming_rows_only(spark, database, monkeypatch):
+    name, _ = database
+    old = cached(spark, 300, lambda i: F.lit(5))
+    cache_tables.create_result_cache(f"{name}.results", old, 32)
+    incoming = results(spark, range(290, 320), "new").withColumn("seq", F.monotonically_increasing_id())
+    expected = caches.upsert_results(old, incoming, ["seq"], now())
+    plans, insert = [], DataFrameWriter.insertInto
+
+    def recorded(writer, *args, **options):
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        insert(writer, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "insertInto", recorded)
+    cache_tables.upsert_result_cache(f"{name}.results", incoming, ["seq"], now())
+    (plan,) = plans
+    # The only shuffle is that of the incoming rows, and the cache is not sorted either.
+    assert plan.count("Exchange ") == 1 and "Sort" not in plan
+    same(cache_tables.result_cache(spark, f"{name}.results"), expected)
