@@ -13,6 +13,8 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,7 @@ from offerloom.operators.ratelimit import (
     micros,
     rate_limit,
 )
+from offerloom.streaming import packing
 
 # All that is there, then stop; a job may be given another one, such as {"processingTime": "1 minute"}.
 TRIGGER = {"availableNow": True}
@@ -77,7 +80,7 @@ def stream_extract(pages: DataFrame, folder: str, trigger: dict | None = None) -
 class _KeepFirst(StatefulProcessor):
     """The keys kept of one job, in two lists; each entry leaves ``ttl`` milliseconds after it was written.
 
-    Lists are read and extended in one call per batch, where maps would need one per key.
+    Lists are read and extended in one call per batch, where maps would need one per key.  Rows come and go packed.
     """
 
     def __init__(self, job: str, order: list[str], first: int, second: int, ttl: int | None):
@@ -91,21 +94,31 @@ class _KeepFirst(StatefulProcessor):
         self.lists = [keys("first", self.widths[0]), keys("second", self.widths[1])]
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
-        def place(row: Row):
-            return [(row[c] is not None, row[c]) for c in self.order]
-
-        first, second = self.widths
+        table = packing.from_bytes(row["_rows"] for row in rows)
+        in_order = [(c, "ascending") for c in self.order]
+        table = table.take(pc.sort_indices(table, sort_keys=in_order, null_placement="at_start"))
+        names = [f"_key{i}" for i in range(sum(self.widths))]
+        # Of the rows of one pair of keys only the first can be kept.
+        pair = np.zeros(len(table), dtype=np.int64)
+        for name in names:
+            codes = packing.codes_of(table[name])
+            pair = np.unique(pair * (codes.max() + 1) + codes, return_inverse=True)[1]
+        firsts = np.sort(np.unique(pair, return_index=True)[1])
+        open_rows = table.select(names).take(firsts).to_pydict()
+        first, kept_at = self.widths[0], []
         seen, new = [{tuple(k) for k in known.get()} for known in self.lists], ([], [])
-        for row in sorted(rows, key=place):
-            own = [tuple(row[f"_key{i}"] for i in range(first)), tuple(row[f"_key{first + i}"] for i in range(second))]
+        for at, keys in zip(firsts.tolist(), zip(*[open_rows[n] for n in names], strict=True), strict=True):
+            own = [keys[:first], keys[first:]]
             if own[0] not in seen[0] and own[1] not in seen[1]:
                 for kept, added, name in zip(seen, new, own, strict=True):
                     kept.add(name)
                     added.append(name)
-                yield Row(**{c: row[c] for c in row.__fields__ if not c.startswith("_key")})
+                kept_at.append(at)
         for known, added in zip(self.lists, new, strict=True):
             if added:
                 known.appendList(added)
+        if kept_at:
+            yield packing.packed_row(table.drop_columns(names).take(kept_at))
 
     def close(self) -> None:
         pass
@@ -147,13 +160,14 @@ def stream_dedupe(
 
     The rows of a batch are read in ``order``.  The keys kept of a job are keyed state that expires
     ``ttl_seconds`` after they were written (never if None), so that jobs long finished take no
-    room.  A job's new rows meet in one task: a request has at most 200 URLs.
+    room.  A job's new rows meet in one task, packed: a request has at most 200 URLs.
     """
     first, second = first or OFFER_KEY, second or URL_KEY
     keys = {f"_key{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate([*first, *second])}
     ttl = ttl_seconds * 1000 if ttl_seconds is not None else None
     processor = _KeepFirst(job, order, len(first), len(second), ttl)
-    kept = rows.withColumns(keys).groupBy(job).transformWithState(processor, rows.schema, "Append", "ProcessingTime")
+    packed = packing.pack(rows.withColumns(keys), job)
+    kept = packing.unpack(packed.groupBy(job).transformWithState(processor, packing.PACKED, "Append", "ProcessingTime"), rows.schema)
     with _keyed_state(rows.sparkSession):
         return (
             kept.writeStream.format("parquet")
