@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ TRIGGER = {"availableNow": True}
 
 # How long the keys kept of a job are remembered after it kept its last row under them.
 JOB_TTL_SECONDS = 24 * 3600
+# Keys of a keyed rate limit are grouped in as many classes of their hash.
+KEY_CLASSES = 1024
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -240,21 +243,20 @@ def stream_rate_limit(
 
 
 class _AdmitInOrder(StatefulProcessor):
-    """Hits of one key: those not yet decided as a list, and the times last admitted.
+    """Hits of the keys of one class: those not yet decided as a list, and per key the times last admitted.
 
     A timer is set for the oldest hit that waits; when the watermark has passed it, all hits the
-    watermark has passed are decided in order.  With nothing waiting, a timer clears the state of a
-    key once its last admitted time has left the window.
+    watermark has passed are decided in order.  A timer also clears the times of a key once the last
+    of them has left the window and nothing of it waits.  Hits come, wait and go packed.
     """
 
-    def __init__(self, names: list[str], schema: T.StructType, tie_break: str, limit: int, window: int):
-        self.names, self.schema, self.limit, self.window = names, schema, limit, window
-        self.time_at, self.tie_at = len(names), names.index(tie_break)
+    def __init__(self, names: list[str], tie_break: str, limit: int, window: int):
+        self.names, self.tie_break, self.limit, self.window = names, tie_break, limit, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.known = handle.getValueState("known", "recent array<bigint>, last bigint, timer bigint")
+        self.waiting = handle.getListState("waiting", packing.PACKED)
+        self.known = handle.getValueState("known", "keys binary, timer bigint")
 
     def _set_timer(self, old: int | None, at: int | None) -> None:
         if old != at:
@@ -263,59 +265,86 @@ class _AdmitInOrder(StatefulProcessor):
             if at is not None:
                 self.handle.registerTimer(at)
 
-    def _out(self, hit: tuple, admitted: bool, late: bool) -> Row:
-        return Row(**dict(zip(self.names, hit, strict=False)), admitted=admitted, late=late)
+    def _out(self, hits: pa.Table, admitted: np.ndarray | None) -> Row:
+        none = pa.nulls(len(hits), pa.bool_())
+        verdict = none if admitted is None else pa.array(admitted)
+        late = pa.array(np.full(len(hits), admitted is None))
+        return packing.packed_row(hits.select(self.names).append_column("admitted", verdict).append_column("late", late))
 
-    def _state(self) -> tuple[list[int], int | None, int | None]:
+    def _state(self) -> tuple[dict[str, tuple[list[int], int]], int | None]:
+        """Per key the times last admitted and that of its last decided hit; the timer."""
         if not self.known.exists():
-            return [], None, None
-        recent, last, timer = self.known.get()
-        return list(recent), last, timer
+            return {}, None
+        keys, timer = self.known.get()
+        held = packing.from_bytes([keys]).to_pydict()
+        return {k: (r, n) for k, r, n in zip(held["key"], held["recent"], held["last"], strict=True)}, timer
+
+    def _update(self, keys: dict[str, tuple[list[int], int]], timer: int) -> None:
+        recent, last = [r for r, _ in keys.values()], [n for _, n in keys.values()]
+        arrays = [pa.array(keys, pa.string()), pa.array(recent, pa.list_(pa.int64())), pa.array(last, pa.int64())]
+        self.known.update((packing.to_bytes(pa.table(arrays, ["key", "recent", "last"])), timer))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
         mark = timerValues.getCurrentWatermarkInMs()
-        recent, last, timer = self._state()
-        new = []
-        for row in rows:
-            hit = tuple(row[c] for c in self.names) + (row["_t"],)
-            passed = mark > 0 and row["_t"] // 1000 < mark - 1
-            if passed or (last is not None and row["_t"] < last):
-                yield self._out(hit, admitted=None, late=True)
-            else:
-                new.append(hit)
-        if new:
-            self.waiting.appendList(new)
-            oldest = min(hit[self.time_at] for hit in new) // 1000
+        keys, timer = self._state()
+        hits = packing.from_bytes(row["_rows"] for row in rows)
+        times = hits["_t"].to_numpy()
+        late = (times // 1000 < mark - 1) if mark > 0 else np.zeros(len(times), dtype=bool)
+        # Few hits are older than what was decided of any key without the watermark having passed them.
+        newest = max((last for _, last in keys.values()), default=None)
+        if newest is not None:
+            for i in np.flatnonzero(~late & (times < newest)).tolist():
+                known = keys.get(hits["_key"][i].as_py())
+                late[i] = known is not None and times[i] < known[1]
+        if late.any():
+            yield self._out(hits.filter(pa.array(late)), None)
+        if not late.all():
+            self.waiting.appendValue((packing.to_bytes(hits.filter(pa.array(~late))),))
+            oldest = int(times[~late].min()) // 1000
             # Of a timer for clearing the state and one for a hit the earlier one decides what is due.
             at = oldest if timer is None else min(timer, oldest)
             self._set_timer(timer, at)
-            self.known.update((recent, last, at))
+            self._update(keys, at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
         mark = timerValues.getCurrentWatermarkInMs()
-        recent, last, timer = self._state()
-        hits = list(self.waiting.get()) if self.waiting.exists() else []
-        due = [h for h in hits if h[self.time_at] // 1000 < mark]
-        rest = [h for h in hits if h[self.time_at] // 1000 >= mark]
-        due.sort(key=lambda h: (h[self.time_at], h[self.tie_at] is not None, h[self.tie_at]))
-        times = deque(recent)
-        admitted = admit([h[self.time_at] for h in due], times, self.limit, self.window)
-        for hit, passed in zip(due, admitted, strict=True):
-            yield self._out(hit, admitted=bool(passed), late=False)
-        if due:
-            last = due[-1][self.time_at]
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        recent = [t for t in times if t // 1000 >= mark - self.window // 1000 - 1]
+        keys, _ = self._state()
+        ends = []
+        if self.waiting.exists():
+            hits = packing.from_bytes(value for (value,) in self.waiting.get())
+            is_due = hits["_t"].to_numpy() // 1000 < mark
+            due, rest = hits.filter(pa.array(is_due)), hits.filter(pa.array(~is_due))
+            if len(due):
+                yield self._out(*self._decide(due, keys))
+                self.waiting.put([(packing.to_bytes(rest),)]) if len(rest) else self.waiting.clear()
+            if len(rest):
+                ends.append(pc.min(rest["_t"]).as_py() // 1000)
+        for name, (recent, last) in list(keys.items()):
+            recent = [t for t in recent if t // 1000 >= mark - self.window // 1000 - 1]
+            if recent:
+                keys[name] = recent, last
+                ends.append((recent[-1] + self.window) // 1000 + 1)
+            else:
+                del keys[name]
         # The timer that called is gone; another one is set for what comes next.
-        if rest:
-            at = min(h[self.time_at] for h in rest) // 1000
+        if ends:
+            self.handle.registerTimer(min(ends))
+            self._update(keys, min(ends))
         else:
-            at = (recent[-1] + self.window) // 1000 + 1 if recent else None
-        if at is None:
             self.known.clear()
-        else:
-            self.handle.registerTimer(at)
-            self.known.update((recent, last, at))
+
+    def _decide(self, due: pa.Table, keys: dict[str, tuple[list[int], int]]) -> tuple[pa.Table, np.ndarray]:
+        """The hits in order by key with whether they are admitted; ``keys`` are brought up to date."""
+        order = [(c, "ascending") for c in ("_key", "_t", self.tie_break)]
+        due = due.take(pc.sort_indices(due, sort_keys=order, null_placement="at_start"))
+        times, names = due["_t"].to_numpy(), due["_key"]
+        admitted = np.zeros(len(due), dtype=bool)
+        for start, end in packing.runs(packing.codes_of(names)):
+            name = names[start].as_py()
+            recent = deque(keys[name][0] if name in keys else ())
+            admitted[start:end] = admit(times[start:end], recent, self.limit, self.window)
+            keys[name] = list(recent), int(times[end - 1])
+        return due, admitted
 
     def close(self) -> None:
         pass
@@ -331,6 +360,7 @@ def stream_rate_limit_keyed(
     tie_break: str = "event_id",
     lateness_seconds: int = 0,
     trigger: dict | None = None,
+    classes: int = KEY_CLASSES,
 ) -> StreamingQuery:
     """Rate limiting as keyed state under a watermark, into ``folder``/hits with ``admitted`` and ``late``.
 
@@ -339,7 +369,9 @@ def stream_rate_limit_keyed(
     watermark had passed before it came is written as ``late``, undecided.  The state of a key goes
     when its last admitted hit has left the window.  Hits without a time are left out.
 
-    All hits of a key meet in one task; where one key holds much of the traffic,
+    The keys of a class of their hashes share the calls of the state, of which a hit would need
+    several otherwise; with many more keys or hits give more ``classes``, the same for all runs of a
+    stream.  All hits of a key meet in one task; where one key holds much of the traffic,
     ``stream_rate_limit`` spreads it.
     """
     names = hits.columns
@@ -353,15 +385,16 @@ def stream_rate_limit_keyed(
         # Late hits are set aside below; a column with the mark would have Spark drop them.
         .drop("_at")
     )
-    state = T.StructType([*hits.schema.fields, T.StructField("_t", T.LongType())])
     out = T.StructType(
         [*hits.schema.fields, T.StructField("admitted", T.BooleanType()), T.StructField("late", T.BooleanType())]
     )
-    processor = _AdmitInOrder(names, state, tie_break, limit, window_seconds * 1_000_000)
-    decided = prepared.groupBy("_key").transformWithState(processor, out, "Append", "EventTime")
+    processor = _AdmitInOrder(names, tie_break, limit, window_seconds * 1_000_000)
+    classed = prepared.withColumn("_class", F.pmod(F.xxhash64("_key"), F.lit(classes)))
+    decided = packing.pack(classed, "_class").groupBy("_class").transformWithState(processor, packing.PACKED, "Append", "EventTime")
     with _keyed_state(hits.sparkSession, empty_batches=True):
         return (
-            decided.writeStream.format("parquet")
+            packing.unpack(decided, out)
+            .writeStream.format("parquet")
             .option("path", f"{folder}/hits")
             .option("checkpointLocation", f"{folder}/checkpoint")
             .trigger(**(trigger or TRIGGER))
