@@ -26,6 +26,8 @@ from offerloom.plans.joins import hot_keys, lookup_join
 
 JOB_ROWS = 10_000
 SALTS = 64
+# Tasks that find the first rows of pairs of keys; up to as many, a shuffle sorts nothing on its way there.
+PAIR_PARTS = 200
 
 OFFER_KEY = ["normalized_name", "domain", "price_key"]
 URL_KEY = ["url_key"]
@@ -41,15 +43,29 @@ def with_offer_keys(results: DataFrame) -> DataFrame:
 
 
 def _first_per_pair(rows: DataFrame, job: str, first: list[str], second: list[str], order: list[str]) -> DataFrame:
-    """Only the first row of each pair of keys can be kept; reduced map-side."""
-    rest = [c for c in rows.columns if c not in {job, *first, *second, *order}]
-    row = F.struct(*order, *rest)
-    return (
-        rows.groupBy(job, *first, *second)
-        .agg(F.min(row).alias("_row"))
-        .select(job, *first, *second, "_row.*")
-        .select(*rows.columns)
-    )
+    """Only the first row of each pair of keys can be kept.
+
+    Whole rows are compared, which takes a sort.  So rows are spread over many tasks by their pair
+    before it, and not sorted by the tasks that read them, which may hold any number.  Rows of a
+    pair with a large share are spread as well, and the first ones of its shares compared.
+    """
+    keys = [job, *first, *second]
+    rest = [c for c in rows.columns if c not in {*keys, *order}]
+
+    def least(df: DataFrame, groups: list[str]) -> DataFrame:
+        firsts = df.groupBy(*groups).agg(F.min(F.struct(*order, *rest)).alias("_row"))
+        return firsts.select(*groups, "_row.*")
+
+    # Hashes are never null; where two pairs share one, both are spread.
+    hashed = rows.withColumn("_pair", F.xxhash64(*keys))
+    hot = hot_keys(hashed, ["_pair"])
+    if hot.isEmpty():
+        return least(rows.repartition(PAIR_PARTS, *keys), keys).select(*rows.columns)
+    marked = hashed.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_pair", "left")
+    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*order), F.lit(SALTS))).otherwise(-1))
+    firsts = least(salted.drop("_pair", "_hot").repartition(PAIR_PARTS, *keys, "_salt"), [*keys, "_salt"])
+    single, shares = firsts.filter("_salt < 0").drop("_salt"), firsts.filter("_salt >= 0").drop("_salt")
+    return single.select(*rows.columns).unionByName(least(shares, keys).select(*rows.columns))
 
 
 def _walk(rows: DataFrame, groups: list[str], first: list[str], second: list[str], order: list[str]) -> DataFrame:

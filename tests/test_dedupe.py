@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from offerloom.operators import dedupe
@@ -90,3 +91,16 @@ def test_price_text_decides_and_zero_is_none(spark):
     df = df.withColumn("job_id", F.lit("j")).withColumn("normalized_name", F.lit("n")).withColumn("domain", F.lit("d"))
     kept = dedupe.dedupe_results(dedupe.with_offer_keys(df), ORDER)
     assert sorted((r.ord, r.price_key, r.url_key) for r in kept.collect()) == [(1, "", "s1"), (3, "49.9", "c"), (4, "49.90", "d")]
+
+
+def test_first_rows_of_pairs_are_spread_before_the_sort(spark):
+    rows = [(None if i % 3 else "j", 7 * i % 2000, f"a{i % 40}" if i % 2 else "hot", f"b{i % 30}" if i % 2 else "hot") for i in range(2000)]
+    df = spark.createDataFrame(rows, "job_id STRING, ord INT, a STRING, b STRING")
+    got = dedupe._first_per_pair(df, "job_id", ["a"], ["b"], ["ord"])
+    first = {}
+    for job, at, a, b in rows:
+        first[job, a, b] = min(at, first.get((job, a, b), at))
+    assert sorted(map(str, got.collect())) == sorted(map(str, [Row(job_id=j, ord=n, a=a, b=b) for (j, a, b), n in first.items()]))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    # Below the last shuffle by a fixed number of parts nothing is sorted.
+    assert "REPARTITION_BY_NUM" in plan and "Sort" not in plan.rpartition("REPARTITION_BY_NUM")[2]

@@ -224,3 +224,19 @@ def test_progress_totals_and_expiry(spark, tmp_path):
     expected = items.groupBy("job_id").agg(F.count("*").alias("n"), F.count_if("found").alias("f"))
     got = jobs.latest_progress(spark, folder).select("job_id", "total_candidate_urls", "found_products")
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, expected.collect())))
+
+
+def test_keyed_rate_limit_keeps_a_class_of_keys_together(spark, tmp_path):
+    rng = random.Random(36)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i // 200, i, f"k{rng.randrange(80)}", start + datetime.timedelta(seconds=i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "part INT, event_id INT, key STRING, ts TIMESTAMP_NTZ")
+    source, folder = str(tmp_path / "hits"), str(tmp_path / "run")
+    write_parts(df, source, range(3))
+    query = jobs.stream_rate_limit_keyed(stream(spark, df, source), folder, 3, 100, lateness_seconds=50, classes=4)
+    query.awaitTermination()
+    # Hits of the last 50 seconds wait, and 80 keys have times: two values and a timer a class.
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 * 5
+    got = {r.event_id: r.admitted for r in jobs.read_batches(spark, folder, "hits").collect()}
+    expected = {r.event_id: r.admitted for r in rate_limit(df.drop("part"), 3, 100).collect()}
+    assert got == {i: expected[i] for i in range(550)}
