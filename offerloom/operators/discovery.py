@@ -9,6 +9,7 @@ only for the domains in which one of its words matches.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,7 @@ from offerloom.functions import text as T
 from offerloom.functions import urls as U
 from offerloom.operators.robots import allowed_semi
 from offerloom.plans.checkpoints import materialize
-from offerloom.plans.joins import likely_in, lookup_join, match_join
+from offerloom.plans.joins import likely_in, lookup_join, match_join, unique_join
 from offerloom.plans.ordering import with_places
 
 # Fixed values of the ranking.
@@ -32,6 +33,9 @@ BATCH_SIZE = 25
 # Up to this many distinct words are tried on every link; more go through trigrams.
 TOKENS_IN_PLACE = 200
 
+# For the first n links of a start page, so many times n of its anchors are read before the others.
+FIRST_ANCHORS = 1.5
+
 _ANCHOR = rf"(?is)<a\b{H.ATTRS}>.*?(?=</a\s*>|<a\b|\z)"
 
 
@@ -39,15 +43,26 @@ def extract_links(
     pages: DataFrame, allowed: DataFrame, base: str = "url", suffixes: Sequence[str] = U.DEFAULT_SUFFIXES
 ) -> DataFrame:
     """Links of pages(base, html) to allowed domains, with anchor text and position."""
+    return _links_at(_anchors(pages), allowed, base, suffixes)
+
+
+def _anchors(pages: DataFrame) -> DataFrame:
+    """The anchors of pages(html) in document order, with their position from 0."""
     anchors = F.regexp_extract_all(H.visible_source(F.col("html")), F.lit(_ANCHOR), F.lit(0))
     keep = [c for c in pages.columns if c != "html"]
-    exploded = pages.select(*keep, F.posexplode(anchors).alias("pos", "_anchor"))
-    href = H.attribute(H.opening_tag(F.col("_anchor")), "href")
+    return pages.select(*keep, F.posexplode(anchors).alias("pos", "_anchor"))
+
+
+def _links_at(anchors: DataFrame, allowed: DataFrame, base: str, suffixes: Sequence[str]) -> DataFrame:
+    """The links to allowed domains among ``_anchors``."""
+    keep = [c for c in anchors.columns if c not in ("pos", "_anchor")]
+    # What a link leads to is asked for several times, its attribute is looked for once.
+    with_href = T.compute_once(anchors, _href=H.attribute(H.opening_tag(F.col("_anchor")), "href"))
     links = T.compute_once(
-        exploded,
-        link_url=U.resolve_url(F.col(base), href),
+        with_href,
+        link_url=U.resolve_url(F.col(base), F.col("_href")),
         text=H.inner_text(F.col("_anchor"), " "),
-    ).filter(F.col("link_url").isNotNull())
+    ).filter(F.col("link_url").isNotNull()).drop("_href")
     with_domain = U.add_domain(links, "link_url", "link_domain", suffixes).drop("_anchor")
     return allowed_semi(with_domain, allowed, domain="link_domain", costly=True).select(
         *keep, "pos", "link_url", "link_domain", "text"
@@ -88,12 +103,24 @@ def discover_links(
     """Links of the start pages of all allowed domains; a start page without any stands for itself.
 
     ``pages(url, html)`` hold one row per URL.  Links are read where the page is; only they are joined.
+    Anchors far down a page are read only for seeds whose first anchors hold fewer links than ``limit``.
     """
     seeds = materialize(start_pages(pages, allowed))
-    links = extract_links(likely_in(_roots(pages), seeds, "page_url"), allowed, "base_url", suffixes)
-    seeded = lookup_join(links, seeds.select("page_url", "seed_domain"), ["page_url"], "inner", costly=True)
-    named = seeded.select("seed_domain", F.col("pos").cast("bigint").alias("pos"), F.col("link_url").alias("url"), "text")
-    return seed_links(seeds.select("seed_domain", "base_url"), materialize(first_links(named, limit)))
+    first = F.col("pos") < math.ceil(limit * FIRST_ANCHORS)
+
+    def links_of(among: DataFrame, read: Column) -> DataFrame:
+        anchors = _anchors(likely_in(_roots(pages), among, "page_url")).filter(read)
+        links = _links_at(anchors, allowed, "base_url", suffixes)
+        seeded = lookup_join(links, among.select("page_url", "seed_domain"), ["page_url"], "inner", costly=True)
+        return seeded.select("seed_domain", F.col("pos").cast("bigint").alias("pos"), F.col("link_url").alias("url"), "text")
+
+    links = materialize(first_links(links_of(seeds, first), limit))
+    complete = links.filter(F.col("link_no") == limit).select("seed_domain")
+    open_seeds = materialize(unique_join(seeds, complete, ["seed_domain"], "left_anti"))
+    if not open_seeds.isEmpty():
+        both = links.drop("link_no").unionByName(links_of(open_seeds, ~first))
+        links = materialize(first_links(both, limit))
+    return seed_links(seeds.select("seed_domain", "base_url"), links)
 
 
 def seed_links(seeds: DataFrame, links: DataFrame) -> DataFrame:

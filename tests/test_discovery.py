@@ -98,6 +98,28 @@ def test_start_pages_are_read_where_they_are(spark):
     assert discovery.discover_links(pages.limit(0), allowed).count() == 0
 
 
+def test_links_far_down_a_page_are_read_only_where_needed(spark, monkeypatch):
+    def page(domain, hosts):
+        return f"https://{domain}", "".join(f'<a href="https://{h}/{i}">{i}</a>' for i, h in enumerate(hosts))
+
+    web = [page("a.ro", ["a.ro"] * 50), page("b.ro", ["no.ro"] * 20 + ["b.ro"] * 9), page("c.ro", ["c.ro", "no.ro"] * 3), page("d.ro", ["no.ro"] * 9)]
+    pages = spark.createDataFrame([*web, page("e.ro", ["e.ro"] * 3), page("e.ro", ["no.ro"] * 6 + ["e.ro"])], "url STRING, html STRING")
+    allowed = spark.createDataFrame([(f"{d}.ro",) for d in "abcde"], "domain STRING")
+    numbered, number = [], discovery.first_links
+
+    def counted(links, limit):
+        numbered.append(links.filter("seed_domain = 'a.ro'").count())
+        return number(links, limit)
+
+    monkeypatch.setattr(discovery, "first_links", counted)
+    found = discovery.discover_links(pages, allowed, limit=4).collect()
+    assert sorted((r.seed_domain, r.pos) for r in found) == sorted(
+        [("a.ro", i) for i in range(4)] + [("b.ro", i) for i in range(20, 24)] + [("c.ro", i) for i in (0, 2, 4)] + [("d.ro", 0)]
+        + [("e.ro", i) for i in (0, 1, 2, 6)]
+    )
+    assert 0 < max(numbered) <= 6
+
+
 def test_places_in_a_total_order(spark):
     df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("score"), "id")
     order = [F.desc("score"), F.asc("id")]
