@@ -160,7 +160,8 @@ def url_cache_gate(requests: DataFrame, cached_urls: DataFrame, now: Column) ->
     """Requests with the live cached URLs of their query and whether those suffice."""
     queries = requests.select("query_normalized").distinct()
     live = lookup_join(_live(cached_urls, now), queries, ["query_normalized"], "left_semi")
-    counts = live.groupBy("query_normalized").agg(F.count("*").alias("cached_urls"))
+    # One row per query, asked for several times by the join.
+    counts = materialize(live.groupBy("query_normalized").agg(F.count("*").alias("cached_urls")))
     counted = lookup_join(requests, counts, ["query_normalized"], "left").withColumn(
         "cached_urls", F.coalesce("cached_urls", F.lit(0))
     )

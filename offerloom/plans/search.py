@@ -86,7 +86,7 @@ def find_candidates(given: SearchInput, requests: DataFrame, now: Column) -> tup
     """Ranked URLs per request, and the newly discovered ones per query for the URL cache."""
     gated = materialize(caches.url_cache_gate(requests, given.cached_urls, now))
     from_cache, to_discover = gated.filter("use_cache"), gated.filter("NOT use_cache")
-    cached = _from_url_cache(from_cache.select("query_normalized").distinct(), given.cached_urls, now)
+    cached = materialize(_from_url_cache(from_cache.select("query_normalized").distinct(), given.cached_urls, now))
     cached_rows = match_join(from_cache, cached, ["query_normalized"]).filter(F.col("rank") <= F.col("max_urls"))
 
     links = given.links

@@ -90,6 +90,17 @@ def test_url_cache(spark):
     assert gate == {"a": (9, False), "b": (10, True), "c": (0, False)}
 
 
+def test_the_gate_counts_cached_urls_once(spark, tmp_path):
+    rows = [("q", f"u{i}", 1.0) for i in range(10)]
+    urls = caches.append_url_cache(spark.createDataFrame(rows, "query_normalized STRING, url STRING, score DOUBLE"), now())
+    urls.write.parquet(str(tmp_path / "urls"))
+    stored = spark.read.parquet(str(tmp_path / "urls"))
+    requests = spark.createDataFrame([("a", "q", 30), ("b", "r", 30)], "job_id STRING, query_normalized STRING, max_urls INT")
+    gated = caches.url_cache_gate(requests, stored, now())
+    assert {r.job_id: (r.cached_urls, r.use_cache) for r in gated.collect()} == {"a": (10, True), "b": (0, False)}
+    assert set(stored.inputFiles()).isdisjoint(gated.inputFiles())
+
+
 def result_rows(spark):
     rows = [
         ("1", 'Ghiveci "mic", rotund', "ghiveci mic rotund", "B.ro", "https://b.ro/1", decimal.Decimal("49.90"), "RON", "30 cm", None, None, 0.0, False),
