@@ -16,17 +16,17 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerloom.functions.text import let, map_literal, strip
+from offerloom.functions.text import SPACE, let, map_literal, strip
 
 # Tag content with quoted attribute values, which may hold ">".  All repeated
 # groups are possessive: those run as loops, others recurse and could exhaust
 # the stack on a tag with very many attributes.
 ATTRS = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
 _TAG = rf"""<[!/?a-zA-Z](?:{ATTRS}>|[^>]*+>)"""
-_HIDDEN = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    rf"|<(script|style|template|rt|rp)\b{ATTRS}>.*?(?:</\1\s*>|\z)"
-)
+# One attempt per "<", which both kinds start with.
+_HIDDEN = rf"(?is)<(?:!--.*?(?:-->|\z)|(script|style|template|rt|rp)\b{ATTRS}>.*?(?:</\1\s*>|\z))"
+# Tags with the whitespace around them; a run of whitespace is tried from its start only.
+_BETWEEN_NODES = rf"(?:(?<!{SPACE}){SPACE}++)?+(?:{_TAG}{SPACE}*+)++"
 _MARKUP_CHARS = "<>\"'"
 _SET_ASIDE = "\ufdd0\ufdd1\ufdd2\ufdd3"
 
@@ -66,9 +66,8 @@ def plain(c: Column) -> Column:
 
 
 def inner_text(source: Column, separator: str) -> Column:
-    """The text nodes of visible source, each stripped, joined by ``separator``."""
-    nodes = F.filter(F.transform(F.split(source, _TAG), strip), lambda node: node != "")
-    return plain(F.array_join(nodes, separator))
+    """The text nodes of visible source, each stripped, joined by ``separator``: a space or nothing."""
+    return plain(strip(F.regexp_replace(source, _BETWEEN_NODES, separator)))
 
 
 def page_text(visible: Column) -> Column:

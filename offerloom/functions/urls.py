@@ -113,19 +113,19 @@ def join_url(base: Column, href: Column) -> Column:
     parts = F.struct(
         base.alias("base"),
         F.lower(F.regexp_extract(base, r"\A([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)).alias("scheme"),
-        F.regexp_extract(base, r"\A([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1).alias("site"),
-        F.regexp_extract(base, r"\A[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1).alias("path"),
         href.alias("href"),
         F.lower(F.regexp_extract(href, r"\A([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)).alias("href_scheme"),
     )
 
     def relative(p: Column, local: Column) -> Column:
-        """Path, query and fragment of a target on the site of the base."""
+        """Path, query and fragment of a target on the site of the base, which is taken apart only for these."""
+        site = F.regexp_extract(p["base"], r"\A([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+        base_path = F.regexp_extract(p["base"], r"\A[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
         query = F.regexp_extract(local, r"\A[^?#]*(\?[^#]+)", 1)
         fragment = F.regexp_extract(local, r"(#.+)\z", 1)
 
         def on_path(path: Column) -> Column:
-            below = F.concat(F.lit("/"), F.regexp_replace(p["path"], r"[^/]*\z", ""), path)
+            below = F.concat(F.lit("/"), F.regexp_replace(base_path, r"[^/]*\z", ""), path)
             # Empty segments vanish from a relative path only.
             full = F.when(path.startswith("/"), path).otherwise(F.regexp_replace(below, "/{2,}", "/"))
             return let(
@@ -133,10 +133,10 @@ def join_url(base: Column, href: Column) -> Column:
             )
 
         base_query = F.regexp_extract(p["base"], r"\A[^?#]*(\?[^#]+)", 1)
-        same_page = F.concat(p["path"], F.when(query == "", base_query).otherwise(query))
+        same_page = F.concat(base_path, F.when(query == "", base_query).otherwise(query))
         path = F.regexp_extract(local, r"\A([^?#]*)", 1)
         return F.concat(
-            p["site"],
+            site,
             let(path, lambda x: F.when(x == "", same_page).otherwise(F.concat(on_path(x), query))),
             fragment,
         )

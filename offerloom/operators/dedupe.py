@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,15 +72,15 @@ def _walk(rows: DataFrame, groups: list[str], first: list[str], second: list[str
     """Sequential pass over groups of bounded size, many groups per task.
 
     The rows arrive sorted by group and order; only the keys kept of the current
-    group are held.
+    group are held.  Of a row only its group and keys become Python values.
     """
 
-    def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, seen_first, seen_second = None, set(), set()
         for batch in batches:
             accepted = []
-            names = zip(*[batch[c].tolist() for c in groups], strict=True)
-            keys_of = zip(*[batch[c].tolist() for c in (*first, *second)], strict=True)
+            names = zip(*[batch.column(c).to_pylist() for c in groups], strict=True)
+            keys_of = zip(*[batch.column(c).to_pylist() for c in (*first, *second)], strict=True)
             for name, keys in zip(names, keys_of, strict=True):
                 if name != current:
                     current, seen_first, seen_second = name, set(), set()
@@ -90,10 +90,10 @@ def _walk(rows: DataFrame, groups: list[str], first: list[str], second: list[str
                     seen_first.add(a)
                     seen_second.add(b)
                 accepted.append(accept)
-            yield batch[accepted]
+            yield batch.filter(pa.array(accepted, pa.bool_()))
 
     in_order = rows.repartition(*groups).sortWithinPartitions(*groups, *order)
-    return in_order.mapInPandas(keep, rows.schema)
+    return in_order.mapInArrow(keep, rows.schema)
 
 
 def _round(rows: DataFrame, job: str, first: list[str], second: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -36,7 +36,11 @@ TOKENS_IN_PLACE = 200
 # For the first n links of a start page, so many times n of its anchors are read before the others.
 FIRST_ANCHORS = 1.5
 
-_ANCHOR = rf"(?is)<a\b{H.ATTRS}>.*?(?=</a\s*>|<a\b|\z)"
+# Start pages per file where their source is kept, so that reading their links is spread evenly.
+PAGES_PER_FILE = 500
+
+# Up to the end tag or the next anchor: only a "<" may be where one starts.
+_ANCHOR = rf"(?is)<a\b{H.ATTRS}>[^<]*+(?:<(?!/a\s*>|a\b)[^<]*+)*+"
 
 
 def extract_links(
@@ -80,11 +84,20 @@ def start_pages(pages: DataFrame, allowed: DataFrame) -> DataFrame:
 
     A page without source counts as not fetched; a domain without a start page is left out.
     """
+    return _start_pages(_roots(pages), allowed)
+
+
+def _seed_addresses(allowed: DataFrame) -> DataFrame:
+    """The two addresses (seed_domain, base_url) a start page of an allowed domain may have."""
     schemes = F.array(F.lit("https://"), F.lit("http://"))
-    bases = allowed.select(F.col("domain").alias("seed_domain")).distinct().select(
+    return allowed.select(F.col("domain").alias("seed_domain")).distinct().select(
         "seed_domain", F.explode(F.transform(schemes, lambda s: F.concat(s, "seed_domain"))).alias("base_url")
     )
-    found = lookup_join(_roots(pages).drop("html"), bases, ["base_url"], "inner")
+
+
+def _start_pages(roots: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``start_pages`` among ``_roots``."""
+    found = lookup_join(roots.drop("html"), _seed_addresses(allowed), ["base_url"], "inner")
     # Of the two addresses the one with https sorts last; of two spellings the shorter counts.
     best = F.max_by(F.struct("base_url", "page_url"), F.struct("base_url", -F.length("page_url")))
     return found.groupBy("seed_domain").agg(best.alias("_best")).select("seed_domain", "_best.*")
@@ -102,14 +115,16 @@ def discover_links(
 ) -> DataFrame:
     """Links of the start pages of all allowed domains; a start page without any stands for itself.
 
-    ``pages(url, html)`` hold one row per URL.  Links are read where the page is; only they are joined.
+    ``pages(url, html)`` hold one row per URL.  They are read once: what may be a start page is kept where it is
+    found, in small files.  Links are read where the page is; only they are joined.
     Anchors far down a page are read only for seeds whose first anchors hold fewer links than ``limit``.
     """
-    seeds = materialize(start_pages(pages, allowed))
+    roots = materialize(likely_in(_roots(pages), _seed_addresses(allowed), "base_url"), PAGES_PER_FILE)
+    seeds = materialize(_start_pages(roots, allowed))
     first = F.col("pos") < math.ceil(limit * FIRST_ANCHORS)
 
     def links_of(among: DataFrame, read: Column) -> DataFrame:
-        anchors = _anchors(likely_in(_roots(pages), among, "page_url")).filter(read)
+        anchors = _anchors(likely_in(roots, among, "page_url")).filter(read)
         links = _links_at(anchors, allowed, "base_url", suffixes)
         seeded = lookup_join(links, among.select("page_url", "seed_domain"), ["page_url"], "inner", costly=True)
         return seeded.select("seed_domain", F.col("pos").cast("bigint").alias("pos"), F.col("link_url").alias("url"), "text")

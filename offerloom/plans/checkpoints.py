@@ -38,12 +38,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """Write a table used several times to the shared folder and read it back.
 
     Unlike a checkpoint it is columnar, so later steps read only the columns
-    they need and the optimizer knows its size.
+    they need and the optimizer knows its size.  With ``rows_per_file`` a task
+    writes several files, which are read by as many tasks as there are cores.
     """
     path = working_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    writer = df.write.option("maxRecordsPerFile", rows_per_file) if rows_per_file else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -105,7 +105,10 @@ def find_candidates(given: SearchInput, requests: DataFrame, now: Column) -> tup
 
     columns = ["job_id", "query_normalized", "radius_option", "include_unknown", "rank", "url"]
     discovered = ranked.groupBy("query_normalized", "url").agg(F.max("score").alias("score"))
-    return materialize(cached_rows.select(*columns).unionByName(fresh_rows.select(*columns))), discovered
+    candidates = cached_rows.select(*columns).unionByName(fresh_rows.select(*columns))
+    # They lie where their requests were, and take little space: without this a few tasks would do what follows.
+    tasks = 2 * candidates.sparkSession.sparkContext.defaultParallelism
+    return materialize(candidates.repartition(tasks, "job_id", "rank")), discovered
 
 
 def extract_needed(given: SearchInput, urls: DataFrame, agent: str) -> DataFrame:

@@ -120,6 +120,32 @@ def test_links_far_down_a_page_are_read_only_where_needed(spark, monkeypatch):
     assert 0 < max(numbered) <= 6
 
 
+def test_pages_are_read_once_for_their_links(spark, monkeypatch):
+    web = [(f"https://{d}.ro", f'<a href="/{i}">{i}</a>') for i, d in enumerate("abcdefgh")] + [("https://no.ro", "<a href='https://a.ro/x'>x</a>")]
+    pages = spark.createDataFrame(web, "url STRING, html STRING").coalesce(1)
+    allowed = spark.createDataFrame([(f"{d}.ro",) for d in "abcdefgh"], "domain STRING")
+    read, kept = [], []
+    roots, write = discovery._roots, discovery.materialize
+
+    def counted(pages):
+        read.append(pages)
+        return roots(pages)
+
+    def noted(df, *rows_per_file):
+        stored = write(df, *rows_per_file)
+        if "html" in df.columns:
+            kept.append((stored.count(), len(stored.inputFiles())))
+        return stored
+
+    monkeypatch.setattr(discovery, "_roots", counted)
+    monkeypatch.setattr(discovery, "materialize", noted)
+    monkeypatch.setattr(discovery, "PAGES_PER_FILE", 3, raising=False)
+    found = discovery.discover_links(pages, allowed).collect()
+    assert sorted((r.seed_domain, r.url) for r in found) == [(f"{d}.ro", f"https://{d}.ro/{i}") for i, d in enumerate("abcdefgh")]
+    # One task found the eight start pages, three to a file.
+    assert len(read) == 1 and kept == [(8, 3)]
+
+
 def test_places_in_a_total_order(spark):
     df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("score"), "id")
     order = [F.desc("score"), F.asc("id")]

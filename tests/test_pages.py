@@ -147,6 +147,15 @@ def test_page_text_keeps_inner_spaces(spark):
     assert text == "a  b\n c x z q"
 
 
+def test_text_between_many_spaces_and_tags(spark):
+    wide = " \u00a0" * 100_000
+    pages = [f"{wide}<b>{wide}a{wide}b{wide}<i></i>{wide}<", "<p>", "x<y <z>", " <p> a <b>\x1c</b> b", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i INT, html STRING").orderBy("i")
+    rows = df.select(H.inner_text(F.col("html"), " ").alias("t"), H.inner_text(F.col("html"), "").alias("s")).collect()
+    assert [r.t for r in rows] == [f"a{wide}b <", "", "x", "a b", None]
+    assert [r.s for r in rows] == [f"a{wide}b<", "", "x", "ab", None]
+
+
 def test_odd_attributes(spark):
     rows = products(
         spark,

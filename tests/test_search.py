@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from offerloom import schemas
 from offerloom.operators import extract
 from offerloom.operators.extract import DEFAULT_SITE_RULES
+from offerloom.operators.requests import validate_requests
 from offerloom.plans import joins
 from offerloom.plans import search as search_plan
 from offerloom.plans.checkpoints import materialize
@@ -84,6 +85,16 @@ def found(spark):
     return run(small_web(spark))
 
 
+def test_candidates_are_spread_evenly(spark):
+    given = small_web(spark)
+    wanted = spark.range(600).selectExpr("concat('j', id) AS job_id", "element_at(array('trandafir', 'rosu', 'alb'), int(id % 3) + 1) AS query")
+    requests = wanted.coalesce(1).selectExpr("*", "'All Romania' AS radius_option", "false AS include_unknown", "30 AS max_urls", "60 AS time_budget_seconds")
+    candidates, _ = search_plan.find_candidates(given, validate_requests(requests), F.lit(NOW))
+    sizes = [r["count"] for r in candidates.groupBy(F.col("_metadata.file_path")).count().collect()]
+    # They came from requests in one partition.
+    assert len(sizes) > 8 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+
+
 def test_source_of_pages_is_not_shuffled(spark, monkeypatch, tmp_path):
     given = small_web(spark)
     given.pages.write.parquet(str(tmp_path / "pages"))
