@@ -9,6 +9,11 @@ takes the blocks left for a group of queries in the order of their bounds, shard
 shard, and stops a query at the first block whose bound falls below its k-th score.  A
 block whose bound equals it is scored, as an equal score with a smaller id comes first.
 
+Queries and candidates meet in cells, a tile of query groups and a shard of blocks, to
+which both are shuffled: a tile travels once per shard and a shard once per tile, and a
+cell holds at most ``CELL`` bytes of either.  Vectors never pass the driver, neither
+broadcast nor as samples of a sort.
+
 Scores are integers: doubles hold them exactly while the largest possible sum is below
 2**53; beyond that Python's integers are used, and a score that no long holds is cut to
 the nearest long.  Vectors that are null or hold null or non-finite components take no
@@ -18,32 +23,35 @@ query once per row, but never a candidate for itself; a null id takes no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerloom.llm.blocks import dimension, matrix, unpacked, usable
+from offerloom.llm.blocks import dimension, matrix, usable
 from offerloom.llm.common import numbered, prepare, stored
 
 BLOCK = 2048
 QUERIES = 512
 SHARD = 8
+# Bytes of vectors, as doubles, on each side of a cell; shards grow up to it once there are this many.
+CELL = 32 << 20
+SHARDS = 64
 LONG = (1 << 63) - 1
 FOUND = "query bigint, row bigint, vec_id bigint, score bigint"
+KINDS = {2: np.int16, 4: np.int32, 8: np.float64}
 
 
 def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Inner products, exact."""
     if not queries.size or not vectors.size:
         return np.zeros((len(queries), len(vectors)))
-    largest = np.abs(queries).max() * np.abs(vectors).max() * queries.shape[1]
+    largest = float(np.abs(queries).max()) * float(np.abs(vectors).max()) * queries.shape[1]
     if largest < 1 << 53:
-        return queries @ vectors.T
+        kind = np.float32 if largest < 1 << 24 else np.float64
+        return queries.astype(kind) @ vectors.astype(kind).T
     whole = [[int(x) for x in row] for row in vectors.tolist()]
-    out = np.empty((len(queries), len(vectors)), object)
+    out = np.empty((len(queries), len(vectors)), np.int64)
     for i, query in enumerate(queries.tolist()):
         terms = [int(x) for x in query]
         for j, row in enumerate(whole):
@@ -53,25 +61,50 @@ def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 def _bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The largest score that a vector between ``low`` and ``high`` can have."""
+    queries = queries.astype(np.float64)
     bound = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
     return bound + np.abs(bound) * 1e-9  # rounding of large sums
 
 
-def _best(queries: np.ndarray, query_ids, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple]:
-    """The k best of a block for each query: index of the query, ids, scores."""
+def _ranks(rows: np.ndarray) -> np.ndarray:
+    """The place, from 0, of each entry among those of its row; rows are sorted."""
+    return np.arange(len(rows)) - np.searchsorted(rows, rows)
+
+
+def _merge(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, by row, falling score and id."""
+    order = np.lexsort((ids, ~scores, rows))
+    order = order[_ranks(rows[order]) < k]
+    return rows[order], ids[order], scores[order]
+
+
+def _best(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, limit: np.ndarray, k: int) -> tuple:
+    """The k best of a block for each query, none below its limit: index of the query, ids, scores."""
     scores = _scores(queries, vectors)
-    for i, row in enumerate(scores):
-        others = np.flatnonzero(ids != query_ids[i])
-        if len(others) > 4 * k and row.dtype != object:
-            limit = np.partition(row[others], len(others) - k)[len(others) - k]
-            others = others[row[others] >= limit]
-        order = sorted(others.tolist(), key=lambda j: (-row[j], ids[j]))[:k]
-        yield i, ids[order], [int(row[j]) for j in order]
+    limit = limit.astype(np.float64 if scores.dtype == np.int64 else scores.dtype)
+    free = np.flatnonzero(np.isneginf(limit))
+    if len(free) and len(ids) > k and scores.dtype != np.int64:
+        others = scores[free]
+        others[ids == query_ids[free, None]] = -np.inf
+        limit[free] = np.partition(others, len(ids) - k, axis=1)[:, len(ids) - k]
+    found, place = np.divmod(np.flatnonzero(scores >= limit[:, None]), len(ids))
+    other = ids[place] != query_ids[found]
+    found, place = found[other], place[other]
+    return _merge(found, ids[place], scores[found, place].astype(np.int64), k)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Vectors in the shortest of ``KINDS`` that holds them."""
+    largest = np.abs(values).max(initial=0)
+    for kind in (np.int16, np.int32):
+        if largest <= np.iinfo(kind).max and (values == np.trunc(values)).all():
+            return values.astype(kind).tobytes()
+    return values.tobytes()
 
 
-def _merge(held: list[tuple[int, int]], ids, scores, k: int) -> list[tuple[int, int]]:
-    """Best pairs of (negated score, id)."""
-    return sorted([*held, *((-s, int(i)) for s, i in zip(scores, ids, strict=True))])[:k]
+def _unpacked(ids: bytes, vectors: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(ids, np.int64)
+    return numbers, np.frombuffer(vectors, KINDS[len(vectors) // (len(numbers) * width)]).reshape(-1, width)
 
 
 def _pack(key: tuple, rows: pd.DataFrame, width: int) -> pd.DataFrame:
@@ -83,11 +116,24 @@ def _pack(key: tuple, rows: pd.DataFrame, width: int) -> pd.DataFrame:
             "low": [values.min(axis=0)],
             "high": [values.max(axis=0)],
             "ids": [rows["vec"].to_numpy(np.int64).tobytes()],
-            "vectors": [values.tobytes()],
+            "vectors": [_narrow(values)],
         }
     )
 
 
+def _of(column: str, size: int) -> Column:
+    """The number of the group of ``size`` that a number lies in."""
+    return (F.col(column) / size).cast("long")
+
+
+def _each(count: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+
+def _meet(left: DataFrame, right: DataFrame, *keys: str):
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys))
+
+
 def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 5) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best candidates of each query.
 
@@ -103,98 +149,117 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k:
     width = dimension(given, "v")
     if not width:
         return given.select(F.col("vec").alias("query_id"), F.lit(1).alias("rank"), F.col("vec").alias("vec_id"), F.col("vec").alias("score")).limit(0)
-    rows = stored(numbered(given, [F.col("vec"), F.col("v")], "place"), "vectors")
+    # The driver gets a sample of the keys: a hash of the vector tells the rows of an id apart as well.
+    keys = [F.col("vec"), F.xxhash64("v")]
+    rows = stored(numbered(given, keys, "place"), "vectors")
     shape = "block bigint, low array<double>, high array<double>, ids binary, vectors binary"
     pack = lambda key, found: _pack(key, found, width)
-    blocks = rows.select((F.col("place") / BLOCK).cast("long").alias("block"), "vec", "v")
+    blocks = rows.select(_of("place", BLOCK).alias("block"), "vec", "v")
     blocks = stored(blocks.groupBy("block").applyInPandas(pack, shape), "blocks")
-    asking = numbered(rows.filter("asks").select("vec", "v"), [F.col("vec"), F.col("v")], "place")
-    asking = asking.select((F.col("place") / QUERIES).cast("long").alias("block"), "vec", "v")
+    asking = numbered(rows.filter("asks").select("vec", "v"), keys, "place")
+    asking = asking.select(_of("place", QUERIES).alias("block"), "vec", "v")
     asking = stored(asking.groupBy("block").applyInPandas(pack, shape), "queries")
-    asking = asking.select(F.col("block").alias("part"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    asking = asking.select(F.col("block").alias("part"), "ids", "vectors")
+
+    # Query groups lie in tiles, blocks in shards; a tile and a shard meet in a cell.
+    group, last = QUERIES, blocks.agg(F.max("block")).first()[0]
+    tile = max(1, CELL // (8 * width * QUERIES))
+    shard = SHARD * max(1, min(last // (SHARD * SHARDS), CELL // (8 * width * BLOCK * SHARD)))
+    tiles, shards = (asking.agg(F.max("part")).first()[0] or 0) // tile + 1, last // shard + 1
+    in_tile, in_shard = _of("part", tile).alias("tile"), _of("block", shard).alias("shard")
+    cell = ("tile", "shard")
 
     # Every query group meets every summary: the stated queries against all rows, in blocks.
-    shards = F.floor(F.col("block") / SHARD).cast("long")
-    summaries = blocks.groupBy(shards.alias("shard")).agg(F.sort_array(F.collect_list(F.struct("block", "low", "high"))).alias("summary"))
-    last = blocks.agg(F.max("block")).first()[0] // SHARD
-    spread = asking.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
-    met = spread.join(summaries, "shard")
-
-    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                _, queries = unpacked(row.q_ids, row.q_vectors, width)
-                low, high = (np.array([s[c] for s in row.summary]) for c in ("low", "high"))
-                found = _bounds(queries, low, high)
-                best = found.argmax(axis=1)
-                yield pd.DataFrame(
-                    {
-                        "part": row.part,
-                        "row": np.arange(len(queries)),
-                        "block": [row.summary[b]["block"] for b in best],
-                        "bound": found[np.arange(len(queries)), best],
-                    }
-                )
-
-    tops = met.mapInPandas(bounds, "part long, row long, block long, bound double")
-    first = tops.groupBy("part", "row").agg(F.max_by("block", F.struct("bound", -F.col("block"))).alias("block"))
-    first = first.groupBy("part", "block").agg(F.collect_list("row").alias("rows"))
-    first = first.join(asking, "part").join(blocks.select("block", "ids", "vectors"), "block")
-
-    def score(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+    def bounds(key: tuple, groups: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        listed = listed.sort_values("block")
+        low, high = (np.array(listed[c].tolist()) for c in ("low", "high"))
         out = []
-        for one in found.itertuples():
-            q_ids, queries = unpacked(one.q_ids, one.q_vectors, width)
-            ids, values = unpacked(one.ids, one.vectors, width)
-            chosen = np.array(sorted(one.rows))
-            for i, best, scores in _best(queries[chosen], q_ids[chosen], ids, values, k):
-                row = int(chosen[i])
-                out += [(int(q_ids[row]), key[0] * QUERIES + row, int(b), s) for b, s in zip(best, scores, strict=True)]
-        return pd.DataFrame(out, columns=["query", "row", "vec_id", "score"])
-
-    seen = stored(first.groupBy("part", "block").applyInPandas(score, FOUND).withColumn("first", F.lit(True)), "first")
-    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
-    limits = seen.withColumn("_n", place).filter(F.col("_n") == k).select("row", F.col("score").alias("limit"))
-    limits = limits.groupBy((F.col("row") / QUERIES).cast("long").alias("part")).agg(
-        F.collect_list(F.struct("row", "limit")).alias("limits")
-    )
-    done = first.select("part", F.col("block"), "rows").groupBy("part", shards.alias("shard")).agg(
-        F.collect_list(F.struct("block", "rows")).alias("done")
-    )
-    payload = blocks.groupBy(shards.alias("shard")).agg(
-        F.sort_array(F.collect_list(F.struct("block", "low", "high", "ids", "vectors"))).alias("blocks")
-    )
-    jobs = spread.join(payload, "shard").join(limits, "part", "left").join(done, ["part", "shard"], "left")
+        for one in groups.itertuples():
+            _, queries = _unpacked(one.ids, one.vectors, width)
+            found = _bounds(queries, low, high)
+            best = found.argmax(axis=1)
+            places = np.arange(len(queries))
+            block = listed["block"].to_numpy()[best]
+            out.append(pd.DataFrame({"part": one.part, "row": one.part * group + places, "block": block, "bound": found[places, best]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["part", "row", "block", "bound"])
+
+    summaries = blocks.select("block", "low", "high", in_shard, _each(tiles).alias("tile"))
+    met = _meet(asking.select("*", in_tile, _each(shards).alias("shard")), summaries, *cell)
+    tops = met.applyInPandas(bounds, "part bigint, row bigint, block bigint, bound double")
+    tops = tops.groupBy("part", "row").agg(F.max_by("block", F.struct("bound", -F.col("block"))).alias("block"))
+    tops = stored(tops, "tops")
 
-    def search(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+    def send(key: tuple, chosen: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+        ids, queries = _unpacked(groups["ids"][0], groups["vectors"][0], width)
         out = []
-        for one in found.itertuples():
-            q_ids, queries = unpacked(one.q_ids, one.q_vectors, width)
-            limit = np.full(len(queries), -np.inf)
-            for known in one.limits if one.limits is not None else ():
-                limit[known["row"] - key[0] * QUERIES] = known["limit"]
-            listed = {b["block"]: b for b in one.blocks}
-            order = sorted(listed)
-            bound = _bounds(queries, *(np.array([listed[b][c] for b in order]) for c in ("low", "high")))
-            for seen_before in one.done if one.done is not None else ():
-                bound[np.array(seen_before["rows"]), order.index(seen_before["block"])] = -np.inf
-            best: list[list[tuple[int, int]]] = [[] for _ in queries]
+        for block, found in chosen.groupby("block"):
+            row = np.sort(found["row"].to_numpy())
+            at = row - key[0] * group
+            out.append((key[0], block, row.tobytes(), ids[at].tobytes(), queries[at].astype(np.float64)))
+        return pd.DataFrame([(*x[:4], _narrow(x[4])) for x in out], columns=["part", "block", "rows", "ids", "vectors"])
+
+    def score(key: tuple, sent: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        known = {one.block: one for one in listed.itertuples()}
+        for block, found in sent.groupby("block"):
+            ids, values = _unpacked(known[block].ids, known[block].vectors, width)
+            row = np.concatenate([np.frombuffer(one, np.int64) for one in found["rows"]])
+            pairs = [_unpacked(one.ids, one.vectors, width) for one in found.itertuples()]
+            q_ids, queries = (np.concatenate([p[n] for p in pairs]) for n in (0, 1))
+            for start in range(0, len(row), group):
+                some = slice(start, start + group)
+                i, best, scores = _best(queries[some], q_ids[some], ids, values, np.full(len(row[some]), -np.inf), k)
+                out.append(pd.DataFrame({"query": q_ids[some][i], "row": row[some][i], "vec_id": best, "score": scores, "n": _ranks(i) + 1}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["query", "row", "vec_id", "score", "n"])
+
+    sent = _meet(tops, asking, "part").applyInPandas(send, "part bigint, block bigint, rows binary, ids binary, vectors binary")
+    payload = blocks.select("*", in_shard, _each(tiles).alias("tile"))
+    first = _meet(sent.select("*", in_tile, in_shard), payload.drop("low", "high"), *cell)
+    seen = stored(first.applyInPandas(score, f"{FOUND}, n bigint"), "first")
+
+    # A group takes along the limits of its queries and the blocks they have seen.
+    nothing = F.lit(None)
+    limits = seen.filter(F.col("n") == k).select(_of("row", QUERIES).alias("part"), "row", nothing.cast("long").alias("block"), F.col("score").cast("double").alias("limit"))
+    known = tops.withColumn("limit", nothing.cast("double")).unionByName(limits)
+
+    def arm(key: tuple, found: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+        count = len(groups["ids"][0]) // 8
+        limit, done = np.full(count, -np.inf), np.full(count, -1)
+        for column, out in (("limit", limit), ("block", done)):
+            some = found[found[column].notna()]
+            out[some["row"].to_numpy() - key[0] * group] = some[column]
+        return groups.assign(limits=[limit.tobytes()], done=[done.tobytes()])
+
+    armed = _meet(known, asking, "part").applyInPandas(arm, "part bigint, ids binary, vectors binary, limits binary, done binary")
+
+    def search(key: tuple, groups: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        listed = listed.sort_values("block")
+        order = listed["block"].to_numpy()
+        low, high = (np.array(listed[c].tolist()) for c in ("low", "high"))
+        held = [_unpacked(one.ids, one.vectors, width) for one in listed.itertuples()]
+        out = []
+        for one in groups.itertuples():
+            q_ids, queries = _unpacked(one.ids, one.vectors, width)
+            limit = np.frombuffer(one.limits, np.float64).copy()
+            bound = _bounds(queries, low, high)
+            bound[np.frombuffer(one.done, np.int64)[:, None] == order] = -np.inf
+            best = tuple(np.zeros(0, np.int64) for _ in range(3))
             # By the largest bound of the group; each query leaves out what cannot reach its own limit.
             for at in np.argsort(-bound.max(axis=0), kind="stable").tolist():
                 asked = np.flatnonzero((bound[:, at] >= limit) & (bound[:, at] > -np.inf))
                 if not len(asked):
                     continue
-                ids, values = unpacked(listed[order[at]]["ids"], listed[order[at]]["vectors"], width)
-                for i, chosen, scores in _best(queries[asked], q_ids[asked], ids, values, k):
-                    row = int(asked[i])
-                    best[row] = _merge(best[row], chosen, scores, k)
-                    if len(best[row]) == k:
-                        limit[row] = max(limit[row], float(-best[row][-1][0]))
-            for row, pairs in enumerate(best):
-                out += [(int(q_ids[row]), key[0] * QUERIES + row, i, -s) for s, i in pairs]
-        return pd.DataFrame(out, columns=["query", "row", "vec_id", "score"])
-
-    rest = jobs.groupBy("part", "shard").applyInPandas(search, FOUND)
-    all_found = seen.drop("first").unionByName(rest)
+                i, ids, scores = _best(queries[asked], q_ids[asked], *held[at], limit[asked], k)
+                if not len(i):
+                    continue
+                best = _merge(*(np.concatenate(x) for x in zip(best, (asked[i], ids, scores), strict=True)), k)
+                full = _ranks(best[0]) == k - 1
+                limit[best[0][full]] = np.maximum(limit[best[0][full]], best[2][full])
+            out.append(pd.DataFrame({"query": q_ids[best[0]], "row": one.part * group + best[0], "vec_id": best[1], "score": best[2]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["query", "row", "vec_id", "score"])
+
+    jobs = _meet(armed.select("*", in_tile, _each(shards).alias("shard")), payload, *cell)
+    all_found = seen.drop("n").unionByName(jobs.applyInPandas(search, FOUND))
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     ranked = all_found.withColumn("rank", place).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), "rank", "vec_id", "score")

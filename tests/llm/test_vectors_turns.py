@@ -1,5 +1,7 @@
 """Operators on vectors and conversations, and the SQL definitions."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -111,6 +113,46 @@ def test_top_k_of_few_and_of_large_rows(spark):
     assert topk.top_k(alone, "vec_id", "v", alone.vec_id == 2).collect() == []
 
 
+@pytest.mark.parametrize(("cell", "shards", "scale"), [(1, 64, 1), (600, 1, 1), (32 << 20, 1, 300), (1, 64, 70000), (600, 64, 1 << 22)])
+def test_top_k_in_cells(spark, monkeypatch, cell, shards, scale):
+    """Several tiles and shards, a block that bounds all queries, repeated ids, values of all widths."""
+    for name, value in (("BLOCK", 7), ("QUERIES", 4), ("SHARD", 2), ("CELL", cell), ("SHARDS", shards)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.integers(-4, 5, 6) * scale]) for i in range(120)]
+    rows += [(i % 9, [float(x) for x in rng.integers(-4, 5, 6) * scale]) for i in range(60)]
+    rows += [(500, [9.0 * scale] * 6), (500, [-9.0 * scale] * 6), (501, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3)
+    expected = []
+    for q, v in rows:
+        if q % 2 == 0:
+            best = sorted((-int(np.dot(v, w)), i) for i, w in rows if i != q)[:5]
+            expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, topk.top_k(df, "vec_id", "v", df.vec_id % 2 == 0, 5).collect())) == sorted(expected)
+    assert topk.top_k(df, "vec_id", "v", df.vec_id < 0, 5).collect() == []
+
+
+def test_top_k_keeps_vectors_off_the_driver(spark, monkeypatch):
+    """No join broadcasts them, however small they look as files, and no sort samples them."""
+    plans, kinds = [], set()
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    def numbered(df, keys, name, run=topk.numbered):
+        kinds.update(kind for _, kind in df.select(*keys).dtypes)
+        return run(df, keys, name)
+
+    monkeypatch.setattr(topk, "stored", lambda df, purpose, run=topk.stored: run(seen(df), purpose))
+    monkeypatch.setattr(topk, "numbered", numbered)
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, v array<double>")
+    assert seen(topk.top_k(df, "vec_id", "v", df.vec_id < 3, 2)).count() == 6
+    assert kinds == {"bigint"}
+    assert {key for plan in plans for key in re.findall(r"BroadcastHashJoin \[(\w+)#", plan)} <= {"_p"}
+    assert not any("NestedLoopJoin" in plan for plan in plans)
+
+
 def test_preferences(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "more"), (1, 3, "assistant", "yes"),
